@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, sharding, token_output, url_filters
+from . import decontamination, near_dedup, quality_rules, sharding, token_output, url_filters
 
-MODULES = [sharding, token_output, quality_rules, url_filters, decontamination]
+MODULES = [sharding, token_output, quality_rules, url_filters, near_dedup, decontamination]
 
 
 def queries() -> dict:
