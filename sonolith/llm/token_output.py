@@ -18,6 +18,7 @@ kept; repeated rows are repeated; an empty table writes no chunk; other columns
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,12 +32,14 @@ from .common import session_partitions, shared_path, table
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = (1 << 60) - 1
+#: The least id too wide for each of WIDTHS[1:-1].
+LEAST = np.uint64(1) << WIDTHS[1:-1].astype(np.uint64)
 MAGIC = 0x31423853
 BLOCK = 512
 #: A chunk ends with the document that reaches so many ids.
 CHUNK_IDS = 1 << 18
-#: Cached space-separated parts of texts in a worker.
-CACHE_PARTS = 400_000
+#: Cached parts of texts, and cached pre-tokens, in a worker.
+CACHE_PARTS = 350_000
 END_ID = 0
 
 
@@ -51,14 +54,20 @@ def encode_chunk(ids: np.ndarray) -> bytes:
     lengths = np.full(blocks, BLOCK)
     if blocks:
         lengths[-1] = n - (blocks - 1) * BLOCK
-    ends = np.repeat(np.arange(blocks) * BLOCK + lengths, BLOCK)
-    at = np.arange(blocks * BLOCK)
+    ends = np.repeat(np.arange(blocks, dtype=np.int32) * BLOCK + lengths.astype(np.int32), BLOCK)
+    at = np.arange(blocks * BLOCK, dtype=np.int32)
+    left = ends - at
+    need = np.searchsorted(LEAST, grid, side="right").astype(np.int8)  # the least width's place among WIDTHS[1:]
     best = np.full(blocks * BLOCK, 15, np.int8)
     for s in range(14, -1, -1):  # the last that fits has the most ids
-        if s != 0:  # widths of 0 and 1 are the same run
-            wide = np.where(grid >> np.uint64(WIDTHS[s]) > 0, at, blocks * BLOCK)
+        place = max(s - 1, 0)
+        high = np.flatnonzero(need > place)
+        longest = np.diff(high, prepend=-1, append=blocks * BLOCK).max() - 1 if len(high) else blocks * BLOCK
+        if longest >= COUNTS[s] or s >= 10:  # else only a block's last ids could fit
+            wide = np.full(blocks * BLOCK, blocks * BLOCK, np.int32)
+            wide[high] = high
             clear = np.minimum.accumulate(wide[::-1])[::-1] - at
-        best[clear >= np.minimum(COUNTS[s], ends - at)] = s
+            best[clear >= np.minimum(np.int32(COUNTS[s]), left)] = s
     words, owners = [], []
     where, alive = np.arange(blocks) * BLOCK, np.arange(blocks)
     stop = where + lengths
@@ -134,44 +143,81 @@ def decode_chunk_raw(data: bytes, blocks: int) -> np.ndarray:
     return decode_chunk(head.tobytes() + data[16:], 0, blocks)
 
 
+#: White space after a space; runs that are pre-tokens of their own: letters, signs other than the apostrophe, one line break before something else.
+SPACE_RUN = re.compile(r" \s")
+SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
+
+
 class CachedEncoder:
     """Ids of texts as little-endian 32-bit integers, part by part.
 
-    The tokenizer's pre-tokens never span a space between a character other than white space and another
-    one, so a text is cut there, and each distinct part is encoded once by the library. Texts where a cut would stand
-    between white space on both sides are encoded whole.
+    The tokenizer merges bytes inside pre-tokens only, and a pre-token doesn't span a space unless white
+    space follows. A text is cut before its spaces, each distinct part into its pre-tokens where these are plain,
+    and each distinct pre-token (or other part) is encoded once by the library. Texts with a space between
+    white space on both sides are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.heads: dict[str, bytes] = {}
+        self.tokenizer.model._resize_cache(0)  # what repeats is cached here
         self.parts: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of texts by the library, a thousand at a time."""
+        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 1000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+
+    def join(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by their pre-tokens; a first space belongs to the first one."""
+        cut = []
+        for t in texts:
+            found = SIMPLE.findall(t, t.startswith(" "))
+            if t.startswith(" ") and found and found[0] != "\n":
+                found[0] = " " + found[0]
+            cut.append(found if "".join(found) == t else [t])
+        new = list(set().union(*cut).difference(self.pieces))
+        self.pieces.update(zip(new, self.whole(new), strict=True))
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-            self.odd.clear()
+        if len(self.pieces) > CACHE_PARTS:
+            self.pieces.clear()
         cut = [t.split(" ") for t in texts]
+        heads = self.join([c[0] for c in cut])
+        for c in cut:
+            del c[0]
         new = list(set().union(*cut).difference(self.parts))
-        self.parts.update(zip(new, self.whole([" " + p for p in new]), strict=True))
-        self.odd.update(p for p in new if not p or p[0].isspace())
-        heads = [c[0] for c in cut]
-        first = dict.fromkeys(heads)
-        first = dict(zip(first, self.whole(list(first)), strict=True))
-        out = []
-        for text, head, rest in zip(texts, heads, cut, strict=True):
-            if not self.odd.isdisjoint(rest) and _unsafe(text):
-                out.append(self.whole([text])[0])
-            else:
-                rest[0] = ""
-                out.append(first[head] + b"".join(map(self.parts.__getitem__, rest[1:])))
-        return out
+        self.parts.update(zip(new, self.join([" " + p for p in new]), strict=True))
+        get = self.parts.__getitem__
+        return [
+            self.whole([text])[0] if SPACE_RUN.search(text) and _unsafe(text) else head + b"".join(map(get, c))
+            for text, head, c in zip(texts, heads, cut, strict=True)
+        ]
+
+
+def _unsafe(text: str) -> bool:
+    """A space that has white space on both sides."""
+    at = text.find(" ", 1)
+    while 0 <= at < len(text) - 1:
+        if text[at - 1].isspace() and text[at + 1].isspace():
+            return True
+        at = text.find(" ", at + 1)
+    return False
+
+
+_encoders: dict[str, CachedEncoder] = {}
+
+
+def encoder_at(path: str) -> CachedEncoder:
+    """This worker's encoder for a tokenizer file: kept, with its cache, for the worker's next tasks."""
+    if path not in _encoders:
+        _encoders[path] = CachedEncoder(path)
+    return _encoders[path]
 
 
 def _unsafe(text: str) -> bool:
@@ -192,7 +238,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     import pyarrow as pa
 
     def encode(batches: Iterator) -> Iterator:
-        encoder = CachedEncoder(tokenizer_path)
+        encoder = encoder_at(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
         size = base = number = 0
@@ -233,7 +279,7 @@ def read_token_files(spark, path: str, keep_ids: bool = False) -> DataFrame:
 
     def decode(batches: Iterator) -> Iterator:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # one payload at a time
                 ids = decode_chunk(row["payload"]).astype("<u4")
                 stops = np.cumsum(row["lengths"])
                 each = np.split(ids, stops[:-1])
