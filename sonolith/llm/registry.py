@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, quality_rules, sharding, token_output, url_filters
+from . import decontamination, language_id, near_dedup, piece_codec, quality_rules, sharding, token_output, toxicity, url_filters
 
-MODULES = [sharding, token_output, quality_rules, url_filters, near_dedup, decontamination]
+MODULES = [toxicity, language_id, sharding, token_output, quality_rules, piece_codec, url_filters, near_dedup, decontamination]
 
 
 def queries() -> dict:
