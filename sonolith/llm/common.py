@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..recovery import cut, shared_dir
+
+__all__ = ["constant_array", "cut", "hash_order", "id_remainder", "session_partitions", "shared_dir", "shared_path", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sonolith-checkpoint-"))
-        current = sc.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    directory = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(directory)
-    return df.checkpoint()
-
-
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -50,6 +50,11 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return flat.groupBy("phrase").agg(F.collect_set("item_id").alias("items"))
 
 
+def numbered_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(phrase_id, phrase, items), from a checkpoint: the ids stay what they are."""
+    return cut(benchmark_windows(benchmark, size).withColumn("phrase_id", F.monotonically_increasing_id()))
+
+
 def _sized(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """df, to be broadcast if it has few enough rows."""
     return F.broadcast(df) if df.count() <= most else df
@@ -75,13 +80,12 @@ def term_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def rare_terms(windows: DataFrame, counts: DataFrame, lists: int = 2) -> DataFrame:
-    """(phrase, items, n_lists, term, offset): each window's rarest terms; windows with an absent term are left out."""
-    places = windows.select("phrase", F.posexplode("phrase").alias("offset", "w")).select("phrase", "offset", F.xxhash64("w").alias("term"))
-    ranked = places.join(counts, "term").withColumn("whole", F.count("*").over(Window.partitionBy("phrase")))
-    ranked = ranked.where(F.col("whole") == F.size("phrase"))
-    order = Window.partitionBy("phrase").orderBy("n", "offset")
-    best = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= lists)
-    return best.select("phrase", "term", "offset", F.least(F.size("phrase"), F.lit(lists)).alias("n_lists")).join(windows, "phrase")
+    """(phrase_id, term, offset, n_lists): each window's rarest terms; windows with an absent term are left out."""
+    places = windows.select("phrase_id", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "w"))
+    ranked = places.withColumn("term", F.xxhash64("w")).join(counts, "term").withColumn("whole", F.count("*").over(Window.partitionBy("phrase_id")))
+    order = Window.partitionBy("phrase_id").orderBy("n", "offset")
+    best = ranked.where("whole = size").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= lists)
+    return best.select("phrase_id", "term", "offset", F.least("size", F.lit(lists)).alias("n_lists"))
 
 
 def postings(docs: DataFrame, rare: DataFrame) -> DataFrame:
@@ -90,37 +94,36 @@ def postings(docs: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def adjusted(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """Offset-adjusted lists: (id, text_hash, start, phrase, offset)."""
-    return index.join(_sized(rare.drop("items")), "term").withColumn("start", F.col("pos") - F.col("offset")).drop("pos")
+    """Offset-adjusted lists: (id, text_hash, start, phrase_id, offset, n_lists)."""
+    return index.join(_sized(rare), "term").withColumn("start", F.col("pos") - F.col("offset")).drop("pos", "term")
 
 
 def exact_candidates(lists: DataFrame) -> DataFrame:
-    """(id, text_hash, start, phrase) where the lists of all of a window's rare terms meet."""
-    met = lists.groupBy("id", "text_hash", "start", "phrase").agg(F.count("*").alias("n"), F.first("n_lists").alias("n_lists"))
-    return met.where((F.col("n") == F.col("n_lists")) & (F.col("start") >= 0)).select("id", "text_hash", "start", "phrase")
+    """(id, text_hash, start, phrase_id) where the lists of all of a window's rare terms meet."""
+    met = lists.groupBy("id", "text_hash", "start", "phrase_id").agg(F.count("*").alias("n"), F.first("n_lists").alias("n_lists"))
+    return met.where((F.col("n") == F.col("n_lists")) & (F.col("start") >= 0)).select("id", "text_hash", "start", "phrase_id")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
     """(doc_id, start, gap, phrase): the two rarest terms of a window within ``slop`` words of their places."""
-    docs, windows = keyed(docs), cut(benchmark_windows(benchmark, size))
+    docs, windows = keyed(docs), numbered_windows(benchmark, size)
     rare = cut(rare_terms(windows, term_counts(docs, windows)))
-    lists = adjusted(postings(docs, rare), rare)
-    first = Window.partitionBy("phrase")
-    rare_first = rare.withColumn("lead", F.min("offset").over(first) == F.col("offset")).select("phrase", "offset", "lead")
-    lists = lists.join(_sized(rare_first), ["phrase", "offset"]).withColumn("bucket", F.floor(F.col("start") / (slop + 1)))
-    a = lists.where("lead").select("id", "text_hash", "phrase", "start", "n_lists", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    b = lists.where("not lead").select("id", "text_hash", "phrase", F.col("start").alias("other"), "bucket")
-    near = a.join(b, ["id", "text_hash", "phrase", "bucket"], "left").withColumn("gap", F.abs(F.col("start") - F.col("other")))
-    near = near.where((F.col("gap") <= slop) | (F.col("n_lists") == 1)).groupBy("id", "text_hash", "phrase", "start").agg(F.coalesce(F.min("gap"), F.lit(0)).alias("gap"))
-    return docs.select("doc_id", "id", "text_hash").distinct().join(near, ["id", "text_hash"]).select("doc_id", "start", "gap", "phrase")
+    leads = rare.groupBy("phrase_id").agg(F.min("offset").alias("lead"))
+    lists = adjusted(postings(docs, rare), rare).join(_sized(leads), "phrase_id").withColumn("bucket", F.floor(F.col("start") / (slop + 1)))
+    a = lists.where("offset = lead").select("id", "text_hash", "phrase_id", "start", "n_lists", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    b = lists.where("offset <> lead").select("id", "text_hash", "phrase_id", F.col("start").alias("other"), "bucket")
+    near = a.join(b, ["id", "text_hash", "phrase_id", "bucket"], "left").withColumn("gap", F.abs(F.col("start") - F.col("other")))
+    near = near.where((F.col("gap") <= slop) | (F.col("n_lists") == 1)).groupBy("id", "text_hash", "phrase_id", "start").agg(F.coalesce(F.min("gap"), F.lit(0)).alias("gap"))
+    named = near.join(_sized(windows.select("phrase_id", "phrase")), "phrase_id")
+    return docs.select("doc_id", "id", "text_hash").distinct().join(named, ["id", "text_hash"]).select("doc_id", "start", "gap", "phrase")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated of every document."""
     docs = keyed(docs)
-    windows = cut(benchmark_windows(benchmark, size))
+    windows = numbered_windows(benchmark, size)
     rare = cut(rare_terms(windows, term_counts(docs, windows)))
-    found = exact_candidates(adjusted(postings(docs, rare), rare)).join(_sized(windows), "phrase")
+    found = exact_candidates(adjusted(postings(docs, rare), rare)).join(_sized(windows), "phrase_id")
     by_doc = found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "phrase", "items")).alias("found"))
     lowered = F.element_at(
         F.transform(
