@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +53,6 @@ def quad64(*values: Column) -> Column:
 
 def xxhash64_seeded(data: Column, seed: int = 0) -> Column:
     """xxHash64 of binary values with any seed, as a signed 64-bit integer."""
-    import pandas as pd
-
     def run(values: pd.Series) -> pd.Series:
         import xxhash
 

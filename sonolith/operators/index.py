@@ -49,9 +49,10 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def mismatched(segments: DataFrame, preset: Preset) -> DataFrame:
     """Segments of other parameters; a rate of 0 or null is unset and fits anything."""
-    p = F.col("params")
-    unset = F.coalesce(p["sr"], F.lit(0)) == 0
-    return segments.where(~unset & ~(p.eqNullSafe(F.struct(F.lit(preset.sample_rate).alias("sr"), F.lit(preset.window).alias("frame"), F.lit(preset.hop).alias("hop")))))
+    own = F.struct(F.lit(preset.sample_rate).alias("sr"), F.lit(preset.window).alias("frame"), F.lit(preset.hop).alias("hop"))
+    # inside a lambda, as the JSON reader can't take this predicate
+    wrong = F.transform(F.array("params"), lambda p: (F.coalesce(p["sr"], F.lit(0)) != 0) & ~p.eqNullSafe(own))
+    return segments.where(F.element_at(wrong, 1))
 
 
 def check_parameters(spark: SparkSession, root: str, preset: Preset) -> None:
