@@ -3,8 +3,8 @@
 Spaces become U+2581 and one is put before the text. No piece goes on past a U+2581 after another character,
 so the best segmentation of a text is that of its words, each with its leading U+2581. Distinct words are
 grouped by length; all words of a group advance together, one start position and one piece length at a time:
-rolling hashes of the substrings probe the sorted keys of the pieces (a hit is compared character by
-character), scores are added to the best of the start, and maxima with their back-pointers are kept where
+rolling hashes of the substrings probe the sorted keys of the pieces and their prefixes (a hit is held against the
+characters, and a substring that starts no piece isn't made longer), scores are added to the best of the start, and maxima with their back-pointers are kept where
 they grow. A character that no piece holds costs more than any piece and is written as its bytes' pieces. Equal sums go to the longer last piece.
 
 The segmentation maximises the sum of the model file's piece scores. A model trained as BPE stores merge
@@ -56,18 +56,21 @@ class Pieces:
         pieces = [p for p in pieces if p[1]]
         self.longest = max(len(p[1]) for p in pieces)
         self.byte_ids = np.array([byte_ids.get(b, unknown) for b in range(256)], np.int64)
-        by_length = [[p for p in pieces if len(p[1]) == n] for n in range(1, self.longest + 1)]
-        tables = []
-        for n, some in enumerate(by_length, 1):
-            if not some:
-                tables.append(None)
-                continue
-            points = _points([p[1] for p in some])
+        scores = {p[1]: (p[0], p[2]) for p in pieces}
+        tables, above = [], {"": 0}
+        for n in range(1, self.longest + 1):  # the prefixes of n characters of all pieces; a piece is one of them
+            starts = sorted({p[1][:n] for p in pieces if len(p[1]) >= n})
+            points = _points(starts)
             keys = _keys(points)
             order = np.argsort(keys)
             if (np.diff(keys[order]) == 0).any():
-                raise ValueError("two pieces have the same key")
-            tables.append((keys[order], np.array([p[2] for p in some])[order], np.array([p[0] for p in some], np.int64)[order], points[order]))
+                raise ValueError("two prefixes have the same key")
+            found = [scores.get(x, (-1, -np.inf)) for x in starts]
+            parents = np.array([above[x[:-1]] for x in starts])
+            tables.append((keys[order], np.array([f[1] for f in found])[order], np.array([f[0] for f in found], np.int64)[order], parents[order], points[order, -1]))
+            place = np.empty(len(starts), np.int64)
+            place[order] = np.arange(len(starts))
+            above = dict(zip(starts, place.tolist(), strict=True))
         self.tables = tables
         self.unknown_score = min(p[2] for p in pieces) - 10.0
         held = {p[0]: p[1].replace(SPACE, " ").encode() for p in pieces} | {i: bytes([b]) for b, i in byte_ids.items()} | ({unknown: " ⁇ ".encode()} if unknown not in byte_ids.values() else {})
@@ -88,8 +91,8 @@ class Pieces:
                 plain.append((i, model.id_to_piece(i), model.get_score(i)))
         return Pieces(plain, by_byte, size, model.unk_id())
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length by Viterbi, all words at once."""
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length by Viterbi, all words at once, as little-endian 32-bit integers."""
         points = _points(words)
         n, length = points.shape
         best = np.full((length + 1, n), -np.inf)
@@ -97,46 +100,59 @@ class Pieces:
         back = np.zeros((length + 1, n), np.int64)
         piece = np.full((length + 1, n), -1, np.int64)
         for start in range(length):
+            open_words, at = np.arange(n), np.zeros(n, np.int64)
             h = np.zeros(n, np.uint64)
             alone = np.zeros(n, bool)
             for size in range(1, min(self.longest, length - start) + 1):
                 end = start + size
-                h = (h + points[:, end - 1] + np.uint64(1)) * BASE
+                keys, scores, ids, parents, last = self.tables[size - 1]
+                char = points[open_words, end - 1]
+                h = (h + char + np.uint64(1)) * BASE
                 h ^= h >> np.uint64(32)
-                held = self.tables[size - 1]
-                if held is None:
-                    continue
-                keys, scores, ids, texts = held
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == h)
+                to = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                # the same key, the same last character, and the same prefix before it
+                hit = np.flatnonzero((keys[to] == h) & (last[to] == char) & (parents[to] == at))
                 if not len(hit):
-                    continue
-                hit = hit[(texts[at[hit]] == points[hit, start:end]).all(axis=1)]
+                    break
+                open_words, at, h = open_words[hit], to[hit], h[hit]  # only prefixes of pieces go on
+                full = np.flatnonzero(ids[at] >= 0)
+                some, place = open_words[full], at[full]
                 if size == 1:
-                    alone[hit] = True
-                total = best[start, hit] + scores[at[hit]]
-                more = total > best[end, hit]
-                hit = hit[more]
-                best[end, hit], back[end, hit], piece[end, hit] = total[more], start, ids[at[hit]]
+                    alone[some] = True
+                total = best[start, some] + scores[place]
+                more = total > best[end, some]
+                some = some[more]
+                best[end, some], back[end, some], piece[end, some] = total[more], start, ids[place[more]]
             total = np.where(alone, -np.inf, best[start] + self.unknown_score)
             more = np.flatnonzero(total > best[start + 1])
             best[start + 1, more], back[start + 1, more], piece[start + 1, more] = total[more], start, -1
-        out: list[list[int]] = [[] for _ in words]
         at = np.full(n, length)
         alive = np.arange(n)
+        owners, found, starts = [], [], []
         while len(alive):  # from the ends of all words to their starts
-            p, b = piece[at[alive], alive], back[at[alive], alive]
-            for w, i, s in zip(alive.tolist(), p.tolist(), b.tolist(), strict=True):
-                if i >= 0:
-                    out[w].append(i)
-                else:
-                    out[w] += self.byte_ids[np.frombuffer(words[w][s].encode("utf-8", "replace"), np.uint8)[::-1]].tolist()
-            at[alive] = b
-            alive = alive[b > 0]
-        return [w[::-1] for w in out]
+            start = back[at[alive], alive]
+            owners.append(alive)
+            found.append(piece[at[alive], alive])
+            starts.append(start)
+            at[alive] = start
+            alive = alive[start > 0]
+        owner, ids, start = np.concatenate(owners), np.concatenate(found), np.concatenate(starts)
+        order = np.lexsort((start, owner))
+        owner, ids, start = owner[order], ids[order], start[order]
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):  # each becomes its bytes' pieces
+            raw = [self.byte_ids[np.frombuffer(words[w][s].encode("utf-8", "replace"), np.uint8)] for w, s in zip(owner[unknown].tolist(), start[unknown].tolist(), strict=True)]
+            times = np.ones(len(ids), np.int64)
+            times[unknown] = [len(r) for r in raw]
+            owner, place = np.repeat(owner, times), np.repeat(ids < 0, times)
+            ids = np.repeat(ids, times)
+            ids[place] = np.concatenate(raw)
+        data = ids.astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=n))).tolist()
+        return [data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
     def learn(self, words: set[str]) -> None:
-        """Segment words into the cache, grouped by length."""
+        """Segment words into the cache, grouped by length. Words come without their first U+2581."""
         groups: dict[int, list[str]] = {}
         for w in words:
             groups.setdefault(len(w), []).append(w)
@@ -144,7 +160,7 @@ class Pieces:
             step = max(1, min(GROUP, 4_000_000 // (length + 1)))
             for at in range(0, len(some), step):
                 part = some[at : at + step]
-                self.cache.update((w, np.array(ids, "<i4").tobytes()) for w, ids in zip(part, self.segment(part), strict=True))
+                self.cache.update(zip(part, self.segment([SPACE + w for w in part]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text as little-endian 32-bit integers."""
@@ -152,8 +168,12 @@ class Pieces:
             self.cache.clear()
         cut = []
         for t in texts:
-            marked = SPACE + (t or "").replace(" ", SPACE)
-            cut.append(RUNS.findall(marked) if t else [])
+            if not t:
+                cut.append([])
+            elif t[0] == " " or t[-1] == " " or "  " in t or SPACE in t:
+                cut.append([w[1:] for w in RUNS.findall(SPACE + t.replace(" ", SPACE))])
+            else:  # the same words
+                cut.append(t.split(" "))
         new = set().union(*cut).difference(self.cache)
         if new:
             self.learn(new)
@@ -217,10 +237,10 @@ def decode_ids(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
 
 def encode_and_check(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, round_trip: whether the decoded ids are the text again, U+2581 read as a space."""
-    encoded = encode_texts(docs.withColumn("text", F.col("text").cast("string")), path, keep=("doc_id", "text"))
-    decoded = decode_ids(encoded, path, keep=("doc_id", "text", "ids", "ids_crc32"))
-    same = F.col("decoded") == F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "ids_crc32", same.alias("round_trip"))
+    digest = F.md5(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))  # texts aren't carried along
+    named = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("digest", digest)
+    decoded = decode_ids(encode_texts(named, path, keep=("doc_id", "digest")), path, keep=("doc_id", "digest", "ids", "ids_crc32"))
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "ids_crc32", (F.md5("decoded") == F.col("digest")).alias("round_trip"))
 
 
 def op6_piece_codec(spark, sf_dir: str) -> DataFrame:
