@@ -390,3 +390,106 @@ def hash_lookup(spark, d) -> DataFrame:
 @query(f"""{LP_INDEX} SELECT track_id::VARCHAR AS track_id, hash, anchor_t FROM fp""")
 def kv_round_trip(spark, d) -> DataFrame:
     return index.parse_kv(index.to_kv(S.index_prints(spark, d, LP))).select("track_id", "hash", "anchor_t")
+
+
+@query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS id, coalesce(a.o_orderpriority, b.o_orderpriority) AS name, CASE WHEN b.o_orderkey IS NOT NULL THEN TIMESTAMP '2000-01-01 00:00:00' ELSE a.o_orderdate END AS updated_at
+FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) b ON a.o_orderkey = b.o_orderkey""")
+def touch_upsert(spark, d) -> DataFrame:
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"))
+    return catalog.touch(orders.where("id % 2 = 0"), orders.where("id % 3 = 0"), "id", F.expr("timestamp_ntz'2000-01-01 00:00:00'"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 300 ELSE p_size END::INTEGER AS duration FROM part""")
+def duration_update(spark, d) -> DataFrame:
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("int").alias("duration"))
+    return catalog.set_duration(parts, parts.where("id % 5 = 0").select("id", (F.col("id") % 300).cast("int").alias("duration")), "id")
+
+
+@query("""SELECT c_custkey AS id, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') OR c_acctbal < 0 AS has_crawl_completed FROM customer""")
+def crawl_flag(spark, d) -> DataFrame:
+    artists = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") < 0).alias("has_crawl_completed"))
+    return catalog.mark_completed(artists, table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), "id")
+
+
+@query("""SELECT event_id, k AS name, props ->> ('$."' || k || '"') AS url FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
+def seed_objects(spark, d) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    return rows.select("event_id", F.explode("m").alias("name", "url"))
+
+
+@query(r"""SELECT p_partkey AS id, regexp_replace(p_name, '\s+', '_', 'g') AS file, CASE WHEN contains(lower(p_type), 'png') THEN '.png' WHEN contains(lower(p_type), 'webp') THEN '.webp' WHEN contains(lower(p_type), 'bmp') THEN '.bmp' WHEN contains(lower(p_type), 'gif') THEN '.gif' ELSE '.jpg' END AS ext,
+  printf('%02d:%02d:%02d', (p_partkey * 37) // 3600, (p_partkey * 37) % 3600 // 60, (p_partkey * 37) % 60) AS hms, round(p_partkey * 200 / 1000.0::DOUBLE) < 288 AS low FROM part""")
+def text_scalars(spark, d) -> DataFrame:
+    part = table(spark, d, "part")
+    return part.select(
+        F.col("p_partkey").alias("id"), text.safe_file_name(F.col("p_name")).alias("file"), text.picture_extension(F.col("p_type")).alias("ext"),
+        text.hms(F.col("p_partkey") * 37).alias("hms"), text.low_bitrate(F.col("p_partkey") * 200).alias("low"),
+    )
+
+
+@query("""SELECT l_orderkey, l_linenumber, (a << 42) | (b << 20) | dt AS h22, (a << 48) | (b << 32) | (dt << 16) AS h16, ((a // 2) << 48) | ((b // 2) << 32) | ((dt // 2) << 16) AS h16q, a * 2048000 // 44100 AS ms, least(a // 2, 1023) AS bin
+FROM (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS a, l_suppkey % 1000 AS b, l_linenumber::BIGINT AS dt FROM lineitem)""")
+def hash_layouts(spark, d) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 1000).alias("a"), (F.col("l_suppkey") % 1000).alias("b"), F.col("l_linenumber").cast("bigint").alias("dt"))
+    v = [F.col(c) for c in ("a", "b", "dt")]
+    return rows.select("l_orderkey", "l_linenumber", hashing.pack22(*v).alias("h22"), hashing.pack16(*v).alias("h16"), hashing.pack16q(*v).alias("h16q"), hashing.frame_to_ms(v[0]).alias("ms"), hashing.quad_bin(v[0]).alias("bin"))
+
+
+@query(f"""{LP_BOTH.replace("WITH ", "WITH RECURSIVE ", 1)}, {TRACKS}, {VOTES}, named AS (
+  SELECT *, row_number() OVER (PARTITION BY artist, album, title ORDER BY segment_id, votes DESC, total_votes DESC, abs(offset_frames), track_id) AS n FROM best JOIN tracks USING (track_id)
+), fold AS (
+  SELECT query_id, artist, album, title, n, votes::BIGINT AS votes, total_votes, offset_frames FROM named WHERE n = 1
+  UNION ALL
+  SELECT f.query_id, f.artist, f.album, f.title, x.n, f.votes + x.votes, f.total_votes + x.total_votes, CASE WHEN x.votes > f.votes THEN x.offset_frames ELSE f.offset_frames END
+  FROM fold f JOIN named x ON x.artist = f.artist AND x.album = f.album AND x.title = f.title AND x.n = f.n + 1
+) SELECT query_id, artist, album, title, votes, total_votes, offset_frames FROM fold QUALIFY row_number() OVER (PARTITION BY artist, album, title ORDER BY n DESC) = 1""")
+def match_segments_compat(spark, d) -> DataFrame:
+    prints = S.index_prints(spark, d, LP).withColumn("segment_id", F.expr("cast(track_id % 3 as int)"))
+    found = match.match_segments(S.query_prints(spark, d, LP), prints, S.tracks(spark, d), LP, compat=True)
+    return found.select("query_id", "artist", "album", "title", "votes", "total_votes", "offset_frames")
+
+
+@query(f"""{LP_BOTH}, {VOTES} SELECT query_id, row_number() OVER (ORDER BY votes DESC, total_votes DESC, abs(offset_frames), track_id)::INTEGER AS rank,
+  printf('%2d. %s (votes %d, offset %d, confidence %.3f)', rank, track_id::VARCHAR, votes, offset_frames, votes / greatest(max(votes) OVER (), 1)::DOUBLE) AS line FROM best QUALIFY rank <= 10""")
+def match_lines(spark, d) -> DataFrame:
+    return match.printed(match.match(S.query_prints(spark, d, LP), S.index_prints(spark, d, LP), LP))
+
+
+_N = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'), ' ')"
+
+
+@query(f"""WITH c AS (
+  SELECT b.item_id AS query_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank, {_N.format('b.text')} AS e, {_N.format('d.text')} AS t
+  FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id
+), j AS (
+  SELECT query_id, rank, e = t OR (e <> '' AND contains(t, e)) OR (e <> '' AND round(len(list_filter(string_split(e, ' '), lambda x: list_contains(string_split(t, ' '), x))) / len(string_split(e, ' '))::DOUBLE, 3) >= 0.6) AS hit FROM c
+)
+SELECT query_id, coalesce(min(CASE WHEN hit AND rank <= 10 THEN rank END), 0)::INTEGER AS rank FROM j GROUP BY query_id""")
+def rank_cascade(spark, d) -> DataFrame:
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("expected"))
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", F.col("text").alias("candidate"))
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    return evaluate.ranks(items, ranked).where("rank is not null").join(docs.select("query_id").distinct(), "query_id", "left_semi")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS text,
+  CASE WHEN o_orderkey % 3 = 0 THEN date_trunc('year', o_orderdate) WHEN o_orderkey % 3 = 1 THEN date_trunc('month', o_orderdate) ELSE date_trunc('day', o_orderdate) END::DATE::VARCHAR AS released FROM orders""")
+def release_dates(spark, d) -> DataFrame:
+    kind = F.col("o_orderkey") % 3
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(kind == 0, F.date_format("o_orderdate", "yyyy")).when(kind == 1, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("text"),
+        F.when(kind == 0, "year").when(kind == 1, "month").otherwise("day").alias("precision"),
+    )
+    return rows.select("id", "text", catalog.release_date(F.col("text"), F.col("precision")).cast("string").alias("released"))
+
+
+@query("""SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 0""")
+def union_distinct(spark, d) -> DataFrame:
+    shipped = table(spark, d, "lineitem").where("l_shipdate < timestamp_ntz'1995-01-01 00:00:00'").select(F.col("l_suppkey").alias("id"))
+    return shipped.union(table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))).distinct()
+
+
+@query("""SELECT l_orderkey AS album_id, first(l_partkey ORDER BY l_linenumber) AS artist_id FROM lineitem GROUP BY l_orderkey""")
+def first_relations(spark, d) -> DataFrame:
+    relations = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("album_id"), "l_linenumber", F.col("l_partkey").alias("artist_id"))
+    return catalog.first_relation(relations, "album_id", "l_linenumber").select("album_id", "artist_id")

@@ -87,3 +87,20 @@ def test_stream_makes_segments_once(spark, library, tmp_path):
     tracks = spark.read.parquet(f"{root}/tracks")
     assert tracks.count() == 5 and tracks.select("rel_path").distinct().count() == 5
     assert spark.read.parquet(f"{root}/fingerprints").select("track_id").distinct().count() == 4
+
+
+def test_engine_adds_queries_and_compacts(spark, library, tmp_path):
+    from sonolith.api import Engine
+
+    engine = Engine(spark, str(tmp_path / "index"))
+    assert engine.add_segment(str(library)) == 5 and engine.add_segment(str(library)) == 0
+    (tmp_path / "clips").mkdir()
+    for k in (1, 3):
+        (tmp_path / "clips" / f"c{k}.wav").write_bytes(wav(tones(k, 12)[10 * 1024 : 10 * 1024 + 50000]))
+    best = {r.query_id.rpartition("/")[2]: (r.title, r.offset_frames) for r in engine.query(str(tmp_path / "clips"), 1).collect()}
+    assert best == {"c1.wav": ("song1", 10), "c3.wav": ("song3", 10)}
+    assert engine.add_segment(str(library), force=True) == 5
+    again = {r.query_id.rpartition("/")[2]: r.votes for r in engine.query(str(tmp_path / "clips"), 1).collect()}
+    engine.compact(str(tmp_path / "one"))
+    assert Engine(spark, str(tmp_path / "one")).query(str(tmp_path / "clips"), 1).count() == len(again) == 2
+    assert engine.describe(str(tmp_path / "clips" / "c1.wav")).first().n_hashes > 0
