@@ -143,7 +143,8 @@ def decode_chunk_raw(data: bytes, blocks: int) -> np.ndarray:
     return decode_chunk(head.tobytes() + data[16:], 0, blocks)
 
 
-#: White space after a space; runs that are pre-tokens of their own: letters, signs other than the apostrophe, one line break before something else.
+#: A space and a pre-token; white space after a space; runs that are pre-tokens of their own: letters, signs other than the apostrophe, one line break before something else.
+ONE_SPACE = re.compile(r" [A-Za-zÀ-ÖØ-öø-ɏ]+| [!-&(-/:-@\[-`{-~]+")
 SPACE_RUN = re.compile(r" \s")
 SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
 
@@ -162,6 +163,10 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # what repeats is cached here
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -169,6 +174,21 @@ class CachedEncoder:
         """Ids of texts by the library, a thousand at a time."""
         return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 1000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
 
+    def learn(self, pieces: list[str]) -> None:
+        """Cache the ids of pieces."""
+        together = [p for p in pieces if ONE_SPACE.fullmatch(p)]
+        for at in range(0, len(together), 1000):
+            some = together[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(some):  # not cut as expected
+                self.pieces.update(zip(some, self.whole(some), strict=True))
+                continue
+            raw, ends = ids.tobytes(), (4 * starts).tolist()
+            self.pieces.update((p, raw[s:e]) for p, s, e in zip(some, ends, [*ends[1:], len(raw)], strict=True))
+        rest = [p for p in pieces if p not in self.pieces]
+        self.pieces.update(zip(rest, self.whole(rest), strict=True))
+
     def join(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by their pre-tokens; a first space belongs to the first one."""
         cut = []
@@ -178,7 +198,7 @@ class CachedEncoder:
                 found[0] = " " + found[0]
             cut.append(found if "".join(found) == t else [t])
         new = list(set().union(*cut).difference(self.pieces))
-        self.pieces.update(zip(new, self.whole(new), strict=True))
+        self.learn(new)
         get = self.pieces.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -195,7 +215,7 @@ class CachedEncoder:
         self.parts.update(zip(new, self.join([" " + p for p in new]), strict=True))
         get = self.parts.__getitem__
         return [
-            self.whole([text])[0] if SPACE_RUN.search(text) and _unsafe(text) else head + b"".join(map(get, c))
+            self.whole([text])[0] if any(t in text for t in self.special) or SPACE_RUN.search(text) and _unsafe(text) else head + b"".join(map(get, c))
             for text, head, c in zip(texts, heads, cut, strict=True)
         ]
 

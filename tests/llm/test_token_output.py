@@ -30,6 +30,12 @@ def test_parts_give_the_library_ids(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_strings_and_many_words():
+    e = T.encoder_at(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y |> <|", "endoftext|> a", " ".join(f"w{chr(97 + i % 26)}{'er' * (i % 5)}th | é{'ö' * (i % 3)}, b!" for i in range(3000))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_files_keep_order_nulls_and_repeats(spark, tmp_path):
     rows = [(7, "two words"), (None, "no id"), (3, None), (3, ""), (9, "x" * 300_000), (7, "two words"), (-5, "a  b   c \n d")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 as part", "2 as base")
