@@ -19,9 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the shared folder."""
+    """df from a reliable checkpoint in the shared folder.
+
+    Spark's cleaner removes the shuffle files of plans that the driver has collected as garbage. A collection is
+    asked for here, as Spark itself does now and then, so that a long chain of steps doesn't hold the disk of all of them.
+    """
     spark = df.sparkSession
     directory = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(directory)
-    return df.checkpoint()
+    out = df.checkpoint()
+    spark.sparkContext._jvm.System.gc()
+    return out
