@@ -28,13 +28,13 @@ def pick(rows: DataFrame, label: str, per_class: int, counts: dict, seed: int =
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None, columns: tuple[str, ...] = ("text",), seed: int = 11) -> tuple[list, dict]:
     """(rows of doc_id, label and columns in doc_id order; counts of all allowed rows by label).
 
-    labels: (doc_id, label), at most one row for an id is used. The sample is drawn before texts are read.
+    labels: (doc_id, label); of several rows of an id the greatest label is used. The sample is drawn before texts are read.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if allowed is not None:
         rows = rows.where(allowed)
     counts = class_counts(rows, label)
-    chosen = F.broadcast(pick(rows.select("doc_id", label), label, per_class, counts, seed).dropDuplicates(["doc_id"]))  # bounded by per_class
+    chosen = F.broadcast(pick(rows.select("doc_id", label), label, per_class, counts, seed).groupBy("doc_id").agg(F.max(label).alias(label)))  # bounded by per_class
     text = docs.where(F.octet_length("text") <= LONGEST_BYTES).select("doc_id", *columns)
     found = text.join(chosen, "doc_id").collect()
     unique = {r["doc_id"]: r for r in found}
