@@ -38,8 +38,9 @@ MAGIC = 0x31423853
 BLOCK = 512
 #: A chunk ends with the document that reaches so many ids.
 CHUNK_IDS = 1 << 18
-#: Cached parts of texts, and cached pre-tokens, in a worker.
-CACHE_PARTS = 350_000
+#: Cached parts of texts, and cached pre-tokens, in a worker (about 200 bytes each).
+CACHE_PARTS = 800_000
+CACHE_PIECES = 600_000
 END_ID = 0
 
 
@@ -54,20 +55,20 @@ def encode_chunk(ids: np.ndarray) -> bytes:
     lengths = np.full(blocks, BLOCK)
     if blocks:
         lengths[-1] = n - (blocks - 1) * BLOCK
-    ends = np.repeat(np.arange(blocks, dtype=np.int32) * BLOCK + lengths.astype(np.int32), BLOCK)
-    at = np.arange(blocks * BLOCK, dtype=np.int32)
-    left = ends - at
-    need = np.searchsorted(LEAST, grid, side="right").astype(np.int8)  # the least width's place among WIDTHS[1:]
-    best = np.full(blocks * BLOCK, 15, np.int8)
+    need = np.searchsorted(LEAST, grid, side="right").astype(np.int8).reshape(blocks, BLOCK)  # the least width's place among WIDTHS[1:]
+    if blocks:
+        need[-1, lengths[-1] :] = 0
+    best = np.full((blocks, BLOCK), 15, np.int8)
     for s in range(14, -1, -1):  # the last that fits has the most ids
-        place = max(s - 1, 0)
-        high = np.flatnonzero(need > place)
-        longest = np.diff(high, prepend=-1, append=blocks * BLOCK).max() - 1 if len(high) else blocks * BLOCK
-        if longest >= COUNTS[s] or s >= 10:  # else only a block's last ids could fit
-            wide = np.full(blocks * BLOCK, blocks * BLOCK, np.int32)
-            wide[high] = high
-            clear = np.minimum.accumulate(wide[::-1])[::-1] - at
-            best[clear >= np.minimum(np.int32(COUNTS[s]), left)] = s
+        fits = need <= max(s - 1, 0)
+        if s < 10 and fits.sum() < 0.05 * n:  # no long run is likely: a few words more
+            continue
+        run, size = np.pad(fits, ((0, 0), (0, 240)), constant_values=True), 1  # a block's last word may have fewer ids
+        while size < COUNTS[s]:
+            more = min(size, COUNTS[s] - size)
+            run, size = run[:, :-more] & run[:, more:], size + more
+        best[run[:, :BLOCK]] = s
+    best = best.reshape(-1)
     words, owners = [], []
     where, alive = np.arange(blocks) * BLOCK, np.arange(blocks)
     stop = where + lengths
@@ -205,7 +206,7 @@ class CachedEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        if len(self.pieces) > CACHE_PARTS:
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         cut = [t.split(" ") for t in texts]
         heads = self.join([c[0] for c in cut])
