@@ -489,7 +489,8 @@ def union_distinct(spark, d) -> DataFrame:
     return shipped.union(table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))).distinct()
 
 
-@query("""SELECT l_orderkey AS album_id, first(l_partkey ORDER BY l_linenumber) AS artist_id FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey AS album_id, min_by(l_partkey, {'n': l_linenumber, 'p': l_partkey}) AS artist_id FROM lineitem GROUP BY l_orderkey""")
 def first_relations(spark, d) -> DataFrame:
-    relations = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("album_id"), "l_linenumber", F.col("l_partkey").alias("artist_id"))
-    return catalog.first_relation(relations, "album_id", "l_linenumber").select("album_id", "artist_id")
+    place = F.struct("l_linenumber", "l_partkey").alias("place")  # line numbers repeat
+    relations = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("album_id"), place, F.col("l_partkey").alias("artist_id"))
+    return catalog.first_relation(relations, "album_id", "place").select("album_id", "artist_id")
