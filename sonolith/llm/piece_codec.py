@@ -191,7 +191,7 @@ _models: dict[str, Pieces] = {}
 
 
 def pieces_at(path: str) -> Pieces:
-    """This worker's model of a file: kept, with its cache, for the worker's next tasks."""
+    """This worker's model of a file: kept for the worker's next tasks."""
     if path not in _models:
         _models[path] = Pieces.load(path)
     return _models[path]
@@ -211,6 +211,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", keep: tuple
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 columns = [*some.columns[1:], ids, pa.array([zlib.crc32(x) for x in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*some.schema.names[1:], "ids", "ids_crc32"])
+        model.cache.clear()  # the worker may go on with another operator's tasks
 
     flat = docs.select(F.col(text_col).cast("string").alias("\x00text"), *keep)
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
