@@ -8,12 +8,12 @@ their order - edits far apart in the text leave most keys, a reordering changes
 Candidates don't come from all pairs of a bucket. Copies of one text are one node. A node's weight is the
 number of nodes it shares buckets with, and a bucket's centre is its heaviest member: the least edited text of
 a family tends to be the centre of most of its buckets. Every node is first compared with its heaviest centre,
-then with those of its other buckets that aren't in the same star already. Members apart from their centre c
-can still be close to each other: (x - c) ^ (y - c) = x ^ y for symmetric differences of shingle sets, so two of them
-that are similar share at least a third of their differences to c. Those differences are sketched like texts, members that
-share such a key meet around a centre again; those of large buckets of that kind once more (``LEVELS``; in a bucket
-of two or three a centre is met by all). All steps are linear in the number of nodes and bands; nothing is
-capped. Pairs are verified by aligning the labelled shingles: the
+then with those of its other buckets that aren't in the same star already. What is linked so far forms classes; then
+all members of a bucket that are in different classes are compared with each other, so every pair of texts that shares
+a key is compared or is in one class. Those of a bucket's largest class aren't compared among themselves. The rest of a
+bucket meets all of it block by block: counts of shingles by hash give the most that two texts can share, and only
+pairs that can reach the similarity are aligned. Nothing is capped; the number of these bounds is members outside the
+largest class times members, for each bucket. Pairs are verified by aligning the labelled shingles: the
 longest common subsequence inside the diagonal band that a similarity of 0.8 leaves. The similarity is common
 / (a + b - common). Connected texts form a class, named by its least document id.
 
@@ -41,10 +41,9 @@ ORDER = 4
 CELLS = 1_000_000
 #: Rows of a batch that are Python objects at once.
 SLICE = 64
-#: Bands and order of the sketches of differences, and how often members meet by them.
-DIFFERENCE_BANDS = 72
-DIFFERENCE_ORDER = 3
-LEVELS = 2
+#: Members of a bucket that meet as many others at once, and counts of shingles kept of each.
+BLOCK = 256
+COUNTS = 256
 #: Keys of several nodes (16 bytes and a hash entry each) up to which they are broadcast.
 BROADCAST_KEYS = 500_000
 #: Nodes (16 bytes and a hash entry each) up to which a candidate set is broadcast.
@@ -159,9 +158,8 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, differences: bool = False) -> DataFrame:
-    """(a, b, linked, keys) of pairs of nodes; keys: the sketch of the two texts' symmetric difference, if asked for.
-    texts: (node, text) of at least their nodes, each once."""
+def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b, linked) of pairs of nodes. texts: (node, text) of at least their nodes, each once."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
@@ -177,23 +175,25 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, differ
                         words, offsets = word_hashes(encoded)
                         for i in range(len(encoded)):
                             ready[ids[first + i]] = shingles(words[offsets[i] : offsets[i + 1]])
-                both = [(ready[x], ready[y]) for x, y in zip(a, b, strict=True)]
-                keys = [sketch(np.setxor1d(x, y, assume_unique=True), DIFFERENCE_BANDS, DIFFERENCE_ORDER) if differences else None for x, y in both]
-                linked = pa.array([aligned_similarity(x, y, least) > 0 for x, y in both], pa.bool_())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), linked, pa.array(keys, pa.list_(pa.int64()))], names=["a", "b", "linked", "keys"])
+                linked = pa.array([aligned_similarity(ready[x], ready[y], least) > 0 for x, y in zip(a, b, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), linked], names=["a", "b", "linked"])
 
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean, keys array<bigint>")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """(node, centre, heavy, n): members of buckets with their buckets' centres, each pair once. members: (key, node); heavy is the centre's weight, n the size of the largest bucket."""
+def shared_keys(members: DataFrame) -> DataFrame:
+    """(key, node, n): members of buckets of n > 1 nodes. members: (key, node)."""
     counts = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(members.join(F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts, "key"))
+    return cut(members.join(F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts, "key"))
+
+
+def stars(shared: DataFrame) -> DataFrame:
+    """(node, centre, heavy): members of buckets with their buckets' centres, each pair once. shared: (key, node, n); heavy is the centre's weight."""
     weighed = shared.join(shared.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "weight")
-    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c"), F.count("*").alias("n"))
-    joined = weighed.join(centres.select("key", F.col("c.node").alias("centre"), F.col("c.weight").alias("heavy"), "n"), "key").where("node <> centre")
-    return joined.groupBy("node", "centre").agg(F.max("heavy").alias("heavy"), F.max("n").alias("n"))
+    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c"))
+    joined = weighed.join(centres.select("key", F.col("c.node").alias("centre"), F.col("c.weight").alias("heavy")), "key").where("node <> centre")
+    return joined.groupBy("node", "centre").agg(F.max("heavy").alias("heavy"))
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
@@ -204,32 +204,94 @@ def _other_stars(rows: DataFrame, star: DataFrame) -> DataFrame:
     """The (node, centre) rows that aren't in one star. star: (node, star), for linked nodes."""
     of_node, of_centre = star.select("node", F.col("star").alias("s1")), star.select(F.col("node").alias("centre"), F.col("star").alias("s2"))
     joined = rows.join(of_node, "node", "left").join(of_centre, "centre", "left")
-    return joined.where(F.coalesce("s1", "node") != F.coalesce("s2", "centre")).select("node", "centre", "n")
+    return joined.where(F.coalesce("s1", "node") != F.coalesce("s2", "centre")).select("node", "centre")
+
+
+def shingle_counts(texts: DataFrame) -> DataFrame:
+    """(node, counts): how many labelled shingles of each text fall into each of COUNTS ranges of hashes, as 32-bit numbers."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                counts: list[bytes] = []
+                for _, encoded in buffers(some.column(1).to_pylist()):
+                    words, offsets = word_hashes(encoded)
+                    for i in range(len(encoded)):
+                        cells = (shingles(words[offsets[i] : offsets[i + 1]]) % np.uint64(COUNTS)).astype(np.int64)
+                        counts.append(np.bincount(cells, minlength=COUNTS).astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.binary())], names=["node", "counts"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, counts binary")
+
+
+def possible_pairs(counts_a: np.ndarray, counts_b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Which rows of a and b can have that similarity: they share at most the sum of the lesser counts."""
+    n_a, n_b = counts_a.sum(axis=1, dtype=np.int64), counts_b.sum(axis=1, dtype=np.int64)
+    out = np.empty((len(counts_a), len(counts_b)), bool)
+    for i, row in enumerate(counts_a):
+        out[i] = np.minimum(row, counts_b).sum(axis=1, dtype=np.int64) >= least * (n_a[i] + n_b) / (1 + least) - 1e-9
+    return out
 
 
-def candidate_links(keys: DataFrame, named: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b) of verified pairs of nodes. keys: (node, keys)."""
-    rows = cut(stars(keys.select("node", F.explode("keys").alias("key"))))
+def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b), each once, of the nodes that share a key, aren't in one class and can have that similarity.
+
+    shared: (key, node, n); roots: (node, root) of linked nodes. Each bucket's nodes outside its largest class meet all
+    of its nodes; both are dealt into blocks, so that a large bucket is many groups.
+    """
+    import pyarrow as pa
+
+    placed = cut(shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    classes = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("c"))
+    # in a bucket of two both were compared: one is the centre
+    mixed = cut(placed.where("n > 2").join(classes.where("c > 1"), "key").select("key", "node", "root", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.m")).alias("rest")))
+    counts = cut(shingle_counts(texts.join(mixed.select("node").distinct(), "node", "left_semi")))
+
+    def dealt(side: DataFrame, own: str, size: str, other: str, other_size: str, left: bool) -> DataFrame:
+        blocks, others = F.ceil(F.col(size) / BLOCK), F.ceil(F.col(other_size) / BLOCK)
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)).alias(other)
+        return side.select("key", "node", "root", F.pmod(F.xxhash64("node", F.lit(left)), blocks).alias(own), every, F.lit(left).alias("left"))
+
+    rows = dealt(mixed.where("root <> main"), "i", "rest", "j", "n", True).unionByName(dealt(mixed, "j", "n", "i", "rest", False))
+
+    def run(group: pa.Table) -> pa.Table:
+        left = group["left"].to_numpy()
+        root = group["root"].combine_chunks().dictionary_encode()
+        root = (root.combine_chunks() if isinstance(root, pa.ChunkedArray) else root).indices.to_numpy()
+        nodes = group["node"].to_pylist()
+        held = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint32).reshape(len(nodes), COUNTS)
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        at_x, at_y = np.nonzero(possible_pairs(held[x], held[y], least) & (root[x][:, None] != root[y]))
+        pairs = [sorted((nodes[i], nodes[j])) for i, j in zip(x[at_x].tolist(), y[at_y].tolist(), strict=True)]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return rows.join(counts, "node").select("key", "i", "j", "left", "node", "root", "counts").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def candidate_links(keys: DataFrame, named: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of verified pairs of nodes, (node, root) of linked nodes). keys: (node, keys)."""
+    shared = shared_keys(keys.select("node", F.explode("keys").alias("key")))
+    rows = cut(stars(shared))
     nodes = cut(rows.select("node").union(rows.select(F.col("centre").alias("node"))).distinct())
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     texts = cut(named.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     # each node with its heaviest centre
-    best = cut(rows.groupBy("node").agg(F.max(F.struct("heavy", "centre", "n")).alias("c")).select("node", "c.centre", "c.n"))
-    checked = cut(verify(_pairs(best), texts, least, True))
+    best = cut(rows.groupBy("node").agg(F.max(F.struct("heavy", "centre")).alias("c")).select("node", "c.centre"))
+    checked = cut(verify(_pairs(best), texts, least))
     star = cut(_ordered(best).join(checked.where("linked").select("a", "b"), ["a", "b"]).select("node", F.col("centre").alias("star")))
     # with the centres of its other buckets, unless both are in one star
     others = cut(_other_stars(rows, star))
-    more = cut(verify(_pairs(others).join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, least, True))
-    done, met = checked.union(more), best.union(others)
-    for level in range(LEVELS):
-        # members that differ alike from a centre they were compared with
-        alike = _ordered(met.where(F.col("n") > 2 + level)).join(done.where(F.size("keys") > 0), ["a", "b"]).select("node", "centre", F.explode("keys").alias("k"))
-        met = cut(_other_stars(stars(alike.select(F.xxhash64("centre", "k").alias("key"), "node")), star))
-        pairs = cut(_pairs(met).join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        done = done.union(cut(verify(pairs, texts, least, level + 1 < LEVELS)))
-    return done.where("linked").select("a", "b").distinct()
+    done = checked.union(cut(verify(_pairs(others).join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, least)))
+    links = done.where("linked").select("a", "b")
+    # all others that share a bucket, unless both are in one class
+    roots = cut(components(links))
+    pairs = cut(remaining_pairs(shared, roots, texts, least).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    found = cut(verify(pairs, texts, least).where("linked").select("a", "b"))
+    if found.isEmpty():
+        return links, roots
+    return links.union(found), components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,8 +319,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """doc_id, class_id (the least id of its class), n_links (other texts that the text was verified with directly)."""
     named = _named(docs, id_col, text_col)
     keys = cut(sketches(named, bands, order))
-    links = cut(candidate_links(keys, named, least))
-    roots = components(links)
+    links, roots = candidate_links(keys, named, least)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     texts = named.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = texts.groupBy("root").agg(F.min("first_id").alias("class_id"))

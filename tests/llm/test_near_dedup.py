@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -133,3 +134,38 @@ def test_keep_one(spark):
 
 def test_empty_table(spark):
     assert N.near_duplicate_classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def apart_from_centre(seed):
+    """A text and two edits of it that are under 0.8 to it and at 0.8 to each other: eight places differ in all three, one only from the first."""
+    rng = random.Random(seed)
+    centre = [f"c{rng.randrange(10**9)}" for _ in range(400)]
+    places = range(20, 380, 40)
+    edits = [["same" if i == 20 else f"{tag}{i}" if i in places else w for i, w in enumerate(centre)] for tag in "xy"]
+    return [" ".join(w) for w in (centre, *edits)]
+
+
+def test_members_apart_from_their_centre_meet(spark, monkeypatch):
+    texts = apart_from_centre(13)
+    c, x, y = map(labelled, texts)
+    assert N.aligned_similarity(c, x) == N.aligned_similarity(c, y) == 0 and N.aligned_similarity(x, y) >= 0.8
+    # sketches of their differences to the centre don't bring them together
+    assert not set(N.sketch(np.setxor1d(c, x), 72, 3).tolist()) & set(N.sketch(np.setxor1d(c, y), 72, 3).tolist())
+    # all three share one bucket, and the first is the heaviest
+    keys = dict(zip(texts, ([1, 2, 3], [1, 2], [1, 3]), strict=True))
+    nodes = spark.createDataFrame([(bytearray(hashlib.md5(t.encode()).digest()), k) for t, k in keys.items()], "node binary, keys array<bigint>")
+    monkeypatch.setattr(N, "sketches", lambda *_: nodes)
+    rows = list(enumerate(texts))
+    got = N.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == brute_classes(rows) and {r.class_id for r in got} == {0, 1}
+
+
+def test_blocks_of_a_bucket_compare_every_pair(spark, monkeypatch):
+    """One bucket of unlinked texts and pairs of edits, dealt into many blocks."""
+    monkeypatch.setattr(N, "BLOCK", 4)
+    texts = [t for s in range(30) for t in family(100 + s, 2, 150, 1)]
+    rows = list(enumerate(texts))
+    nodes = spark.createDataFrame([(bytearray(hashlib.md5(t.encode()).digest()), [1]) for t in set(texts)], "node binary, keys array<bigint>")
+    monkeypatch.setattr(N, "sketches", lambda *_: nodes)
+    got = N.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == brute_classes(rows)
