@@ -80,12 +80,12 @@ def term_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def rare_terms(windows: DataFrame, counts: DataFrame, lists: int = 2) -> DataFrame:
-    """(phrase_id, term, offset, n_lists): each window's rarest terms; windows with an absent term are left out."""
+    """(phrase_id, term, offset, rank, n_lists): each window's rarest terms, ranked from 1; windows with an absent term are left out."""
     places = windows.select("phrase_id", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "w"))
     ranked = places.withColumn("term", F.xxhash64("w")).join(counts, "term").withColumn("whole", F.count("*").over(Window.partitionBy("phrase_id")))
     order = Window.partitionBy("phrase_id").orderBy("n", "offset")
     best = ranked.where("whole = size").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= lists)
-    return best.select("phrase_id", "term", "offset", F.least("size", F.lit(lists)).alias("n_lists"))
+    return best.select("phrase_id", "term", "offset", "rank", F.least("size", F.lit(lists)).alias("n_lists"))
 
 
 def postings(docs: DataFrame, rare: DataFrame) -> DataFrame:
@@ -94,13 +94,14 @@ def postings(docs: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def adjusted(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """Offset-adjusted lists: (id, text_hash, start, phrase_id, offset, n_lists)."""
+    """Offset-adjusted lists: (id, text_hash, start, phrase_id, offset, rank, n_lists)."""
     return index.join(_sized(rare), "term").withColumn("start", F.col("pos") - F.col("offset")).drop("pos", "term")
 
 
 def exact_candidates(lists: DataFrame) -> DataFrame:
-    """(id, text_hash, start, phrase_id) where the lists of all of a window's rare terms meet."""
-    met = lists.groupBy("id", "text_hash", "start", "phrase_id").agg(F.count("*").alias("n"), F.first("n_lists").alias("n_lists"))
+    """(id, text_hash, start, phrase_id) where the lists of all of a window's rare terms meet. Repeated rows of a document repeat its entries: each list counts once."""
+    lists = lists.withColumn("bit", F.expr("shiftleft(1L, rank)"))
+    met = lists.groupBy("id", "text_hash", "start", "phrase_id").agg(F.bit_count(F.bit_or("bit")).alias("n"), F.first("n_lists").alias("n_lists"))
     return met.where((F.col("n") == F.col("n_lists")) & (F.col("start") >= 0)).select("id", "text_hash", "start", "phrase_id")
 
 

@@ -59,6 +59,13 @@ def test_decontaminate_keeps_columns_and_clean_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 2, 3, 4, 8]
 
 
+def test_repeated_contaminated_rows(spark):
+    docs = [(1, f"zzz {PHRASE}"), (1, f"zzz {PHRASE}"), (None, f"yyy {PHRASE}"), (None, f"yyy {PHRASE}"), (5, "a " * 25), (5, "a " * 25), (5, "a " * 25), (6, "clean"), (7, PHRASE[:20]), (7, PHRASE[:20])]
+    d, items = frames(spark, docs)
+    assert sorted(map(tuple, D.contamination(d, items).drop("items").collect()), key=str) == brute(docs, ITEMS)
+    assert sorted(r.doc_id for r in D.decontaminate(d, items).collect()) == [6, 7, 7]
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "one two three four")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "one two x three four"), (2, "one two three four"), (3, "one y y y y y y y y four two three")], "doc_id bigint, text string")
