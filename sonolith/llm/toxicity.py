@@ -1,7 +1,7 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine over selected words.
 
-Terms are the words most associated with the label among the labelled examples (up to ``TERMS``); their
-document frequencies are counted over all documents. An example is a unit vector of (1 + log tf) * idf. The
+Terms are the words most associated with the label among the labelled examples (up to ``TERMS``), other words
+aren't in the vectors (README has figures for all words); their document frequencies are counted over all documents. An example is a unit vector of (1 + log tf) * idf. The
 examples lie in an inverted index of blocks: postings by (block, term), and for each (block, term) its
 largest weight. A query's bound for a block is its product with those maxima; blocks are visited in falling
 order of their bounds until the k-th best cosine found is over the next bound, so the k neighbours are exact.
