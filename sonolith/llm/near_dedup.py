@@ -27,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -315,22 +315,33 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _classified(named: DataFrame, least: float, bands: int, order: int) -> tuple[DataFrame, DataFrame]:
+    """((node, first_id, root) of every distinct text, (a, b) of verified pairs). first_id is the text's least id."""
+    links, roots = candidate_links(cut(sketches(named, bands, order)), named, least)
+    texts = named.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(roots, "node", "left")
+    return texts.withColumn("root", F.coalesce("root", "node")), links
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, order: int = ORDER) -> DataFrame:
     """doc_id, class_id (the least id of its class), n_links (other texts that the text was verified with directly)."""
     named = _named(docs, id_col, text_col)
-    keys = cut(sketches(named, bands, order))
-    links, roots = candidate_links(keys, named, least)
+    texts, links = _classified(named, least, bands, order)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    texts = named.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = texts.groupBy("root").agg(F.min("first_id").alias("class_id"))
     by_text = texts.join(classes, "root").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return named.select("doc_id", "node").join(by_text, "node").select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of every class, with all its columns. A class of null ids keeps its rows."""
-    kept = near_duplicate_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("\x00kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("\x00kept")), "left_semi")
+    """One row of every class, with all its columns: of the least id that isn't null, then the least text hash. Of repeated rows one stays."""
+    def key(node: Column, ident: Column) -> Column:
+        return F.unhex(F.md5(F.concat(node, F.coalesce(ident.cast("string"), F.lit("null")).cast("binary"))))
+
+    texts, _ = _classified(_named(docs, "doc_id", "text"), SIMILARITY, BANDS, ORDER)
+    chosen = texts.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("c"))
+    kept = chosen.select(key(F.col("c.node"), F.col("c.first_id")).alias("\x00kept"))
+    node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.withColumn("\x00kept", key(node, F.col("doc_id"))).join(kept, "\x00kept", "left_semi").dropDuplicates(["\x00kept"]).drop("\x00kept")
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

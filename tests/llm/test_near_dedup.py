@@ -132,6 +132,13 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, None, 9}
 
 
+def test_keep_one_row_of_repeated_and_null_ids(spark):
+    a, b, c = "a b c d e f g", "quite another text than that", "x y z"
+    rows = [(1, a), (3, a), (3, b), (3, b), (None, c), (None, c), (None, a), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(((r.doc_id, r.text) for r in N.keep_one(docs).collect()), key=str) == sorted([(1, a), (3, b), (None, c), (7, None)], key=str)
+
+
 def test_empty_table(spark):
     assert N.near_duplicate_classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
