@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..recovery import cut, shared_dir
 
-__all__ = ["constant_array", "cut", "hash_order", "id_remainder", "session_partitions", "shared_dir", "shared_path", "table"]
+__all__ = ["constant_array", "cut", "filter_texts", "hash_order", "id_remainder", "session_partitions", "shared_dir", "shared_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +42,30 @@ def hash_order(seed: int, *columns: Column) -> Column:
 
 def session_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[], Callable], columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """The rows that keep()(Arrow table of columns) marks, with all their columns. keep is called once in a task.
+
+    Rows go through Arrow batches a slice at a time: neither side holds more rows than a batch.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from .text_arrays import release, slices
+
+    names = docs.columns
+    places = [names.index(c) for c in columns]
+
+    def run(batches: Iterator) -> Iterator:
+        judge = keep()
+        for batch in batches:
+            texts = pc.cast(batch.column(places[0]), pa.string())
+            asked = pa.RecordBatch.from_arrays([texts, *(batch.column(p) for p in places[1:])], names=list(columns))
+            at = 0
+            for some in slices(asked, 0):
+                yield batch.slice(at, some.num_rows).filter(pa.array(judge(some), pa.bool_()))
+                at += some.num_rows
+        release()
+
+    return docs.mapInArrow(run, docs.schema)

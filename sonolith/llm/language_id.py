@@ -3,7 +3,7 @@
 Texts become bytes with A-Z (and the two-byte capitals of the same block) lower-cased and ASCII other than
 letters as spaces, cut into fixed-length windows that overlap by one filter. Filters of several widths slide
 over the one-hot bytes; their rectified maxima over the window feed a softmax. It is trained here, in numpy,
-by back-propagation through the maxima, on a bounded sample of labelled texts. A document's prediction is the
+by back-propagation through the maxima, on windows drawn from all windows of a bounded sample of labelled texts. A document's prediction is the
 mean of its windows' probabilities, weighted by their lengths; every byte of the text is in some window.
 
 Scoring a window sums table rows: a filter of width w over one-hot bytes is a sum of w rows, and rows of two
@@ -20,19 +20,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, table
+from .common import filter_texts, id_remainder, table
 from .samples import training_texts
+from .text_arrays import release, slices
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: Labelled texts of each language to fit on, and windows of each text.
+#: Labelled texts of each language to fit on, and windows drawn from all of theirs.
 PER_LANGUAGE = 500
-WINDOWS_PER_TEXT = 4
+WINDOWS_PER_LANGUAGE = 2000
 EPOCHS = 6
 #: Windows scored together.
 BATCH = 512
@@ -103,11 +103,13 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, filters: int
         return None
     rng = np.random.default_rng(seed)
     xs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        w, _ = windows_of(normalised(text))
-        some = rng.permutation(len(w))[:WINDOWS_PER_TEXT]
-        xs.append(w[some])
-        ys += [languages.index(lang)] * len(some)
+    for i, language in enumerate(languages):
+        mine = [normalised(t) for t, lang in zip(texts, langs, strict=True) if lang == language]
+        ends = np.cumsum([len(windows_of(b)[0]) for b in mine])
+        drawn = np.sort(rng.permutation(ends[-1])[:WINDOWS_PER_LANGUAGE])
+        owner = np.searchsorted(ends, drawn, side="right")
+        xs += [windows_of(mine[k])[0][drawn[owner == k] - (ends[k - 1] if k else 0)] for k in np.unique(owner)]
+        ys += [i] * len(drawn)
     x, y = np.concatenate(xs), np.array(ys)
     weight = (len(y) / (len(languages) * np.maximum(np.bincount(y, minlength=len(languages)), 1)))[y].astype(np.float32)
     kernels = [rng.normal(0, 0.3, (w, 256, filters)).astype(np.float32) for w in WIDTHS]
@@ -196,31 +198,30 @@ def predict(network: Network | None, texts: list[str | None]) -> list[tuple[str,
 
 def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> Network | None:
     """A network fitted on at most about PER_LANGUAGE texts of each language, none with the held-out remainder."""
-    rows, _ = training_texts(docs, docs.select("doc_id", "lang"), "lang", PER_LANGUAGE, id_remainder(F.col("doc_id"), modulus) != held_out)
+    rows, _ = training_texts(docs, None, "lang", PER_LANGUAGE, id_remainder(F.col("doc_id"), modulus) != held_out)
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred and score of every document."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            found = predict(network, batch["\x00text"].tolist())
-            yield batch.drop(columns="\x00text").assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
+            for some in slices(batch, 0):
+                found = predict(network, some.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=[*keep, "lang_pred", "score"])
+        release()
 
-    flat = docs.select(*keep, F.col("text").cast("string").alias("\x00text"))
+    flat = docs.select(F.col("text").cast("string").alias("\x00text"), *keep)
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
-    return flat.mapInPandas(run, f"{kinds}, lang_pred string, score double")
+    return flat.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def confident(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The documents in an identified language, with all their columns: und and scores under least are rejected."""
     network = fit(docs)
-
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in texts:
-            yield pd.Series([lang != UNKNOWN and score >= least for lang, score in predict(network, some.tolist())], dtype=bool)
-
-    return docs.where(F.pandas_udf(run, "boolean")(F.col("text").cast("string")))
+    return filter_texts(docs, lambda: lambda some: [lang != UNKNOWN and score >= least for lang, score in predict(network, some.column(0).to_pylist())])
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

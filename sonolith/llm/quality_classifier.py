@@ -4,11 +4,11 @@ The content view sees the text (shares of letters, capitals, digits, signs and b
 repetition); the metadata view sees the document's other columns (source, lang and stated length, hashed).
 Each is a logistic regression. In every round each view is fitted, scores a bounded pool of unlabelled
 documents, and hands its most confident ones of both kinds to the other view as labelled. Then a part of the
-labelled rows that was never fitted on calibrates each view's logit and the weights of their sum, which
-scores every document.
+labelled rows that was never fitted on calibrates the sum of the views' logits, in which no view has a negative
+weight, and the sum scores every document. A third part of the labelled rows is held out: neither fitted nor calibrated on.
 
 Defined cases: null and empty texts have the features of an empty text; a null in the metadata is a value of
-its own; without labels of both kinds every score is the share of label 1 (0.5 without any); repeated rows
+its own; without labels of both kinds among the fitted rows, or among those that calibrate, every score is the share of label 1 (0.5 without any); repeated rows
 get equal scores; an empty table gives an empty result; doc_id and labels are no features.
 """
 
@@ -23,17 +23,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_order, id_remainder, table
-from .samples import LONGEST_BYTES, training_texts
-from .text_arrays import buffers, word_hashes
+from .common import filter_texts, hash_order, id_remainder, table
+from .samples import FIT_BYTES, training_texts
+from .text_arrays import buffers, release, slices, word_hashes
 
 #: Labelled rows of each class and unlabelled rows to fit on; rounds; pseudo-labels of each kind handed over in a round.
 PER_CLASS = 2000
 POOL = 4000
 ROUNDS = 5
 HANDED = 100
-#: Labelled rows whose remainder is 0 calibrate.
-CALIBRATION = 5
+#: Of the remainders of labelled rows' ids, 0 calibrates and 1 is held out.
+PARTS = 5
 METADATA = ("source", "lang", "n_chars")
 SLOTS = 64
 
@@ -145,60 +145,74 @@ def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, w: np.ndarray, poo
     return models[0], models[1]
 
 
+def combine(logits: np.ndarray, y: np.ndarray, w: np.ndarray) -> Logistic:
+    """The calibrated sum of the views' logits: a view that would count against itself is left out of it."""
+    both = Logistic().fit(logits, y, w)
+    for v in np.flatnonzero(both.weights[:-1] < 0):
+        rest = logits.copy()
+        rest[:, v] = 0
+        both = Logistic().fit(rest, y, w)
+        both.weights[v] = 0
+        logits = rest
+    both.weights[:-1] = np.maximum(both.weights[:-1], 0)
+    return both
+
+
+def part_of(ids: list) -> np.ndarray:
+    """The remainder of each id: as id_remainder has it."""
+    return np.array([zlib.crc32(str(i).encode()) % PARTS for i in ids], np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Views:
     """Views fitted on bounded samples of labelled and unlabelled documents."""
-    rows, counts = training_texts(docs, labels.select("doc_id", label), label, PER_CLASS, None, ("text", *METADATA))
+    rows, counts = training_texts(docs, labels.select("doc_id", label), label, PER_CLASS, id_remainder(F.col("doc_id"), PARTS) != 1, METADATA)
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
     y = np.array([int(r[label] == 1) for r in rows], float)
-    if not 0 < y.sum() < len(y):
+    apart = part_of([r["doc_id"] for r in rows]) == 0
+    if not 0 < y[apart].sum() < apart.sum() or not 0 < y[~apart].sum() < (~apart).sum():
         return Views(share)
-    n = docs.count()
-    draw = F.pmod(hash_order(29, F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    # ids of labelled rows are left out of the pool on the driver: both sides are bounded samples
-    drawn = docs.where(F.col("doc_id").isNotNull() & (draw < POOL / max(n, 1)) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST_BYTES))
-    unlabelled = drawn.join(labels.where(F.col(label).isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    draw = F.pmod(hash_order(29, F.col("doc_id"), text), F.lit(1 << 40)) / float(1 << 40)
+    drawn = docs.where(F.col("doc_id").isNotNull() & (draw < min(POOL / max(n, 1), FIT_BYTES / max(size, 1))))
+    unlabelled = drawn.select("doc_id", text.alias("text"), *METADATA).distinct().join(labels.where(F.col(label).isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti")
+    pool = unlabelled.toPandas().sort_values(["doc_id", "text"])  # about POOL rows
     frame = pd.DataFrame([r.asDict() for r in rows])
-    pool = unlabelled.select("doc_id", "text", *METADATA).toPandas().sort_values("doc_id")
     weights = np.array([(total - counts.get(1, 0)) / max(1, (y == 0).sum()), counts.get(1, 0) / max(1, (y == 1).sum())])[y.astype(int)]
-    apart = np.array([zlib.crc32(str(r["doc_id"]).encode()) % CALIBRATION == 0 for r in rows])
-    if not 0 < y[apart].sum() < apart.sum() or not 0 < y[~apart].sum() < (~apart).sum():
-        apart = np.zeros(len(y), bool)
     views = tuple(f(frame) for f in (lambda d: content_features(d["text"].tolist()), metadata_features))
     held = tuple(f(pool) for f in (lambda d: content_features(d["text"].tolist()), metadata_features))
     content, metadata = co_train((views[0][~apart], views[1][~apart]), y[~apart], weights[~apart], held)
-    use = apart if apart.any() else ~apart
-    logits = np.stack([content.logit(views[0][use]), metadata.logit(views[1][use])], axis=1)
-    return Views(share, content, metadata, Logistic().fit(logits, y[use], weights[use]))
+    logits = np.stack([content.logit(views[0][apart]), metadata.logit(views[1][apart])], axis=1)
+    return Views(share, content, metadata, combine(logits, y[apart], weights[apart]))
 
 
 def score_documents(docs: DataFrame, views: Views) -> DataFrame:
     """doc_id, score, content and metadata (the views' logits) of every document."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            score, a, b = views.score(batch)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score, "content": a, "metadata": b})
+            for some in slices(batch, 1):
+                found = views.score(some.to_pandas())
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(f, pa.float64()) for f in found)], names=["doc_id", "score", "content", "metadata"])
+        release()
 
     flat = docs.select("doc_id", F.col("text").cast("string").alias("text"), *METADATA)
-    return flat.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, content double, metadata double")
+    return flat.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, content double, metadata double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents with a score of at least least, with all their columns."""
     views = fit(docs, labels)
-
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            yield pd.Series(views.score(pd.DataFrame(dict(zip(("text", *METADATA), columns, strict=True))))[0] >= least)
-
-    return docs.where(F.pandas_udf(run, "boolean")(F.col("text").cast("string"), *METADATA))
+    return filter_texts(docs, lambda: lambda some: views.score(some.to_pandas())[0] >= least, ("text", *METADATA))
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """Every document's quality; held_out rows are those that calibrate and are never fitted on."""
+    """Every document's quality; held_out rows are neither fitted nor calibrated on."""
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (id_remainder(F.col("doc_id"), CALIBRATION) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "content", "metadata")
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), PARTS) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "content", "metadata")
 
 
 QUERIES = {"op10_quality_classifier": op10_quality_classifier}

@@ -59,12 +59,13 @@ def buffers(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all lower-cased words in order, offsets: words of text i are offsets[i]:offsets[i + 1])."""
+def _hashed(encoded: list[bytes], stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, offsets of texts among words, stem hashes, words with a stem): see word_hashes and stem_hashes."""
     buf = LOWER[np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)]
     lengths = np.array([len(e) + 1 for e in encoded], np.int64)
+    none = np.zeros(0, np.int64)
     if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(len(encoded) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(encoded) + 1, np.int64), np.zeros(0, np.uint64), none
     inside = IN_WORD[buf]
     edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -73,7 +74,45 @@ def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers[: len(buf)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
     offsets = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
-    return hashes, offsets
+    if not stem:
+        return hashes, offsets, np.zeros(0, np.uint64), none
+    first = np.flatnonzero((buf & 0xC0) != 0x80)  # first bytes of characters
+    after = np.searchsorted(first, starts) + stem
+    stop = np.where(after < len(first), first[np.minimum(after, len(first) - 1)], len(buf))
+    longer = np.flatnonzero(stop < ends)
+    return hashes, offsets, mix((sums[stop[longer]] - sums[starts[longer]]) * inverse[starts[longer]], 5), longer
+
+
+def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all lower-cased words in order, offsets: words of text i are offsets[i]:offsets[i + 1])."""
+    return _hashed(encoded, 0)[:2]
+
+
+def term_hashes(encoded: list[bytes], stem: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words and of the first ``stem`` characters of longer words, index of the text of each)."""
+    hashes, offsets, stems, longer = _hashed(encoded, stem)
+    owner = np.repeat(np.arange(len(encoded)), np.diff(offsets))
+    return np.concatenate([hashes, stems]), np.concatenate([owner, owner[longer]])
+
+
+def slices(batch, column: int, rows: int = 256, most: int = 1 << 22) -> Iterator:
+    """Parts of an Arrow batch that become Python objects together: so many rows, and so many bytes of the column's text unless one row has more."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, ends[at] - sizes[at] + most, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def release() -> None:
+    """Give memory that Arrow holds free back to the system: a worker goes on with other tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 def hash_of(word: str) -> int:

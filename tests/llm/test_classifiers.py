@@ -50,22 +50,24 @@ def brute_nearest(vectors, ids, query, k):
     return [(int(ids[i]), round(float(cosines[i]), 9)) for i in order[:k] if cosines[i] > 0]
 
 
-@pytest.mark.parametrize("block", [1, 7, 64])
-def test_block_max_search_is_exact(block):
+@pytest.mark.parametrize("block, frequent", [(1, 20), (7, 3), (64, 20), (16, 1)])
+def test_block_max_search_is_exact(block, frequent, monkeypatch):
+    monkeypatch.setattr(T, "FREQUENT", frequent)
     rng = np.random.default_rng(block)
     n, terms = 300, 40
-    dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.1)
+    dense = rng.random((n, terms)) * (rng.random((n, terms)) < np.linspace(0.01, 0.3, terms))
     dense[5] = dense[6]  # a tie
     norms = np.linalg.norm(dense, axis=1, keepdims=True)
     dense = np.divide(dense, norms, out=np.zeros_like(dense), where=norms > 0)
     ids = rng.permutation(n) * 3
-    index = T.BlockMaxIndex.build(ids, [(np.flatnonzero(v), v[v > 0]) for v in dense], terms, block)
+    index = T.BlockMaxIndex.build(ids, *np.nonzero(dense), dense[np.nonzero(dense)], terms, block)
     queries = np.concatenate([dense[:40], np.zeros((1, terms))])
-    where, cosines = index.search(queries, 9)
+    entries = (*np.nonzero(queries), queries[np.nonzero(queries)])
+    where, cosines = index.search(len(queries), *entries, 9)
     for q, w, c in zip(queries, where, cosines, strict=True):
         assert [(int(ids[i]), round(float(x), 9)) for i, x in zip(w, c, strict=True) if i >= 0] == brute_nearest(dense, ids, q, 9)
-    where, _ = index.search(queries[:40], 9, skip=np.arange(40))
-    assert not any(i in w for i, w in enumerate(where))
+    where, _ = index.search(len(queries), *entries, 9, skip=np.r_[np.arange(40), -1])
+    assert not any(i in w for i, w in enumerate(where[:40]))
 
 
 def test_isotonic_is_monotone_and_keeps_the_mean():
@@ -101,6 +103,60 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(zlib.crc32(str(n).encode()) % 3 != 1 for r in got.values() for n in r.neighbours)
 
 
+def test_scores_follow_all_terms_of_the_texts(spark):
+    """Against vectors, neighbours and votes computed from words and stems in Python, term by term."""
+    import collections
+    import math
+    import re
+
+    rows = toxic_rows(160) + [(700, "Réeuxment réeuxan moron", 1), (701, None, 0), (702, "", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = T.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    got = {r.doc_id: r for r in T.score_documents(docs, model).collect()}
+
+    def terms(text):
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
+        return collections.Counter(words + [w[:5] + "~" for w in words if len(w) > 5])
+
+    counted = {i: terms(t) for i, t, _ in rows}
+    held = collections.Counter(w for c in counted.values() for w in c)
+    unique = {}
+    for i, t, y in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            unique.setdefault(t or "", (i, y))
+    examples = dict(unique.values())
+    n = [sum(y == k for y in examples.values()) for k in (0, 1)]
+    by = [collections.Counter(w for i, y in examples.items() if y == k for w in counted[i]) for k in (0, 1)]
+    weight = {}
+    for w in set(by[0]) | set(by[1]):
+        odds = math.log((by[1][w] + 0.5) / (n[1] + 1)) - math.log((by[0][w] + 0.5) / (n[0] + 1))
+        weight[w] = math.log((1 + len(rows)) / (1 + held[w])) * odds**2 / (1 / (by[1][w] + 0.5) + 1 / (by[0][w] + 0.5))
+
+    def vector(i):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in counted[i].items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else {}
+
+    vectors = {i: vector(i) for i in examples}
+    for i, t, _ in rows:
+        q, mean = vector(i), []
+        for k in (0, 1):
+            near = sorted((-sum(q[w] * vectors[e].get(w, 0) for w in q), e) for e, y in examples.items() if y == k)
+            near = [x for x in near if x[0] < -1e-12][: T.NEIGHBOURS]
+            mean.append(-sum(c for c, _ in near) / max(len(near), 1))
+        want = float(np.interp(mean[1] / sum(mean), *model.knots)) if sum(mean) > 0 else model.empty_share
+        assert got[i].score == pytest.approx(want, abs=1e-6), (i, t)
+
+
+def test_long_and_repeated_labelled_texts_are_drawn(spark):
+    from sonolith.llm import samples
+
+    docs = spark.createDataFrame([(1, "long " * 40_000), (1, "another"), (2, None), (3, "x"), (3, "x"), (None, "y")], "doc_id bigint, text string").selectExpr("*", "'s' as label", "2 as size")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (None, 1), (4, 1)], "doc_id bigint, toxic int")
+    rows, counts = samples.training_texts(docs, labels, "toxic", 100)
+    assert sorted((r.doc_id, len(r.text), r.toxic) for r in rows) == [(1, 7, 1), (1, 200_000, 1), (2, 0, 1), (3, 1, 0)] and counts == {1: 3, 0: 2}
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1), (2, 1)], [(1, 0)]])
 def test_toxicity_without_both_kinds(spark, labels):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id bigint, text string")
@@ -186,6 +242,32 @@ def test_quality_without_both_kinds(spark, labels, share):
     assert C.score_documents(docs, views).first().score == share and C.score_documents(docs.where("false"), views).count() == 0
 
 
+def test_views_never_count_against_themselves():
+    rng = np.random.default_rng(3)
+    y = np.repeat([0.0, 1.0], 200)
+    logits = np.stack([y * 4 - 2 + rng.normal(0, 1, 400), 1 - y + rng.normal(0, 1, 400)], axis=1)
+    combined = C.combine(logits, y, np.ones(400))
+    assert combined.weights[0] > 0 and combined.weights[1] == 0
+    assert ((combined.logit(logits) > 0) == (y == 1)).mean() > 0.9
+    assert (C.combine(-logits, y, np.ones(400)).weights[:-1] >= 0).all()
+
+
+def test_quality_scores_follow_the_views(spark):
+    """Each row's score from its own features, one row at a time."""
+    rows = quality_rows(300)
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    views = C.fit(docs, spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id bigint, quality int"))
+    got = {r.doc_id: r for r in C.score_documents(docs, views).collect()}
+    for r in rows[::25]:
+        import pandas as pd
+
+        a = float(views.content.logit(C.content_features([r[1]]))[0])
+        b = float(views.metadata.logit(C.metadata_features(pd.DataFrame([dict(zip(("text", "source", "lang", "n_chars"), r[1:5], strict=True))])))[0])
+        z = ((np.array([a, b]) - views.combined.mean) / views.combined.scale) @ views.combined.weights[:2] + views.combined.weights[2]
+        assert got[r[0]].content == pytest.approx(a) and got[r[0]].metadata == pytest.approx(b)
+        assert got[r[0]].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = np.repeat([0.0, 1.0], 30)
