@@ -4,16 +4,19 @@ The benchmark's windows of ten words (a shorter item is one window) are the phra
 counts how often each benchmark term occurs in all documents. Each window is then looked up by its two
 rarest terms: the second pass stores the positional postings of those terms only - a window can't occur
 where its rarest term doesn't - and the offset-adjusted lists are intersected on (document, start). What is
-left is compared word by word with the text, so matches are exact. ``slop`` gives proximity matches: both
-rare terms within that many words of their place in the phrase.
+left is compared word by word with the text, so matches are exact. ``near_matches`` lets every word be a few
+places off.
 
 Only postings of rare terms are shuffled, by document; a passage held by a third of all documents gives
-postings in proportion to those documents and no pairs. The terms are broadcast while their number is under
-``BROADCAST_TERMS``, beyond that the joins shuffle.
+postings in proportion to those documents and no pairs. Texts are compared where they are scanned: those of
+documents with a candidate are found by a broadcast of their keys while these are at most ``BROADCAST_KEYS``, and only
+these texts are shuffled; beyond that the join shuffles texts by key. Items are joined to windows by number after
+the comparison. Terms are broadcast while their number is under ``BROADCAST_TERMS``, beyond that the joins shuffle.
 
 Defined cases: null and empty texts have no words, hits or items (items_sha256 of the empty string); items
-without a word have no window; equal windows of several items count for each; repeated documents get equal
-rows; empty tables are allowed on both sides; other columns are not read.
+without a word have no window; equal windows of several items count for each; a document is its id and text, so
+rows that share an id, or have none, are judged by their own texts and repeated rows get equal results; ids may be of
+any type; empty tables are allowed on both sides; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Terms (about 40 bytes each as a broadcast row) up to which they are broadcast.
 BROADCAST_TERMS = 1_000_000
+#: Keys of documents (16 bytes and a hash entry each) up to which they are broadcast.
+BROADCAST_KEYS = 1_000_000
+#: Windows (ten words and a number, about 200 bytes each) up to which they are broadcast.
+BROADCAST_WINDOWS = 200_000
 
 
 def ascii_lower(x: Column) -> Column:
@@ -61,10 +68,15 @@ def _sized(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, text_hash, text): id and text_hash name the document, with null ids as 0."""
+    """(doc_id, id, text_hash, text): hashes of id and text name the document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = F.xxhash64(text, F.col("doc_id").isNull())
-    return docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), named.alias("text_hash"), text.alias("text"))
+    return docs.select(F.col("doc_id"), *key_of(), text.alias("text"))
+
+
+def key_of() -> list[Column]:
+    """id and text_hash of a row of documents; a null id is an id of its own."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(F.col("doc_id").cast("string")).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("text_hash")]
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -105,41 +117,62 @@ def exact_candidates(lists: DataFrame) -> DataFrame:
     return met.where((F.col("n") == F.col("n_lists")) & (F.col("start") >= 0)).select("id", "text_hash", "start", "phrase_id")
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
-    """(doc_id, start, gap, phrase): the two rarest terms of a window within ``slop`` words of their places."""
+def candidate_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, text_hash, found, w): the lower-cased words of every document with a candidate, once. found: (id, text_hash, start, phrase)."""
+    found = cut(found)
+    keys = cut(found.select("id", "text_hash").distinct())
+    texts = docs.select("id", "text_hash", "text").join(_sized(keys, BROADCAST_KEYS), ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
+    by_doc = found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "phrase_id", "phrase")).alias("found"))
+    return texts.join(by_doc, ["id", "text_hash"]).select("id", "text_hash", "found", F.transform(words_of(F.col("text")), ascii_lower).alias("w"))
+
+
+def exact_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(id, text_hash, hits) of the documents that hold a window; hits: start, phrase_id and size of each. docs: keyed."""
+    rare = cut(rare_terms(windows, term_counts(docs, windows)))
+    phrases = windows.select("phrase_id", "phrase")
+    found = exact_candidates(adjusted(postings(docs, rare), rare)).join(_sized(phrases, BROADCAST_WINDOWS), "phrase_id")
+    hits = F.filter("found", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
+    short = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["phrase_id"].alias("phrase_id"), F.size(c["phrase"]).alias("size")))
+    return candidate_texts(docs, found).select("id", "text_hash", short.alias("hits")).where(F.size("hits") > 0)
+
+
+def near_matches(docs: DataFrame, benchmark: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
+    """(doc_id, start, gap, phrase): windows whose rarest term is at its place and every other word within ``slop`` places of its own; gap is the greatest of these distances, 0 for exact matches."""
     docs, windows = keyed(docs), numbered_windows(benchmark, size)
     rare = cut(rare_terms(windows, term_counts(docs, windows)))
-    leads = rare.groupBy("phrase_id").agg(F.min("offset").alias("lead"))
-    lists = adjusted(postings(docs, rare), rare).join(_sized(leads), "phrase_id").withColumn("bucket", F.floor(F.col("start") / (slop + 1)))
-    a = lists.where("offset = lead").select("id", "text_hash", "phrase_id", "start", "n_lists", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    b = lists.where("offset <> lead").select("id", "text_hash", "phrase_id", F.col("start").alias("other"), "bucket")
-    near = a.join(b, ["id", "text_hash", "phrase_id", "bucket"], "left").withColumn("gap", F.abs(F.col("start") - F.col("other")))
-    near = near.where((F.col("gap") <= slop) | (F.col("n_lists") == 1)).groupBy("id", "text_hash", "phrase_id", "start").agg(F.coalesce(F.min("gap"), F.lit(0)).alias("gap"))
-    named = near.join(_sized(windows.select("phrase_id", "phrase")), "phrase_id")
-    return docs.select("doc_id", "id", "text_hash").distinct().join(named, ["id", "text_hash"]).select("doc_id", "start", "gap", "phrase")
+    leads = rare.where("rank = 1").select("phrase_id", F.col("offset").alias("lead"))
+    lists = adjusted(postings(docs, rare), rare).withColumn("bucket", F.floor(F.col("start") / (slop + 1)))
+    a = lists.where("rank = 1").select("id", "text_hash", "phrase_id", "start", "n_lists", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    b = lists.where("rank = 2").select("id", "text_hash", "phrase_id", F.col("start").alias("other"), "bucket")
+    both = a.join(b, ["id", "text_hash", "phrase_id", "bucket"], "left").where((F.abs(F.col("start") - F.col("other")) <= slop) | (F.col("n_lists") == 1))
+    found = both.select("id", "text_hash", "start", "phrase_id").distinct().join(_sized(windows.select("phrase_id", "phrase"), BROADCAST_WINDOWS), "phrase_id").join(_sized(leads), "phrase_id")
+    flat = candidate_texts(docs, found.withColumn("phrase", F.struct("phrase", "lead"))).select("id", "text_hash", "w", F.explode("found").alias("c"))
+    flat = flat.select("id", "text_hash", "w", F.col("c.start").alias("start"), F.col("c.phrase.phrase").alias("phrase"), F.col("c.phrase.lead").alias("lead"))
+
+    def distance(word: Column, i: Column) -> Column:
+        """How far word i of the phrase is from its place; slop + 1 where it isn't near, and for the rarest term off its place."""
+        reach = F.when(i == F.col("lead"), F.lit(0)).otherwise(F.lit(slop))
+        at = F.filter(F.sequence(-reach, reach), lambda k: F.get(F.col("w"), (F.col("start") + i + k).cast("int")).eqNullSafe(word))
+        return F.coalesce(F.array_min(F.transform(at, F.abs)), F.lit(slop + 1))
+
+    gaps = flat.withColumn("gap", F.array_max(F.transform("phrase", distance))).where(F.col("gap") <= slop)
+    return docs.select("doc_id", "id", "text_hash").join(gaps, ["id", "text_hash"]).select("doc_id", F.col("start").cast("bigint").alias("start"), "gap", "phrase")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated of every document."""
     docs = keyed(docs)
     windows = numbered_windows(benchmark, size)
-    rare = cut(rare_terms(windows, term_counts(docs, windows)))
-    found = exact_candidates(adjusted(postings(docs, rare), rare)).join(_sized(windows), "phrase_id")
-    by_doc = found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "phrase", "items")).alias("found"))
-    lowered = F.element_at(
-        F.transform(
-            F.array(F.transform(words_of(F.col("text")), ascii_lower)),
-            lambda w: F.filter(F.col("found"), lambda c: F.slice(w, c["start"] + 1, F.size(c["phrase"])) == c["phrase"]),
-        ),
-        1,
-    )
-    hits = F.when(F.col("found").isNotNull(), lowered)
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["phrase"]) - 1))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
+    hits = cut(exact_hits(docs, windows))
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
+    n_hit = hits.select("id", "text_hash", F.size(covered).cast("bigint").alias("n_hit"))
+    met = hits.select("id", "text_hash", F.explode(F.array_distinct(F.transform("hits", lambda h: h["phrase_id"]))).alias("phrase_id"))
+    items = met.join(windows.select("phrase_id", F.explode("items").alias("item")), "phrase_id").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    figures = n_hit.join(items, ["id", "text_hash"])
     return (
-        docs.join(by_doc, ["id", "text_hash"], "left")
-        .select("doc_id", F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"), hits.alias("hits"))
-        .select("doc_id", "n_words", F.coalesce(F.size(covered), F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
+        docs.select("doc_id", "id", "text_hash", F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
+        .join(figures, ["id", "text_hash"], "left")
+        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
         .select(
             "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items",
             F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -148,10 +181,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents that hold no benchmark window, with all their columns."""
-    bad = contamination(docs, benchmark, size).where("contaminated").select("doc_id").distinct()
-    none = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("v"), F.col("doc_id").isNull().alias("n"))
-    return docs.withColumn("\x00key", none).join(bad.select(none.alias("\x00key")), "\x00key", "left_anti").drop("\x00key")
+    """The documents that hold no benchmark window, with all their columns. A row is judged by its own text, whatever other rows share its id."""
+    bad = cut(exact_hits(keyed(docs), numbered_windows(benchmark, size)).select("id", "text_hash").distinct())
+    ident, text_hash = key_of()
+    marked = docs.withColumn("\x00id", ident).withColumn("\x00hash", text_hash)
+    named = bad.select(F.col("id").alias("\x00id"), F.col("text_hash").alias("\x00hash"))
+    return marked.join(_sized(named, BROADCAST_KEYS), ["\x00id", "\x00hash"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_decontaminate_keeps_columns_and_clean_rows(spark):
     d, items = frames(spark)
     kept = D.decontaminate(d, items)
     assert kept.columns == d.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 2, 3, 4, 8]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 2, 3, 4, 8]  # the clean one of the two rows of id 1 stays
 
 
 def test_repeated_contaminated_rows(spark):
@@ -66,8 +66,43 @@ def test_repeated_contaminated_rows(spark):
     assert sorted(r.doc_id for r in D.decontaminate(d, items).collect()) == [6, 7, 7]
 
 
-def test_proximity(spark):
-    items = spark.createDataFrame([(1, "one two three four")], "item_id bigint, text string")
-    docs = spark.createDataFrame([(1, "one two x three four"), (2, "one two three four"), (3, "one y y y y y y y y four two three")], "doc_id bigint, text string")
-    assert {(r.doc_id, r.gap <= 1) for r in D.proximity_matches(docs, items, 1, 10).collect()} >= {(2, True)}
-    assert D.proximity_matches(docs.where("doc_id = 2"), items, 0).count() == 1
+def brute_near(docs, items, slop, counts, size=10):
+    """counts: occurrences of each word in docs; the rarest word of a window, the first of equals, is at its place."""
+    windows = {tuple(w[i : i + size]) for _, t in items for w in [words(t)] for i in range(max(1, len(w) - size + 1) if w else 0)}
+    out = set()
+    for ident, t in docs:
+        w = words(t)
+        for p in windows:
+            if not all(counts.get(x) for x in p):
+                continue
+            lead = min(range(len(p)), key=lambda i: (counts[p[i]], i))
+            for s in range(-len(p), len(w)):
+                if not (0 <= s + lead < len(w) and w[s + lead] == p[lead]):
+                    continue
+                far = [min((abs(k) for k in range(-slop, slop + 1) if 0 <= s + i + k < len(w) and w[s + i + k] == x), default=None) for i, x in enumerate(p) if i != lead]
+                if None not in far:
+                    out.add((str(ident), s, max(far, default=0), p))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_near_matches_brute_force(spark, slop):
+    import collections
+    import random
+
+    rng = random.Random(slop)
+    items = [(1, "one two three four five"), (2, "six seven"), (3, None), (4, "seven seven one six two")]
+    docs = [(i, " ".join(rng.choice("one two three four five six seven x".split()) for _ in range(30))) for i in range(40)]
+    docs += [(100, "one two x three four five"), (101, "two one three five four"), (102, "ONE, two. three-four five"), (None, "six y seven"), (103, None), (104, "four five one two three")]
+    counts = collections.Counter(x for _, t in docs for x in words(t))
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = [(str(r.doc_id), r.start, r.gap, tuple(r.phrase)) for r in D.near_matches(d, b, slop).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(docs, items, slop, counts)
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", PHRASE), ("b", "clean"), ("b", PHRASE), ("b", PHRASE), (None, "x")], "doc_id string, text string")
+    items = frames(spark)[1]
+    got = sorted((str(r.doc_id), r.contaminated) for r in D.contamination(docs, items).collect())
+    assert got == [("None", False), ("a", True), ("b", False), ("b", True), ("b", True)]
+    assert sorted(str(r.doc_id) for r in D.decontaminate(docs, items).collect()) == ["None", "b"]
