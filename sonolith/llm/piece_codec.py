@@ -5,7 +5,7 @@ so the best segmentation of a text is that of its words, each with its leading U
 grouped by length; all words of a group advance together, one start position and one piece length at a time:
 rolling hashes of the substrings probe the sorted keys of the pieces and their prefixes (a hit is held against the
 characters, and a substring that starts no piece isn't made longer), scores are added to the best of the start, and maxima with their back-pointers are kept where
-they grow. A character that no piece holds costs more than any piece and is written as its bytes' pieces. Equal sums go to the longer last piece.
+they grow. A long word is many windows that advance together in the same way. A character that no piece holds costs more than any piece and is written as its bytes' pieces. Equal sums go to the longer last piece.
 
 The segmentation maximises the sum of the model file's piece scores. A model trained as BPE stores merge
 ranks as scores; its own merge order isn't a maximum of sums and can cut a word otherwise (both decode to
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .text_arrays import release, slices
 
 SPACE = "▁"
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -34,6 +35,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words cached in a worker; words advanced together.
 CACHE_WORDS = 300_000
 GROUP = 20_000
+#: Words of more characters advance as windows of so many characters, so many rows at once; what is after a word's end.
+LONG = 2048
+WINDOW = 512
+WINDOW_ROWS = 1024
+PAD = 0x110000
 
 
 def _keys(points: np.ndarray) -> np.ndarray:
@@ -91,14 +97,11 @@ class Pieces:
                 plain.append((i, model.id_to_piece(i), model.get_score(i)))
         return Pieces(plain, by_byte, size, model.unk_id())
 
-    def segment(self, words: list[str]) -> list[bytes]:
-        """Ids of words of one length by Viterbi, all words at once, as little-endian 32-bit integers."""
-        points = _points(words)
+    def _forward(self, points: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(back, piece) of words of one length, all at once: best holds the sums that are known, and is filled."""
         n, length = points.shape
-        best = np.full((length + 1, n), -np.inf)
-        best[0] = 0
-        back = np.zeros((length + 1, n), np.int64)
-        piece = np.full((length + 1, n), -1, np.int64)
+        back = np.zeros((length + 1, n), np.int32)
+        piece = np.full((length + 1, n), -1, np.int32)
         for start in range(length):
             open_words, at = np.arange(n), np.zeros(n, np.int64)
             h = np.zeros(n, np.uint64)
@@ -126,6 +129,18 @@ class Pieces:
             total = np.where(alone, -np.inf, best[start] + self.unknown_score)
             more = np.flatnonzero(total > best[start + 1])
             best[start + 1, more], back[start + 1, more], piece[start + 1, more] = total[more], start, -1
+        return back, piece
+
+    def _bytes_of(self, text: str) -> np.ndarray:
+        return self.byte_ids[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length by Viterbi, all words at once, as little-endian 32-bit integers."""
+        points = _points(words)
+        n, length = points.shape
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        back, piece = self._forward(points, best)
         at = np.full(n, length)
         alive = np.arange(n)
         owners, found, starts = [], [], []
@@ -141,7 +156,7 @@ class Pieces:
         owner, ids, start = owner[order], ids[order], start[order]
         unknown = np.flatnonzero(ids < 0)
         if len(unknown):  # each becomes its bytes' pieces
-            raw = [self.byte_ids[np.frombuffer(words[w][s].encode("utf-8", "replace"), np.uint8)] for w, s in zip(owner[unknown].tolist(), start[unknown].tolist(), strict=True)]
+            raw = [self._bytes_of(words[w][s]) for w, s in zip(owner[unknown].tolist(), start[unknown].tolist(), strict=True)]
             times = np.ones(len(ids), np.int64)
             times[unknown] = [len(r) for r in raw]
             owner, place = np.repeat(owner, times), np.repeat(ids < 0, times)
@@ -151,12 +166,66 @@ class Pieces:
         ends = (4 * np.cumsum(np.bincount(owner, minlength=n))).tolist()
         return [data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def segment_long(self, word: str) -> bytes:
+        """Ids of one long word; its windows advance together.
+
+        A path has a cut among any ``longest`` places in a row, so the sums at the first places of a window follow from
+        those of the window before and the best sums between the two, which all windows find at the same time, a row for
+        each place. From these sums every window then finds its cuts as in one run over the whole word.
+        """
+        m, step = self.longest, max(WINDOW, self.longest)
+        size, n = step + m, len(word)
+        windows = -(-n // step)
+        points = np.full(windows * step + m, PAD, np.uint32)
+        points[:n] = _points([word])[0]
+        cut = np.lib.stride_tricks.sliding_window_view(points, size)[::step]
+        sums = np.full((windows + 1, m), -np.inf)  # at the first places of every window
+        start = np.full((size + 1, 1), -np.inf)
+        start[0] = 0
+        self._forward(cut[:1], start)
+        sums[0] = start[:m, 0]
+        group = max(1, WINDOW_ROWS // m)
+        for at in range(0, windows, group):
+            some = cut[at : at + group]
+            best = np.full((size + 1, len(some) * m), -np.inf)
+            best[np.tile(np.arange(m), len(some)), np.arange(len(some) * m)] = 0
+            self._forward(np.repeat(some, m, axis=0), best)
+            between = best[step : step + m].reshape(m, len(some), m)  # to place, window, from place
+            for k in range(len(some)):
+                sums[at + k + 1] = (between[:, k] + sums[at + k]).max(axis=1)
+        back, piece = np.zeros(n + m + step, np.int64), np.full(n + m + step, -1, np.int64)
+        for at in range(0, windows, WINDOW_ROWS):
+            some = cut[at : at + WINDOW_ROWS]
+            best = np.full((size + 1, len(some)), -np.inf)
+            best[:m] = sums[at : at + len(some)].T
+            b, p = self._forward(some, best)
+            for k in range(len(some)):
+                first = (at + k) * step
+                lo = m if at + k else 0
+                hi = min(step + m, n + 1 - first)
+                if hi > lo:
+                    back[first + lo : first + hi], piece[first + lo : first + hi] = b[lo:hi, k] + first, p[lo:hi, k]
+            if not at:  # the first places come from the run over the start of the word
+                first_best = np.full((size + 1, 1), -np.inf)
+                first_best[0] = 0
+                b, p = self._forward(cut[:1], first_best)
+                hi = min(m, n + 1)
+                back[:hi], piece[:hi] = b[:hi, 0], p[:hi, 0]
+        backs, pieces, end, out = back.tolist(), piece.tolist(), n, []
+        while end > 0:
+            out.append([pieces[end]] if pieces[end] >= 0 else self._bytes_of(word[backs[end]]).tolist())
+            end = backs[end]
+        return np.array([i for ids in reversed(out) for i in ids], "<i4").tobytes()
+
     def learn(self, words: set[str]) -> None:
         """Segment words into the cache, grouped by length. Words come without their first U+2581."""
         groups: dict[int, list[str]] = {}
         for w in words:
             groups.setdefault(len(w), []).append(w)
         for length, some in groups.items():
+            if length > LONG:
+                self.cache.update((w, self.segment_long(SPACE + w)) for w in some)
+                continue
             step = max(1, min(GROUP, 4_000_000 // (length + 1)))
             for at in range(0, len(some), step):
                 part = some[at : at + step]
@@ -204,14 +273,14 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", keep: tuple
     def run(batches: Iterator) -> Iterator:
         model = pieces_at(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, 0):
                 found = model.encode(some.column(0).to_pylist())
                 ends = np.cumsum([0] + [len(x) // 4 for x in found])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 columns = [*some.columns[1:], ids, pa.array([zlib.crc32(x) for x in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*some.schema.names[1:], "ids", "ids_crc32"])
         model.cache.clear()  # the worker may go on with another operator's tasks
+        release()
 
     flat = docs.select(F.col(text_col).cast("string").alias("\x00text"), *keep)
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)

@@ -120,3 +120,36 @@ def test_query_columns(spark):
     assert sorted((r.doc_id or 0, r.n_pieces > 0) for r in got) == [(0, False), (1, True), (1, True), (2, False), (3, True)]
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<i4").tobytes()) for r in got)
     assert C.encode_and_check(docs.where("false"), PATH).count() == 0
+
+
+def test_long_words_are_cut_as_in_one_run(monkeypatch):
+    import random
+
+    from sonolith.llm import piece_codec as P
+
+    rng = random.Random(7)
+    pieces = [(i + 1, p, float(-rng.randrange(1, 9))) for i, p in enumerate(sorted({P.SPACE, *("".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(40))}))]
+    model = P.Pieces(pieces, {b: 1000 + b for b in range(256)}, 1300)
+    monkeypatch.setattr(P, "WINDOW_ROWS", 16)
+    for window in (1, 7, 32):
+        monkeypatch.setattr(P, "WINDOW", window)
+        for n in (1, 2, 5, 6, 7, 8, 31, 32, 33, 40, 100, 257):
+            for letters in ("ab", "abé"):
+                word = P.SPACE + "".join(rng.choice(letters) for _ in range(n))
+                assert model.segment_long(word) == model.segment([word])[0], (window, word)
+
+
+def test_a_text_without_spaces_takes_seconds():
+    import random
+    import time
+
+    import public_tokenizers
+
+    from sonolith.llm import piece_codec as P
+
+    model = P.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    word = "".join(rng.choice(["the", "ing", "er", "xyz", "q", "1", "é"]) for _ in range(80_000))
+    began = time.perf_counter()
+    ids = np.frombuffer(model.encode([word])[0], "<i4")
+    assert time.perf_counter() - began < 60 and model.decode(ids) == word
