@@ -33,7 +33,7 @@ SPACE = "▁"
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words cached in a worker; words advanced together.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 GROUP = 20_000
 #: Words of more characters advance as windows of so many characters, so many rows at once; what is after a word's end.
 LONG = 2048
@@ -266,25 +266,29 @@ def pieces_at(path: str) -> Pieces:
     return _models[path]
 
 
-def encode_texts(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, ids (array<int>) and ids_crc32 of every document."""
+def encode_texts(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+    """The kept columns, ids (array<int>) and ids_crc32 of every document; with check also round_trip: whether the ids
+    decode, in the same task, to the text again, U+2581 read as a space."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         model = pieces_at(path)
         for batch in batches:
             for some in slices(batch, 0):
-                found = model.encode(some.column(0).to_pylist())
+                texts = some.column(0).to_pylist()
+                found = model.encode(texts)
                 ends = np.cumsum([0] + [len(x) // 4 for x in found])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 columns = [*some.columns[1:], ids, pa.array([zlib.crc32(x) for x in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*some.schema.names[1:], "ids", "ids_crc32"])
+                if check:
+                    columns.append(pa.array([model.decode(np.frombuffer(x, "<i4")) == (t or "").replace(SPACE, " ") for x, t in zip(found, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*some.schema.names[1:], "ids", "ids_crc32", *["round_trip"] * check])
         model.cache.clear()  # the worker may go on with another operator's tasks
         release()
 
     flat = docs.select(F.col(text_col).cast("string").alias("\x00text"), *keep)
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
-    return flat.mapInArrow(run, f"{kinds}, ids array<int>, ids_crc32 bigint")
+    return flat.mapInArrow(run, f"{kinds}, ids array<int>, ids_crc32 bigint" + ", round_trip boolean" * check)
 
 
 def decode_ids(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -306,11 +310,9 @@ def decode_ids(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
 
 
 def encode_and_check(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, round_trip: whether the decoded ids are the text again, U+2581 read as a space."""
-    digest = F.md5(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))  # texts aren't carried along
-    named = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("digest", digest)
-    decoded = decode_ids(encode_texts(named, path, keep=("doc_id", "digest")), path, keep=("doc_id", "digest", "ids", "ids_crc32"))
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "ids_crc32", (F.md5("decoded") == F.col("digest")).alias("round_trip"))
+    """doc_id, n_pieces, ids, ids_crc32, round_trip of every document: one worker of a task encodes and decodes."""
+    found = encode_texts(docs.select("doc_id", "text"), path, check=True)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "ids_crc32", "round_trip")
 
 
 def op6_piece_codec(spark, sf_dir: str) -> DataFrame:
