@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from .operators import index, landmarks, match
 from .presets import LANDMARK, PRESETS, Preset
+from .recovery import cut
 from .sources import audio
 
 EXTENSIONS = ("wav", "m4a", "mp4", "aac", "mp3", "flac")
 
 
+def segment_of(files: DataFrame, found: DataFrame, preset: Preset, tags: DataFrame | None = None) -> tuple[int, DataFrame, DataFrame]:
+    """(number, tracks, fingerprints) of decoded files. found: audio.decoded_peaks of files."""
+    decoded = found.where("reason is null").select("rel_path").distinct()
+    tracks = audio.track_rows(files.drop("content").join(decoded, "rel_path", "left_semi"), tags).withColumn("track_id", F.xxhash64("rel_path"))
+    peaks = found.where("t is not null").withColumn("track_id", F.xxhash64("rel_path")).drop("rel_path", "reason")
+    return decoded.count(), tracks, landmarks.fingerprints(peaks, preset)
+
+
 class Engine:
     """An index at a path, under one preset."""
 
@@ -24,33 +33,34 @@ class Engine:
         return audio.split_quarantine(files, audio.quarantine_reason(F.col("name"), F.col("length")))[0]
 
     def add_segment(self, folder: str, force: bool = False, tags: DataFrame | None = None) -> int:
-        """Index a folder's new files as a segment; the number of tracks added. force indexes all of them again."""
-        segments = [r.segment_id for r in index.manifest(self.spark, self.root).select("segment_id").collect()]
+        """Index a folder's new files as a segment; the number of tracks added. force indexes all of them again. Files that can't be decoded are no tracks: see rejected."""
         files = self._files(folder)
-        if segments:
+        if not index.manifest(self.spark, self.root).isEmpty():
             files = index.not_indexed(files, index.read_index(self.spark, self.root)[0], force)
-        tracks = audio.track_rows(files, tags).withColumn("track_id", F.xxhash64("rel_path"))
-        prints = landmarks.fingerprints(audio.clips_to_peaks(files, self.preset).withColumn("track_id", F.xxhash64("rel_path")).drop("rel_path"), self.preset)
-        n = tracks.count()
+        found = cut(audio.decoded_peaks(files, self.preset))
+        n, tracks, prints = segment_of(files, found, self.preset, tags)
         if n:
-            index.write_segment(tracks, prints, self.root, max(segments, default=-1) + 1, self.preset)
+            index.write_segment(tracks, prints, self.root, self.preset)
         return n
 
+    def rejected(self, folder: str) -> DataFrame:
+        """(rel_path, reason) of a folder's files that can't be indexed: hidden, too small or not decodable."""
+        files = audio.scan(self.spark, folder, EXTENSIONS)
+        valid, held = audio.split_quarantine(files, audio.quarantine_reason(F.col("name"), F.col("length")))
+        return held.select("rel_path", "reason").union(audio.probe(valid, self.preset).where("not readable").select("rel_path", "reason"))
+
     def query(self, clips: str, limit: int | None = -1) -> DataFrame:
         """Ranked matches of every clip at a path (a file or folder), with track names; query_id is the clip's path."""
         files = audio.scan(self.spark, clips, EXTENSIONS)
         prints = landmarks.fingerprints(audio.clips_to_peaks(files, self.preset, query=True, key="path").withColumnRenamed("path", "track_id"), self.preset)
         query = prints.select(F.col("track_id").alias("query_id"), "hash", F.col("anchor_t").alias("t1"))
-        tracks, postings = index.read_index(self.spark, self.root)
-        latest = tracks.groupBy("track_id").agg(F.max("segment_id").alias("segment_id"))  # a track indexed again counts once
-        current = postings.join(latest, ["track_id", "segment_id"], "left_semi")
-        names = tracks.join(latest, ["track_id", "segment_id"], "left_semi").select("track_id", "rel_path", "artist", "album", "title")
-        return match.match(query, current, self.preset, names, limit)
+        tracks, postings = index.current(*index.read_index(self.spark, self.root))  # a track indexed again counts once
+        return match.match(query, postings, self.preset, tracks.select("track_id", "rel_path", "artist", "album", "title"), limit)
 
     def compact(self, target: str) -> None:
-        """Write all segments as one at another path."""
-        tracks, postings = index.compact(*index.read_index(self.spark, self.root))
-        index.write_segment(tracks, postings, target, 0, self.preset)
+        """Write all segments as one at another path; of a track indexed again the latest segment."""
+        tracks, postings = index.compact(*index.current(*index.read_index(self.spark, self.root)))
+        index.write_segment(tracks, postings, target, self.preset)
 
     def inspect(self, hex_key: str) -> DataFrame:
         """Postings of a key of 16 hex characters."""

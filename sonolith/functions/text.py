@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed format: 22 characters of base 62.
 BASE62_ID = "[0-9A-Za-z]{22}"
+#: The scheme of identifiers and the end of a link's host.
+SCHEME, HOST = "spotify", "spotify.com"
 
 
 def normalise(text: Column) -> Column:
@@ -15,15 +17,23 @@ def normalise(text: Column) -> Column:
 
 
 def token_overlap(expected: Column, candidate: Column) -> Column:
-    """The share of expected tokens (with repeats) among the candidate's, to three decimals."""
+    """The share of expected tokens (with repeats) among the candidate's, to three decimals.
+
+    Expected tokens are looked for in the distinct tokens that both have: array_intersect hashes them, so a long
+    candidate is read once and not for every token.
+    """
     tokens = lambda x: F.array_remove(F.split(normalise(x), " "), "")
 
     def share(held: Column) -> Column:
         a = held["a"]
-        return F.when(F.size(a) > 0, F.round(F.size(F.filter(a, lambda x: F.array_contains(held["b"], x))) / F.size(a), 3)).otherwise(F.lit(0.0))
+        return F.when(F.size(a) > 0, F.round(F.size(F.filter(a, lambda x: F.array_contains(held["both"], x))) / F.size(a), 3)).otherwise(F.lit(0.0))
+
+    def shared(held: Column) -> Column:
+        return F.struct(held["a"].alias("a"), F.array_intersect(held["a"], held["b"]).alias("both"))
 
-    # one element: both token lists are made once, not for every token
-    return F.element_at(F.transform(F.array(F.struct(tokens(expected).alias("a"), tokens(candidate).alias("b"))), share), 1)
+    # one element each: the lists are made once, not for every token
+    both = F.transform(F.array(F.struct(tokens(expected).alias("a"), tokens(candidate).alias("b"))), shared)
+    return F.element_at(F.transform(both, share), 1)
 
 
 def tokens_match(expected: Column, candidate: Column, least: float = 0.6) -> Column:
@@ -42,17 +52,21 @@ def path_metadata(path: Column) -> dict[str, Column]:
     }
 
 
-def resolve_id(raw: Column, expected: str | None = None) -> Column:
-    """struct(kind, id, reason): from a bare id, ``scheme:kind:id`` or a ``https://host/kind/id`` link."""
+def resolve_id(raw: Column, expected: str | None = None, host: str = HOST) -> Column:
+    """struct(kind, id, reason): from a bare id, ``scheme:kind:id`` or a ``https://host/kind/id`` link on a host that ends in host."""
+    raw = F.trim(raw)
     bare = F.regexp_extract(raw, f"^({BASE62_ID})$", 1)
-    uri_kind, uri_id = (F.regexp_extract(raw, rf"^[a-z]+:([a-z]+):({BASE62_ID})$", k) for k in (1, 2))
-    url_kind, url_id = (F.regexp_extract(raw, rf"^https?://[^/]+/([a-z]+)/({BASE62_ID})(?:[/?#].*)?$", k) for k in (1, 2))
-    some = lambda *c: F.coalesce(*(F.nullif(x, F.lit("")) for x in c))
-    kind, ident = some(uri_kind, url_kind), some(bare, uri_id, url_id)
-    reason = F.when(ident.isNull(), F.lit("not an identifier"))
+    parts = F.split(raw, ":")
+    is_uri, is_url = raw.startswith(f"{SCHEME}:"), raw.rlike("^https?://")
+    steps = F.filter(F.split(F.regexp_extract(raw, r"^https?://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
+    at_host = F.lower(F.regexp_extract(raw, r"^https?://(?:[^/?#@]*@)?([^/?#:@]*)", 1)).endswith(host)
+    kind = F.when(is_uri, F.get(parts, F.lit(1))).when(is_url, F.get(steps, F.lit(0)))
+    ident = F.when(bare != "", bare).when(is_uri, F.get(parts, F.lit(2))).when(is_url, F.get(steps, F.lit(1)))
+    reason = F.when(is_url & ~at_host, F.lit("unsupported host")).when(~F.coalesce(ident.rlike(f"^{BASE62_ID}$"), F.lit(False)), F.lit("not an identifier"))
     if expected is not None:
-        reason = reason.when(kind.isNotNull() & (kind != expected), F.lit(f"not of kind {expected}"))
-    return F.struct(kind.alias("kind"), F.when(reason.isNull(), ident).alias("id"), reason.alias("reason"))
+        reason = reason.when((is_uri | is_url) & ~kind.eqNullSafe(F.lit(expected)), F.lit(f"not of kind {expected}"))
+    kind = F.coalesce(kind, F.when(bare != "", F.lit(expected).cast("string")))
+    return F.struct(F.when(reason.isNull(), kind).alias("kind"), F.when(reason.isNull(), ident).alias("id"), reason.alias("reason"))
 
 
 def download_uri(ident: Column, uri: Column) -> Column:
@@ -111,9 +125,12 @@ def decimal_seconds(text: Column) -> Column:
 
 def dynamic_text(data: Column, path: str) -> Column:
     """A string at a JSON path of a text column; empty for other types and broken JSON."""
-    return F.coalesce(F.get_json_object(data, path), F.lit(""))
+    value = F.try_variant_get(F.try_parse_json(data), path, "variant")
+    return F.when(F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False)), F.try_variant_get(value, "$", "string")).otherwise(F.lit(""))
 
 
 def dynamic_number(data: Column, path: str) -> Column:
-    """A whole number at a JSON path; 0 for other types."""
-    return F.coalesce(F.get_json_object(data, path).try_cast("bigint"), F.lit(0))
+    """A number at a JSON path as a double; 0 for other types, a number in a string too."""
+    value = F.try_variant_get(F.try_parse_json(data), path, "variant")
+    number = F.coalesce(F.schema_of_variant(value).rlike("^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL)"), F.lit(False))
+    return F.when(number, F.coalesce(F.try_variant_get(value, "$", "double"), F.lit(0.0))).otherwise(F.lit(0.0))

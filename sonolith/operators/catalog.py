@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..recovery import cut
 
-#: Pages a chain may have.
-LONGEST_CHAIN = 200
+#: Pages a chain may have: the first and two hundred more.
+LONGEST_CHAIN = 201
 
 
 def without_errors(pages: DataFrame, data: str = "data") -> DataFrame:
@@ -28,7 +28,7 @@ def chain_heads(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
     """(url, head, at): each page's chain and place in it, by pointer jumping.
 
     A page is reached from the page whose ``next`` it is; pointers double in reach each round, so a chain of
-    200 takes eight joins and not 200. Pages of a cycle have no head and are left out, as are pages past the longest chain.
+    200 takes eight joins and not 200. A cycle's head is its least page. Pages past the longest chain are left out.
     """
     known = pages.select("url", "next")
     before = known.select(F.col("next").alias("url"), F.col("url").alias("prev")).where("url is not null and url <> prev").groupBy("url").agg(F.min("prev").alias("prev"))
@@ -40,7 +40,16 @@ def chain_heads(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
         at = cut(at)  # each round reads the one before twice
         if at.where("ptr is not null").isEmpty():
             break
-    return at.where(F.col("ptr").isNull() & (F.col("at") < longest)).select("url", "head", "at")
+    headed = at.where(F.col("ptr").isNull() & (F.col("at") < longest)).select("url", "head", "at")
+    rest = at.where("ptr is not null").select("url").join(known, "url")
+    if rest.isEmpty():
+        return headed
+    # cycles, and pages further from their head than the pointers reach: only walks that come back to their start are cycles
+    walks = cut(follow_chain(pages.sparkSession, rest, rest, longest))
+    ends = walks.join(known, "url").where(F.col("next") == F.col("seed")).select("seed")
+    rings = walks.join(ends.distinct(), "seed", "left_semi")
+    least = rings.groupBy("seed").agg(F.min("url").alias("least")).where("seed = least").select("seed")
+    return headed.union(rings.join(least, "seed", "left_semi").select("url", F.col("seed").alias("head"), "at"))
 
 
 def merge_page_chains(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
@@ -164,29 +173,29 @@ def look_up_chain(tracks: DataFrame, albums: DataFrame, relations: DataFrame, ar
     return joined.select("track_id", unknown("title"), unknown("album"), unknown("artist"))
 
 
-def seeds(data: DataFrame, column: str = "value") -> DataFrame:
-    """(name, url) rows of JSON objects."""
-    return data.select(F.explode(F.from_json(column, "map<string,string>")).alias("name", "url"))
+def seeds(data: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(name, url) rows of JSON objects, with the kept columns."""
+    return data.select(*keep, F.explode(F.from_json(column, "map<string,string>")).alias("name", "url"))
 
 
 def chunks(rows: DataFrame, order: str, size: int = 50) -> DataFrame:
     """rows with chunk: size rows each in the given order; ranges are numbered in parallel."""
     from .index import number_tracks
 
-    numbered = number_tracks(rows, order)
-    return numbered.withColumn("chunk", F.expr(f"cast(track_id div {size} as int)")).drop("track_id")
+    numbered = number_tracks(rows, order, "_number")
+    return numbered.withColumn("chunk", F.expr(f"cast(_number div {size} as int)")).drop("_number")
 
 
-def crawl(frontier: DataFrame, expand, rounds: int = 50) -> DataFrame:
-    """All ids reached from a frontier (column id): expand maps a frontier to new ids; ends when a round adds none."""
-    seen = frontier.select("id").distinct()
+def crawl(frontier: DataFrame, expand) -> DataFrame:
+    """All ids reached from a frontier (column id): expand maps a frontier to new ids; ends when a round adds none. A null id is none."""
+    seen = frontier.where("id is not null").select("id").distinct()
     fresh = seen
-    for _ in range(rounds):
+    while True:
         fresh = expand(fresh).select("id").distinct().join(seen, "id", "left_anti")
-        fresh = cut(fresh)
+        fresh = cut(fresh.where("id is not null"))
         if fresh.isEmpty():
             break
-        seen = seen.union(fresh)
+        seen = cut(seen.union(fresh))
     return seen
 
 

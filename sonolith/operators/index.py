@@ -1,50 +1,75 @@
 """The fingerprint index: a Parquet table of postings by segment, sorted by hash inside its files.
 
-tracks and fingerprints lie side by side under a root, partitioned by segment_id; row-group statistics on the
-sorted hash prune point look-ups, and a segment is replaced by writing it anew before the old one is let go.
+tracks and fingerprints lie side by side under a root, partitioned by segment_id and run; row-group statistics on
+the sorted hash prune point look-ups. A run is one writing of one segment and has folders of its own, so no writer
+touches what another wrote; its line in the manifest is written last, and only runs with a line are read. What a
+writer that failed has left is never seen. Of a track in several segments the latest one counts.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..presets import Preset
+from ..recovery import cut
+
+#: Hashes (8 bytes and a hash entry each) up to which a look-up broadcasts them.
+BROADCAST_HASHES = 1_000_000
 
 
-def number_tracks(tracks: DataFrame, order: str = "rel_path") -> DataFrame:
-    """tracks with dense ids in the order of a column: ranges of the column are numbered in parallel, offset by the ranges before them."""
+def number_tracks(tracks: DataFrame, order: str = "rel_path", name: str = "track_id") -> DataFrame:
+    """tracks with dense ids in the order of a column: ranges of the column are numbered in parallel, offset by the ranges
+    before them. The ranges are read twice, so they come from a checkpoint: drawn again they could differ."""
     spread = tracks.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    spread = spread.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    spread = cut(spread.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order))))
     sizes = spread.groupBy("_part").agg(F.max("_row").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spread.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("track_id", F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
+    return spread.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
 
 
-def write_segment(tracks: DataFrame, fingerprints: DataFrame, root: str, segment_id: int, preset: Preset, compression: str = "zstd") -> None:
-    """Append a segment after the parameter guard: tracks, postings sorted by hash, and its line in the manifest."""
+def write_segment(tracks: DataFrame, fingerprints: DataFrame, root: str, preset: Preset, run: str | None = None, compression: str = "zstd") -> int:
+    """Add a segment after the parameter guard: tracks, postings sorted by hash, then its line in the manifest; its id.
+
+    A run that has a line already is left as it is; one that failed before its line is written anew.
+    """
     spark = tracks.sparkSession
     check_parameters(spark, root, preset)
-    put = lambda df, name: df.withColumn("segment_id", F.lit(segment_id)).write.mode("append").option("compression", compression).partitionBy("segment_id").parquet(f"{root}/{name}")
+    known = manifest(spark, root)
+    done = known.where(F.col("run") == F.lit(run)).select("segment_id").first() if run else None
+    if done:
+        return done.segment_id
+    segment_id = known.agg(F.coalesce(F.max("segment_id") + 1, F.lit(0))).first()[0]
+    run = run or f"r{uuid.uuid4().hex}"
+
+    def put(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("compression", compression).parquet(f"{root}/{name}/segment_id={segment_id}/run={run}")
+
     put(tracks, "tracks")
     put(fingerprints.repartition("hash").sortWithinPartitions("hash"), "fingerprints")
-    info = tracks.agg(F.count("*").cast("int").alias("num_tracks")).select(
-        F.lit(f"segment_id={segment_id}").alias("path"), F.lit(segment_id).alias("segment_id"), F.current_timestamp().alias("created_at"), "num_tracks",
+    info = spark.read.parquet(f"{root}/tracks/segment_id={segment_id}/run={run}").agg(F.count("*").cast("int").alias("num_tracks")).select(
+        F.lit(f"segment_id={segment_id}/run={run}").alias("path"), F.lit(segment_id).alias("segment_id"), F.lit(run).alias("run"), F.current_timestamp().alias("created_at"), "num_tracks",
         F.struct(F.lit(preset.sample_rate).alias("sr"), F.lit(preset.window).alias("frame"), F.lit(preset.hop).alias("hop")).alias("params"),
     )
     info.coalesce(1).write.mode("append").json(f"{root}/manifest")
+    return segment_id
 
 
-MANIFEST = "path string, segment_id int, created_at timestamp, num_tracks int, params struct<sr:int,frame:int,hop:int>"
+MANIFEST = "path string, segment_id int, run string, created_at timestamp, num_tracks int, params struct<sr:int,frame:int,hop:int>"
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """The segments; an empty frame before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        return spark.read.schema(MANIFEST).json(f"{root}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).json(f"{root}/manifest")
 
 
 def mismatched(segments: DataFrame, preset: Preset) -> DataFrame:
@@ -68,9 +93,21 @@ def with_defaults(segments: DataFrame, preset: Preset) -> DataFrame:
 
 
 def read_index(spark: SparkSession, root: str, segments: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(tracks, fingerprints); a list of segments prunes partitions."""
-    frames = [spark.read.parquet(f"{root}/{name}") for name in ("tracks", "fingerprints")]
-    return tuple(f if segments is None else f.where(F.col("segment_id").isin(segments)) for f in frames)
+    """(tracks, fingerprints) of the runs in the manifest, with segment_id; a list of segments prunes partitions."""
+    runs = manifest(spark, root).select("segment_id", "run")  # a row for each segment: these prune partitions too
+    frames = []
+    for name in ("tracks", "fingerprints"):
+        f = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+        f = f.withColumn("run", F.col("run").cast("string"))
+        f = f if segments is None else f.where(F.col("segment_id").isin(segments))
+        frames.append(f.join(runs, ["segment_id", "run"], "left_semi").drop("run"))
+    return tuple(frames)
+
+
+def current(tracks: DataFrame, fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both without what a later segment has anew: of every track its latest segment."""
+    latest = tracks.groupBy("track_id").agg(F.max("segment_id").alias("segment_id"))
+    return tuple(f.join(latest, ["track_id", "segment_id"], "left_semi") for f in (tracks, fingerprints))
 
 
 def not_indexed(incoming: DataFrame, tracks: DataFrame, force: bool = False) -> DataFrame:
@@ -109,7 +146,8 @@ def last_wins(fingerprints: DataFrame) -> DataFrame:
 
 def look_up(fingerprints: DataFrame, hashes: DataFrame) -> DataFrame:
     """Postings of a set of hashes (one column, hash)."""
-    return fingerprints.join(F.broadcast(hashes.distinct()), "hash", "left_semi")
+    wanted = hashes.distinct()
+    return fingerprints.join(F.broadcast(wanted) if wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES else wanted, "hash", "left_semi")
 
 
 def inspect_hash(fingerprints: DataFrame, hex_key: Column | str) -> DataFrame:

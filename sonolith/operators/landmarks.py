@@ -1,4 +1,4 @@
-"""Pairing of peaks into hashes: an interval window collects each anchor's target zone, no self-join."""
+"""Pairing of peaks into hashes: an interval window over frames collects each anchor's target zone, no self-join."""
 
 from __future__ import annotations
 
@@ -17,12 +17,20 @@ ORDERS = {
 
 
 def targets(peaks: DataFrame, preset: Preset) -> DataFrame:
-    """peaks with ``zone``: the first targets of every anchor, in the preset's order."""
+    """peaks with ``zone``: the first targets of every anchor, in the preset's order.
+
+    All anchors of a frame have one zone, and a frame can give it no more than its own first targets: frames carry these,
+    so a zone gathers a few items of each frame in reach, once for a frame and not for every peak.
+    """
     low, high = preset.dt
-    zone = Window.partitionBy("track_id").orderBy("t").rangeBetween(low, high)
     keys = ORDERS[preset.targets_by]()
     item = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.col("t").alias("t2"), F.col("f").alias("f2"))
-    return peaks.withColumn("zone", F.slice(F.array_sort(F.collect_list(item).over(zone)), 1, preset.targets))
+    rest = [c for c in peaks.columns if c not in ("track_id", "t")]
+    first = lambda items: F.slice(F.array_sort(items), 1, preset.targets)
+    frames = peaks.groupBy("track_id", "t").agg(first(F.collect_list(item)).alias("own"), F.collect_list(F.struct(*rest)).alias("anchors"))
+    zone = F.flatten(F.collect_list("own").over(Window.partitionBy("track_id").orderBy("t").rangeBetween(low, high)))
+    flat = frames.select("track_id", "t", first(zone).alias("zone"), "anchors").select("track_id", "t", "zone", F.inline("anchors"))
+    return flat.select(*peaks.columns, "zone")
 
 
 def pairs(peaks: DataFrame, preset: Preset) -> DataFrame:

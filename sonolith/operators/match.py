@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..presets import Preset
+from ..recovery import cut
 
 #: Query hashes up to which they are broadcast (24 bytes each); a larger batch shuffles both sides by hash.
 BROADCAST_HASHES = 1_000_000
@@ -33,14 +34,15 @@ def best_offsets(counted: DataFrame) -> DataFrame:
 def with_confidence(best: DataFrame, preset: Preset, n_queries: DataFrame | None = None) -> DataFrame:
     """confidence: votes over the best votes of the query's results, or over its number of hashes (n_queries: query_id, n_hashes)."""
     if preset.confidence == "best":
-        top = F.greatest(F.max("votes").over(Window.partitionBy("query_id")), F.lit(1))
-        return best.withColumn("confidence", F.col("votes") / top)
-    return best.join(F.broadcast(n_queries), "query_id", "left").withColumn("confidence", F.col("votes") / F.greatest(F.coalesce("n_hashes", F.lit(1)), F.lit(1))).drop("n_hashes")
+        top = best.groupBy("query_id").agg(F.greatest(F.max("votes"), F.lit(1)).alias("_top"))  # no task holds all candidates of a query
+        return best.join(top, "query_id").withColumn("confidence", F.col("votes") / F.col("_top")).drop("_top")
+    return best.join(n_queries, "query_id", "left").withColumn("confidence", F.col("votes") / F.greatest(F.coalesce("n_hashes", F.lit(1)), F.lit(1))).drop("n_hashes")
 
 
-def ranking(preset: Preset) -> list:
+def ranking(preset: Preset, titled: bool = False) -> list:
+    """The order of matches; titled: equal ones by their titles before their ids."""
     if preset.confidence == "best":
-        return [F.desc("votes"), F.desc("total_votes"), F.abs("offset_frames"), F.col("track_id")]
+        return [F.desc("votes"), F.desc("total_votes"), F.abs("offset_frames"), *([F.col("title")] if titled else []), F.col("track_id")]
     if preset.hashing == "quad64":
         return [F.desc("votes"), F.desc("total_votes"), F.col("track_id")]
     return [F.desc("votes"), F.col("track_id")]
@@ -54,6 +56,7 @@ def top_matches(found: DataFrame, order: list, limit: int | None) -> DataFrame:
 
 def match(query: DataFrame, postings: DataFrame, preset: Preset, tracks: DataFrame | None = None, limit: int | None = -1) -> DataFrame:
     """Ranked matches of every query; tracks: metadata to join (inner, as unknown tracks are no result)."""
+    query = cut(query)  # read for the votes and for the number of hashes
     counted = best_offsets(votes(query, postings))
     n = query.groupBy("query_id").agg(F.count("*").alias("n_hashes"))
     found = with_confidence(counted, preset, n)
@@ -61,7 +64,7 @@ def match(query: DataFrame, postings: DataFrame, preset: Preset, tracks: DataFra
         found = found.where((F.col("votes") >= preset.least_votes) & (F.col("confidence") >= preset.least_confidence))
     if tracks is not None:
         found = found.join(tracks, "track_id")
-    out = top_matches(found, ranking(preset), preset.limit if limit == -1 else limit)
+    out = top_matches(found, ranking(preset, tracks is not None and "title" in tracks.columns), preset.limit if limit == -1 else limit)
     return out.withColumn("offset_seconds", hashing.offset_seconds(F.col("offset_frames"), preset.hop, preset.sample_rate) if preset.time_unit == "frame" else F.col("offset_frames") / 1000.0)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..presets import Preset
+from ..presets import LONGEST_FRAMES, Preset
 
 
 def by_track(cells: DataFrame) -> DataFrame:
@@ -46,7 +46,11 @@ def local_maxima(cells: DataFrame, radius_t: int, radius_f: int, strict: bool =
 def peaks(cells: DataFrame, preset: Preset, query: bool = False) -> DataFrame:
     """(track_id, t, f, m, rk, ord): peaks of dense cells; rk by magnitude, ord the place in the frame's list."""
     low, high = preset.tested
-    cells = in_scale(by_track(cells), preset)
+    cells = by_track(cells)
+    if preset.scale == "relative":  # these designs give up on longer tracks
+        frames = F.max("t").over(Window.partitionBy("track_id"))
+        cells = cells.withColumn("_frames", frames).where(F.col("_frames") < LONGEST_FRAMES).drop("_frames")
+    cells = in_scale(cells, preset)
     if preset.running_reference:
         cells = cells.withColumn("_last", F.max("t").over(Window.partitionBy("track_id")))
     found = local_maxima(cells, preset.radius_t, preset.radius_f, preset.strict).where(F.col("f").between(low, high))

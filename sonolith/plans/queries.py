@@ -19,7 +19,7 @@ SQL: dict[str, str] = {}
 CELLS = """cells AS (
   SELECT vec_id % 10 AS track_id, (vec_id // 10)::INTEGER AS t, f::INTEGER AS f, embedding[f + 1]::DOUBLE AS m FROM embeddings, range(64) r(f)
 )"""
-CLIP = "clip AS (SELECT track_id, t - 5 AS t, f, m FROM cells WHERE track_id = 0 AND t BETWEEN 5 AND 30)"
+CLIP = "clip AS (SELECT track_id, t - 5 AS t, f, m FROM cells WHERE t BETWEEN 5 AND 30)"
 
 
 def box(source: str, name: str, cut: str = "m >= 0") -> str:
@@ -47,7 +47,7 @@ def pairs(source: str, name: str, order: str, most: int, far: int) -> str:
 PACK22 = "((f1::BIGINT << 42) | (f2::BIGINT << 20) | dt::BIGINT)"
 PACK16Q = "(((f1 // 2)::BIGINT << 48) | ((f2 // 2)::BIGINT << 32) | ((dt // 2)::BIGINT << 16))"
 LP_INDEX = f"WITH {CELLS}, {box('cells', 'pk')}, top AS (SELECT * FROM pk WHERE rk <= 5), {pairs('top', 'pr', 'b.t, b.rk', 4, 60)}, fp AS (SELECT track_id, {PACK22} AS hash, anchor_t FROM pr)"
-LP_BOTH = f"{LP_INDEX}, {CLIP}, {box('clip', 'qk')}, {pairs('qk', 'qr', 'b.t, b.pl', 4, 60)}, q AS (SELECT 0::BIGINT AS query_id, {PACK22} AS hash, anchor_t AS t1 FROM qr)"
+LP_BOTH = f"{LP_INDEX}, {CLIP}, {box('clip', 'qk')}, {pairs('qk', 'qr', 'b.t, b.pl', 4, 60)}, q AS (SELECT track_id AS query_id, {PACK22} AS hash, anchor_t AS t1 FROM qr)"
 VOTES = """v AS (
   SELECT query_id, track_id, anchor_t - t1 AS offset_frames, count(*) AS votes FROM fp JOIN q USING (hash) GROUP BY ALL
 ), vt AS (
@@ -110,9 +110,9 @@ def peaks_band_dbmax(spark, d) -> DataFrame:
 @query(f"""WITH {CELLS}, p AS (SELECT track_id, t, max(m * m) AS p FROM cells WHERE f BETWEEN 4 AND 59 GROUP BY ALL)
 SELECT track_id, t, round(max(p) OVER (PARTITION BY track_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 2 FOLLOWING), 9) AS top FROM p""")
 def running_max_ref(spark, d) -> DataFrame:
-    frames = S.cells(spark, d).where("f between 4 and 59").groupBy("track_id", "t").agg(F.max(F.col("m") * F.col("m")).alias("p"))
-    over = Window.partitionBy("track_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 2)
-    return frames.select("track_id", "t", F.round(F.max("p").over(over), 9).alias("top"))
+    power = by_track(S.cells(spark, d).withColumn("m", F.greatest(F.col("m") * F.col("m"), F.lit(1e-12)))).withColumn("p", F.col("m"))
+    scaled = in_scale(power, replace(AC, running_reference=True))  # decibels under the running reference give it back
+    return scaled.where("f between 4 and 59").groupBy("track_id", "t").agg(F.round(F.max(F.col("p") / F.pow(F.lit(10.0), F.col("m") / 10)), 9).alias("top"))
 
 
 @query(f"{LP_INDEX} SELECT track_id, anchor_t, f1, f2, dt, {PACK22} AS hash FROM pr")
@@ -158,29 +158,29 @@ def match_votes(spark, d) -> DataFrame:
     return match.votes(S.query_prints(spark, d, LP), S.index_prints(spark, d, LP))
 
 
-@query(f"""{LP_BOTH}, {VOTES} SELECT query_id, row_number() OVER (ORDER BY votes DESC, total_votes DESC, abs(offset_frames), track_id)::INTEGER AS rank, track_id, votes, total_votes,
-  offset_frames, round(votes / greatest(max(votes) OVER (), 1), 6) AS confidence, round(offset_frames * 1024 / 11025.0::DOUBLE, 6) AS offset_seconds FROM best QUALIFY rank <= 10""")
+@query(f"""{LP_BOTH}, {VOTES} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, total_votes DESC, abs(offset_frames), track_id)::INTEGER AS rank, track_id, votes, total_votes,
+  offset_frames, round(votes / greatest(max(votes) OVER (PARTITION BY query_id), 1), 6) AS confidence, round(offset_frames * 1024 / 11025.0::DOUBLE, 6) AS offset_seconds FROM best QUALIFY rank <= 10""")
 def match_topk_lp(spark, d) -> DataFrame:
     found = match.match(S.query_prints(spark, d, LP), S.index_prints(spark, d, LP), LP)
     return found.select("query_id", "rank", "track_id", "votes", "total_votes", "offset_frames", F.round("confidence", 6).alias("confidence"), F.round("offset_seconds", 6).alias("offset_seconds"))
 
 
 @query(f"""WITH {CELLS}, {CLIP}, {QH_PEAKS.format(name='pk', source='cells')}, {QUAD_VALUES.format(name='iv', source='pk')}, {QH_PEAKS.format(name='qk', source='clip')}, {QUAD_VALUES.format(name='qv', source='qk')},
-fp AS (SELECT track_id, [b0] || bs || ds AS hash, anchor_t FROM iv), q AS (SELECT 0::BIGINT AS query_id, [b0] || bs || ds AS hash, anchor_t AS t1 FROM qv), {VOTES}
-SELECT query_id, row_number() OVER (ORDER BY votes DESC, total_votes DESC, track_id)::INTEGER AS rank, track_id, votes, total_votes, offset_frames,
-  round(votes / greatest((SELECT count(*) FROM q), 1), 6) AS confidence FROM best WHERE votes >= 3 AND votes / greatest((SELECT count(*) FROM q), 1) >= 0.01 QUALIFY rank <= 10""")
+fp AS (SELECT track_id, [b0] || bs || ds AS hash, anchor_t FROM iv), q AS (SELECT track_id AS query_id, [b0] || bs || ds AS hash, anchor_t AS t1 FROM qv), {VOTES}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, total_votes DESC, track_id)::INTEGER AS rank, track_id, votes, total_votes, offset_frames,
+  round(votes / greatest((SELECT count(*) FROM q WHERE q.query_id = best.query_id), 1), 6) AS confidence FROM best WHERE votes >= 3 AND votes / greatest((SELECT count(*) FROM q WHERE q.query_id = best.query_id), 1) >= 0.01 QUALIFY rank <= 10""")
 def match_topk_qh(spark, d) -> DataFrame:
     found = match.match(S.query_prints(spark, d, QH), S.index_prints(spark, d, QH), QH)
     return found.select("query_id", "rank", "track_id", "votes", "total_votes", "offset_frames", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""{AC_INDEX}, {CLIP}, cscaled AS (SELECT track_id, t, f, m * m AS m FROM clip), {box('cscaled', 'qk', 'f BETWEEN 4 AND 59')}, qtop AS (SELECT * FROM qk WHERE rk <= 30),
-{pairs('qtop', 'qr', 'b.m DESC, b.t, b.f', 10, 32)}, q AS (SELECT 0::BIGINT AS query_id, {PACK16Q} AS hash, anchor_t AS t1 FROM qr), {VOTES}
-SELECT query_id, row_number() OVER (ORDER BY votes DESC, track_id)::INTEGER AS rank, track_id, votes, total_votes, offset_frames, round(votes / greatest((SELECT count(*) FROM q), 1), 6) AS confidence,
+{pairs('qtop', 'qr', 'b.m DESC, b.t, b.f', 10, 32)}, q AS (SELECT track_id AS query_id, {PACK16Q} AS hash, anchor_t AS t1 FROM qr), {VOTES}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, track_id)::INTEGER AS rank, track_id, votes, total_votes, offset_frames, round(votes / greatest((SELECT count(*) FROM q WHERE q.query_id = best.query_id), 1), 6) AS confidence,
   round(offset_frames * 512 / 11025.0::DOUBLE, 6) AS offset_seconds FROM best QUALIFY rank <= 10""")
 def match_topk_ac(spark, d) -> DataFrame:
     clip = S.clip_cells(spark, d).withColumn("m", F.col("m") * F.col("m"))
-    prints = landmarks.fingerprints(peaks(clip, AC_POWER, query=True), AC_POWER).select(F.lit(0).cast("bigint").alias("query_id"), "hash", F.col("anchor_t").alias("t1"))
+    prints = landmarks.fingerprints(peaks(clip, AC_POWER, query=True), AC_POWER).select(F.col("track_id").alias("query_id"), "hash", F.col("anchor_t").alias("t1"))
     found = match.match(prints, landmarks.fingerprints(peaks(_powers(spark, d), AC_POWER), AC_POWER), AC_POWER)
     return found.select("query_id", "rank", "track_id", "votes", "total_votes", "offset_frames", F.round("confidence", 6).alias("confidence"), F.round("offset_seconds", 6).alias("offset_seconds"))
 
@@ -191,8 +191,8 @@ TRACKS = "tracks AS (SELECT DISTINCT (vec_id % 10 % 3)::INTEGER AS segment_id, v
 @query(f"""{LP_BOTH}, {TRACKS}, {VOTES}, named AS (SELECT * FROM best JOIN tracks USING (track_id)), merged AS (
   SELECT query_id, artist, album, title, sum(votes)::BIGINT AS votes, sum(total_votes)::BIGINT AS total_votes,
     first(offset_frames ORDER BY votes DESC, abs(offset_frames), offset_frames, segment_id) AS offset_frames FROM named GROUP BY ALL
-) SELECT query_id, row_number() OVER (ORDER BY votes DESC, total_votes DESC, abs(offset_frames), artist || '/' || album || '/' || title)::INTEGER AS rank, artist, album, title, votes, total_votes, offset_frames,
-  round(votes / greatest(max(votes) OVER (), 1), 6) AS confidence FROM merged QUALIFY rank <= 10""")
+) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, total_votes DESC, abs(offset_frames), artist || '/' || album || '/' || title)::INTEGER AS rank, artist, album, title, votes, total_votes, offset_frames,
+  round(votes / greatest(max(votes) OVER (PARTITION BY query_id), 1), 6) AS confidence FROM merged QUALIFY rank <= 10""")
 def match_segments_merge(spark, d) -> DataFrame:
     prints = S.index_prints(spark, d, LP).withColumn("segment_id", F.expr("cast(track_id % 3 as int)"))
     found = match.match_segments(S.query_prints(spark, d, LP), prints, S.tracks(spark, d), LP)
@@ -216,20 +216,19 @@ def match_metadata_left(spark, d) -> DataFrame:
 @query("""SELECT l_orderkey AS track_id, l_linenumber AS line, 'part ' || l_partkey AS title, coalesce(o_orderpriority, 'unknown') AS album, coalesce(n_name, 'unknown') AS artist
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def lookup_chain(spark, d) -> DataFrame:
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track_id"), F.col("l_linenumber").alias("line"), F.concat(F.lit("part "), "l_partkey").alias("title"))
-    albums = table(spark, d, "orders").select(F.col("o_orderkey").alias("track_id"), F.col("o_orderpriority").alias("album"), F.col("o_custkey").alias("c_custkey"))
-    relations = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    artists = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("artist"))
-    unknown = lambda c: F.coalesce(F.col(c), F.lit("unknown")).alias(c)
-    joined = lines.join(albums, "track_id", "left").join(relations, "c_custkey", "left").join(F.broadcast(artists), "n_nationkey", "left")  # 25 nations
-    return joined.select("track_id", "line", "title", unknown("album"), unknown("artist"))
+    lines = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("track_id"), F.concat(F.lit("part "), "l_partkey").alias("title"), F.col("l_orderkey").alias("album_id"))
+    orders, customers = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("artist_id"))
+    relations = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("album_id"), "artist_id")
+    artists = table(spark, d, "nation").select(F.col("n_nationkey").alias("artist_id"), F.col("n_name").alias("artist"))
+    found = catalog.look_up_chain(lines, orders.select(F.col("o_orderkey").alias("album_id"), F.col("o_orderpriority").alias("album")), relations, artists)
+    return found.select(F.col("track_id.l_orderkey").alias("track_id"), F.col("track_id.l_linenumber").alias("line"), "title", "album", "artist")
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS price
-FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+FROM orders""")
 def upsert_merge(spark, d) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    existing = orders.where("id % 2 = 0").select("id", F.lit("old").alias("state"), "price")
+    existing = orders.where("id % 9 <> 0").select("id", F.lit("old").alias("state"), "price")
     incoming = orders.where("id % 3 = 0").select("id", F.lit("new").alias("state"), F.round(F.col("price") * 2, 2).alias("price"))
     return catalog.upsert(existing, incoming, "id")
 
@@ -242,8 +241,8 @@ def missing_antijoin(spark, d) -> DataFrame:
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def exists_semijoin(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    return docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("doc_id").alias("rel_path"))
+    return index.indexed(docs, table(spark, d, "labels").select(F.col("doc_id").alias("rel_path"))).drop("rel_path")
 
 
 @query("""SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderdate > TIMESTAMP '1998-01-01 00:00:00' - INTERVAL 24 HOUR AND o_orderstatus = 'F')""")
@@ -263,12 +262,13 @@ def album_gate(spark, d) -> DataFrame:
 @query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer WHERE c_acctbal IS NULL OR c_acctbal < 0 ORDER BY c_custkey LIMIT 50 OFFSET 20")
 def paged_find(spark, d) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")).where("balance is null or balance < 0")
-    return rows.orderBy("id").offset(20).limit(50)  # the page is the feature
+    last = catalog.after(rows, "id", None, 20).agg(F.max("id")).first()[0]
+    return catalog.after(rows, "id", last, 50)  # the page is the feature
 
 
 @query("""WITH p AS (SELECT conv_id, turn, text, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT conv_id, turn, any_value(text) AS text FROM conversations GROUP BY ALL)),
 r AS (SELECT conv_id, turn, text, min(turn) OVER (PARTITION BY conv_id, run) AS head FROM p)
-SELECT conv_id || ':' || head AS url, count(*) AS n_pages, string_agg(md5(coalesce(text, '')), ',' ORDER BY turn) AS items FROM r WHERE turn - head < 200 GROUP BY conv_id, head""")
+SELECT conv_id || ':' || head AS url, count(*) AS n_pages, string_agg(md5(coalesce(text, '')), ',' ORDER BY turn) AS items FROM r WHERE turn - head <= 200 GROUP BY conv_id, head""")
 def page_chain_merge(spark, d) -> DataFrame:
     turns = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.first("text").alias("text"))
     name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
@@ -278,20 +278,30 @@ def page_chain_merge(spark, d) -> DataFrame:
     return catalog.merge_page_chains(pages).select("url", F.col("n_pages").cast("bigint").alias("n_pages"), F.array_join("items", ",").alias("items"))
 
 
-@query("""SELECT event_id, coalesce(TRY_CAST(props ->> '$.k' AS BIGINT), 0) AS k, coalesce(props ->> '$.absent', '') AS absent FROM events WHERE (props ->> '$.error') IS NULL""")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN coalesce(TRY_CAST(props ->> '$.k' AS DOUBLE), 0) WHEN 1 THEN 1.5 ELSE 0 END::DOUBLE AS k,
+  CASE event_id % 6 WHEN 2 THEN '5' WHEN 4 THEN 'v"' || user_id ELSE '' END AS k_text, '' AS absent
+FROM events WHERE (props ->> '$.error') IS NULL""")
 def json_cache_extract(spark, d) -> DataFrame:
-    rows = catalog.without_errors(table(spark, d, "events").select("event_id", F.col("props").alias("data")))
-    return rows.select("event_id", text.dynamic_number(F.col("data"), "$.k").alias("k"), text.dynamic_text(F.col("data"), "$.absent").alias("absent"))
-
-
-@query(r"""SELECT page_id, nullif(regexp_extract(link, '^https?://[^/]+/([a-z]+)/([0-9A-Za-z]{22})(?:[/?#].*)?$', 1), '') AS kind, nullif(regexp_extract(link, '^https?://[^/]+/([a-z]+)/([0-9A-Za-z]{22})(?:[/?#].*)?$', 2), '') AS id,
-  CASE WHEN regexp_extract(link, '^https?://[^/]+/([a-z]+)/([0-9A-Za-z]{22})(?:[/?#].*)?$', 2) = '' THEN 'not an identifier' END AS reason
-FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^(https?://[^/]+/[a-z]+/).*$', '\1') || left(md5(url), 22) || '?si=1' ELSE url END AS link FROM pages)""")
+    # the member k as a whole number, a fraction, a number in a string, an object, a string and a truth value
+    user = F.concat(F.lit('{"k": "v\\"'), F.col("user_id").cast("string"), F.lit('"}'))
+    kind = F.col("event_id") % 6
+    data = F.when(kind == 0, F.col("props")).when(kind == 1, '{"k": 1.5}').when(kind == 2, '{"k": "5"}').when(kind == 3, '{"k": {"a": 1}}').when(kind == 4, user).otherwise('{"k": true}')
+    rows = catalog.without_errors(table(spark, d, "events").where("get_json_object(props, '$.error') is null").select("event_id", data.alias("data")))
+    k = F.col("data")
+    return rows.select("event_id", text.dynamic_number(k, "$.k").alias("k"), text.dynamic_text(k, "$.k").alias("k_text"), text.dynamic_text(k, "$.absent").alias("absent"))
+
+
+@query(r"""SELECT page_id, CASE WHEN page_id % 5 IN (0, 1) THEN kind END AS kind, CASE WHEN page_id % 5 <= 2 THEN id END AS id,
+  CASE page_id % 5 WHEN 3 THEN 'unsupported host' WHEN 4 THEN 'not an identifier' END AS reason
+FROM (SELECT page_id, ['track', 'album', 'artist'][page_id % 3 + 1] AS kind, left(md5(url), 22) AS id FROM pages)""")
 def url_resolve(spark, d) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", "url")
-    made = F.concat(F.regexp_replace("url", "^(https?://[^/]+/[a-z]+/).*$", "$1"), F.left(F.md5("url"), F.lit(22)), F.lit("?si=1"))
-    link = F.when(F.col("page_id") % 3 == 0, made).otherwise(F.col("url"))
-    return pages.select("page_id", text.resolve_id(link).alias("r")).select("page_id", "r.*")
+    ident, kind = F.left(F.md5("url"), F.lit(22)), F.element_at(F.array(F.lit("track"), F.lit("album"), F.lit("artist")), (F.col("page_id") % 3 + 1).cast("int"))
+    forms = [
+        F.concat(F.lit("https://open.spotify.com/"), kind, F.lit("/"), ident, F.lit("?si=1")), F.concat(F.lit(" spotify:"), kind, F.lit(":"), ident), ident,
+        F.concat(F.lit("https://evil.example/"), kind, F.lit("/"), ident), F.concat(F.lit("http://spotify.com/"), kind, F.lit("/x")),
+    ]
+    link = F.element_at(F.array(*forms), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", text.resolve_id(link).alias("r")).select("page_id", "r.*")
 
 
 @query(r"""WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '') AS p FROM pages)
@@ -323,25 +333,30 @@ def text_normalize(spark, d) -> DataFrame:
 
 _OVERLAP = """n AS (SELECT b.item_id, d.doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(b.text), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'), ' '), ' '), lambda x: x <> '') AS e,
   list_filter(string_split(trim(regexp_replace(regexp_replace(lower(d.text), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'), ' '), ' '), lambda x: x <> '') AS c
-  FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)"""
+  FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n_items FROM benchmark) b JOIN documents d ON d.doc_id % b.n_items = b.place)"""
+
+
+def _placed_items(spark, d) -> tuple[DataFrame, int]:
+    """(items with their places from 0 in the order of ids, their number): every item is paired with the documents of its place."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("expected"))
+    return index.number_tracks(items, "item_id", "place"), max(items.count(), 1)
 
 
 @query(f"WITH {_OVERLAP} SELECT item_id, doc_id, CASE WHEN len(e) > 0 THEN round(len(list_filter(e, lambda x: list_contains(c, x))) / len(e)::DOUBLE, 3) ELSE 0 END AS overlap FROM n")
 def token_overlap(spark, d) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("expected"))
-    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(items, "item_id").select("item_id", "doc_id", text.token_overlap(F.col("expected"), F.col("text")).alias("overlap"))
+    items, n = _placed_items(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("place"))
+    return docs.join(items, "place").select("item_id", "doc_id", text.token_overlap(F.col("expected"), F.col("text")).alias("overlap"))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS query_id, o_custkey % 12 AS k FROM orders), r AS (SELECT query_id, CASE WHEN k BETWEEN 1 AND 10 THEN k ELSE 0 END AS rank FROM a)
 SELECT i::INTEGER AS rank, count(query_id) AS n, (SELECT round(sum(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END) / count(*), 6)::DOUBLE FROM r) AS mrr FROM range(1, 11) t(i) LEFT JOIN r ON r.rank = i GROUP BY i""")
 def rank_histogram_mrr(spark, d) -> DataFrame:
     answers = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 12).alias("k"))
-    expected = answers.select("query_id", F.concat(F.lit("song "), "k").alias("expected"))
-    candidates = answers.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")).withColumn("candidate", F.concat(F.lit("song "), "rank"))
-    # exact names only: contained and fuzzy matches are off for this check
-    hit = F.min(F.when(text.normalise(F.col("expected")) == text.normalise(F.col("candidate")), F.col("rank")))
-    found = expected.join(candidates, "query_id").groupBy("query_id").agg(F.coalesce(hit, F.lit(0)).alias("rank"))
+    # names of one token, none part of another: song1x, song10x
+    expected = answers.select("query_id", F.concat(F.lit("song"), "k", F.lit("x")).alias("expected"))
+    candidates = answers.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")).withColumn("candidate", F.concat(F.lit("song"), "rank", F.lit("x")))
+    found = evaluate.ranks(expected, candidates)
     mrr = evaluate.summary(found).select(F.round("mrr", 6).alias("mrr"))  # one row
     return evaluate.histogram(found).crossJoin(F.broadcast(mrr))
 
@@ -381,10 +396,10 @@ def latest_by_key(spark, d) -> DataFrame:
     return catalog.latest(rows, "user_id", F.struct("ts", "event_id"))
 
 
-@query(f"""{LP_INDEX} SELECT track_id, hash, anchor_t, lpad(printf('%x', hash), 16, '0') AS hash_hex FROM fp WHERE hash IN (SELECT hash FROM fp WHERE track_id = 0)""")
+@query(f"""{LP_INDEX} SELECT track_id, hash, anchor_t, lpad(printf('%x', hash), 16, '0') AS hash_hex FROM fp WHERE hash IN (SELECT hash FROM fp WHERE anchor_t % 2 = 0)""")
 def hash_lookup(spark, d) -> DataFrame:
     prints = S.index_prints(spark, d, LP)
-    return index.look_up(prints, prints.where("track_id = 0").select("hash")).select("track_id", "hash", "anchor_t", hashing.hash_hex(F.col("hash")).alias("hash_hex"))
+    return index.look_up(prints, prints.where("anchor_t % 2 = 0").select("hash")).select("track_id", "hash", "anchor_t", hashing.hash_hex(F.col("hash")).alias("hash_hex"))
 
 
 @query(f"""{LP_INDEX} SELECT track_id::VARCHAR AS track_id, hash, anchor_t FROM fp""")
@@ -393,10 +408,10 @@ def kv_round_trip(spark, d) -> DataFrame:
 
 
 @query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS id, coalesce(a.o_orderpriority, b.o_orderpriority) AS name, CASE WHEN b.o_orderkey IS NOT NULL THEN TIMESTAMP '2000-01-01 00:00:00' ELSE a.o_orderdate END AS updated_at
-FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) b ON a.o_orderkey = b.o_orderkey""")
+FROM (SELECT * FROM orders WHERE o_orderkey % 9 <> 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) b ON a.o_orderkey = b.o_orderkey""")
 def touch_upsert(spark, d) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"))
-    return catalog.touch(orders.where("id % 2 = 0"), orders.where("id % 3 = 0"), "id", F.expr("timestamp_ntz'2000-01-01 00:00:00'"))
+    return catalog.touch(orders.where("id % 9 <> 0"), orders.where("id % 3 = 0"), "id", F.expr("timestamp_ntz'2000-01-01 00:00:00'"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 300 ELSE p_size END::INTEGER AS duration FROM part""")
@@ -413,8 +428,7 @@ def crawl_flag(spark, d) -> DataFrame:
 
 @query("""SELECT event_id, k AS name, props ->> ('$."' || k || '"') AS url FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
 def seed_objects(spark, d) -> DataFrame:
-    rows = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return rows.select("event_id", F.explode("m").alias("name", "url"))
+    return catalog.seeds(table(spark, d, "events"), "props", keep=("event_id",))
 
 
 @query(r"""SELECT p_partkey AS id, regexp_replace(p_name, '\s+', '_', 'g') AS file, CASE WHEN contains(lower(p_type), 'png') THEN '.png' WHEN contains(lower(p_type), 'webp') THEN '.webp' WHEN contains(lower(p_type), 'bmp') THEN '.bmp' WHEN contains(lower(p_type), 'gif') THEN '.gif' ELSE '.jpg' END AS ext,
@@ -436,21 +450,21 @@ def hash_layouts(spark, d) -> DataFrame:
 
 
 @query(f"""{LP_BOTH.replace("WITH ", "WITH RECURSIVE ", 1)}, {TRACKS}, {VOTES}, named AS (
-  SELECT *, row_number() OVER (PARTITION BY artist, album, title ORDER BY segment_id, votes DESC, total_votes DESC, abs(offset_frames), track_id) AS n FROM best JOIN tracks USING (track_id)
+  SELECT *, row_number() OVER (PARTITION BY query_id, artist, album, title ORDER BY segment_id, votes DESC, total_votes DESC, abs(offset_frames), track_id) AS n FROM best JOIN tracks USING (track_id)
 ), fold AS (
   SELECT query_id, artist, album, title, n, votes::BIGINT AS votes, total_votes, offset_frames FROM named WHERE n = 1
   UNION ALL
   SELECT f.query_id, f.artist, f.album, f.title, x.n, f.votes + x.votes, f.total_votes + x.total_votes, CASE WHEN x.votes > f.votes THEN x.offset_frames ELSE f.offset_frames END
-  FROM fold f JOIN named x ON x.artist = f.artist AND x.album = f.album AND x.title = f.title AND x.n = f.n + 1
-) SELECT query_id, artist, album, title, votes, total_votes, offset_frames FROM fold QUALIFY row_number() OVER (PARTITION BY artist, album, title ORDER BY n DESC) = 1""")
+  FROM fold f JOIN named x ON x.query_id = f.query_id AND x.artist = f.artist AND x.album = f.album AND x.title = f.title AND x.n = f.n + 1
+) SELECT query_id, artist, album, title, votes, total_votes, offset_frames FROM fold QUALIFY row_number() OVER (PARTITION BY query_id, artist, album, title ORDER BY n DESC) = 1""")
 def match_segments_compat(spark, d) -> DataFrame:
     prints = S.index_prints(spark, d, LP).withColumn("segment_id", F.expr("cast(track_id % 3 as int)"))
     found = match.match_segments(S.query_prints(spark, d, LP), prints, S.tracks(spark, d), LP, compat=True)
     return found.select("query_id", "artist", "album", "title", "votes", "total_votes", "offset_frames")
 
 
-@query(f"""{LP_BOTH}, {VOTES} SELECT query_id, row_number() OVER (ORDER BY votes DESC, total_votes DESC, abs(offset_frames), track_id)::INTEGER AS rank,
-  printf('%2d. %s (votes %d, offset %d, confidence %.3f)', rank, track_id::VARCHAR, votes, offset_frames, votes / greatest(max(votes) OVER (), 1)::DOUBLE) AS line FROM best QUALIFY rank <= 10""")
+@query(f"""{LP_BOTH}, {VOTES} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, total_votes DESC, abs(offset_frames), track_id)::INTEGER AS rank,
+  printf('%2d. %s (votes %d, offset %d, confidence %.3f)', rank, track_id::VARCHAR, votes, offset_frames, votes / greatest(max(votes) OVER (PARTITION BY query_id), 1)::DOUBLE) AS line FROM best QUALIFY rank <= 10""")
 def match_lines(spark, d) -> DataFrame:
     return match.printed(match.match(S.query_prints(spark, d, LP), S.index_prints(spark, d, LP), LP))
 
@@ -460,16 +474,18 @@ _N = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]+', ' ', 'g'), '
 
 @query(f"""WITH c AS (
   SELECT b.item_id AS query_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank, {_N.format('b.text')} AS e, {_N.format('d.text')} AS t
-  FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id
+  FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n_items FROM benchmark) b LEFT JOIN documents d ON d.doc_id % b.n_items = b.place
 ), j AS (
   SELECT query_id, rank, e = t OR (e <> '' AND contains(t, e)) OR (e <> '' AND round(len(list_filter(string_split(e, ' '), lambda x: list_contains(string_split(t, ' '), x))) / len(string_split(e, ' '))::DOUBLE, 3) >= 0.6) AS hit FROM c
 )
 SELECT query_id, coalesce(min(CASE WHEN hit AND rank <= 10 THEN rank END), 0)::INTEGER AS rank FROM j GROUP BY query_id""")
 def rank_cascade(spark, d) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("expected"))
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", F.col("text").alias("candidate"))
-    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
-    return evaluate.ranks(items, ranked).where("rank is not null").join(docs.select("query_id").distinct(), "query_id", "left_semi")
+    items, n = _placed_items(spark, d)
+    items = items.withColumnRenamed("item_id", "query_id")
+    docs = table(spark, d, "documents").select((F.col("doc_id") % n).alias("place"), "doc_id", F.col("text").alias("candidate"))
+    # no more than the first ten are asked for
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy("doc_id"))).where("rank <= 10")
+    return evaluate.ranks(items.select("query_id", "expected"), ranked.join(items.select("place", "query_id"), "place").select("query_id", "rank", "candidate"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS text,
@@ -494,3 +510,148 @@ def first_relations(spark, d) -> DataFrame:
     place = F.struct("l_linenumber", "l_partkey").alias("place")  # line numbers repeat
     relations = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("album_id"), place, F.col("l_partkey").alias("artist_id"))
     return catalog.first_relation(relations, "album_id", "place").select("album_id", "artist_id")
+
+
+# ---- operators that read or write files: the files are made from the tables
+
+
+@query("""SELECT user_id % 50 AS clip, count(*) AS n, sum(event_id * 7919 % 20001 - 10000)::BIGINT AS total, max(event_id * 7919 % 20001 - 10000)::BIGINT AS top FROM events GROUP BY 1""")
+def wav_decode(spark, d) -> DataFrame:
+    """Samples of 16-bit WAV clips, decoded from the bytes of a container at the preset's rate."""
+    clips = _wav_clips(table(spark, d, "events").select((F.col("user_id") % 50).alias("clip"), "event_id", (F.col("event_id") * 7919 % 20001 - 10000).alias("x")))
+    return _decoded(clips).groupBy("clip").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top"))
+
+
+def _wav_clips(samples: DataFrame) -> DataFrame:
+    """(clip, name, content): a WAV file of each clip's samples x in the order of event_id."""
+    def run(group):
+        import io
+        import wave
+
+        import pandas as pd
+
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(11025)
+            w.writeframes(group.sort_values("event_id")["x"].to_numpy().astype("<i2").tobytes())
+        return pd.DataFrame({"clip": [group["clip"].iloc[0]], "name": ["c.wav"], "content": [out.getvalue()]})
+
+    return samples.groupBy("clip").applyInPandas(run, "clip bigint, name string, content binary")
+
+
+def _decoded(clips: DataFrame) -> DataFrame:
+    from ..sources.audio import decode
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for clip, name, data in zip(batch["clip"], batch["name"], batch["content"], strict=True):
+                x = np.rint(decode(bytes(data), name, 11025)[0] * 32768).astype(np.int64)
+                yield pd.DataFrame({"clip": [clip], "n": [len(x)], "total": [int(x.sum())], "top": [int(x.max())]})
+
+    return clips.mapInPandas(run, "clip bigint, n bigint, total bigint, top bigint")
+
+
+def _stored(spark, d) -> str:
+    """The path of an index of the surrogate tracks: three segments, the second written again as a fourth, and a run that failed before its line."""
+    import uuid
+
+    from ..recovery import shared_dir
+
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    tracks, prints = S.tracks(spark, d), S.index_prints(spark, d, LP).withColumn("segment_id", F.expr("cast(track_id % 3 as int)"))
+    for part in (0, 1, 2, 1):
+        index.write_segment(tracks.where(F.col("segment_id") == part).drop("segment_id"), prints.where(F.col("segment_id") == part).drop("segment_id"), root, LP)
+    tracks.drop("segment_id").write.parquet(f"{root}/tracks/segment_id=4/run=rfailed")
+    prints.drop("segment_id").write.parquet(f"{root}/fingerprints/segment_id=4/run=rfailed")
+    return root
+
+
+@query(f"WITH {TRACKS} SELECT s::INTEGER AS segment_id, count(track_id)::INTEGER AS num_tracks, {LP.sample_rate} AS sr, {LP.window} AS frame, {LP.hop} AS hop FROM range(4) r(s) LEFT JOIN tracks ON segment_id = CASE s WHEN 3 THEN 1 ELSE s END GROUP BY s")
+def segment_manifest(spark, d) -> DataFrame:
+    """The manifest of a stored index."""
+    return index.with_defaults(index.manifest(spark, _stored(spark, d)), LP).select("segment_id", "num_tracks", "params.*")
+
+
+@query(f"{LP_INDEX}, {TRACKS} SELECT CASE segment_id WHEN 1 THEN 3 ELSE segment_id END AS segment_id, track_id, hash, anchor_t FROM fp JOIN tracks USING (track_id)")
+def segment_postings(spark, d) -> DataFrame:
+    """Postings of a stored index: of a track indexed again those of its latest segment, none of a failed run."""
+    return index.current(*index.read_index(spark, _stored(spark, d)))[1].select("segment_id", "track_id", "hash", "anchor_t")
+
+
+@query(f"""{LP_INDEX}, {TRACKS}, ids AS (SELECT *, (row_number() OVER (ORDER BY CASE segment_id WHEN 1 THEN 3 ELSE segment_id END, track_id) - 1)::BIGINT AS new_id FROM tracks)
+SELECT new_id AS track_id, hash, anchor_t FROM fp JOIN ids USING (track_id)""")
+def segment_compaction(spark, d) -> DataFrame:
+    """Postings after all segments of a stored index became one."""
+    return index.compact(*index.current(*index.read_index(spark, _stored(spark, d))))[1]
+
+
+@query(f"""{LP_BOTH}, {TRACKS}, {VOTES} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, total_votes DESC, abs(offset_frames), title, track_id)::INTEGER AS rank, track_id, title, votes
+FROM best JOIN tracks USING (track_id) QUALIFY rank <= 10""")
+def match_titles(spark, d) -> DataFrame:
+    """Matches with their names; equal ones are in the order of titles."""
+    names = S.tracks(spark, d).select("track_id", "title")
+    return match.match(S.query_prints(spark, d, LP), S.index_prints(spark, d, LP), LP, names).select("query_id", "rank", "track_id", "title", "votes")
+
+
+@query(f"""{LP_BOTH}, {VOTES}, ranked AS (SELECT query_id, track_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, total_votes DESC, abs(offset_frames), track_id) AS rank FROM best),
+r AS (SELECT query_id, coalesce(min(CASE WHEN track_id = query_id AND rank <= 10 THEN rank END), 0) AS rank FROM ranked GROUP BY query_id)
+SELECT count(*) AS n, count(*) FILTER (rank > 0) AS found, round(sum(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END)::DOUBLE / count(*), 6) AS mrr FROM r""")
+def batch_accuracy(spark, d) -> DataFrame:
+    """Accuracy of a batch of clips: the rank of each clip's own track among its matches."""
+    name = lambda c: F.concat(F.lit("track"), F.col(c), F.lit("x"))
+    found = match.match(S.query_prints(spark, d, LP), S.index_prints(spark, d, LP), LP)
+    expected = found.select("query_id").distinct().select("query_id", name("query_id").alias("expected"))
+    ranks = evaluate.ranks(expected, found.select("query_id", "rank", name("track_id").alias("candidate")))
+    return evaluate.summary(ranks).select("n", "found", F.round("mrr", 6).alias("mrr"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT c_custkey AS k FROM customer), n AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM p),
+c AS (SELECT k, i, i // 250 AS grp, i % 250 AS at, least(250, n - i // 250 * 250) AS size FROM n), h AS (SELECT grp, min(k) AS head, any_value(size) AS size FROM c GROUP BY grp)
+SELECT 'c' || head AS url, least(h.size, 201)::BIGINT AS n_pages, (SELECT sum(k) FROM c WHERE c.grp = h.grp AND c.at <= 200)::BIGINT AS total FROM h
+UNION ALL SELECT 'e' || lpad(o::VARCHAR, 12, '0') AS url, 3 AS n_pages, (3 * o + 3)::BIGINT AS total FROM (SELECT DISTINCT o_custkey * 10 AS o FROM orders)""")
+def page_chains_long(spark, d) -> DataFrame:
+    """Chains of 250 pages, of which 201 are merged, and cycles of three pages, merged from their least page."""
+    keys = index.number_tracks(table(spark, d, "customer").select(F.col("c_custkey").alias("k")).distinct(), "k", "i")
+    after = keys.select((F.col("i") - 1).alias("i"), F.col("k").alias("next"))
+    chains = keys.join(after, "i", "left").select(
+        F.concat(F.lit("c"), "k").alias("url"), F.when(F.col("i") % 250 < 249, F.concat(F.lit("c"), "next")).alias("next"), F.array(F.col("k").cast("string")).alias("items"))
+    name = lambda c: F.concat(F.lit("e"), F.lpad(c.cast("string"), 12, "0"))
+    rings = table(spark, d, "orders").select((F.col("o_custkey") * 10).alias("o")).distinct().select("o", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
+    rings = rings.select(name(F.col("o") + F.col("j")).alias("url"), name(F.col("o") + (F.col("j") + 1) % 3).alias("next"), F.array((F.col("o") + F.col("j")).cast("string")).alias("items"))
+    merged = catalog.merge_page_chains(chains.union(rings))
+    return merged.select("url", F.col("n_pages").cast("bigint").alias("n_pages"), F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("total"))
+
+
+@query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'spotify:track:' || id WHEN 1 THEN 'spotify:album:' || id ELSE 'spotify:track:' || id END AS uri, CASE page_id % 2 WHEN 0 THEN id END AS seed,
+  'a song' || page_id AS base, coalesce(nullif(CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'x' END, ''), 'unknown') AS named
+FROM (SELECT page_id, left(md5(url), 22) AS id FROM pages)""")
+def identifier_forms(spark, d) -> DataFrame:
+    """Identifiers to download by, seeds of artists, clips' base names and names that may be blank."""
+    ident, k = F.left(F.md5("url"), F.lit(22)), F.col("page_id") % 3
+    uri = F.when(k == 1, F.concat(F.lit("spotify:album:"), ident)).otherwise(F.concat(F.lit("https://x.y/track/"), ident, F.lit("/?a=1")))
+    link = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://x.y/artist/"), ident, F.lit("?si=2"))).otherwise(F.lit("https://x.y/album/1"))
+    clip = F.concat(F.lit("a song"), "page_id", F.lit("_clip30.flac"))
+    blank = F.when(k == 0, "  ").when(k == 1, " x ")
+    return table(spark, d, "pages").select(
+        "page_id", text.download_uri(F.when(k == 0, ident).otherwise(F.lit("")), uri).alias("uri"), text.seed_id(link).alias("seed"), text.clip_base(clip).alias("base"), text.or_unknown(blank).alias("named"))
+
+
+@query("""SELECT o_orderkey AS album_id, 's' || l_suppkey AS id FROM (SELECT DISTINCT o_orderkey, o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE l_suppkey <> o_custkey""")
+def album_guests(spark, d) -> DataFrame:
+    """The other artists of albums with nested lists."""
+    lists = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("album_id")).agg(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey"))).alias("ids"))
+    albums = lists.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("album_id"), F.concat(F.lit("s"), F.col("o_custkey")).alias("own")), "album_id")
+    shaped = albums.select("own", F.transform("ids", lambda i: F.struct(i.alias("id"), F.col("album_id").alias("album_id"))).alias("artists"))
+    return catalog.other_artists(shaped, F.col("own")).select("album_id", "id")
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'absent' WHEN 2 THEN 'known' ELSE 'unknown' END AS status FROM orders")
+def duration_states(spark, d) -> DataFrame:
+    """What is known of a track's duration."""
+    k = F.col("o_orderkey") % 4
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), catalog.duration_status(F.when(k == 0, -1.0).when(k == 1, -2.0).when(k == 2, F.col("o_totalprice"))).alias("status"))

@@ -11,6 +11,7 @@ import shutil
 import subprocess
 import wave
 from collections.abc import Callable, Iterator
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -54,24 +55,58 @@ def split_quarantine(files: DataFrame, reason: Column) -> tuple[DataFrame, DataF
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
+def resample(samples: np.ndarray, rate: int, wanted: int, half: int = 16) -> np.ndarray:
+    """samples at another rate: a windowed sinc under the lower of both limits, one set of taps for each phase."""
+    if rate == wanted or not len(samples):
+        return samples
+    up, down = wanted // gcd(rate, wanted), rate // gcd(rate, wanted)
+    reach = half * max(1, -(-down // up))  # input samples on either side
+    taps = np.arange(-reach, reach + 1)
+    phases = np.arange(up)[:, None] / up - taps
+    limit = min(1.0, up / down)
+    filters = limit * np.sinc(limit * phases) * np.where(np.abs(phases) <= reach, 0.5 + 0.5 * np.cos(np.pi * phases / (reach + 1)), 0)
+    filters /= filters.sum(axis=1, keepdims=True)
+    padded = np.pad(samples, (reach, reach + 1))
+    n = -(-len(samples) * up // down)
+    out = np.empty(n)
+    for s in range(0, n, 65_536):  # bounded memory
+        at = np.arange(s, min(s + 65_536, n)) * down
+        rows = np.lib.stride_tricks.sliding_window_view(padded, len(taps))[at // up]
+        out[s : s + len(at)] = np.einsum("ij,ij->i", rows, filters[at % up])
+    return out
+
+
+def pcm(data: bytes, width: int) -> np.ndarray:
+    """Samples in [-1, 1) of little-endian PCM: 8 bits unsigned, 16, 24 and 32 bits signed."""
+    data = data[: len(data) // width * width]
+    if width == 1:
+        return (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    if width == 3:
+        wide = np.zeros((len(data) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+        return wide.view("<i4").ravel() / 2147483648.0
+    return np.frombuffer(data, f"<i{width}") / float(1 << (8 * width - 1))
+
+
 def decode(data: bytes, name: str, rate: int, most_seconds: int | None = None) -> tuple[np.ndarray | None, str | None]:
-    """(mono samples in [-1, 1), None) or (None, reason)."""
+    """(mono samples in [-1, 1) at the rate, None) or (None, reason)."""
     try:
         if name.lower().endswith(".wav"):
             with wave.open(io.BytesIO(data)) as w:
-                if w.getframerate() != rate:
-                    return None, f"rate {w.getframerate()}"
-                if w.getsampwidth() != 2:
+                if w.getsampwidth() > 4:
                     return None, f"sample width {w.getsampwidth()}"
-                samples = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768.0
+                samples = pcm(w.readframes(w.getnframes()), w.getsampwidth()).reshape(-1, w.getnchannels()).mean(axis=1)
+                if most_seconds:
+                    samples = samples[: most_seconds * w.getframerate()]
+                samples = resample(samples, w.getframerate(), rate)
         elif name.lower().endswith(".pcm"):
-            samples = np.frombuffer(data[: len(data) // 2 * 2], "<i2") / 32768.0
+            samples = pcm(data, 2)
         elif shutil.which("ffmpeg"):
             command = ["ffmpeg", "-nostdin", "-v", "error", "-i", "pipe:0", "-map", "a:0", "-ac", "1", "-ar", str(rate), "-f", "s16le", "pipe:1"]
             out = subprocess.run(command, input=data, capture_output=True, timeout=300, check=False)
             if out.returncode:
                 return None, "decoder failed"
-            samples = np.frombuffer(out.stdout[: len(out.stdout) // 2 * 2], "<i2") / 32768.0
+            samples = pcm(out.stdout, 2)
         else:
             return None, "no decoder"
     except (wave.Error, EOFError, ValueError, subprocess.TimeoutExpired) as e:
@@ -79,17 +114,24 @@ def decode(data: bytes, name: str, rate: int, most_seconds: int | None = None) -
     return (samples[: most_seconds * rate] if most_seconds else samples), None
 
 
-def clips_to_peaks(files: DataFrame, preset: Preset, query: bool = False, transform: Callable = np.fft.rfft, key: str = "rel_path") -> DataFrame:
-    """(key, t, f, m, ord) of every file's peaks."""
+def decoded_peaks(files: DataFrame, preset: Preset, query: bool = False, transform: Callable = np.fft.rfft, key: str = "rel_path") -> DataFrame:
+    """(key, reason, t, f, m, ord): the peaks of every file, or one row without a peak: with the reason of a file that can't be decoded."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, ident, data in zip(batch["name"], batch[key], batch["content"], strict=True):
-                samples, _ = decode(bytes(data), name, preset.sample_rate, preset.max_seconds)
-                if samples is not None:
-                    t, f, m, place = dsp.peaks(dsp.spectrogram(samples, preset, transform), preset, query)
-                    yield pd.DataFrame({key: ident, "t": t.astype(np.int32), "f": f.astype(np.int32), "m": m, "ord": place.astype(np.int32)})
+                samples, reason = decode(bytes(data), name, preset.sample_rate, preset.max_seconds)
+                t, f, m, place = (np.zeros(0),) * 4 if samples is None else dsp.peaks(dsp.spectrogram(samples, preset, transform), preset, query)
+                if len(t):
+                    yield pd.DataFrame({key: ident, "reason": None, "t": t.astype(np.int32), "f": f.astype(np.int32), "m": m, "ord": place.astype(np.int32)})
+                else:
+                    yield pd.DataFrame({key: [ident], "reason": [reason], "t": [None], "f": [None], "m": [None], "ord": [None]})
 
-    return files.select(key, "name", "content").mapInPandas(run, f"{key} string, t int, f int, m double, ord int")
+    return files.select(key, "name", "content").mapInPandas(run, f"{key} string, reason string, t int, f int, m double, ord int")
+
+
+def clips_to_peaks(files: DataFrame, preset: Preset, query: bool = False, transform: Callable = np.fft.rfft, key: str = "rel_path") -> DataFrame:
+    """(key, t, f, m, ord) of every file's peaks."""
+    return decoded_peaks(files, preset, query, transform, key).where("t is not null").drop("reason")
 
 
 def probe(files: DataFrame, preset: Preset, key: str = "rel_path") -> DataFrame:

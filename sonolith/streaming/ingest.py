@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators import index, landmarks
+from ..api import segment_of
+from ..operators import index
 from ..presets import Preset
+from ..recovery import cut
 from ..sources import audio
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -23,24 +27,25 @@ def stream_files(spark: SparkSession, root: str, glob: str = "*.[wW][aA][vV]", p
 
 
 def index_stream(files: DataFrame, root: str, preset: Preset, checkpoint: str, every: str | None = "2 seconds") -> StreamingQuery:
-    """Each micro-batch becomes a segment (segment_id = batch id); files already indexed are skipped. A batch that is run
-    again replaces its own segment, so a restart doubles nothing."""
+    """Each micro-batch becomes a segment with a line in the manifest; files already indexed are skipped. The segment's
+    run is named by the stream (its checkpoint's path) and the batch, so a batch that is run again adds nothing."""
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        index.check_parameters(spark, root, preset)
+        run = f"s{stream}-{batch_id}"
+        known = index.manifest(spark, root)
+        if not known.where(F.col("run") == run).isEmpty():
+            return
         batch = batch.dropDuplicates(["rel_path"])
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/tracks")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            batch = index.not_indexed(batch, spark.read.parquet(f"{root}/tracks").where(F.col("segment_id") != batch_id))
+        if not known.isEmpty():
+            batch = index.not_indexed(batch, index.read_index(spark, root)[0])
         valid, _ = audio.split_quarantine(batch, audio.quarantine_reason(F.col("name"), F.col("length")))
         valid = valid.persist()
         try:
-            tracks = audio.track_rows(valid).withColumn("track_id", F.xxhash64("rel_path"))
-            peaks = audio.clips_to_peaks(valid, preset).withColumn("track_id", F.xxhash64("rel_path")).drop("rel_path")
-            prints = landmarks.fingerprints(peaks, preset)
-            for df, name in ((tracks, "tracks"), (prints.repartition("hash").sortWithinPartitions("hash"), "fingerprints")):
-                out = df.withColumn("segment_id", F.lit(batch_id).cast("int")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                out.partitionBy("segment_id").parquet(f"{root}/{name}")
+            n, tracks, prints = segment_of(valid, cut(audio.decoded_peaks(valid, preset)), preset)
+            if n:
+                index.write_segment(tracks, prints, root, preset, run)
         finally:
             valid.unpersist()
 

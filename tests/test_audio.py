@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonolith.operators import landmarks, match
+from sonolith.operators import index, landmarks, match
 from sonolith.presets import AMPLITUDE, LANDMARK
 from sonolith.sources import audio
 from sonolith.streaming import ingest
@@ -64,7 +64,7 @@ def test_scan_quarantine_and_probe(spark, library):
     assert {(r.name, r.reason) for r in held.collect()} == {("tiny.wav", "too small")}
     assert spark.range(1).select(audio.quarantine_reason(F.lit("._x"), F.lit(99_999))).first()[0] == "hidden"
     found = {r.rel_path: r for r in audio.probe(files, LANDMARK).collect()}
-    assert found["wrong.wav"].reason == "rate 22050" and not found["tiny.wav"].readable
+    assert found["wrong.wav"].readable and not found["tiny.wav"].readable and found["tiny.wav"].reason.startswith("unreadable")
     assert abs(found["artist0/album/song0.WAV"].duration - 12) < 0.01
     assert audio.count_files(spark, str(library)).first().n_files >= 6
 
@@ -84,9 +84,78 @@ def test_stream_makes_segments_once(spark, library, tmp_path):
         query = ingest.index_stream(ingest.stream_files(spark, str(library)), root, LANDMARK, check, every=None)
         query.awaitTermination(120)
         assert query.exception() is None
-    tracks = spark.read.parquet(f"{root}/tracks")
+    tracks, prints = index.read_index(spark, root)
     assert tracks.count() == 5 and tracks.select("rel_path").distinct().count() == 5
-    assert spark.read.parquet(f"{root}/fingerprints").select("track_id").distinct().count() == 4
+    assert prints.select("track_id").distinct().count() == 5
+    assert [(r.segment_id, r.num_tracks) for r in index.manifest(spark, root).collect()] == [(0, 5)]
+
+
+@pytest.mark.parametrize("first", ["batch", "stream"])
+def test_batch_and_stream_share_an_index(spark, library, tmp_path, first):
+    from sonolith.api import Engine
+
+    one, two = tmp_path / "one" / "x" / "y", tmp_path / "two" / "x" / "y"
+    for k, folder in enumerate((one, two)):
+        folder.mkdir(parents=True)
+        (folder / f"t{k}.wav").write_bytes(wav(tones(k + 7, 6)))
+    engine = Engine(spark, str(tmp_path / "index"))
+
+    def batch(folder):
+        assert engine.add_segment(str(folder)) == 1
+
+    def stream(folder):
+        query = ingest.index_stream(ingest.stream_files(spark, str(folder)), engine.root, LANDMARK, str(tmp_path / "check"), every=None)
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    for step, folder in zip((batch, stream) if first == "batch" else (stream, batch), ("one", "two"), strict=True):
+        step(tmp_path / folder)
+    tracks, prints = index.read_index(spark, engine.root)
+    assert sorted((r.segment_id, r.rel_path) for r in tracks.select("segment_id", "rel_path").collect()) == [(0, "x/y/t0.wav"), (1, "x/y/t1.wav")]
+    assert prints.select("track_id").distinct().count() == 2
+
+
+def test_compaction_takes_the_latest_of_a_track(spark, tmp_path):
+    from sonolith.api import Engine
+
+    (tmp_path / "in" / "x" / "y").mkdir(parents=True)
+    (tmp_path / "in" / "x" / "y" / "one.wav").write_bytes(wav(tones(3, 6)))
+    engine = Engine(spark, str(tmp_path / "index"))
+    assert engine.add_segment(str(tmp_path / "in")) == 1 and engine.add_segment(str(tmp_path / "in"), force=True) == 1
+    engine.compact(str(tmp_path / "compact"))
+    tracks, prints = index.read_index(spark, str(tmp_path / "compact"))
+    assert [(r.track_id, r.rel_path) for r in tracks.collect()] == [(0, "x/y/one.wav")]
+    assert prints.count() * 2 == index.read_index(spark, engine.root)[1].count()
+
+
+def test_files_that_cannot_be_decoded_are_no_tracks(spark, tmp_path):
+    from sonolith.api import Engine
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "broken.wav").write_bytes(b"RIFF" + b"x" * 20_000)
+    (tmp_path / "in" / "small.wav").write_bytes(b"x")
+    (tmp_path / "in" / "good.wav").write_bytes(wav(tones(3, 6)))
+    engine = Engine(spark, str(tmp_path / "index"))
+    assert engine.add_segment(str(tmp_path / "in")) == 1
+    assert {r.rel_path: r.reason.split(":")[0] for r in engine.rejected(str(tmp_path / "in")).collect()} == {"broken.wav": "unreadable", "small.wav": "too small"}
+
+
+@pytest.mark.parametrize("rate", [44100, 22050, 8000, 16000])
+def test_resampling_keeps_tones(rate):
+    t = np.arange(rate) / rate
+    got = audio.resample(np.sin(2 * np.pi * 440 * t), rate, 11025)
+    want = np.sin(2 * np.pi * 440 * np.arange(11025) / 11025)
+    assert len(got) == 11025 and np.abs(got - want)[200:-200].max() < 0.01
+    if rate > 11025:  # what the lower rate can't hold is gone
+        assert np.abs(audio.resample(np.sin(2 * np.pi * 7000 * t), rate, 11025))[200:-200].max() < 0.05
+
+
+def test_sample_widths():
+    x = np.array([-1.0, -0.5, 0.0, 0.5])
+    assert np.allclose(audio.pcm(bytes(((x + 1) * 128).astype(np.uint8)), 1), x)
+    assert np.allclose(audio.pcm((x * 32768).astype("<i2").tobytes(), 2), x)
+    assert np.allclose(audio.pcm(b"".join(int(v * 8388608).to_bytes(3, "little", signed=True) for v in x), 3), x)
+    assert np.allclose(audio.pcm((x * 2147483648).astype("<i4").tobytes() + b"odd", 4), x)
 
 
 def test_engine_adds_queries_and_compacts(spark, library, tmp_path):

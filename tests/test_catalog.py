@@ -8,7 +8,7 @@ from sonolith.sources import landing
 
 def test_page_chains(spark):
     pages = spark.createDataFrame([("a", "b", ["1", "2"]), ("b", "c", ["3"]), ("c", "gone", ["4"]), ("x", None, ["9"]), ("p", "q", ["5"]), ("q", "p", ["6"])], "url string, next string, items array<string>")
-    assert {r.url: (r["items"], r.n_pages) for r in catalog.merge_page_chains(pages).collect()} == {"a": (["1", "2", "3", "4"], 3), "x": (["9"], 1)}
+    assert {r.url: (r["items"], r.n_pages) for r in catalog.merge_page_chains(pages).collect()} == {"a": (["1", "2", "3", "4"], 3), "x": (["9"], 1), "p": (["5", "6"], 2)}
     walked = catalog.follow_chain(spark, pages, spark.createDataFrame([("p",), ("b",)], "url string"))
     assert sorted(map(tuple, walked.collect())) == [("b", "b", 0), ("b", "c", 1), ("p", "p", 0), ("p", "q", 1)]
 
@@ -16,7 +16,7 @@ def test_page_chains(spark):
 def test_long_chain_is_cut(spark):
     pages = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}", [str(i)]) for i in range(205)], "url string, next string, items array<string>")
     got = catalog.merge_page_chains(pages).first()
-    assert got.url == "000" and got.n_pages == 200
+    assert got.url == "000" and got.n_pages == 201
 
 
 def test_landed_json(spark, tmp_path):
@@ -104,3 +104,15 @@ def test_monitoring(spark):
     assert [(r.total, r.delta, r.rate) for r in got] == [(3, 1, 0.2), (4, 1, 0.2)]
     s = monitor.status(spark.range(4), F.col("id") < 2, F.col("id") == 3).first()
     assert (s.total, s.done, s.errors, s.in_flight, s.percent) == (4, 2, 1, 1, 50.0)
+
+
+def test_chunks_keep_all_columns(spark):
+    rows = spark.createDataFrame([(i, 100 - i) for i in range(7)], "track_id int, x int")
+    got = catalog.chunks(rows, "x", 3).collect()
+    assert sorted((r.track_id, r.x, r.chunk) for r in got) == [(i, 100 - i, (6 - i) // 3) for i in range(7)]
+
+
+def test_crawl_goes_to_the_end(spark):
+    start = spark.createDataFrame([(0,), (None,)], "id int")
+    got = catalog.crawl(start, lambda f: f.where("id < 55").selectExpr("id + 1 as id").union(f.selectExpr("cast(null as int)")))
+    assert sorted(r.id for r in got.collect()) == list(range(56))

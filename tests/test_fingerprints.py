@@ -150,11 +150,11 @@ def test_compaction_keeps_results(spark):
 def test_index_on_disk(spark, tmp_path):
     root = str(tmp_path / "index")
     tracks = spark.createDataFrame([(0, "a/b/c.wav"), (1, "d.wav")], "track_id bigint, rel_path string")
-    index.write_segment(tracks, prints(spark), root, 0, LANDMARK)
-    index.write_segment(tracks.where("track_id = 0"), prints(spark).where("track_id = 1"), root, 1, LANDMARK)
+    index.write_segment(tracks, prints(spark), root, LANDMARK)
+    index.write_segment(tracks.where("track_id = 0"), prints(spark).where("track_id = 1"), root, LANDMARK)
     assert [(r.segment_id, r.num_tracks) for r in index.manifest(spark, root).orderBy("segment_id").collect()] == [(0, 2), (1, 1)]
     with pytest.raises(ValueError, match="other parameters"):
-        index.write_segment(tracks, prints(spark), root, 2, QUAD)
+        index.write_segment(tracks, prints(spark), root, QUAD)
     t, p = index.read_index(spark, root, [0])
     assert t.count() == 2 and p.count() == 6
     assert index.inspect_hash(p, "0000000000000064").count() == 3

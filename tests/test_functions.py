@@ -45,9 +45,9 @@ def test_path_metadata(spark):
 
 def test_identifiers(spark):
     ident = "0123456789abcdefghijAB"
-    raw = [ident, f"music:track:{ident}", f"https://open.host.com/album/{ident}?si=1", "nothing", None]
+    raw = [ident, f"spotify:track:{ident}", f"https://open.spotify.com/album/{ident}?si=1", "nothing", None, f"https://evil.example/track/{ident}", f" https://open.spotify.com/track/{ident}/x ", "spotify:track:short"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(text.resolve_id(F.col("x"), "track")).collect()]
-    assert [(g.id, g.reason) for g in got] == [(ident, None), (ident, None), (None, "not of kind track"), (None, "not an identifier"), (None, "not an identifier")]
+    assert [(g.id, g.reason) for g in got] == [(ident, None), (ident, None), (None, "not of kind track"), (None, "not an identifier"), (None, "not an identifier"), (None, "unsupported host"), (ident, None), (None, "not an identifier")]
     assert one(spark, text.seed_id(F.lit(f"https://h/artist/{ident}?x")))[0] == ident
     uri = f"spotify:track:{ident}"
     r = one(spark, text.download_uri(F.lit(ident), F.lit("")), text.download_uri(F.lit(None), F.lit(uri)), text.download_uri(F.lit("x"), F.lit(f"https://h/t/{ident}?a")), text.download_uri(F.lit("x"), F.lit(f"https://h/{ident}/more")))
@@ -62,3 +62,9 @@ def test_small_functions(spark):
     assert tuple(r) == ("a_clip30", "a_b_c", ".png", ".jpg", "01:02:05", 0.0, True, False, 1.5, 0.0, "unknown")
     assert one(spark, hashing.quad_bin(F.lit(2047)), hashing.quad_delta(F.lit(-4)), hashing.quad_delta(F.lit(70_000)))[0:3] == (1023, 0, 65535)
     assert one(spark, text.dynamic_text(F.lit('{"a": "x"}'), "$.a"), text.dynamic_number(F.lit('{"a": "x"}'), "$.a"), text.dynamic_number(F.lit("{"), "$.a"))[0:3] == ("x", 0, 0)
+
+
+def test_dynamic_members_of_other_types(spark):
+    rows = ['{"k": 5}', '{"k": 1.5}', '{"k": "5"}', '{"k": {"a": 1}}', '{"k": true}', '{"k": null}', "{}", "{", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").select("i", text.dynamic_number(F.col("x"), "$.k"), text.dynamic_text(F.col("x"), "$.k")).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == [(5.0, ""), (1.5, ""), (0.0, "5"), *[(0.0, "")] * 6]
