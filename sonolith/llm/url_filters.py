@@ -1,10 +1,10 @@
 """URL filtering by pattern rules that are indexed by their rarest literal token.
 
-A rule is a regular expression over ``host + path`` with the literal tokens that every matching url must
-contain. The number of urls that hold each token is counted over all urls; a rule is filed under the token
+A rule is a regular expression for the host and one for the start of the path, with the literal tokens that every matching
+url must contain. The number of urls that hold each token is counted over all urls; a rule is filed under the token
 with the lowest count. A url's own tokens fetch the rules filed under them, and only those rules run their
-expressions. Rules without a literal token run on every url. The longest matching rule decides; without
-one the verdict is allow.
+expressions. Rules without a literal token run on every url. The longest matching rule decides (of two of one length the
+blocking one); without one the verdict is allow. Rules may come from a table, so a long list is looked up like a short one.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed;
 repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
@@ -23,17 +23,21 @@ from pyspark.sql import functions as F
 from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TOKEN = re.compile(r"[a-z0-9]+")
-#: Most rules a list may hold: the index is sent to every executor.
+#: Runs of letters and digits; those of small ones; the tokens of a url, which other letters and digits don't adjoin.
+TOKEN, SMALL = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[a-z0-9]+")
+URL_TOKEN = re.compile(r"(?<![A-Za-z0-9])[a-z0-9]+(?![A-Za-z0-9])")
+#: Rules that are sent to the executors at once (about half a kilobyte each, compiled).
 MOST_RULES = 100_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """verdict for urls matching pattern; tokens: whole literal tokens of every match; name: what is reported (null for the method's own rules)."""
+    """verdict for urls whose host holds the pattern ``host`` and whose path starts with the pattern ``path``; tokens: whole
+    literal tokens of every match; name: what is reported (null for the method's own rules)."""
 
     verdict: str
-    pattern: str
+    host: str
+    path: str
     tokens: tuple[str, ...]
     weight: int
     name: str | None
@@ -44,16 +48,21 @@ def prefix_rule(verdict: str, name: str) -> Rule:
     host, slash, rest = name.partition("/")
     path = slash + rest
     whole = TOKEN.findall(path)
-    if whole and path and path[-1] not in "/-_.":
+    if whole and path[-1].isalnum():
         whole = whole[:-1]  # the last token may go on in the url
-    tokens = tuple(dict.fromkeys([*TOKEN.findall(host), *(t for t in whole if t == t.lower())]))
-    return Rule(verdict, rf"(?:^|\.){re.escape(host)}\x00{re.escape(path)}", tokens, len(name), name)
+    tokens = tuple(dict.fromkeys([*TOKEN.findall(host), *(t for t in whole if SMALL.fullmatch(t))]))
+    return Rule(verdict, rf"(?:^|\.){re.escape(host)}\Z", re.escape(path), tokens, len(name), name)
 
 
 def label_rule(verdict: str, words: str) -> Rule:
-    """A rule of the method's own: a host label made of the given tokens, joined by hyphens."""
-    parts = words.split("-")
-    return Rule(verdict, rf"(?:^|[.\x2d]){re.escape(words)}(?:[.\x2d]|\x00)", tuple(parts), -1, None)
+    """A rule of the method's own: a part of the host made of the given tokens, between dots or hyphens."""
+    return Rule(verdict, rf"(?:^|[.\x2d]){re.escape(words)}(?:[.\x2d]|\Z)", "", tuple(words.split("-")), -1, None)
+
+
+def rules_of(table: DataFrame) -> list[Rule]:
+    """The rules of a table (verdict, rule) like ``block``, ``example.org/es/``; equal rules once, null ones none."""
+    rows = table.select(F.col("verdict").cast("string"), F.col("rule").cast("string")).where("verdict in ('allow', 'block') and rule is not null").distinct()
+    return [prefix_rule(v, n) for v, n in sorted(map(tuple, rows.collect()))]  # a rule list is what the driver is given
 
 
 #: Fixed rules of the contract: verdict and host with path.
@@ -104,33 +113,44 @@ def index_rules(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, li
     return filed, loose
 
 
-def judge(host: str, path: str, filed: dict, loose: list, compiled: dict) -> tuple[str | None, str]:
-    """The longest matching rule's name and verdict. Only rules fetched by the url's tokens run."""
-    subject = f"{host}\x00{path}"
-    fetched = {r for t in set(re.findall(r"(?<![A-Za-z0-9])[a-z0-9]+(?![A-Za-z0-9])", subject)) for r in filed.get(t, ())}
+def order_of(rule: Rule) -> tuple:
+    """Longer rules decide; of one length the blocking one, then the later in the alphabet."""
+    return rule.weight, rule.verdict, rule.host, rule.path
+
+
+def judge(host: str, path: str, filed: dict, loose: list, compiled: dict) -> Rule | None:
+    """The matching rule that decides. Only rules fetched by the url's tokens run, host and path apart."""
+    fetched = {r for t in set(URL_TOKEN.findall(f"{host}\x00{path}")) for r in filed.get(t, ())}
     best = None
     for r in [*fetched, *loose]:
-        if (best is None or (r.weight, r.pattern) > (best.weight, best.pattern)) and compiled[r.pattern].search(subject):
-            best = r
-    return (None, "allow") if best is None else (best.name, best.verdict)
+        if best is None or order_of(r) > order_of(best):
+            in_host, in_path = compiled[r]
+            if in_host.search(host) and in_path.match(path):
+                best = r
+    return best
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict of every row."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are sent to the executors")
+    """page_id, host, path, rule, verdict of every row. A list of more than MOST_RULES rules takes a pass for each part of it."""
     host, path = url_parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    filed, loose = index_rules(rules, token_counts(urls, rules))
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = {r.pattern: re.compile(r.pattern) for r in [*loose, *(r for rs in filed.values() for r in rs)]}
-        for batch in batches:
-            found = [judge(h, p, filed, loose, compiled) for h, p in zip(batch["host"], batch["path"], strict=True)]
-            yield batch.assign(rule=[f[0] for f in found], verdict=[f[1] for f in found])
-
+    counts = token_counts(urls, rules)
     kind = urls.schema["page_id"].dataType.simpleString()
-    return urls.mapInPandas(apply, f"page_id {kind}, host string, path string, rule string, verdict string")
+    judged = urls.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit("allow")).withColumn("weight", F.lit(-2))
+    ordered = sorted(set(rules), key=order_of)  # of equal weight the later part decides
+    for at in range(0, len(ordered), MOST_RULES):
+        filed, loose = index_rules(ordered[at : at + MOST_RULES], counts)
+
+        def apply(batches: Iterator[pd.DataFrame], filed: dict = filed, loose: list = loose) -> Iterator[pd.DataFrame]:
+            compiled = {r: (re.compile(r.host), re.compile(r.path)) for r in [*loose, *(r for rs in filed.values() for r in rs)]}
+            for batch in batches:
+                found = [judge(h, p, filed, loose, compiled) for h, p in zip(batch["host"], batch["path"], strict=True)]
+                rows = zip(batch["rule"], batch["verdict"], batch["weight"], strict=True)
+                now = [old if r is None or r.weight < old[2] else (r.name, r.verdict, r.weight) for old, r in zip(rows, found, strict=True)]
+                yield batch.assign(rule=[x[0] for x in now], verdict=[x[1] for x in now], weight=[x[2] for x in now])
+
+        judged = judged.mapInPandas(apply, f"page_id {kind}, host string, path string, rule string, verdict string, weight int")
+    return judged.drop("weight")
 
 
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:

@@ -88,6 +88,7 @@ def test_no_rows(spark):
 URLS = [
     None, "", "no scheme", "http://", "http://Sub.Example.ORG/es/1", "https://example.org/en/1", "https://example.org/en/12", "https://example.org/en/", "http://notexample.org/es/", "http://org", "http://org/",
     "http://a.org?x=/", "http://x.com/fr/#top", "http://x.com/de", "http://x.com/de/a?b", "http://xcom/de/", "http://spam-farm.example.net/a", "http://my-casino.net", "http://casinos.net/", "http://a.b/://c", "http://u:p@x.org:80/", "http://É.org/", "http://x.org/A\nb#z",
+    "http://b.net/top-casino-games", "http://b.net/.org\x00/x", "http://b.net/x.org/", "http://b.net/.spam.", "http://x.com/de/" + "a/" * 50_000, "http://" + "a." * 20_000 + "org/", "http://spam\x00x.net/", "HTTP://ORG/ES/",
 ]
 
 
@@ -109,17 +110,34 @@ def test_only_fetched_rules_run():
         def __init__(self):
             self.n = 0
 
-        def __getitem__(self, pattern):
+        def __getitem__(self, rule):
             import re
 
             self.n += 1
-            return re.compile(pattern)
+            return re.compile(rule.host), re.compile(rule.path)
 
     compiled = Counting()
-    assert U.judge("a.site7.net", "/p7/x", filed, loose, compiled) == ("site7.net/p7/", "block") and compiled.n <= 2
-
-
-def test_too_many_rules(spark, monkeypatch):
-    monkeypatch.setattr(U, "MOST_RULES", 1)
-    with pytest.raises(ValueError):
-        U.filter_urls(spark.createDataFrame([], "page_id bigint, url string"), U.CONTRACT_RULES)
+    found = U.judge("a.site7.net", "/p7/x", filed, loose, compiled)
+    assert (found.name, found.verdict) == ("site7.net/p7/", "block") and compiled.n <= 2
+
+
+def fits(host, path, name):
+    ending, slash, rest = name.partition("/")
+    return (host == ending or host.endswith("." + ending)) and path.startswith(slash + rest)
+
+
+def test_many_rules_of_a_table_match_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    names = sorted({f"{rng.choice('abcde')}{rng.randrange(40)}.{rng.choice(['net', 'org'])}/{rng.choice(['', 'p/', 'q/r', 'P1/x', 'x-1_'])}" for _ in range(600)} | {f"s{i}.com/" for i in range(10_000)})
+    table = spark.createDataFrame([(rng.choice(["allow", "block"]), n) for n in names] + [("block", None), ("other", "a1.net/"), (None, "a2.net/")], "verdict string, rule string").union(spark.createDataFrame([("block", "a3.net/")], "verdict string, rule string"))
+    verdict = {r: "block" if any(v == "block" for v, x in rows if x == r) else "allow" for rows in [[(x.verdict, x.rule) for x in table.collect() if x.rule and x.verdict in ("allow", "block")]] for _, r in rows}
+    urls = [f"http://{rng.choice(['', 'w.', 'x'])}{rng.choice('abcdes')}{rng.randrange(60)}.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['', 'p/z', 'q/rest', 'q/r/', 'P1/x', 'p1/x', 'x-1_y'])}" for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rules = U.rules_of(table)
+    for most in (100_000, 4_000):
+        monkeypatch.setattr(U, "MOST_RULES", most)
+        got = {r.page_id: r for r in U.filter_urls(pages, rules).collect()}
+        for i in range(len(urls)):
+            r = got[i]
+            mine = sorted((n for n in verdict if fits(r.host, r.path, n)), key=lambda n: (len(n), verdict[n]))
+            assert (r.rule is None) == (not mine) and (r.verdict == verdict[mine[-1]] and len(r.rule) == len(mine[-1]) if mine else r.verdict == "allow"), (r, mine)
