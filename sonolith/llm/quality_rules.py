@@ -31,13 +31,14 @@ BROADCAST_LINES = 500_000
 @dataclass(frozen=True)
 class Limits:
     """A line is removed if at least ``least_docs`` distinct documents of its host hold it and they are at
-    least ``percent_of_host`` of the host's distinct documents. A document is rejected if fewer than
+    least ``percent_of_host`` of the host's distinct documents, or ``most_docs`` however large the host is. A document is rejected if fewer than
     ``left_words`` words, or than ``left_percent`` of its words, are left."""
 
     min_words: int = 50
     repeat_percent: int = 50
     least_docs: int = 10
     percent_of_host: int = 1
+    most_docs: int = 100
     left_words: int = 50
     left_percent: int = 50
 
@@ -118,7 +119,8 @@ def frequent_lines(docs: DataFrame, limits: Limits = PRODUCTION) -> DataFrame:
     """(host, line) of lines above their host's limit; documents with equal texts count once."""
     counted = line_rows(docs).select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= limits.least_docs)
     hosts = _keys(docs).select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counted.join(hosts, "host").where(100 * F.col("n_docs") >= limits.percent_of_host * F.col("host_docs")).select("host", "line")
+    share = 100 * F.col("n_docs") >= limits.percent_of_host * F.col("host_docs")
+    return counted.join(hosts, "host").where(share | (F.col("n_docs") >= limits.most_docs)).select("host", "line")
 
 
 def judge_documents(docs: DataFrame, limits: Limits = PRODUCTION) -> DataFrame:
@@ -182,7 +184,7 @@ WITH docs AS (
   SELECT host, count(DISTINCT t) AS host_docs FROM docs GROUP BY host
 ), frequent AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n_docs FROM lines GROUP BY host, line) JOIN hosts USING (host)
-  WHERE n_docs >= 10 AND 100 * n_docs >= host_docs
+  WHERE n_docs >= 10 AND (100 * n_docs >= host_docs OR n_docs >= 100)
 ), removed AS (
   SELECT host, t, sum(words)::BIGINT AS removed_words FROM lines JOIN frequent USING (host, line) GROUP BY host, t
 ), figures AS (
