@@ -118,12 +118,12 @@ def exact_candidates(lists: DataFrame) -> DataFrame:
 
 
 def candidate_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, text_hash, found, w): the lower-cased words of every document with a candidate, once. found: (id, text_hash, start, phrase)."""
+    """(id, text_hash, found, text) of every document with a candidate, once. found: (id, text_hash, start, phrase_id, phrase)."""
     found = cut(found)
     keys = cut(found.select("id", "text_hash").distinct())
     texts = docs.select("id", "text_hash", "text").join(_sized(keys, BROADCAST_KEYS), ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
     by_doc = found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "phrase_id", "phrase")).alias("found"))
-    return texts.join(by_doc, ["id", "text_hash"]).select("id", "text_hash", "found", F.transform(words_of(F.col("text")), ascii_lower).alias("w"))
+    return texts.join(by_doc, ["id", "text_hash"]).select("id", "text_hash", "found", "text")
 
 
 def exact_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -131,9 +131,14 @@ def exact_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     rare = cut(rare_terms(windows, term_counts(docs, windows)))
     phrases = windows.select("phrase_id", "phrase")
     found = exact_candidates(adjusted(postings(docs, rare), rare)).join(_sized(phrases, BROADCAST_WINDOWS), "phrase_id")
-    hits = F.filter("found", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
-    short = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["phrase_id"].alias("phrase_id"), F.size(c["phrase"]).alias("size")))
-    return candidate_texts(docs, found).select("id", "text_hash", short.alias("hits")).where(F.size("hits") > 0)
+
+    def hits(w: Column) -> Column:
+        held = F.filter("found", lambda c: F.slice(w, c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
+        return F.transform(held, lambda c: F.struct(c["start"].alias("start"), c["phrase_id"].alias("phrase_id"), F.size(c["phrase"]).alias("size")))
+
+    # one element: the words are made once for each text, and the checkpoint keeps the filter from making them again
+    once = F.element_at(F.transform(F.array(F.transform(words_of(F.col("text")), ascii_lower)), hits), 1)
+    return cut(candidate_texts(docs, found).select("id", "text_hash", once.alias("hits"))).where(F.size("hits") > 0)
 
 
 def near_matches(docs: DataFrame, benchmark: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
@@ -146,7 +151,8 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, slop: int, size: int = W
     b = lists.where("rank = 2").select("id", "text_hash", "phrase_id", F.col("start").alias("other"), "bucket")
     both = a.join(b, ["id", "text_hash", "phrase_id", "bucket"], "left").where((F.abs(F.col("start") - F.col("other")) <= slop) | (F.col("n_lists") == 1))
     found = both.select("id", "text_hash", "start", "phrase_id").distinct().join(_sized(windows.select("phrase_id", "phrase"), BROADCAST_WINDOWS), "phrase_id").join(_sized(leads), "phrase_id")
-    flat = candidate_texts(docs, found.withColumn("phrase", F.struct("phrase", "lead"))).select("id", "text_hash", "w", F.explode("found").alias("c"))
+    flat = candidate_texts(docs, found.withColumn("phrase", F.struct("phrase", "lead")))
+    flat = flat.select("id", "text_hash", F.transform(words_of(F.col("text")), ascii_lower).alias("w"), F.explode("found").alias("c"))
     flat = flat.select("id", "text_hash", "w", F.col("c.start").alias("start"), F.col("c.phrase.phrase").alias("phrase"), F.col("c.phrase.lead").alias("lead"))
 
     def distance(word: Column, i: Column) -> Column:
@@ -163,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     """doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated of every document."""
     docs = keyed(docs)
     windows = numbered_windows(benchmark, size)
-    hits = cut(exact_hits(docs, windows))
+    hits = exact_hits(docs, windows)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
     n_hit = hits.select("id", "text_hash", F.size(covered).cast("bigint").alias("n_hit"))
     met = hits.select("id", "text_hash", F.explode(F.array_distinct(F.transform("hits", lambda h: h["phrase_id"]))).alias("phrase_id"))
