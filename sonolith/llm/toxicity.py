@@ -40,18 +40,18 @@ EVIDENCE = 3
 #: Terms in more than one of so many examples are summed block by block, others from their postings.
 FREQUENT = 20
 #: Texts scored together.
-BATCH = 256
+BATCH = 64
 
 
 def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term hash, count) of every distinct term of every text, in order of text and hash."""
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    parts = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))]
     for first, encoded in buffers(texts):
         hashes, owner = term_hashes(encoded, STEM)
         order = np.lexsort((hashes, owner))
         hashes, owner = hashes[order], owner[order]
         starts = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])) if len(hashes) else np.zeros(0, np.int64)
-        parts.append((owner[starts] + first, hashes[starts], np.diff(starts, append=len(hashes))))
+        parts.append(((owner[starts] + first).astype(np.int32), hashes[starts], np.diff(starts, append=len(hashes)).astype(np.int32)))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -199,7 +199,7 @@ def unit_vectors(terms: np.ndarray, weights: np.ndarray, n: int, owner: np.ndarr
     owner, at, w = owner[known], at[known], (1 + np.log(counts[known])) * weights[at[known]]
     norm = np.sqrt(np.bincount(owner, w * w, n))
     keep = w > 0
-    return owner[keep], at[keep], w[keep] / norm[owner[keep]]
+    return owner[keep], at[keep].astype(np.int32), w[keep] / norm[owner[keep]]
 
 
 def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -226,9 +226,9 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         for s in range(0, len(met), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(met[s : s + 50_000]), pa.array(held[met[s : s + 50_000]])], names=["term", "n"])
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row for each term
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
     held = np.zeros(len(terms) + 1, np.int64)
-    held[counted["term"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    held[counted["term"].to_numpy()] = counted["n"].to_numpy()
     return held[:-1], int(held[-1])
 
 
@@ -245,18 +245,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     share = counts.get(1, 0) / total
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(0, np.uint64), np.zeros(0), [], share, share, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    n_texts = len(texts)
     owner, hashes, times = term_counts(texts)
+    del rows, unique, texts
     terms, at = np.unique(hashes, return_inverse=True)
     toxic, every = np.bincount(at, y[owner], len(terms)), np.bincount(at, minlength=len(terms))
     held, n = document_frequencies(docs, terms)
     weights = np.maximum(np.log((1 + n) / (1 + held)), 0) * relevance(toxic, every - toxic, int(y.sum()), int((1 - y).sum()))
-    owner, term, weight = unit_vectors(terms, weights, len(texts), owner, hashes, times)
+    owner, term, weight = unit_vectors(terms, weights, n_texts, owner, hashes, times)
+    del at, hashes, times
     heaviest = np.lexsort((-weight, owner))
     first = heaviest[np.concatenate([[True], np.diff(owner[heaviest]) > 0])] if len(owner) else heaviest
-    lead = np.full(len(texts), -1)
+    lead = np.full(n_texts, -1)
     lead[owner[first]] = term[first]
     order = np.lexsort((ids, lead))  # examples of one heaviest term side by side
-    indexes, places = [], np.full((2, len(texts)), -1)
+    indexes, places = [], np.full((2, n_texts), -1)
     for k in (0, 1):
         mine = order[(y[order] == k) & (lead[order] >= 0)]
         places[k, mine] = np.arange(len(mine))
@@ -264,12 +267,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         indexes.append(BlockMaxIndex.build(ids[mine], places[k, owner[some]], term[some], weight[some], len(terms)))
     corrections = np.array([(total - counts.get(1, 0)) / (y == 0).sum(), counts.get(1, 0) / (y == 1).sum()])
     model = Model(terms, weights, indexes, share, share, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    raw = np.empty(len(texts))
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for s in range(0, len(texts), BATCH):
-        e = min(s + BATCH, len(texts))
+    raw = np.empty(n_texts)
+    bounds = np.searchsorted(owner, np.arange(n_texts + 1))
+    for s in range(0, n_texts, BATCH):
+        e = min(s + BATCH, n_texts)
         part = slice(bounds[s], bounds[e])
         raw[s:e] = model.votes(model.nearest(e - s, (owner[part] - s, term[part], weight[part]), [places[k, s:e] for k in (0, 1)]))
+    for index in indexes:
+        index.dense = None
     ok = ~np.isnan(raw)
     bare = corrections[y] * ~ok
     model.empty_share = float(((bare * y).sum() + share) / (bare.sum() + 1))
