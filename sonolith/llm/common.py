@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..recovery import cut, shared_dir
 
-__all__ = ["constant_array", "cut", "filter_texts", "hash_order", "id_remainder", "session_partitions", "shared_dir", "shared_path", "table"]
+#: Tasks that rows of one key are dealt to where a join is too large to broadcast.
+SALTS = 64
+
+__all__ = ["constant_array", "cut", "filter_texts", "hash_order", "id_remainder", "session_partitions", "shared_dir", "shared_path", "sized_join", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,21 @@ def session_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def sized_join(rows: DataFrame, right: DataFrame, keys: list[str], most: int, how: str = "inner") -> DataFrame:
+    """rows joined with right on keys: right is broadcast if it has at most ``most`` rows.
+
+    Beyond, both are shuffled and the rows of a key are dealt to SALTS tasks by their hash, each of which gets right's
+    rows of that key: a key with a third of all rows is split. The salt is a function of the row, so a task that is run
+    again after a lost executor gives the same.
+    """
+    if right.count() <= most:
+        return rows.join(F.broadcast(right), keys, how)
+    salt = "\x00salt"
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    every = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every, [*keys, salt], how).drop(salt)
+
+
 def filter_texts(docs: DataFrame, keep: Callable[[], Callable], columns: tuple[str, ...] = ("text",)) -> DataFrame:
     """The rows that keep()(Arrow table of columns) marks, with all their columns. keep is called once in a task.
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, sized_join, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is between words once A-Z are lower-cased: ASCII other than 0-9 and a-z. In a text as it is, A-Z are letters too.
@@ -62,7 +62,7 @@ def numbered_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return cut(benchmark_windows(benchmark, size).withColumn("phrase_id", F.monotonically_increasing_id()))
 
 
-def _sized(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+def _sized(df: DataFrame, most: int) -> DataFrame:
     """df, to be broadcast if it has few enough rows."""
     return F.broadcast(df) if df.count() <= most else df
 
@@ -88,7 +88,10 @@ def tokens(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(term, n): how often each benchmark term occurs in all documents; absent terms have no row."""
     terms = windows.select(F.explode("phrase").alias("w")).select(F.xxhash64("w").alias("term")).distinct()
-    return tokens(docs).join(_sized(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    words, n = tokens(docs).select("term"), F.count("*").alias("n")
+    if terms.count() <= BROADCAST_TERMS:
+        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(n)
+    return words.groupBy("term").agg(n).join(terms, "term", "left_semi")  # counted before the shuffle: no term is hot
 
 
 def rare_terms(windows: DataFrame, counts: DataFrame, lists: int = 2) -> DataFrame:
@@ -102,12 +105,12 @@ def rare_terms(windows: DataFrame, counts: DataFrame, lists: int = 2) -> DataFra
 
 def postings(docs: DataFrame, rare: DataFrame) -> DataFrame:
     """The stored index: (term, id, text_hash, pos) of every occurrence of a rare term in all documents."""
-    return cut(tokens(docs).join(_sized(rare.select("term").distinct()), "term", "left_semi").select("term", "id", "text_hash", "pos"))
+    return cut(sized_join(tokens(docs), rare.select("term").distinct(), ["term"], BROADCAST_TERMS, "left_semi").select("term", "id", "text_hash", "pos"))
 
 
 def adjusted(index: DataFrame, rare: DataFrame) -> DataFrame:
     """Offset-adjusted lists: (id, text_hash, start, phrase_id, offset, rank, n_lists)."""
-    return index.join(_sized(rare), "term").withColumn("start", F.col("pos") - F.col("offset")).drop("pos", "term")
+    return sized_join(index, rare, ["term"], BROADCAST_TERMS).withColumn("start", F.col("pos") - F.col("offset")).drop("pos", "term")
 
 
 def exact_candidates(lists: DataFrame) -> DataFrame:
@@ -130,7 +133,7 @@ def exact_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(id, text_hash, hits) of the documents that hold a window; hits: start, phrase_id and size of each. docs: keyed."""
     rare = cut(rare_terms(windows, term_counts(docs, windows)))
     phrases = windows.select("phrase_id", "phrase")
-    found = exact_candidates(adjusted(postings(docs, rare), rare)).join(_sized(phrases, BROADCAST_WINDOWS), "phrase_id")
+    found = sized_join(exact_candidates(adjusted(postings(docs, rare), rare)), phrases, ["phrase_id"], BROADCAST_WINDOWS)
 
     def hits(w: Column) -> Column:
         held = F.filter("found", lambda c: F.slice(w, c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
@@ -150,7 +153,7 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, slop: int, size: int = W
     a = lists.where("rank = 1").select("id", "text_hash", "phrase_id", "start", "n_lists", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     b = lists.where("rank = 2").select("id", "text_hash", "phrase_id", F.col("start").alias("other"), "bucket")
     both = a.join(b, ["id", "text_hash", "phrase_id", "bucket"], "left").where((F.abs(F.col("start") - F.col("other")) <= slop) | (F.col("n_lists") == 1))
-    found = both.select("id", "text_hash", "start", "phrase_id").distinct().join(_sized(windows.select("phrase_id", "phrase"), BROADCAST_WINDOWS), "phrase_id").join(_sized(leads), "phrase_id")
+    found = sized_join(both.select("id", "text_hash", "start", "phrase_id").distinct(), windows.join(leads, "phrase_id").select("phrase_id", "phrase", "lead"), ["phrase_id"], BROADCAST_WINDOWS)
     flat = candidate_texts(docs, found.withColumn("phrase", F.struct("phrase", "lead")))
     flat = flat.select("id", "text_hash", F.transform(words_of(F.col("text")), ascii_lower).alias("w"), F.explode("found").alias("c"))
     flat = flat.select("id", "text_hash", "w", F.col("c.start").alias("start"), F.col("c.phrase.phrase").alias("phrase"), F.col("c.phrase.lead").alias("lead"))

@@ -19,12 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, sized_join, table
 
 SPACE = r"[ \t\n\x0B\f\r]"
 NOT_SPACE = r"[^ \t\n\x0B\f\r]"
 SYMBOLS = "#*$%&|<>"
-#: Rows of frequent lines up to which they are broadcast (16 bytes each); beyond, the join shuffles.
+#: Rows of frequent lines up to which they are broadcast (16 bytes each); beyond, the join shuffles with salted keys.
 BROADCAST_LINES = 500_000
 
 
@@ -126,11 +126,9 @@ def frequent_lines(docs: DataFrame, limits: Limits = PRODUCTION) -> DataFrame:
 def judge_documents(docs: DataFrame, limits: Limits = PRODUCTION) -> DataFrame:
     """The base figures, removed_words and kept of every document."""
     frequent = cut(frequent_lines(docs, limits))
-    if frequent.count() <= BROADCAST_LINES:
-        frequent = F.broadcast(frequent)
     # repeated rows have the same positions: each position counts once
     removed = (
-        line_rows(docs).join(frequent, ["host", "line"])
+        sized_join(line_rows(docs), frequent, ["host", "line"], BROADCAST_LINES)
         .groupBy("doc", "host", "text_hash", "pos").agg(F.max("words").alias("words"))
         .groupBy("doc", "host", "text_hash").agg(F.sum("words").alias("removed_words"))
     )
@@ -145,9 +143,9 @@ def judge_documents(docs: DataFrame, limits: Limits = PRODUCTION) -> DataFrame:
 
 def cleaned_texts(docs: DataFrame, limits: Limits = PRODUCTION) -> DataFrame:
     """(doc_id, text) of every document without its frequent lines; lines without a word stay."""
-    frequent = frequent_lines(docs, limits).withColumn("drop", F.lit(True))
+    frequent = cut(frequent_lines(docs, limits).withColumn("drop", F.lit(True)))
     parts = _keys(docs).select("doc_id", "doc", "host", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "part"))
-    kept = parts.withColumn("line", F.xxhash64(normalised(F.col("part")))).join(frequent, ["host", "line"], "left")
+    kept = sized_join(parts.withColumn("line", F.xxhash64(normalised(F.col("part")))), frequent, ["host", "line"], BROADCAST_LINES, "left")
     kept = kept.where(F.col("drop").isNull() | ~F.col("part").rlike(NOT_SPACE))
     gathered = kept.groupBy("doc", "host", "text_hash").agg(F.array_sort(F.collect_set(F.struct("pos", "part"))).alias("p"), F.first("doc_id").alias("doc_id"))
     texts = gathered.select("doc", "host", "text_hash", F.array_join(F.transform("p", lambda x: x["part"]), "\n").alias("text"))

@@ -46,6 +46,13 @@ def test_matches_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == brute(DOCS, ITEMS)
 
 
+def test_lists_beyond_the_broadcasts_give_the_same(spark, monkeypatch):
+    for name in ("BROADCAST_TERMS", "BROADCAST_KEYS", "BROADCAST_WINDOWS"):
+        monkeypatch.setattr(D, name, 0)
+    got = D.contamination(*frames(spark)).drop("items").collect()
+    assert sorted(map(tuple, got), key=str) == brute(DOCS, ITEMS)
+
+
 @pytest.mark.parametrize("docs, items", [([], ITEMS), (DOCS, []), ([], [])])
 def test_empty_tables(spark, docs, items):
     got = D.contamination(*frames(spark, docs, items)).drop("items").collect()

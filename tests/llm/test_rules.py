@@ -44,6 +44,15 @@ def test_quality_rules_match_the_oracle(spark):
     assert "Common line" not in cleaned[101] and cleaned[4] == "x\ny\nx\n\n \nx"
 
 
+def test_lines_beyond_the_broadcast_give_the_same(spark, monkeypatch):
+    rows = [(i, f"common {i % 3} line\nu{i} v{i}\n" + " ".join(f"w{i}x{j}" for j in range(70 * (i % 2))), "h" if i % 4 else None) for i in range(80)] + [(3, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = [sorted(map(str, f.collect())) for f in (Q.judge_documents(docs).select(*Q.COLUMNS), Q.cleaned_texts(docs))]
+    monkeypatch.setattr(Q, "BROADCAST_LINES", 0)
+    assert [sorted(map(str, f.collect())) for f in (Q.judge_documents(docs).select(*Q.COLUMNS), Q.cleaned_texts(docs))] == want
+    assert Q.judge_documents(docs).where("removed_words > 0").count() > 0
+
+
 def test_repeated_windows_by_hand(spark):
     got = spark.createDataFrame([("a b c a b c",), ("a b c d",), ("a a a a",), ("a b",), ("x a b c y a b c",)], "t string").select(Q.bind(Q.words_of(F.col("t")), Q.repeated_words)).collect()
     assert [r[0] for r in got] == [6, 0, 4, 0, 6]
