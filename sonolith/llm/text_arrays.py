@@ -59,14 +59,14 @@ def buffers(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def _hashed(encoded: list[bytes], stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(encoded: list[bytes], stem: int, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, offsets of texts among words, stem hashes, words with a stem): see word_hashes and stem_hashes."""
     buf = LOWER[np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)]
     lengths = np.array([len(e) + 1 for e in encoded], np.int64)
     none = np.zeros(0, np.int64)
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(len(encoded) + 1, np.int64), np.zeros(0, np.uint64), none
-    inside = IN_WORD[buf]
+    inside = in_word[buf]
     edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     powers, inverse = _power_tables(len(buf) + 1)
