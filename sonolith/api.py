@@ -49,13 +49,22 @@ class Engine:
         valid, held = audio.split_quarantine(files, audio.quarantine_reason(F.col("name"), F.col("length")))
         return held.select("rel_path", "reason").union(audio.probe(valid, self.preset).where("not readable").select("rel_path", "reason"))
 
-    def query(self, clips: str, limit: int | None = -1) -> DataFrame:
-        """Ranked matches of every clip at a path (a file or folder), with track names; query_id is the clip's path."""
+    def query(self, clips: str, limit: int | None = -1, skip_damaged: bool = False, most: int = match.BROADCAST_HASHES) -> DataFrame:
+        """Ranked matches of every clip at a path (a file or folder), with track names; query_id is the clip's path.
+
+        skip_damaged searches the sound segments only: see ``damaged`` for the others. A batch of over ``most`` hashes
+        goes to the buckets where the postings lie.
+        """
         files = audio.scan(self.spark, clips, EXTENSIONS)
         prints = landmarks.fingerprints(audio.clips_to_peaks(files, self.preset, query=True, key="path").withColumnRenamed("path", "track_id"), self.preset)
-        query = prints.select(F.col("track_id").alias("query_id"), "hash", F.col("anchor_t").alias("t1"))
-        tracks, postings = index.current(*index.read_index(self.spark, self.root))  # a track indexed again counts once
-        return match.match(query, postings, self.preset, tracks.select("track_id", "rel_path", "artist", "album", "title"), limit)
+        query = cut(prints.select(F.col("track_id").alias("query_id"), "hash", F.col("anchor_t").alias("t1")))
+        found = index.read_index(self.spark, self.root, bucketed=query.count() > most, skip_damaged=skip_damaged)
+        tracks, postings = index.current(*found)  # a track indexed again counts once
+        return match.match(query, postings, self.preset, tracks.select("track_id", "rel_path", "artist", "album", "title"), limit, most)
+
+    def damaged(self, full: bool = False) -> DataFrame:
+        """The index's files that are missing or changed; full reads them all."""
+        return index.damaged(self.spark, self.root, full)
 
     def compact(self, target: str) -> None:
         """Write all segments as one at another path; of a track indexed again the latest segment."""

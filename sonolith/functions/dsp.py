@@ -76,7 +76,7 @@ def peaks(m: np.ndarray, preset: Preset, query: bool = False) -> tuple[np.ndarra
         found &= m > preset.threshold if preset.strict else m >= preset.threshold
     if preset.running_reference:
         found[: preset.radius_t] = False
-        found[max(len(m) - preset.radius_t, 0) :] = False
+        found[max(len(m) - 2 * preset.radius_t, 0) :] = False
     t, f = np.nonzero(found)
     v = m[t, f]
     order = np.lexsort((f, -v, t))

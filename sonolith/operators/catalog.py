@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..recovery import cut
+from ..recovery import cut, shared_dir
 
 #: Pages a chain may have: the first and two hundred more.
 LONGEST_CHAIN = 201
 
 
+def _error(data: str) -> Column:
+    """The response's error member as a variant: a null value is there, an absent member is none."""
+    return F.try_variant_get(F.try_parse_json(data), "$.error", "variant")
+
+
 def without_errors(pages: DataFrame, data: str = "data") -> DataFrame:
-    """Landed responses without a truthy ``error`` member."""
-    error = F.get_json_object(data, "$.error")
-    return pages.where(error.isNull() | error.isin("false", "0", "", "null"))
+    """Landed responses without a truthy ``error`` member: null, false, any zero and the empty text are falsy; other texts,
+    other numbers, lists and objects, also empty ones, are truthy."""
+    error, kind = _error(data), F.schema_of_variant(_error(data))
+    number = kind.rlike("^(BIGINT|DOUBLE|DECIMAL)") & (F.try_variant_get(error, "$", "double") == 0)
+    falsy = (kind == "VOID") | ((kind == "BOOLEAN") & ~F.try_variant_get(error, "$", "boolean")) | number | ((kind == "STRING") & (F.try_variant_get(error, "$", "string") == ""))
+    return pages.where(error.isNull() | F.coalesce(falsy, F.lit(False)))
+
+
+def cacheable(pages: DataFrame, data: str = "data") -> DataFrame:
+    """Responses without an ``error`` member, whatever its value."""
+    return pages.where(_error(data).isNull())
 
 
 def page_items(pages: DataFrame) -> DataFrame:
@@ -24,39 +39,63 @@ def page_items(pages: DataFrame) -> DataFrame:
     return parsed.select("url", F.col("p.next").alias("next"), F.coalesce("p.items", F.array().cast("array<string>")).alias("items"))
 
 
-def chain_heads(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
-    """(url, head, at): each page's chain and place in it, by pointer jumping.
+def _one_of_url(pages: DataFrame) -> DataFrame:
+    """(url, next, items), one row for a url: of several the least."""
+    rest = F.struct("next", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("items").isNull().alias("bare"))
+    one = pages.where("url is not null").groupBy("url").agg(F.min(rest).alias("r"))
+    return one.select("url", "r.next", F.when(~F.col("r.bare"), F.col("r.items")).alias("items"))
+
 
-    A page is reached from the page whose ``next`` it is; pointers double in reach each round, so a chain of
-    200 takes eight joins and not 200. A cycle's head is its least page. Pages past the longest chain are left out.
+def page_walks(pages: DataFrame, starts: DataFrame | None = None, longest: int = LONGEST_CHAIN) -> DataFrame:
+    """(start, url, at): the pages that are read from each start, by binary lifting.
+
+    A walk goes on while the next page is cached and has items, up to ``longest`` pages, and ends before a page it has
+    seen. Jumps of 1, 2, 4 ... pages are functions of the url: each is the one before applied twice. A walk's places
+    below twice as many pages are its places so far and the jump from each of them, so 201 pages take eight joins, and
+    any number of walks may share pages or enter a cycle. The first visit of each page is kept: behind the first page
+    that repeats, all do. pages: (url, next, items); starts: (url), all pages without.
     """
-    known = pages.select("url", "next")
-    before = known.select(F.col("next").alias("url"), F.col("url").alias("prev")).where("url is not null and url <> prev").groupBy("url").agg(F.min("prev").alias("prev"))
-    at = known.select("url").distinct().join(before, "url", "left").select("url", F.col("prev").alias("ptr"), F.when(F.col("prev").isNull(), F.lit(0)).otherwise(F.lit(1)).alias("at"), F.coalesce("prev", "url").alias("head"))
-    rounds = max(1, (longest - 1).bit_length())
-    for _ in range(rounds):
-        up = at.select(F.col("url").alias("ptr"), F.col("ptr").alias("_p"), F.col("at").alias("_d"), F.col("head").alias("_h"))
-        at = at.join(up, "ptr", "left").select("url", F.col("_p").alias("ptr"), (F.col("at") + F.coalesce("_d", F.lit(0))).alias("at"), F.coalesce("_h", "head").alias("head"))
-        at = cut(at)  # each round reads the one before twice
-        if at.where("ptr is not null").isEmpty():
+    cached = cut(_one_of_url(pages))
+    there = cached.where("items is not null").select(F.col("url").alias("next"))
+    jump = cut(cached.where("items is not null and next <> url").select("url", "next").join(there, "next", "left_semi").select("url", F.col("next").alias("to")))
+    asked = cached.select("url") if starts is None else cached.select("url").join(starts.select("url").distinct(), "url", "left_semi")
+    walks = cut(asked.select(F.col("url").alias("start"), "url", F.lit(0).alias("at")))
+    for k in range((longest - 1).bit_length()):
+        step = walks.join(jump, "url").select("start", F.col("to").alias("url"), (F.col("at") + (1 << k)).alias("at"))
+        further = step.where(F.col("at") < longest)
+        walks = cut(walks.unionByName(further).groupBy("start", "url").agg(F.min("at").alias("at")))
+        jump = cut(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("_to")), "to").select("url", F.col("_to").alias("to")))
+        if jump.isEmpty():
             break
-    headed = at.where(F.col("ptr").isNull() & (F.col("at") < longest)).select("url", "head", "at")
-    rest = at.where("ptr is not null").select("url").join(known, "url")
+    return walks
+
+
+def read_chains(pages: DataFrame, starts: DataFrame | None = None, longest: int = LONGEST_CHAIN) -> DataFrame:
+    """(url, items, n_pages) of each start that is cached: the items of all pages of its walk, in order."""
+    own = _one_of_url(pages).select("url", "items")
+    placed = page_walks(pages, starts, longest).join(own, "url")
+    gathered = placed.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "items"))).alias("p"))  # ``longest`` pages at most
+    return gathered.select(F.col("start").alias("url"), F.flatten(F.transform("p", lambda x: x["items"])).alias("items"), F.size("p").alias("n_pages"))
+
+
+def chain_starts(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
+    """(url) of the pages that no other page leads to, and of each cycle that no walk from these enters the least page."""
+    known = cut(pages.where("url is not null").select("url", "next").distinct())
+    led_to = known.where("next is not null and next <> url").select(F.col("next").alias("url")).distinct()
+    first = cut(known.select("url").distinct().join(led_to, "url", "left_anti"))
+    rest = known.select("url").distinct().join(page_walks(pages, first, longest).select("url").distinct(), "url", "left_anti")
+    rest = cut(rest)
     if rest.isEmpty():
-        return headed
-    # cycles, and pages further from their head than the pointers reach: only walks that come back to their start are cycles
-    walks = cut(follow_chain(pages.sparkSession, rest, rest, longest))
-    ends = walks.join(known, "url").where(F.col("next") == F.col("seed")).select("seed")
-    rings = walks.join(ends.distinct(), "seed", "left_semi")
-    least = rings.groupBy("seed").agg(F.min("url").alias("least")).where("seed = least").select("seed")
-    return headed.union(rings.join(least, "seed", "left_semi").select("url", F.col("seed").alias("head"), "at"))
+        return first
+    walks = cut(page_walks(pages, rest, longest))
+    back = walks.join(known, "url").where(F.col("next") == F.col("start")).select("start").distinct()  # others are further from a start than walks go
+    least = walks.join(back, "start", "left_semi").groupBy("start").agg(F.min("url").alias("least")).where("start = least")
+    return first.union(least.select(F.col("start").alias("url")))
 
 
 def merge_page_chains(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
-    """(url, items, n_pages) of each chain's first page: the items of all its pages in order."""
-    placed = chain_heads(pages, longest).join(pages.select("url", "items"), "url")
-    gathered = placed.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("at", "items"))).alias("p"))
-    return gathered.select(F.col("head").alias("url"), F.flatten(F.transform("p", lambda x: x["items"])).alias("items"), F.size("p").alias("n_pages"))
+    """(url, items, n_pages) of the pages that chains start from; see chain_starts."""
+    return read_chains(pages, chain_starts(pages, longest), longest)
 
 
 def follow_chain(spark: SparkSession, pages: DataFrame, seeds: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
@@ -85,14 +124,16 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 
 def touch(existing: DataFrame, incoming: DataFrame, key: str, now: Column) -> DataFrame:
-    """Insert absent keys; of present ones only updated_at changes."""
-    a, b = existing.alias("a"), incoming.alias("b")
-    joined = a.join(b, key, "full")
+    """Insert absent keys; of present ones only updated_at changes, of those that aren't incoming nothing. Of several
+    incoming rows of a key the least is inserted."""
     rest = [c for c in existing.columns if c not in (key, "updated_at")]
+    new = incoming.groupBy(key).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("r")) if rest else incoming.select(key).distinct().withColumn("r", F.lit(None))
+    a, b = existing.withColumn("_old", F.lit(True)).alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
+    joined = a.join(b, key, "full")
     return joined.select(
-        key, *(F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in rest),
-        F.when(F.col("b.updated_at").isNotNull() | F.col("a.updated_at").isNull(), now).otherwise(F.col("a.updated_at")).alias("updated_at"),
-    ).select(*existing.columns)
+        key, *(F.when(F.col("_old"), F.col(f"a.`{c}`")).otherwise(F.col("b.r").getField(c)).alias(c) for c in rest),
+        F.when(F.col("_new"), now).otherwise(F.col("a.updated_at")).alias("updated_at"),
+    ).select(*(f"`{c}`" for c in existing.columns))
 
 
 def missing(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -100,9 +141,11 @@ def missing(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
-def set_duration(tracks: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """tracks with the durations of updates where there is one."""
-    new = updates.select(key, F.col("duration").alias("_new"))
+def set_duration(tracks: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """tracks with the durations of updates where there is one. Of several updates of a key the last by ``order`` holds,
+    the greatest duration where that ties or no order is given; updates without a duration change nothing."""
+    by = F.struct(*([order] if order else []), "duration")
+    new = updates.where("duration is not null").groupBy(key).agg(F.max_by("duration", by).alias("_new"))
     return tracks.join(new, key, "left").withColumn("duration", F.coalesce("_new", "duration")).drop("_new").select(*tracks.columns)
 
 
@@ -186,17 +229,53 @@ def chunks(rows: DataFrame, order: str, size: int = 50) -> DataFrame:
     return numbered.withColumn("chunk", F.expr(f"cast(_number div {size} as int)")).drop("_number")
 
 
-def crawl(frontier: DataFrame, expand) -> DataFrame:
-    """All ids reached from a frontier (column id): expand maps a frontier to new ids; ends when a round adds none. A null id is none."""
-    seen = frontier.where("id is not null").select("id").distinct()
-    fresh = seen
+#: Bits of the crawl's filter: 8 MB of bitmaps, whatever the number of ids; when they are full, all ids take the exact join.
+FILTER_BITS = 1 << 26
+#: Bits that each id sets.
+FILTER_HASHES = 3
+
+
+def _places(ids: DataFrame) -> DataFrame:
+    """(id, bucket, at): the bits of each id in bitmaps of 32,768 bits."""
+    bits = F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)) for k in range(FILTER_HASHES)))
+    each = ids.select("id", F.explode(bits).alias("bit"))
+    return each.select("id", F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("at"))
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """(bucket, bits): the bitmaps of a set of ids."""
+    return _places(ids).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def maybe_in(ids: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The ids, each once, whose bits are all set: those of the set and some others. bitmaps are bounded by FILTER_BITS."""
+    joined = _places(ids).join(F.broadcast(bitmaps), "bucket")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.count_if(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1)
+    return joined.groupBy("id").agg(set_.alias("_n")).where(F.col("_n") == FILTER_HASHES).select("id")
+
+
+def crawl(frontier: DataFrame, expand, root: str | None = None) -> DataFrame:
+    """All ids reached from a frontier (column id): expand maps a frontier to new ids; ends when a round adds none. A null id is none.
+
+    A round writes its new ids and their bitmaps, and nothing that was there before: what is written grows with the ids.
+    Ids with a bit that no round has set are new; only the others are looked for among the earlier rounds. root: a new
+    folder for the rounds, in the shared one without.
+    """
+    spark = frontier.sparkSession
+    root = root or f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    fresh, n = frontier.where("id is not null").select("id").distinct(), 0
     while True:
-        fresh = expand(fresh).select("id").distinct().join(seen, "id", "left_anti")
-        fresh = cut(fresh.where("id is not null"))
-        if fresh.isEmpty():
-            break
-        seen = cut(seen.union(fresh))
-    return seen
+        fresh.write.parquet(f"{root}/ids/round={n}")
+        added = spark.read.parquet(f"{root}/ids/round={n}")
+        n += 1
+        seen = spark.read.schema(added.schema).parquet(*(f"{root}/ids/round={k}" for k in range(n)))
+        if added.isEmpty():
+            return seen
+        id_filter(added).coalesce(1).write.parquet(f"{root}/bits/round={n - 1}")
+        bitmaps = spark.read.schema("bucket bigint, bits binary").parquet(*(f"{root}/bits/round={k}" for k in range(n))).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        found = cut(expand(added).select("id").where("id is not null").distinct())
+        fresh = found.join(maybe_in(found, bitmaps).join(seen, "id", "left_semi"), "id", "left_anti")
 
 
 def best_of_folder(files: DataFrame, priority: Column) -> DataFrame:

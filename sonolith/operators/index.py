@@ -1,23 +1,35 @@
-"""The fingerprint index: a Parquet table of postings by segment, sorted by hash inside its files.
+"""The fingerprint index: a Parquet table of postings by segment, bucketed and sorted by hash.
 
-tracks and fingerprints lie side by side under a root, partitioned by segment_id and run; row-group statistics on
-the sorted hash prune point look-ups. A run is one writing of one segment and has folders of its own, so no writer
-touches what another wrote; its line in the manifest is written last, and only runs with a line are read. What a
-writer that failed has left is never seen. Of a track in several segments the latest one counts.
+A run is one writing of one segment and has folders of its own. A segment exists once its line is published: a file of
+the manifest named by its number, which exactly one of several writers can create; the others take the next number. The
+guard of parameters holds for all lines before the one that is created. What a writer that failed has left is never
+read. Of a track in several segments the latest one counts.
+
+Postings are dealt into buckets by hash, as many in every segment, and each file is one bucket sorted by hash: row-group
+statistics prune point look-ups, and a batch of queries too large to broadcast is dealt to the buckets where they lie,
+without moving the postings. A line has every file's length, rows and checksum, so that damage is found and told.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..commits import lines, publish
 from ..functions import hashing
 from ..presets import Preset
 from ..recovery import cut
 
+#: Buckets of a new index, if the session has no more shuffle partitions: fewer would have the planner move the postings.
+BUCKETS = 64
+#: Replaced (track, segment) pairs up to which they are broadcast.
+BROADCAST_REPLACED = 1_000_000
 #: Hashes (8 bytes and a hash entry each) up to which a look-up broadcasts them.
 BROADCAST_HASHES = 1_000_000
 
@@ -32,44 +44,112 @@ def number_tracks(tracks: DataFrame, order: str = "rel_path", name: str = "track
     return spread.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
 
 
-def write_segment(tracks: DataFrame, fingerprints: DataFrame, root: str, preset: Preset, run: str | None = None, compression: str = "zstd") -> int:
-    """Add a segment after the parameter guard: tracks, postings sorted by hash, then its line in the manifest; its id.
+def write_segment(tracks: DataFrame, fingerprints: DataFrame, root: str, preset: Preset, run: str | None = None, compression: str = "zstd", buckets: int | None = None) -> int:
+    """Add a segment after the parameter guard: tracks, postings in buckets, then its line in the manifest; its id.
 
-    A run that has a line already is left as it is; one that failed before its line is written anew.
+    A run that has a line already is left as it is, also where it got it meanwhile; one that failed before its line is
+    written anew. An index keeps the number of buckets of its first segment.
     """
     spark = tracks.sparkSession
-    check_parameters(spark, root, preset)
-    known = manifest(spark, root)
-    done = known.where(F.col("run") == F.lit(run)).select("segment_id").first() if run else None
-    if done:
-        return done.segment_id
-    segment_id = known.agg(F.coalesce(F.max("segment_id") + 1, F.lit(0))).first()[0]
+    known = _guarded(spark, root, preset)
+    for line in known:
+        if run and line.run == run:
+            return line.segment_id
+    n = known[0].buckets if known else buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     run = run or f"r{uuid.uuid4().hex}"
+    path = f"run={uuid.uuid4().hex}"
+    tracks.write.option("compression", compression).parquet(f"{root}/tracks/{path}")
+    _write_buckets(fingerprints, f"{root}/fingerprints/{path}", n, compression)
+    schemas = {"tracks": tracks.schema.json(), "fingerprints": fingerprints.schema.json()}
+    files = [f.asDict() for kind, schema in schemas.items() for f in file_sums(spark, root, kind, [path], schema).collect()]  # a row for each file
+    line = {
+        "path": path, "run": run, "created_at": spark.sql("select cast(current_timestamp() as string)").first()[0], "num_tracks": sum(f["rows"] for f in files if f["kind"] == "tracks"),
+        "params": {"sr": preset.sample_rate, "frame": preset.window, "hop": preset.hop}, "buckets": n, "files": files, "schemas": schemas,
+    }
+    while True:
+        segment_id = max((k.segment_id for k in known), default=-1) + 1
+        if publish(spark, f"{root}/manifest/{segment_id:010d}.json", json.dumps(line | {"segment_id": segment_id})):
+            return segment_id
+        known = _guarded(spark, root, preset)  # another writer was first
+        for other in known:
+            if other.run == run:
+                return other.segment_id
+            if other.buckets != n:
+                raise ValueError(f"segment {other.path} has {other.buckets} buckets, not {n}: write it again")
+
+
+def _write_buckets(fingerprints: DataFrame, path: str, n: int, compression: str) -> None:
+    """One file for each bucket; the table that names the buckets is dropped, its files stay."""
+    spark, name = fingerprints.sparkSession, f"sonolith_{uuid.uuid4().hex}"
+    dealt = fingerprints.repartition(n, "hash").write.bucketBy(n, "hash").sortBy("hash")
+    dealt.option("path", path).option("compression", compression).format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def file_sums(spark: SparkSession, root: str, kind: str, paths: list[str], schema: str, readable_only: bool = False) -> DataFrame:
+    """(kind, path, name, length, rows, checksum) of the files of runs of one schema, in JSON. readable_only passes over what can't be read."""
+    how = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"} if readable_only else {}
+    rows = spark.read.options(basePath=f"{root}/{kind}", **how).schema(StructType.fromJson(json.loads(schema))).parquet(*(f"{root}/{kind}/{p}" for p in paths))
+    values = [c for c in rows.columns if c != "run"]
+    total = F.sum(F.xxhash64(*values).cast("decimal(38,0)"))  # in any order of rows
+    place = F.col("_metadata.file_path")
+    found = rows.groupBy(F.element_at(F.split(place, "/"), -2).alias("path"), F.element_at(F.split(place, "/"), -1).alias("name"), F.col("_metadata.file_size").alias("length"))
+    return found.agg(F.count("*").alias("rows"), total.cast("string").alias("checksum")).select(F.lit(kind).alias("kind"), "path", "name", "length", "rows", "checksum")
+
+
+MANIFEST = """path string, segment_id int, run string, created_at timestamp, num_tracks int, params struct<sr:int,frame:int,hop:int>, buckets int,
+  files array<struct<kind:string,path:string,name:string,length:bigint,rows:bigint,checksum:string>>, schemas map<string,string>"""
 
-    def put(df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").option("compression", compression).parquet(f"{root}/{name}/segment_id={segment_id}/run={run}")
 
-    put(tracks, "tracks")
-    put(fingerprints.repartition("hash").sortWithinPartitions("hash"), "fingerprints")
-    info = spark.read.parquet(f"{root}/tracks/segment_id={segment_id}/run={run}").agg(F.count("*").cast("int").alias("num_tracks")).select(
-        F.lit(f"segment_id={segment_id}/run={run}").alias("path"), F.lit(segment_id).alias("segment_id"), F.lit(run).alias("run"), F.current_timestamp().alias("created_at"), "num_tracks",
-        F.struct(F.lit(preset.sample_rate).alias("sr"), F.lit(preset.window).alias("frame"), F.lit(preset.hop).alias("hop")).alias("params"),
-    )
-    info.coalesce(1).write.mode("append").json(f"{root}/manifest")
-    return segment_id
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The segments; an empty frame before the first."""
+    return lines(spark, f"{root}/manifest", MANIFEST)
 
 
-MANIFEST = "path string, segment_id int, run string, created_at timestamp, num_tracks int, params struct<sr:int,frame:int,hop:int>"
+def _guarded(spark: SparkSession, root: str, preset: Preset) -> list:
+    """(segment_id, run, path, buckets) of all segments, after the guard."""
+    check_parameters(spark, root, preset)
+    return manifest(spark, root).select("segment_id", "run", "path", "buckets").orderBy("segment_id").collect()
 
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """The segments; an empty frame before the first."""
-    try:
-        return spark.read.schema(MANIFEST).json(f"{root}/manifest")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MANIFEST)
+def bucket_rows(spark: SparkSession, root: str) -> DataFrame:
+    """(segment_id, bucket, n_postings) from the manifest alone."""
+    files = manifest(spark, root).select("segment_id", F.inline("files")).where("kind = 'fingerprints'")
+    return files.groupBy("segment_id", F.regexp_extract("name", r"_(\d+)\.", 1).cast("int").alias("bucket")).agg(F.sum("rows").alias("n_postings"))
+
+
+def damaged(spark: SparkSession, root: str, full: bool = False) -> DataFrame:
+    """(segment_id, kind, path, name, problem): files of the manifest that are missing or of another length; full reads them
+    all and tells those of other rows or another checksum, too."""
+    wanted = manifest(spark, root).select("segment_id", "schemas", F.inline("files"))
+    frames = []
+    for kind in ("tracks", "fingerprints"):
+        own = wanted.where(F.col("kind") == kind)
+        paths = [r.path for r in own.select("path").distinct().collect()]  # a row for each segment
+        if not paths:
+            continue
+        there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{kind}").select("path", F.col("length").alias("_length"))  # no file is opened
+        parts = F.split("path", "/")
+        there = there.select(F.element_at(parts, -2).alias("path"), F.element_at(parts, -1).alias("name"), "_length")
+        state = own.join(there, ["path", "name"], "left").withColumn("problem", F.when(F.col("_length").isNull(), "missing").when(F.col("_length") != F.col("length"), "length"))
+        if full:
+            known = own.join(there.select("path").distinct(), "path", "left_semi").groupBy(F.col("schemas")[kind].alias("schema")).agg(F.collect_set("path").alias("paths")).collect()
+            read = [file_sums(spark, root, kind, k.paths, k.schema, readable_only=True).select("path", "name", F.col("rows").alias("_rows"), F.col("checksum").alias("_checksum")) for k in known]
+            if read:
+                read = reduce(DataFrame.unionByName, read)
+                state = state.join(read, ["path", "name"], "left").withColumn("problem", F.coalesce("problem", F.when(~(F.col("rows").eqNullSafe(F.col("_rows")) & F.col("checksum").eqNullSafe(F.col("_checksum"))), "contents")))
+        frames.append(state.where("problem is not null").select("segment_id", "kind", "path", "name", "problem"))
+    return frames[0].unionByName(frames[1]) if len(frames) == 2 else frames[0] if frames else spark.createDataFrame([], "segment_id int, kind string, path string, name string, problem string")
+
+
+def abandoned(spark: SparkSession, root: str) -> DataFrame:
+    """(kind, path) of folders of runs without a line: of writers that failed, or that are still at work."""
+    known = manifest(spark, root).select("path").distinct()
+    frames = []
+    for kind in ("tracks", "fingerprints"):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{kind}").select("path")
+        frames.append(files.select(F.lit(kind).alias("kind"), F.element_at(F.split("path", "/"), -2).alias("path")).distinct().join(known, "path", "left_anti"))
+    return frames[0].unionByName(frames[1])
 
 
 def mismatched(segments: DataFrame, preset: Preset) -> DataFrame:
@@ -92,22 +172,51 @@ def with_defaults(segments: DataFrame, preset: Preset) -> DataFrame:
     return segments.withColumn("params", F.struct(fill("sr", preset.sample_rate), fill("frame", preset.window), fill("hop", preset.hop)))
 
 
-def read_index(spark: SparkSession, root: str, segments: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(tracks, fingerprints) of the runs in the manifest, with segment_id; a list of segments prunes partitions."""
-    runs = manifest(spark, root).select("segment_id", "run")  # a row for each segment: these prune partitions too
-    frames = []
-    for name in ("tracks", "fingerprints"):
-        f = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-        f = f.withColumn("run", F.col("run").cast("string"))
-        f = f if segments is None else f.where(F.col("segment_id").isin(segments))
-        frames.append(f.join(runs, ["segment_id", "run"], "left_semi").drop("run"))
-    return tuple(frames)
+def read_index(spark: SparkSession, root: str, segments: list[int] | None = None, bucketed: bool = False, skip_damaged: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(tracks, fingerprints) of the segments in the manifest, or of some, with segment_id; only their folders are read.
+
+    bucketed: the postings know that they lie in buckets, for batches too large to broadcast. skip_damaged leaves out
+    the segments that ``damaged`` tells.
+    """
+    found = manifest(spark, root).select("segment_id", "path", "buckets").collect()  # a row for each segment
+    if skip_damaged:
+        bad = {r.segment_id for r in damaged(spark, root).select("segment_id").distinct().collect()}
+        found = [r for r in found if r.segment_id not in bad]
+    found = [r for r in found if segments is None or r.segment_id in segments]
+    if not found:
+        raise ValueError(f"no segment to read at {root}")
+    runs = F.broadcast(spark.createDataFrame([(r.path.removeprefix("run="), r.segment_id) for r in found], "run string, segment_id int"))
+
+    def plain(name: str) -> DataFrame:
+        return spark.read.option("basePath", f"{root}/{name}").parquet(*(f"{root}/{name}/{r.path}" for r in found))
+
+    postings = _buckets(spark, root, [r.path for r in found], found[0].buckets) if bucketed else plain("fingerprints")
+    return tuple(f.withColumn("run", F.col("run").cast("string")).join(runs, "run").drop("run") for f in (plain("tracks"), postings))
+
+
+def _buckets(spark: SparkSession, root: str, paths: list[str], n: int) -> DataFrame:
+    """The postings as a table of the session's catalogue that names their buckets; the files are where they were."""
+    shape = spark.read.parquet(f"{root}/fingerprints/{paths[0]}").schema
+    name = f"sonolith_{hashlib.sha256(f'{root} {n} {shape.json()}'.encode()).hexdigest()[:24]}"
+    place = root.replace("\\", "\\\\").replace("'", "\\'")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, run string) USING parquet PARTITIONED BY (run) CLUSTERED BY (hash) SORTED BY (hash) INTO {n} BUCKETS LOCATION '{place}/fingerprints'")
+    runs = [p.removeprefix("run=") for p in paths]
+    spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS " + " ".join(f"PARTITION (run='{r}')" for r in runs))  # of the manifest only
+    spark.catalog.refreshTable(name)
+    return spark.table(name).where(F.col("run").isin(runs))
 
 
 def current(tracks: DataFrame, fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both without what a later segment has anew: of every track its latest segment."""
-    latest = tracks.groupBy("track_id").agg(F.max("segment_id").alias("segment_id"))
-    return tuple(f.join(latest, ["track_id", "segment_id"], "left_semi") for f in (tracks, fingerprints))
+    """Both without what a later segment has anew: of every track its latest segment. Postings aren't moved for it unless
+    very many tracks were replaced."""
+    latest = tracks.groupBy("track_id").agg(F.max("segment_id").alias("_latest"), F.min("segment_id").alias("_first")).where("_latest > _first")
+    replaced = cut(tracks.join(latest, "track_id").where("segment_id < _latest").select("track_id", "segment_id").distinct())
+    n = replaced.count()
+    if not n:
+        return tracks, fingerprints
+    replaced = F.broadcast(replaced) if n <= BROADCAST_REPLACED else replaced
+    return tuple(f.join(replaced, ["track_id", "segment_id"], "left_anti") for f in (tracks, fingerprints))
 
 
 def not_indexed(incoming: DataFrame, tracks: DataFrame, force: bool = False) -> DataFrame:

@@ -2,6 +2,11 @@
 
 Everything carries query_id, so a batch of clips is one job. Orders are total: votes, total votes, absolute
 offset, offset, track.
+
+A batch up to BROADCAST_HASHES is broadcast. A larger one is dealt by hash: postings that lie in buckets stay where they
+are, others are shuffled. A counting pass finds the hashes that would make one task's share too large (silence, tones);
+their postings are read apart, dealt by a salt, and meet the batch's rows of these hashes in every salt. Either way the
+batch's equal rows are one row with a number before they meet a posting.
 """
 
 from __future__ import annotations
@@ -13,15 +18,42 @@ from ..functions import hashing
 from ..presets import Preset
 from ..recovery import cut
 
-#: Query hashes up to which they are broadcast (24 bytes each); a larger batch shuffles both sides by hash.
+#: Query rows up to which they are broadcast (24 bytes each).
 BROADCAST_HASHES = 1_000_000
-
-
-def votes(query: DataFrame, postings: DataFrame) -> DataFrame:
+#: A hash is heavy if it has more than a task's mean share of the postings over this.
+HEAVY = 4
+#: Tasks that a heavy hash's postings are dealt to.
+SALTS = 64
+
+
+def heavy_hashes(postings: DataFrame, tasks: int, share: int = HEAVY) -> DataFrame:
+    """(hash) of the hashes with over 1 / (share * tasks) of all postings: fewer than share * tasks of them."""
+    counts = postings.groupBy("hash").agg(F.count("*").alias("_n"))  # in place where postings lie in buckets
+    total = postings.count()
+    return cut(counts.where(F.col("_n") > F.lit(total / (share * tasks))).select("hash"))
+
+
+def hits(query: DataFrame, postings: DataFrame, most: int = BROADCAST_HASHES, salts: int = SALTS) -> DataFrame:
+    """Postings joined with query rows (query_id, hash, t1) of their hash; times is how often the row is there."""
+    query = query.groupBy("query_id", "hash", "t1").agg(F.count("*").alias("times"))
+    if query.limit(most + 1).count() <= most:
+        return postings.join(F.broadcast(query), "hash")
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_hashes(postings, tasks)
+    if heavy.isEmpty():
+        return postings.join(query.hint("shuffle_merge"), "hash")
+    few = F.broadcast(heavy)
+    light = postings.join(few, "hash", "left_anti").join(query.join(few, "hash", "left_anti").hint("shuffle_merge"), "hash")
+    salt = "\x00salt"
+    dealt = postings.join(few, "hash", "left_semi").withColumn(salt, F.pmod(F.xxhash64("track_id", "anchor_t"), F.lit(salts)).cast("int"))
+    every = query.join(few, "hash", "left_semi").withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return light.unionByName(dealt.join(every.hint("shuffle_merge"), ["hash", salt]).drop(salt))
+
+
+def votes(query: DataFrame, postings: DataFrame, most: int = BROADCAST_HASHES, salts: int = SALTS) -> DataFrame:
     """(query_id, track_id, offset_frames, votes, total_votes). query: (query_id, hash, t1); repeats count."""
-    sized = F.broadcast(query) if query.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES else query
-    hit = postings.join(sized, "hash").select("query_id", "track_id", (F.col("anchor_t") - F.col("t1")).alias("offset_frames"))
-    counted = hit.groupBy("query_id", "track_id", "offset_frames").agg(F.count("*").alias("votes"))
+    hit = hits(query, postings, most, salts).select("query_id", "track_id", (F.col("anchor_t") - F.col("t1")).alias("offset_frames"), "times")
+    counted = hit.groupBy("query_id", "track_id", "offset_frames").agg(F.sum("times").alias("votes"))
     return counted.withColumn("total_votes", F.sum("votes").over(Window.partitionBy("query_id", "track_id")))
 
 
@@ -54,10 +86,10 @@ def top_matches(found: DataFrame, order: list, limit: int | None) -> DataFrame:
     return out.where(F.col("rank") <= limit) if limit and limit > 0 else out
 
 
-def match(query: DataFrame, postings: DataFrame, preset: Preset, tracks: DataFrame | None = None, limit: int | None = -1) -> DataFrame:
+def match(query: DataFrame, postings: DataFrame, preset: Preset, tracks: DataFrame | None = None, limit: int | None = -1, most: int = BROADCAST_HASHES) -> DataFrame:
     """Ranked matches of every query; tracks: metadata to join (inner, as unknown tracks are no result)."""
     query = cut(query)  # read for the votes and for the number of hashes
-    counted = best_offsets(votes(query, postings))
+    counted = best_offsets(votes(query, postings, most))
     n = query.groupBy("query_id").agg(F.count("*").alias("n_hashes"))
     found = with_confidence(counted, preset, n)
     if preset.least_votes:
@@ -74,8 +106,7 @@ def match_segments(query: DataFrame, postings: DataFrame, tracks: DataFrame, pre
     postings and tracks carry segment_id. Each segment gives its best max(50, limit); votes and totals of one name are
     summed. The offset is that of the strongest segment; compat compares each segment with the running sum instead.
     """
-    hit = postings.join(F.broadcast(query), "hash") if query.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES else postings.join(query, "hash")
-    counted = hit.groupBy("query_id", "segment_id", "track_id", (F.col("anchor_t") - F.col("t1")).alias("offset_frames")).agg(F.count("*").alias("votes"))
+    counted = hits(query, postings).groupBy("query_id", "segment_id", "track_id", (F.col("anchor_t") - F.col("t1")).alias("offset_frames")).agg(F.sum("times").alias("votes"))
     track = Window.partitionBy("query_id", "segment_id", "track_id")
     counted = counted.withColumn("total_votes", F.sum("votes").over(track))
     counted = counted.withColumn("_n", F.row_number().over(track.orderBy(F.desc("votes"), F.abs("offset_frames"), "offset_frames"))).where("_n = 1")

@@ -56,8 +56,8 @@ def peaks(cells: DataFrame, preset: Preset, query: bool = False) -> DataFrame:
     found = local_maxima(cells, preset.radius_t, preset.radius_f, preset.strict).where(F.col("f").between(low, high))
     if preset.threshold is not None:
         found = found.where(F.col("m") > preset.threshold if preset.strict else F.col("m") >= preset.threshold)
-    if preset.running_reference:  # centres with whole neighbourhoods in time only
-        found = found.where((F.col("t") >= preset.radius_t) & (F.col("t") <= F.col("_last") - preset.radius_t)).drop("_last")
+    if preset.running_reference:  # a frame is judged with radius_t frames on either side, and as many must follow these
+        found = found.where((F.col("t") >= preset.radius_t) & (F.col("t") <= F.col("_last") - 2 * preset.radius_t)).drop("_last")
     return ranked(found, preset, query)
 
 

@@ -566,8 +566,8 @@ def _stored(spark, d) -> str:
     tracks, prints = S.tracks(spark, d), S.index_prints(spark, d, LP).withColumn("segment_id", F.expr("cast(track_id % 3 as int)"))
     for part in (0, 1, 2, 1):
         index.write_segment(tracks.where(F.col("segment_id") == part).drop("segment_id"), prints.where(F.col("segment_id") == part).drop("segment_id"), root, LP)
-    tracks.drop("segment_id").write.parquet(f"{root}/tracks/segment_id=4/run=rfailed")
-    prints.drop("segment_id").write.parquet(f"{root}/fingerprints/segment_id=4/run=rfailed")
+    tracks.drop("segment_id").write.parquet(f"{root}/tracks/run=failed")
+    prints.drop("segment_id").write.parquet(f"{root}/fingerprints/run=failed")
     return root
 
 

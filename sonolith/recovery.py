@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,16 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Seconds between two collections that are asked for, and when the last one was.
+COLLECT_EVERY, _collected = 5.0, [0.0]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from a reliable checkpoint in the shared folder.
 
     Spark's cleaner removes the shuffle files of plans that the driver has collected as garbage. A collection is
-    asked for here, as Spark itself does now and then, so that a long chain of steps doesn't hold the disk of all of them.
+    asked for here every few seconds, as Spark itself does now and then, so that a long chain of steps doesn't hold the
+    disk of all of them.
     """
     spark = df.sparkSession
     directory = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(directory)
     out = df.checkpoint()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected[0] > COLLECT_EVERY:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return out

@@ -33,9 +33,14 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("m4a",),
     files = files.option("recursiveFileLookup", str(recursive).lower()).load(root)
     if not content:
         files = files.drop("content")  # pruned: no file is opened
+    return with_names(files, root)
+
+
+def with_names(files: DataFrame, root: str) -> DataFrame:
+    """files with rel_path, what follows the root's own text whatever the scheme in front, and name."""
     base = root.rstrip("/") + "/"
-    # everything up to the root's own text, whatever the scheme in front
-    rel = F.when(F.instr("path", base) > 0, F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")).otherwise(F.col("path"))
+    at = F.locate(base, F.col("path"))
+    rel = F.when(at > 0, F.substring(F.col("path"), at + len(base), F.length("path"))).otherwise(F.col("path"))
     return files.withColumn("rel_path", rel).withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 

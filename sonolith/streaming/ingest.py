@@ -20,10 +20,7 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 def stream_files(spark: SparkSession, root: str, glob: str = "*.[wW][aA][vV]", per_trigger: int = 1000) -> DataFrame:
     """New files below root as rows of the binary source."""
     source = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger)
-    files = source.load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.when(F.instr("path", base) > 0, F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")).otherwise(F.col("path"))
-    return files.withColumn("rel_path", rel).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return audio.with_names(source.load(root), root)
 
 
 def index_stream(files: DataFrame, root: str, preset: Preset, checkpoint: str, every: str | None = "2 seconds") -> StreamingQuery:

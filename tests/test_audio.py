@@ -173,3 +173,11 @@ def test_engine_adds_queries_and_compacts(spark, library, tmp_path):
     engine.compact(str(tmp_path / "one"))
     assert Engine(spark, str(tmp_path / "one")).query(str(tmp_path / "clips"), 1).count() == len(again) == 2
     assert engine.describe(str(tmp_path / "clips" / "c1.wav")).first().n_hashes > 0
+
+
+def test_a_root_with_quotes_is_scanned(spark, tmp_path):
+    root = tmp_path / "it's 'so' here"
+    (root / "a" / "b").mkdir(parents=True)
+    (root / "a" / "b" / "x.wav").write_bytes(wav(tones(1, 2)))
+    assert [r.rel_path for r in audio.scan(spark, str(root), ("wav",)).collect()] == ["a/b/x.wav"]
+    assert "rel_path" in ingest.stream_files(spark, str(root)).columns

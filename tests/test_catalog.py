@@ -114,5 +114,89 @@ def test_chunks_keep_all_columns(spark):
 
 def test_crawl_goes_to_the_end(spark):
     start = spark.createDataFrame([(0,), (None,)], "id int")
-    got = catalog.crawl(start, lambda f: f.where("id < 12").selectExpr("id + 1 as id").union(f.selectExpr("cast(null as int)")))
-    assert sorted(r.id for r in got.collect()) == list(range(13))
+    got = catalog.crawl(start, lambda f: f.where("id < 55").selectExpr("id + 1 as id").union(f.selectExpr("cast(null as int)")))
+    assert sorted(r.id for r in got.collect()) == list(range(56))
+
+
+PAGE = "url string, next string, items array<string>"
+
+
+def walked(pages, start, longest=catalog.LONGEST_CHAIN):
+    """The pages read from a url: (items, number), one page after the other."""
+    known = {}
+    for url, after, items in pages:
+        if url is not None:
+            known[url] = (after, items)
+    if start not in known:
+        return None
+    after, items = known[start]
+    out, seen = list(items or []), {start}
+    while items is not None and after in known and after not in seen and len(seen) < longest and known[after][1] is not None:
+        seen.add(after)
+        after, more = known[after]
+        out += more
+    return out, len(seen)
+
+
+def test_any_page_can_be_read_from(spark):
+    """Two pages that lead to one, a cycle entered from outside and one of its own, a page without items, a null next, 205 pages."""
+    pages = [("a", "c", ["1"]), ("b", "c", ["2"]), ("c", None, ["3", "33"]), ("in", "r1", ["i"]), ("r1", "r2", ["x"]), ("r2", "r3", []), ("r3", "r1", ["z"])]
+    pages += [("p", "q", ["5"]), ("q", "p", ["6"]), ("self", "self", ["s"]), ("to bare", "bare", ["t"]), ("bare", "a", None), ("gone", "nowhere", ["g"]), (None, "a", ["n"])]
+    pages += [(f"{i:03d}", f"{i + 1:03d}", [str(i)]) for i in range(205)] + [("fork", "100", ["f"])]
+    frame = spark.createDataFrame(pages, PAGE)
+    got = {r.url: (r["items"] or [], r.n_pages) for r in catalog.read_chains(frame).collect()}
+    assert got == {p[0]: walked(pages, p[0]) for p in pages if p[0]}
+    assert got["b"] == (["2", "3", "33"], 2) and got["in"][1] == 4 and got["000"][1] == 201 and got["fork"][1] == 106
+    some = catalog.read_chains(frame, spark.createDataFrame([("b",), ("absent",), ("b",)], "url string")).collect()
+    assert [(r.url, r["items"]) for r in some] == [("b", ["2", "3", "33"])]
+    starts = {r.url for r in catalog.chain_starts(frame).collect()}
+    assert starts == {"b", "in", "p", "self", "to bare", "gone", "000", "fork"}  # "bare" leads to "a"
+    assert {r.url for r in catalog.merge_page_chains(frame).collect()} == starts
+
+
+def test_a_repeated_page_counts_once(spark):
+    frame = spark.createDataFrame([("a", "b", ["1"]), ("a", "b", ["1"]), ("b", None, ["2"])], PAGE)
+    assert {r.url: (r["items"], r.n_pages) for r in catalog.read_chains(frame).collect()} == {"a": (["1", "2"], 2), "b": (["2"], 1)}
+    assert catalog.read_chains(frame.where("url = 'x'")).count() == 0
+
+
+def test_error_members_by_their_types(spark):
+    values = {"0": False, "0.0": False, "-0": False, "0e5": False, "false": False, "null": False, '""': False, '"0"': True, '"false"': True, "1": True, "0.5": True, "true": True, "[]": True, "{}": True, '"x"': True}
+    rows = [(v, f'{{"error": {v}, "items": []}}') for v in values] + [("absent", '{"items": []}'), ("broken", "{"), ("none", None), ("list", '[{"error": 1}]')]
+    frame = spark.createDataFrame(rows, "k string, data string")
+    kept = {r.k for r in catalog.without_errors(frame).collect()}
+    assert kept == {v for v, truthy in values.items() if not truthy} | {"absent", "broken", "none", "list"}
+    assert {r.k for r in catalog.cacheable(frame).collect()} == {"absent", "broken", "none", "list"}
+
+
+def test_touch_goes_by_keys_and_not_by_times(spark):
+    day = lambda d: dt.datetime(2020, 1, d)
+    shape = "id int, `a.name` string, updated_at timestamp"
+    old = spark.createDataFrame([(1, "a", None), (2, None, day(1)), (3, "c", day(1))], shape)
+    new = spark.createDataFrame([(2, "zz", None), (4, "d", None), (4, "e", day(3)), (None, "n", None)], shape)
+    got = sorted(map(tuple, catalog.touch(old, new, "id", F.lit(day(5))).collect()), key=str)
+    assert got == sorted([(1, "a", None), (2, None, day(5)), (3, "c", day(1)), (4, "d", day(5)), (None, "n", day(5))], key=str)
+
+
+def test_several_updates_of_a_track_are_one(spark):
+    t = spark.createDataFrame([(1, -1), (2, 30)], "id int, duration int")
+    up = spark.createDataFrame([(1, 50, 2), (1, 99, 1), (1, None, 3), (2, None, 1)], "id int, duration int, at int")
+    assert sorted(map(tuple, catalog.set_duration(t, up, "id").collect())) == [(1, 99), (2, 30)]
+    assert sorted(map(tuple, catalog.set_duration(t, up, "id", "at").collect())) == [(1, 50), (2, 30)]
+
+
+def test_what_a_crawl_writes_grows_with_new_ids(spark, tmp_path):
+    edges = spark.createDataFrame([(i, j) for i in range(300) for j in (i * 2 + 1, i * 2 + 2, i // 2)], "id long, other long")
+    root = str(tmp_path / "crawl")
+    got = catalog.crawl(spark.createDataFrame([(0,), (None,)], "id long"), lambda f: f.join(edges, "id").select(F.col("other").alias("id")), root)
+    assert sorted(r.id for r in got.collect()) == list(range(601))
+    written = spark.read.parquet(f"{root}/ids")
+    assert written.count() == written.select("id").distinct().count() == 601  # no id is written twice
+
+
+def test_the_crawls_filter_never_loses_an_id(spark, monkeypatch):
+    ids, others = spark.range(0, 3000), spark.range(3000, 6000)
+    for bits, most in ((1 << 26, 5), (1 << 15, 3000), (1 << 10, 3000)):
+        monkeypatch.setattr(catalog, "FILTER_BITS", bits)
+        bitmaps = catalog.id_filter(ids)
+        assert catalog.maybe_in(ids, bitmaps).count() == 3000 and catalog.maybe_in(others, bitmaps).count() <= most
