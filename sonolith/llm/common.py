@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..recovery import cut, shared_dir
 
 #: Tasks that rows of one key are dealt to where a join is too large to broadcast.
 SALTS = 64
 
-__all__ = ["constant_array", "cut", "filter_texts", "hash_order", "id_remainder", "session_partitions", "shared_dir", "shared_path", "sized_join", "table"]
+__all__ = ["constant_array", "cut", "filter_texts", "hash_order", "id_remainder", "remove", "session_partitions", "shared_dir", "shared_path", "sized_join", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,12 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours in the shared one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def id_remainder(column: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -74,6 +81,7 @@ def filter_texts(docs: DataFrame, keep: Callable[[], Callable], columns: tuple[s
 
     names = docs.columns
     places = [names.index(c) for c in columns]
+    plain = [f"c{i}" for i in range(len(names))]  # theirs may hold dots or clash
 
     def run(batches: Iterator) -> Iterator:
         judge = keep()
@@ -86,4 +94,5 @@ def filter_texts(docs: DataFrame, keep: Callable[[], Callable], columns: tuple[s
                 at += some.num_rows
         release()
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(plain, docs.schema, strict=True)])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*names)

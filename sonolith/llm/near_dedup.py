@@ -8,14 +8,14 @@ their order - edits far apart in the text leave most keys, a reordering changes
 Candidates don't come from all pairs of a bucket. Copies of one text are one node. A node's weight is the
 number of nodes it shares buckets with, and a bucket's centre is its heaviest member: the least edited text of
 a family tends to be the centre of most of its buckets. Every node is first compared with its heaviest centre,
-then with those of its other buckets that aren't in the same star already. What is linked so far forms classes; then
-all members of a bucket that are in different classes are compared with each other, so every pair of texts that shares
-a key is compared or is in one class. Those of a bucket's largest class aren't compared among themselves. The rest of a
-bucket meets all of it block by block: counts of shingles by hash give the most that two texts can share, and only
-pairs that can reach the similarity are aligned. Nothing is capped; the number of these bounds is members outside the
-largest class times members, for each bucket. Pairs are verified by aligning the labelled shingles: the
-longest common subsequence inside the diagonal band that a similarity of 0.8 leaves. The similarity is common
-/ (a + b - common). Connected texts form a class, named by its least document id.
+then with those of its other buckets that aren't in the same star already. What is linked so far forms classes. The
+members of buckets that hold several classes then meet by exact prefix filtering: their labelled shingles are ranked by
+how many of these texts hold them, rarest first, and two texts that reach the similarity share a shingle among the first
+n - ceil(2s / (1 + s) n) + 1 of the shorter and n - ceil(s n) + 1 of the longer. Texts of different classes that share one,
+with lengths and places that still allow the similarity, are aligned; so edits of one text that stay under the similarity
+don't meet, however many there are. Nothing is capped. Pairs are verified by aligning the labelled shingles: the longest
+common subsequence inside the diagonal band that a similarity of 0.8 leaves. The similarity is common / (a + b - common).
+A text that many are compared with is sent once for many of them. Connected texts form a class, named by its least document id.
 
 Defined cases: a null text is the empty text; texts of fewer than five words are one shingle, texts without
 a word only have exact copies; null ids are members like others, a class of null ids alone has a null class;
@@ -27,11 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .text_arrays import buffers, mix, word_hashes
+from .text_arrays import buffers, mix, slices, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -41,9 +41,8 @@ ORDER = 4
 CELLS = 1_000_000
 #: Rows of a batch that are Python objects at once.
 SLICE = 64
-#: Members of a bucket that meet as many others at once, and counts of shingles kept of each.
+#: Pairs for which a text is sent once, on average, where it is compared with very many.
 BLOCK = 256
-COUNTS = 256
 #: Keys of several nodes (16 bytes and a hash entry each) up to which they are broadcast.
 BROADCAST_KEYS = 500_000
 #: Nodes (16 bytes and a hash entry each) up to which a candidate set is broadcast.
@@ -155,31 +154,50 @@ def sketches(named: DataFrame, bands: int = BANDS, order: int = ORDER) -> DataFr
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    """Each pair once, with the node of more pairs in its place as the centre."""
+    one = rows.select("node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    return one.groupBy("a", "b").agg(F.min(F.struct("node", "centre")).alias("p")).select("p.node", "p.centre")
+
+
+def labelled_shingles(texts: list) -> list[np.ndarray]:
+    """The labelled shingles of each text."""
+    out: list[np.ndarray] = []
+    for _, encoded in buffers(texts):
+        words, offsets = word_hashes(encoded)
+        out += [shingles(words[offsets[i] : offsets[i + 1]]) for i in range(len(encoded))]
+    return out
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b, linked) of pairs of nodes. texts: (node, text) of at least their nodes, each once."""
+    """(a, b, linked) of pairs (node, centre), a < b. texts: (node, text) of at least their nodes, each once.
+
+    A centre's pairs are dealt into blocks by their nodes, as many as all pairs are BLOCKs; in a sorted partition each
+    block is the centre's text and then those of its nodes.
+    """
     import pyarrow as pa
 
+    blocks = max(1, -(-pairs.count() // BLOCK))
+    dealt = pairs.select("node", "centre", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"))
+    members = dealt.join(texts, "node").select("centre", "block", "node", "text")
+    centres = dealt.select("centre", "block").distinct().join(texts.withColumnRenamed("node", "centre"), "centre").select("centre", "block", F.lit(None).cast("binary").alias("node"), "text")
+    rows = members.unionByName(centres).repartition("centre", "block").sortWithinPartitions("centre", "block", F.col("node").asc_nulls_first())
+
     def run(batches: Iterator) -> Iterator:
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                some = batch.slice(at, SLICE)
-                a, b = some.column(0).to_pylist(), some.column(1).to_pylist()
-                ready: dict[bytes, np.ndarray] = {}
-                for names, bodies in ((a, some.column(2)), (b, some.column(3))):
-                    new = {n: i for i, n in enumerate(names) if n not in ready}
-                    ids = list(new)
-                    for first, encoded in buffers([bodies[i].as_py() for i in new.values()]):
-                        words, offsets = word_hashes(encoded)
-                        for i in range(len(encoded)):
-                            ready[ids[first + i]] = shingles(words[offsets[i] : offsets[i + 1]])
-                linked = pa.array([aligned_similarity(ready[x], ready[y], least) > 0 for x, y in zip(a, b, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), linked], names=["a", "b", "linked"])
-
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean")
+            for some in slices(batch, 3, SLICE):
+                centre, node = some.column(0).to_pylist(), some.column(2).to_pylist()
+                a, b, linked = [], [], []
+                for x, y, found in zip(centre, node, labelled_shingles(some.column(3).to_pylist()), strict=True):
+                    if y is None:  # the block's centre comes first
+                        own = found
+                        continue
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+                    linked.append(aligned_similarity(own, found, least) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return rows.mapInArrow(run, "a binary, b binary, linked boolean")
 
 
 def shared_keys(members: DataFrame) -> DataFrame:
@@ -200,6 +218,10 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("a", F.least("node", "centre")).withColumn("b", F.greatest("node", "centre"))
 
 
+def _not_done(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    return _ordered(pairs).join(done.select("a", "b"), ["a", "b"], "left_anti").select("node", "centre")
+
+
 def _other_stars(rows: DataFrame, star: DataFrame) -> DataFrame:
     """The (node, centre) rows that aren't in one star. star: (node, star), for linked nodes."""
     of_node, of_centre = star.select("node", F.col("star").alias("s1")), star.select(F.col("node").alias("centre"), F.col("star").alias("s2"))
@@ -207,67 +229,50 @@ def _other_stars(rows: DataFrame, star: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("s1", "node") != F.coalesce("s2", "centre")).select("node", "centre")
 
 
-def shingle_counts(texts: DataFrame) -> DataFrame:
-    """(node, counts): how many labelled shingles of each text fall into each of COUNTS ranges of hashes, as 32-bit numbers."""
+def shingle_lists(texts: DataFrame) -> DataFrame:
+    """(node, n, tokens): the labelled shingles of each text; they are distinct."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                some = batch.slice(at, SLICE)
-                counts: list[bytes] = []
-                for _, encoded in buffers(some.column(1).to_pylist()):
-                    words, offsets = word_hashes(encoded)
-                    for i in range(len(encoded)):
-                        cells = (shingles(words[offsets[i] : offsets[i + 1]]) % np.uint64(COUNTS)).astype(np.int64)
-                        counts.append(np.bincount(cells, minlength=COUNTS).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.binary())], names=["node", "counts"])
+            for some in slices(batch, 1, SLICE):
+                found = [x.view(np.int64) for x in labelled_shingles(some.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, counts binary")
+    return texts.select("node", "text").mapInArrow(run, "node binary, n bigint, tokens array<bigint>")
 
 
-def possible_pairs(counts_a: np.ndarray, counts_b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """Which rows of a and b can have that similarity: they share at most the sum of the lesser counts."""
-    n_a, n_b = counts_a.sum(axis=1, dtype=np.int64), counts_b.sum(axis=1, dtype=np.int64)
-    out = np.empty((len(counts_a), len(counts_b)), bool)
-    for i, row in enumerate(counts_a):
-        out[i] = np.minimum(row, counts_b).sum(axis=1, dtype=np.int64) >= least * (n_a[i] + n_b) / (1 + least) - 1e-9
-    return out
+def prefixes(lists: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(token, node, n, at, first): the shingles by which texts can meet, with their places in the order of rarity; first where
+    they are among those of the shorter text of a pair. lists: (node, n, tokens). Shingles of one text only take their
+    places at the front and are no rows."""
+    flat = lists.select("node", "n", F.explode("tokens").alias("token"))
+    common = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("node")
+    ranked = flat.join(common, "token").withColumn("k", F.row_number().over(own.orderBy("df", "token"))).withColumn("m", F.count("*").over(own))
+    placed = ranked.withColumn("at", F.col("n") - F.col("m") + F.col("k"))
+    reach = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    return placed.where(F.col("at") <= reach(least)).select("token", "node", "n", "at", (F.col("at") <= reach(2 * least / (1 + least))).alias("first"))
 
 
 def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b), each once, of the nodes that share a key, aren't in one class and can have that similarity.
+    """(node, centre), each pair once: nodes of buckets with several classes that aren't in one class and can have that similarity.
 
-    shared: (key, node, n); roots: (node, root) of linked nodes. Each bucket's nodes outside its largest class meet all
-    of its nodes; both are dealt into blocks, so that a large bucket is many groups.
+    shared: (key, node, n); roots: (node, root) of linked nodes.
     """
-    import pyarrow as pa
-
     placed = cut(shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-    classes = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("c"))
     # in a bucket of two both were compared: one is the centre
-    mixed = cut(placed.where("n > 2").join(classes.where("c > 1"), "key").select("key", "node", "root", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.m")).alias("rest")))
-    counts = cut(shingle_counts(texts.join(mixed.select("node").distinct(), "node", "left_semi")))
-
-    def dealt(side: DataFrame, own: str, size: str, other: str, other_size: str, left: bool) -> DataFrame:
-        blocks, others = F.ceil(F.col(size) / BLOCK), F.ceil(F.col(other_size) / BLOCK)
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)).alias(other)
-        return side.select("key", "node", "root", F.pmod(F.xxhash64("node", F.lit(left)), blocks).alias(own), every, F.lit(left).alias("left"))
-
-    rows = dealt(mixed.where("root <> main"), "i", "rest", "j", "n", True).unionByName(dealt(mixed, "j", "n", "i", "rest", False))
-
-    def run(group: pa.Table) -> pa.Table:
-        left = group["left"].to_numpy()
-        root = group["root"].combine_chunks().dictionary_encode()
-        root = (root.combine_chunks() if isinstance(root, pa.ChunkedArray) else root).indices.to_numpy()
-        nodes = group["node"].to_pylist()
-        held = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint32).reshape(len(nodes), COUNTS)
-        x, y = np.flatnonzero(left), np.flatnonzero(~left)
-        at_x, at_y = np.nonzero(possible_pairs(held[x], held[y], least) & (root[x][:, None] != root[y]))
-        pairs = [sorted((nodes[i], nodes[j])) for i, j in zip(x[at_x].tolist(), y[at_y].tolist(), strict=True)]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
-
-    return rows.join(counts, "node").select("key", "i", "j", "left", "node", "root", "counts").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    several = placed.where("n > 2").groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
+    mixed = cut(placed.join(several, "key", "left_semi").select("node", "root").distinct())
+    lists = cut(shingle_lists(texts.join(mixed.select("node"), "node", "left_semi")))
+    found = cut(prefixes(lists, least).join(mixed, "node"))
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("node", "root", "n", "at")]
+    met = found.where("first").select("token", *side("x")).join(found.select("token", *side("y")), "token")
+    n_x, n_y = F.col("x_n"), F.col("y_n")
+    shorter = (n_x < n_y) | ((n_x == n_y) & (F.col("x_node") < F.col("y_node")))
+    left = F.least(n_x - F.col("x_at"), n_y - F.col("y_at")) + 1  # of the first shingle they share, no more can be common
+    able = (n_x >= least * n_y - 1e-9) & (left >= least * (n_x + n_y) / (1 + least) - 1e-9)
+    return met.where(shorter & able & (F.col("x_root") != F.col("y_root"))).select(F.col("x_node").alias("node"), F.col("y_node").alias("centre")).distinct()
 
 
 def candidate_links(keys: DataFrame, named: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -279,15 +284,15 @@ def candidate_links(keys: DataFrame, named: DataFrame, least: float = SIMILARITY
     texts = cut(named.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     # each node with its heaviest centre
     best = cut(rows.groupBy("node").agg(F.max(F.struct("heavy", "centre")).alias("c")).select("node", "c.centre"))
-    checked = cut(verify(_pairs(best), texts, least))
+    checked = cut(verify(cut(_pairs(best)), texts, least))
     star = cut(_ordered(best).join(checked.where("linked").select("a", "b"), ["a", "b"]).select("node", F.col("centre").alias("star")))
     # with the centres of its other buckets, unless both are in one star
     others = cut(_other_stars(rows, star))
-    done = checked.union(cut(verify(_pairs(others).join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, least)))
+    done = checked.union(cut(verify(cut(_not_done(_pairs(others), checked)), texts, least)))
     links = done.where("linked").select("a", "b")
     # all others that share a bucket, unless both are in one class
     roots = cut(components(links))
-    pairs = cut(remaining_pairs(shared, roots, texts, least).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    pairs = cut(_not_done(remaining_pairs(shared, roots, texts, least), done))
     found = cut(verify(pairs, texts, least).where("linked").select("a", "b"))
     if found.isEmpty():
         return links, roots

@@ -167,12 +167,43 @@ def test_members_apart_from_their_centre_meet(spark, monkeypatch):
     assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == brute_classes(rows) and {r.class_id for r in got} == {0, 1}
 
 
-def test_blocks_of_a_bucket_compare_every_pair(spark, monkeypatch):
-    """One bucket of unlinked texts and pairs of edits, dealt into many blocks."""
+def bucket_of(monkeypatch, spark, texts):
+    """All texts in one bucket."""
+    nodes = spark.createDataFrame([(bytearray(hashlib.md5(t.encode()).digest()), [1]) for t in set(texts)], "node binary, keys array<bigint>")
+    monkeypatch.setattr(N, "sketches", lambda *_: nodes)
+
+
+def test_every_pair_of_a_bucket_that_can_link_meets(spark, monkeypatch):
+    """One bucket of unlinked texts, pairs of edits and texts of other lengths; a centre's pairs are dealt into many blocks."""
     monkeypatch.setattr(N, "BLOCK", 4)
     texts = [t for s in range(30) for t in family(100 + s, 2, 150, 1)]
+    texts += [" ".join(t.split()[: 125 + i]) for i, t in enumerate(texts[:20])] + ["a b", "a b c", "", "w " * 300, "w " * 340]
     rows = list(enumerate(texts))
-    nodes = spark.createDataFrame([(bytearray(hashlib.md5(t.encode()).digest()), [1]) for t in set(texts)], "node binary, keys array<bigint>")
-    monkeypatch.setattr(N, "sketches", lambda *_: nodes)
+    bucket_of(monkeypatch, spark, texts)
     got = N.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == brute_classes(rows)
+
+
+def test_edits_under_the_similarity_do_not_meet(spark):
+    """Texts that share 300 of 345 words are at 0.77: none links, and pairs don't grow with the square of their number."""
+    rng = random.Random(4)
+    base = [f"c{i}" for i in range(300)]
+    counts = []
+    for n in (100, 200):
+        texts = []
+        for _ in range(n):
+            own = [f"u{rng.randrange(10**9)}" for _ in range(45)]
+            texts.append(" ".join(base[:150] + own + base[150:]))
+        nodes = [bytearray(hashlib.md5(t.encode()).digest()) for t in texts]
+        frame = spark.createDataFrame(list(zip(nodes, texts, strict=True)), "node binary, text string")
+        shared = spark.createDataFrame([(1, x, n) for x in nodes], "key bigint, node binary, n bigint")
+        none = spark.createDataFrame([], "node binary, root binary")
+        counts.append(N.remaining_pairs(shared, none, frame).count())
+    assert counts[1] <= 2 * max(counts[0], 1)
+    # a pair at 0.8 among them does
+    near = texts[0].split()
+    near[20] = "z"
+    node = bytearray(hashlib.md5(" ".join(near).encode()).digest())
+    frame = frame.union(spark.createDataFrame([(node, " ".join(near))], frame.schema))
+    shared = spark.createDataFrame([(1, x, n + 1) for x in [*nodes, node]], shared.schema)
+    assert {frozenset(map(bytes, r)) for r in N.remaining_pairs(shared, none, frame).collect()} >= {frozenset(map(bytes, (nodes[0], node)))}
