@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. ``run`` writes every stage's result as Parquet in the shared folder and reads it again, so a lost
-executor costs at most the stage at hand.
+executor costs at most the stage at hand; a stage's folder is removed once the next one's is written.
 
 Defined cases are those of the operators: null and empty texts are ``und`` and leave in the first stage.
 """
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sonolith.llm import decontamination, language_id, near_dedup, piece_codec, quality_classifier
-from sonolith.llm.common import shared_path, table
+from sonolith.llm.common import remove, shared_path, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    return run_on(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage's rows over docs."""
+    before = None
     for _, stage in STAGES:
         path = shared_path(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
