@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import index, landmarks, match
+from .operators.monitor import Watch
 from .presets import LANDMARK, PRESETS, Preset
 from .recovery import cut
 from .sources import audio
@@ -13,11 +14,17 @@ from .sources import audio
 EXTENSIONS = ("wav", "m4a", "mp4", "aac", "mp3", "flac")
 
 
+def watched_peaks(files: DataFrame, preset: Preset, watch: Watch) -> DataFrame:
+    """decoded_peaks from a checkpoint; watch gets the files done and failed."""
+    head, bad = F.col("head"), F.col("reason").isNotNull()
+    return cut(watch.over(audio.decoded_peaks(files, preset), done=head & ~bad, failed=head & bad))
+
+
 def segment_of(files: DataFrame, found: DataFrame, preset: Preset, tags: DataFrame | None = None) -> tuple[int, DataFrame, DataFrame]:
     """(number, tracks, fingerprints) of decoded files. found: audio.decoded_peaks of files."""
     decoded = found.where("reason is null").select("rel_path").distinct()
     tracks = audio.track_rows(files.drop("content").join(decoded, "rel_path", "left_semi"), tags).withColumn("track_id", F.xxhash64("rel_path"))
-    peaks = found.where("t is not null").withColumn("track_id", F.xxhash64("rel_path")).drop("rel_path", "reason")
+    peaks = found.where("t is not null").withColumn("track_id", F.xxhash64("rel_path")).drop("rel_path", "reason", "head")
     return decoded.count(), tracks, landmarks.fingerprints(peaks, preset)
 
 
@@ -32,15 +39,17 @@ class Engine:
         files = audio.scan(self.spark, folder, EXTENSIONS)
         return audio.split_quarantine(files, audio.quarantine_reason(F.col("name"), F.col("length")))[0]
 
-    def add_segment(self, folder: str, force: bool = False, tags: DataFrame | None = None) -> int:
-        """Index a folder's new files as a segment; the number of tracks added. force indexes all of them again. Files that can't be decoded are no tracks: see rejected."""
+    def add_segment(self, folder: str, force: bool = False, tags: DataFrame | None = None, watch: Watch | None = None) -> int:
+        """Index a folder's new files as a segment; the number of tracks added. force indexes all of them again. Files that can't be
+        decoded are no tracks: see rejected. watch gets the files done and failed and the hashes, counted while they are made."""
+        watch = watch or Watch()
         files = self._files(folder)
         if not index.manifest(self.spark, self.root).isEmpty():
             files = index.not_indexed(files, index.read_index(self.spark, self.root)[0], force)
-        found = cut(audio.decoded_peaks(files, self.preset))
+        found = watched_peaks(files, self.preset, watch)
         n, tracks, prints = segment_of(files, found, self.preset, tags)
         if n:
-            index.write_segment(tracks, prints, self.root, self.preset)
+            index.write_segment(tracks, watch.over(prints, hashes=F.lit(True)), self.root, self.preset)
         return n
 
     def rejected(self, folder: str) -> DataFrame:

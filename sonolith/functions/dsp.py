@@ -26,7 +26,7 @@ def frames_of(samples: np.ndarray, preset: Preset) -> np.ndarray:
 
 
 def spectrogram(samples: np.ndarray, preset: Preset, transform: Transform = np.fft.rfft) -> np.ndarray:
-    """frames x bins magnitudes on the preset's scale."""
+    """frames x bins magnitudes on the preset's scale; powers where its reference runs: see peaks."""
     window = hann(preset.window, preset.periodic_hann)
     out = []
     frames = frames_of(np.asarray(samples, np.float64), preset)
@@ -39,12 +39,8 @@ def spectrogram(samples: np.ndarray, preset: Preset, transform: Transform = np.f
         power = m * m
         low, high = preset.tested
         if preset.running_reference:
-            inside = power[:, low : high + 1].max(axis=1, initial=1e-12) if len(power) else np.zeros(0)
-            top = np.maximum.accumulate(np.maximum(inside, 1e-12))
-            reach = np.minimum(np.arange(len(power)) + preset.radius_t, max(len(power) - 1, 0))
-            top = top[reach][:, None] if len(power) else np.ones((0, 1))
-        else:
-            top = max(power[:, low : high + 1].max(initial=0), 1e-12)
+            return power
+        top = max(power[:, low : high + 1].max(initial=0), 1e-12)
         return 10 * np.log10(np.maximum(power, 1e-12) / top)
     return m
 
@@ -59,7 +55,11 @@ def box_max(m: np.ndarray, radius: int, axis: int) -> np.ndarray:
 
 
 def peaks(m: np.ndarray, preset: Preset, query: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(t, f, m, ord) of the peaks of a spectrogram, top_k of each frame; ord is the place in the frame's list."""
+    """(t, f, m, ord) of the peaks of a spectrogram, top_k of each frame; ord is the place in the frame's list.
+
+    Under a running reference powers are compared, and m is decibels under the loudest in-band power up to the last
+    frame of the neighbourhood.
+    """
     empty = (np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros(0, np.int64))
     if not len(m) or (preset.scale == "relative" and len(m) > LONGEST_FRAMES):
         return empty
@@ -70,6 +70,9 @@ def peaks(m: np.ndarray, preset: Preset, query: bool = False) -> tuple[np.ndarra
     else:
         found = m == box_max(box_max(m, preset.radius_f, 1), preset.radius_t, 0)
     low, high = preset.tested
+    if preset.running_reference:
+        top = np.maximum.accumulate(np.maximum(m[:, low : high + 1].max(axis=1, initial=1e-12), 1e-12))
+        m = 10 * np.log10(np.maximum(m, 1e-12) / top[np.minimum(np.arange(len(m)) + preset.radius_t, len(m) - 1)][:, None])
     found[:, :low] = False
     found[:, high + 1 :] = False
     if preset.threshold is not None:

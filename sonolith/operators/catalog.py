@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..commits import commit_tables
 from ..recovery import cut, shared_dir
 
 #: Pages a chain may have: the first and two hundred more.
@@ -192,6 +193,12 @@ def split_albums(albums: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def insert_albums(albums: DataFrame, root: str, run: str) -> bool:
+    """Add nested album documents to the four tables at root as one: all are seen at once, a run that is there already adds
+    nothing. Read them with ``commits.committed``."""
+    return commit_tables(split_albums(albums), root, run)
+
+
 def release_date(text: Column, precision: Column) -> Column:
     padded = F.when(precision == "year", F.concat(text, F.lit("-01-01"))).when(precision == "month", F.concat(text, F.lit("-01"))).otherwise(text)
     return padded.try_cast("date")

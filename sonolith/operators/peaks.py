@@ -43,17 +43,20 @@ def local_maxima(cells: DataFrame, radius_t: int, radius_f: int, strict: bool =
     return rows.withColumn("_box", F.max("_row").over(bins.rangeBetween(-radius_t, radius_t))).where("m = _box").drop("_row", "_box")
 
 
-def peaks(cells: DataFrame, preset: Preset, query: bool = False) -> DataFrame:
-    """(track_id, t, f, m, rk, ord): peaks of dense cells; rk by magnitude, ord the place in the frame's list."""
+def peaks(cells: DataFrame, preset: Preset, query: bool = False, longest: int = LONGEST_FRAMES) -> DataFrame:
+    """(track_id, t, f, m, rk, ord): peaks of dense cells; rk by magnitude, ord the place in the frame's list. Relative
+    designs find none in tracks of over ``longest`` frames."""
     low, high = preset.tested
     cells = by_track(cells)
     if preset.scale == "relative":  # these designs give up on longer tracks
         frames = F.max("t").over(Window.partitionBy("track_id"))
-        cells = cells.withColumn("_frames", frames).where(F.col("_frames") < LONGEST_FRAMES).drop("_frames")
-    cells = in_scale(cells, preset)
-    if preset.running_reference:
-        cells = cells.withColumn("_last", F.max("t").over(Window.partitionBy("track_id")))
-    found = local_maxima(cells, preset.radius_t, preset.radius_f, preset.strict).where(F.col("f").between(low, high))
+        cells = cells.withColumn("_frames", frames).where(F.col("_frames") < longest).drop("_frames")
+    if preset.running_reference:  # powers are compared, as frames have references of their own
+        cells = cells.withColumn("_last", F.max("t").over(Window.partitionBy("track_id"))).withColumn("_power", F.col("m"))
+        cells = in_scale(cells, preset).withColumnRenamed("m", "_level").withColumnRenamed("_power", "m")
+        found = local_maxima(cells, preset.radius_t, preset.radius_f).drop("m").withColumnRenamed("_level", "m").where(F.col("f").between(low, high))
+    else:
+        found = local_maxima(in_scale(cells, preset), preset.radius_t, preset.radius_f, preset.strict).where(F.col("f").between(low, high))
     if preset.threshold is not None:
         found = found.where(F.col("m") > preset.threshold if preset.strict else F.col("m") >= preset.threshold)
     if preset.running_reference:  # a frame is judged with radius_t frames on either side, and as many must follow these

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..commits import committed
 from ..functions import hashing, text
 from ..operators import catalog, evaluate, index, landmarks, match, monitor
 from ..operators.peaks import by_track, in_scale, local_maxima, peaks
+from ..presets import AMPLITUDE_STREAM
+from ..recovery import shared_dir
 from . import surrogates as S
 from .surrogates import AC, LP, QH, table
 
@@ -17,7 +21,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 CELLS = """cells AS (
-  SELECT vec_id % 10 AS track_id, (vec_id // 10)::INTEGER AS t, f::INTEGER AS f, embedding[f + 1]::DOUBLE AS m FROM embeddings, range(64) r(f)
+  SELECT vec_id // 50 AS track_id, (vec_id % 50)::INTEGER AS t, f::INTEGER AS f, embedding[f + 1]::DOUBLE AS m FROM embeddings, range(64) r(f)
 )"""
 CLIP = "clip AS (SELECT track_id, t - 5 AS t, f, m FROM cells WHERE t BETWEEN 5 AND 30)"
 
@@ -185,7 +189,7 @@ def match_topk_ac(spark, d) -> DataFrame:
     return found.select("query_id", "rank", "track_id", "votes", "total_votes", "offset_frames", F.round("confidence", 6).alias("confidence"), F.round("offset_seconds", 6).alias("offset_seconds"))
 
 
-TRACKS = "tracks AS (SELECT DISTINCT (vec_id % 10 % 3)::INTEGER AS segment_id, vec_id % 10 AS track_id, 'artist' || (vec_id % 10 % 4) AS artist, 'album' AS album, 'title' || (vec_id % 10 % 4) AS title FROM embeddings)"
+TRACKS = "tracks AS (SELECT DISTINCT (vec_id // 50 % 3)::INTEGER AS segment_id, vec_id // 50 AS track_id, 'artist' || (vec_id // 150) AS artist, 'album' AS album, 'title' || (vec_id // 150) AS title FROM embeddings)"
 
 
 @query(f"""{LP_BOTH}, {TRACKS}, {VOTES}, named AS (SELECT * FROM best JOIN tracks USING (track_id)), merged AS (
@@ -278,15 +282,40 @@ def page_chain_merge(spark, d) -> DataFrame:
     return catalog.merge_page_chains(pages).select("url", F.col("n_pages").cast("bigint").alias("n_pages"), F.array_join("items", ",").alias("items"))
 
 
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, md5(coalesce(min(text), '')) AS item FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+p AS (
+  SELECT conv_id || ':' || turn AS url, conv_id || ':' || CASE WHEN turn = m AND conv_id % 3 = 0 THEN lo + (m - lo) // 2 ELSE turn + 1 END AS next, [item] AS items
+  FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m, min(turn) OVER (PARTITION BY conv_id) AS lo FROM t)
+  UNION ALL SELECT 'fork ' || conv_id || ':' || turn, conv_id || ':' || turn, ['fork', item] FROM t WHERE turn % 2 = 1
+), walk AS (
+  SELECT url AS start, url, next, 0 AS pos, items, [url] AS seen FROM p
+  UNION ALL SELECT start, p.url, p.next, pos + 1, walk.items || p.items, seen || [p.url] FROM walk JOIN p ON walk.next = p.url WHERE NOT list_contains(seen, p.url) AND pos < 200
+)
+SELECT start AS url, count(*) AS n_pages, array_to_string(max_by(items, pos), ',') AS items FROM walk GROUP BY start""")
+def page_reads(spark, d) -> DataFrame:
+    """Reads from every page: turns of a conversation in a row, forks into them, and cycles that are entered from outside."""
+    turns = table(spark, d, "conversations").where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.md5(F.coalesce(F.min("text"), F.lit(""))).alias("item"))
+    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("m"), F.min("turn").alias("lo"))
+    name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    back = F.when((F.col("turn") == F.col("m")) & (F.col("conv_id") % 3 == 0), F.col("lo") + F.expr("(m - lo) div 2")).otherwise(F.col("turn") + 1)
+    pages = turns.join(ends, "conv_id").select(name(F.col("turn")).alias("url"), name(back.cast("bigint")).alias("next"), F.array("item").alias("items"))
+    forks = turns.where("turn % 2 = 1").select(F.concat(F.lit("fork "), name(F.col("turn"))).alias("url"), name(F.col("turn")).alias("next"), F.array(F.lit("fork"), "item").alias("items"))
+    return catalog.read_chains(pages.union(forks)).select("url", F.col("n_pages").cast("bigint").alias("n_pages"), F.array_join("items", ",").alias("items"))
+
+
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN coalesce(TRY_CAST(props ->> '$.k' AS DOUBLE), 0) WHEN 1 THEN 1.5 ELSE 0 END::DOUBLE AS k,
   CASE event_id % 6 WHEN 2 THEN '5' WHEN 4 THEN 'v"' || user_id ELSE '' END AS k_text, '' AS absent
-FROM events WHERE (props ->> '$.error') IS NULL""")
+FROM events WHERE event_id % 6 = 0 OR event_id % 7 NOT IN (1, 2, 3)""")
 def json_cache_extract(spark, d) -> DataFrame:
+    """Typed members of landed responses; of those with an error member of each type the truthy ones are left out."""
     # the member k as a whole number, a fraction, a number in a string, an object, a string and a truth value
     user = F.concat(F.lit('{"k": "v\\"'), F.col("user_id").cast("string"), F.lit('"}'))
     kind = F.col("event_id") % 6
     data = F.when(kind == 0, F.col("props")).when(kind == 1, '{"k": 1.5}').when(kind == 2, '{"k": "5"}').when(kind == 3, '{"k": {"a": 1}}').when(kind == 4, user).otherwise('{"k": true}')
-    rows = catalog.without_errors(table(spark, d, "events").where("get_json_object(props, '$.error') is null").select("event_id", data.alias("data")))
+    # texts, numbers and objects are truthy unless they are zero or empty, also "0"
+    error = F.element_at(F.array(*map(F.lit, ["null", '"0"', '{"status": 404}', "1", "0.0", '""', "false"])), (F.col("event_id") % 7 + 1).cast("int"))
+    data = F.when(kind == 0, data).otherwise(F.concat(F.regexp_replace(data, r"\}$", ""), F.lit(', "error": '), error, F.lit("}")))
+    rows = catalog.without_errors(table(spark, d, "events").select("event_id", data.alias("data")))
     k = F.col("data")
     return rows.select("event_id", text.dynamic_number(k, "$.k").alias("k"), text.dynamic_text(k, "$.k").alias("k_text"), text.dynamic_text(k, "$.absent").alias("absent"))
 
@@ -361,18 +390,25 @@ def rank_histogram_mrr(spark, d) -> DataFrame:
     return evaluate.histogram(found).crossJoin(F.broadcast(mrr))
 
 
-_TICKS = "t AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS tick, count(*) AS n FROM events GROUP BY 1), r AS (SELECT tick, (sum(n) OVER (ORDER BY tick))::BIGINT AS total, lag(tick) OVER (ORDER BY tick) AS p, n FROM t)"
+# ten minutes, of which some have no event
+_TICKS = """e AS (SELECT ts FROM events WHERE user_id % 7 = 0), t AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS tick, count(*) AS n FROM e GROUP BY 1),
+a AS (SELECT unnest(generate_series((SELECT min(tick) FROM t), (SELECT max(tick) FROM t), INTERVAL '10 minutes')) AS tick),
+r AS (SELECT a.tick, (sum(coalesce(n, 0)) OVER (ORDER BY a.tick))::BIGINT AS total, lag(a.tick) OVER (ORDER BY a.tick) AS p, coalesce(n, 0) AS n FROM a LEFT JOIN t USING (tick))"""
 
 
-@query(f"WITH {_TICKS} SELECT tick, total, n AS delta, round(n / 3600.0::DOUBLE, 9) AS rate FROM r WHERE p IS NOT NULL")
+def _rates(spark, d) -> DataFrame:
+    return monitor.rates(monitor.ticks(table(spark, d, "events").where("user_id % 7 = 0"), "ts", 600), 600)
+
+
+@query(f"WITH {_TICKS} SELECT tick, total, n AS delta, round(n / 600.0::DOUBLE, 9) AS rate FROM r WHERE p IS NOT NULL")
 def ingest_rate(spark, d) -> DataFrame:
-    found = monitor.rates(monitor.ticks(table(spark, d, "events"), "ts", 3600), 3600)
+    found = _rates(spark, d)
     return found.select("tick", "total", "delta", F.round("rate", 9).alias("rate"))
 
 
-@query(f"WITH {_TICKS} SELECT tick, total, n AS delta, round(n / 3600.0::DOUBLE, 9) AS rate FROM r WHERE p IS NOT NULL ORDER BY tick DESC LIMIT 50")
+@query(f"WITH {_TICKS} SELECT tick, total, n AS delta, round(n / 600.0::DOUBLE, 9) AS rate FROM r WHERE p IS NOT NULL ORDER BY tick DESC LIMIT 50")
 def ingest_history(spark, d) -> DataFrame:
-    found = monitor.history(monitor.rates(monitor.ticks(table(spark, d, "events"), "ts", 3600), 3600))
+    found = monitor.history(_rates(spark, d))
     return found.select("tick", "total", "delta", F.round("rate", 9).alias("rate"))
 
 
@@ -407,17 +443,26 @@ def kv_round_trip(spark, d) -> DataFrame:
     return index.parse_kv(index.to_kv(S.index_prints(spark, d, LP))).select("track_id", "hash", "anchor_t")
 
 
-@query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS id, coalesce(a.o_orderpriority, b.o_orderpriority) AS name, CASE WHEN b.o_orderkey IS NOT NULL THEN TIMESTAMP '2000-01-01 00:00:00' ELSE a.o_orderdate END AS updated_at
-FROM (SELECT * FROM orders WHERE o_orderkey % 9 <> 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) b ON a.o_orderkey = b.o_orderkey""")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS name, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS updated_at FROM orders)
+SELECT id, CASE WHEN b.id IS NOT NULL AND a.id IS NULL THEN 'new ' || b.name ELSE a.name END AS name, CASE WHEN b.id IS NOT NULL THEN TIMESTAMP '2000-01-01 00:00:00' ELSE a.updated_at END AS updated_at
+FROM (SELECT * FROM o WHERE id % 9 <> 0) a FULL JOIN (SELECT * FROM o WHERE id % 3 = 0) b USING (id)""")
 def touch_upsert(spark, d) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"))
-    return catalog.touch(orders.where("id % 9 <> 0"), orders.where("id % 3 = 0"), "id", F.expr("timestamp_ntz'2000-01-01 00:00:00'"))
+    """Present and absent keys, times that are null on either side, incoming rows twice."""
+    time = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("timestamp_ntz"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), time.alias("updated_at"))
+    incoming = orders.where("id % 3 = 0").withColumn("name", F.concat(F.lit("new "), "name"))
+    twice = incoming.union(incoming.withColumn("name", F.concat(F.lit("newer "), "name")))
+    return catalog.touch(orders.where("id % 9 <> 0"), twice, "id", F.expr("timestamp_ntz'2000-01-01 00:00:00'"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 300 ELSE p_size END::INTEGER AS duration FROM part""")
 def duration_update(spark, d) -> DataFrame:
+    """Updates of a key come once, twice or without a duration; the last holds."""
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("int").alias("duration"))
-    return catalog.set_duration(parts, parts.where("id % 5 = 0").select("id", (F.col("id") % 300).cast("int").alias("duration")), "id")
+    last = parts.where("id % 5 = 0").select("id", (F.col("id") % 300).cast("int").alias("duration"), F.lit(2).alias("at"))
+    earlier = parts.where("id % 10 = 0").select("id", F.lit(9_999).alias("duration"), F.lit(1).alias("at"))
+    none = parts.where("id % 3 = 0").select("id", F.lit(None).cast("int").alias("duration"), F.lit(3).alias("at"))
+    return catalog.set_duration(parts, last.union(earlier).union(none), "id", "at")
 
 
 @query("""SELECT c_custkey AS id, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') OR c_acctbal < 0 AS has_crawl_completed FROM customer""")
@@ -558,10 +603,6 @@ def _decoded(clips: DataFrame) -> DataFrame:
 
 def _stored(spark, d) -> str:
     """The path of an index of the surrogate tracks: three segments, the second written again as a fourth, and a run that failed before its line."""
-    import uuid
-
-    from ..recovery import shared_dir
-
     root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     tracks, prints = S.tracks(spark, d), S.index_prints(spark, d, LP).withColumn("segment_id", F.expr("cast(track_id % 3 as int)"))
     for part in (0, 1, 2, 1):
@@ -571,6 +612,42 @@ def _stored(spark, d) -> str:
     return root
 
 
+@query(f"{LP_INDEX} SELECT track_id, hash, anchor_t FROM fp")
+def segment_writers(spark, d) -> DataFrame:
+    """Postings of an index whose three segments were written by three writers at once: each counts once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    tracks, prints = S.tracks(spark, d), S.index_prints(spark, d, LP)
+
+    def write(part: int) -> int:
+        own = F.expr(f"track_id % 3 = {part}")
+        return index.write_segment(tracks.where(own).drop("segment_id"), prints.where(own), root, LP)
+
+    with ThreadPoolExecutor(3) as pool:
+        ids = sorted(pool.map(write, range(3)))
+    tracks, prints = index.current(*index.read_index(spark, root))
+    return prints.where(F.col("segment_id").isin(ids)).select("track_id", "hash", "anchor_t")
+
+
+@query(f"{LP_BOTH}, {VOTES} SELECT query_id, track_id, offset_frames, votes, total_votes FROM vt")
+def match_buckets(spark, d) -> DataFrame:
+    """Votes of a batch that is dealt to the buckets of a stored index, where the postings stay."""
+    _, prints = index.current(*index.read_index(spark, _stored(spark, d), bucketed=True))
+    return match.votes(S.query_prints(spark, d, LP), prints, most=0)
+
+
+@query(f"{LP_INDEX} SELECT 3 AS segment_id, 'missing' AS problem, track_id, count(*) AS n_postings FROM fp WHERE track_id % 3 <> 1 GROUP BY track_id")
+def segment_damage(spark, d) -> DataFrame:
+    """What is left to search where a segment's postings are gone, with what is told of it."""
+    root = _stored(spark, d)
+    lost = index.manifest(spark, root).where("segment_id = 3").first().path
+    spark.range(0).write.mode("overwrite").parquet(f"{root}/fingerprints/{lost}")
+    told = index.damaged(spark, root).select("segment_id", "problem").distinct().first()
+    _, prints = index.read_index(spark, root, segments=[0, 2, 3], skip_damaged=True)
+    return prints.groupBy("track_id").agg(F.count("*").alias("n_postings")).select(F.lit(told.segment_id).alias("segment_id"), F.lit(told.problem).alias("problem"), "track_id", "n_postings")
+
+
 @query(f"WITH {TRACKS} SELECT s::INTEGER AS segment_id, count(track_id)::INTEGER AS num_tracks, {LP.sample_rate} AS sr, {LP.window} AS frame, {LP.hop} AS hop FROM range(4) r(s) LEFT JOIN tracks ON segment_id = CASE s WHEN 3 THEN 1 ELSE s END GROUP BY s")
 def segment_manifest(spark, d) -> DataFrame:
     """The manifest of a stored index."""
@@ -655,3 +732,140 @@ def duration_states(spark, d) -> DataFrame:
     """What is known of a track's duration."""
     k = F.col("o_orderkey") % 4
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), catalog.duration_status(F.when(k == 0, -1.0).when(k == 1, -2.0).when(k == 2, F.col("o_totalprice"))).alias("status"))
+
+
+# ---- stages with a state
+
+
+_RING = """p AS (SELECT track_id, t, f, m * m AS m FROM cells), top AS (
+  SELECT track_id, t, max(x) OVER (PARTITION BY track_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 2 FOLLOWING) AS top
+  FROM (SELECT track_id, t, max(m) AS x FROM p WHERE f BETWEEN 4 AND 59 GROUP BY ALL)
+), n AS (SELECT track_id, max(t) AS last FROM p GROUP BY 1)"""
+_RING_PEAKS = f"""WITH {CELLS}, {_RING}, {box('p', 'pk', 'f BETWEEN 4 AND 59')}
+SELECT track_id, t, f, round(10 * log10(greatest(m, 1e-12) / greatest(top, 1e-12)), 6) AS db FROM pk JOIN top USING (track_id, t) JOIN n USING (track_id)
+WHERE t BETWEEN 2 AND last - 4 AND 10 * log10(greatest(m, 1e-12) / greatest(top, 1e-12)) >= -6"""
+#: The design whose reference runs, cut down to 64 bins.
+RING = replace(AMPLITUDE_STREAM, radius_t=2, radius_f=3, tested=(4, 59), bins=64)
+
+
+@query(_RING_PEAKS)
+def peaks_running(spark, d) -> DataFrame:
+    """Peaks under a running reference, of whole tracks."""
+    return peaks(_powers(spark, d), RING).select("track_id", "t", "f", F.round("m", 6).alias("db"))
+
+
+@query(_RING_PEAKS)
+def peaks_ring(spark, d) -> DataFrame:
+    """The same of a stream of chunks of seven frames, of which each micro-batch has every third."""
+    from ..streaming.ring import ring_peaks
+
+    root = f"{shared_dir(spark)}/ring-{uuid.uuid4().hex}"
+    frames = table(spark, d, "embeddings").select(F.expr(f"vec_id div {S.FRAMES}").alias("track_id"), F.expr(f"cast(vec_id % {S.FRAMES} as int)").alias("t"), F.transform("embedding", lambda x: x.cast("double") * x.cast("double")).alias("p"))
+    chunks = frames.groupBy("track_id", F.expr("t div 7").cast("int").alias("seq")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("t", "p"))), lambda x: x["p"])).alias("power"))
+    for k in (1, 0, 2):  # later chunks come first
+        chunks.where(f"seq % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{root}/chunks")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/chunks")
+    found = ring_peaks(stream, RING).writeStream.format("parquet").option("path", f"{root}/peaks").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    found.awaitTermination()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema("track_id bigint, t int, f int, m double").parquet(f"{root}/peaks").select("track_id", "t", "f", F.round("m", 6).alias("db"))
+
+
+@query(SQL["status_counters"])
+def status_observed(spark, d) -> DataFrame:
+    """The counters of a scan, counted while it writes its rows."""
+    watch, root = monitor.Watch(), f"{shared_dir(spark)}/watched-{uuid.uuid4().hex}"
+    kind = F.col("event_type")
+    watch.over(table(spark, d, "events"), total=F.lit(True), done=kind == "purchase", errors=kind == "error").write.parquet(root)
+    n = watch.counts
+    row = spark.createDataFrame([(n["total"], n["done"], n["errors"])], "total bigint, done bigint, errors bigint")
+    rest = row.select("total", "done", "errors", (F.col("total") - F.col("done") - F.col("errors")).alias("in_flight"))
+    return rest.withColumn("percent", F.round(text.percent(F.col("done"), F.col("total")), 6))
+
+
+# ---- one nested document in four tables
+
+
+def _albums(spark, d, name: str) -> DataFrame:
+    """A table of album documents that were inserted in two runs, one of them twice, beside one that failed."""
+    root = f"{shared_dir(spark)}/albums-{uuid.uuid4().hex}"
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct(F.concat(F.lit("t"), "l_linenumber").alias("id"), F.col("l_partkey").alias("part")).alias("t"), F.struct(F.concat(F.lit("s"), "l_suppkey").alias("id")).alias("a"))
+    nested = lines.groupBy("k").agg(F.array_sort(F.collect_set("t")).alias("tracks"), F.array_sort(F.collect_set("a")).alias("artists"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("name"))
+    images = F.transform(F.sequence(F.lit(1), F.expr("cast(k % 3 as int) + 1")), lambda i: F.struct(F.concat(F.lit("i"), i).alias("url"), (i * 100).alias("height")))
+    albums = orders.join(nested, "k").select(F.col("k").cast("string").alias("album_id"), "name", images.alias("images"), "tracks", "artists", (F.col("k") % 2).alias("part"))
+    for run, part in (("run a", 0), ("run/b", 1), ("run a", 0)):
+        catalog.insert_albums(albums.where(f"part = {part}").drop("part"), root, run)
+    catalog.split_albums(albums.drop("part"))[name].write.mode("append").parquet(f"{root}/{name}/attempt=failed")
+    return committed(spark, root, name).drop("run")
+
+
+_ALBUMS = "WITH x AS (SELECT o_orderkey AS k, o_orderpriority AS name FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"
+
+
+@query(f"{_ALBUMS} SELECT k::VARCHAR AS album_id, name, 'album:' || left(sha256(k::VARCHAR), 24) AS id FROM x")
+def album_documents(spark, d) -> DataFrame:
+    return _albums(spark, d, "albums")
+
+
+@query(f"{_ALBUMS} SELECT k::VARCHAR AS album_id, 'i' || i AS url, (i * 100)::INTEGER AS height FROM (SELECT k, unnest(range(1, k % 3 + 2)) AS i FROM x)")
+def album_images(spark, d) -> DataFrame:
+    return _albums(spark, d, "images")
+
+
+@query("SELECT DISTINCT l_orderkey::VARCHAR AS album_id, 't' || l_linenumber AS id, l_partkey AS part FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+def album_tracks(spark, d) -> DataFrame:
+    return _albums(spark, d, "tracks")
+
+
+@query("SELECT DISTINCT l_orderkey::VARCHAR AS album_id, 's' || l_suppkey AS artist_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+def album_artists(spark, d) -> DataFrame:
+    return _albums(spark, d, "album_artists")
+
+
+# ---- guards, replacement and fallbacks
+
+
+@query(f"WITH {CELLS.replace('range(64) r(f)', 'range(64) r(f) WHERE vec_id % 50 < 30 + vec_id // 50 % 20')}, q AS (SELECT track_id, t, f, m * m AS m FROM cells WHERE track_id IN (SELECT track_id FROM cells GROUP BY 1 HAVING max(t) < 40)), {box('q', 'pk', 'f BETWEEN 4 AND 59')} SELECT track_id, t, f FROM pk WHERE rk <= 30")
+def peaks_long_guard(spark, d) -> DataFrame:
+    """Tracks of 30 to 49 frames under a limit of 40: longer ones have no peaks."""
+    cells = S.cells(spark, d).where("t < 30 + track_id % 20").withColumn("m", F.col("m") * F.col("m"))
+    return peaks(cells, AC, longest=40).select("track_id", "t", "f")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def skip_indexed(spark, d) -> DataFrame:
+    """New files, and those that are indexed again by force."""
+    files = table(spark, d, "documents").select("doc_id", "n_chars", F.col("doc_id").cast("string").alias("rel_path"))
+    known = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("rel_path"))
+    new = index.not_indexed(files.where("doc_id % 3 <> 0"), known)
+    return new.unionByName(index.not_indexed(files.where("doc_id % 3 = 0"), known, force=True)).drop("rel_path")
+
+
+@query(f"SELECT o_orderkey AS segment_id FROM orders WHERE o_orderkey % 4 IN (2, 3) OR o_orderkey % 4 = 1 AND o_orderkey % 5 = 0")
+def parameter_guard(spark, d) -> DataFrame:
+    """Segments of other parameters; those without a rate fit anything."""
+    k = F.col("o_orderkey")
+    sr = F.when(k % 4 == 0, F.when(k % 8 == 0, 0)).when(k % 4 == 2, 44100).otherwise(LP.sample_rate)
+    frame = F.when(k % 4 == 3, LP.window * 2).otherwise(LP.window)
+    params = F.struct(sr.cast("int").alias("sr"), frame.cast("int").alias("frame"), F.when((k % 4 == 1) & (k % 5 == 0), 1).otherwise(LP.hop).cast("int").alias("hop"))
+    return index.mismatched(table(spark, d, "orders").select(k.alias("segment_id"), params.alias("params")), LP).select("segment_id")
+
+
+@query(f"{LP_INDEX} SELECT track_id, hash, CASE WHEN track_id % 4 = 0 THEN anchor_t + 1000 ELSE anchor_t END AS anchor_t FROM fp WHERE track_id % 4 <> 0 OR anchor_t % 2 = 0")
+def track_replaced(spark, d) -> DataFrame:
+    """Postings after some tracks were indexed again: nothing of what they had is left."""
+    old = S.index_prints(spark, d, LP)
+    return index.replaced(old, old.where("track_id % 4 = 0 and anchor_t % 2 = 0").withColumn("anchor_t", F.col("anchor_t") + 1000)).select("track_id", "hash", "anchor_t")
+
+
+@query("""SELECT o_orderkey AS track_id, CASE o_orderkey % 4 WHEN 0 THEN 'tag' WHEN 1 THEN 'unknown' WHEN 2 THEN 'catalogue' ELSE 'catalogue' END AS title,
+  CASE o_orderkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'singer' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE 'writer' END END AS artist FROM orders""")
+def metadata_fallback(spark, d) -> DataFrame:
+    """Names of matches: tags win if either is known, and the other stays unknown; else the catalogue's."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("track_id"))
+    k = F.col("track_id") % 4
+    tags = rows.where("track_id % 4 <> 3").select("track_id", F.when(k == 0, "tag").when(k == 1, "unknown").alias("title"), F.when(k == 1, "singer").otherwise("unknown").alias("artist"))
+    known = rows.select("track_id", F.lit("catalogue").alias("title"), F.when(F.col("track_id") % 3 != 0, "writer").alias("artist"))
+    return match.with_names(rows, tags, known)

@@ -1,6 +1,7 @@
 """The driver's tables in the roles of audio tables; they exercise operators, not musical accuracy.
 
-``embeddings`` serves as a spectrogram: track = vec_id % 10, frame = vec_id div 10, bin = array position.
+``embeddings`` serves as a spectrogram: every FRAMES vectors in a row are a track, a vector is a frame and an array position
+a bin. Tracks are of one length, so that more vectors are more tracks and not longer ones.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from ..operators import landmarks
 from ..operators.peaks import peaks
 from ..presets import AMPLITUDE, LANDMARK, QUAD
 
+#: Frames of a track.
+FRAMES = 50
+
 #: Presets cut down to 64 bins.
 LP = replace(LANDMARK, radius_t=2, radius_f=3, threshold=0.0, tested=(0, 63), bins=64)
 QH = replace(QUAD, radius_f=3, threshold=1e-6, tested=(0, 63), bins=64)
@@ -26,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("f", "m"))
-    return flat.select((F.col("vec_id") % 10).alias("track_id"), F.expr("cast(vec_id div 10 as int)").alias("t"), "f", F.col("m").cast("double").alias("m"))
+    return flat.select(F.expr(f"vec_id div {FRAMES}").alias("track_id"), F.expr(f"cast(vec_id % {FRAMES} as int)").alias("t"), "f", F.col("m").cast("double").alias("m"))
 
 
 def clip_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +49,7 @@ def query_prints(spark: SparkSession, sf_dir: str, preset) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(segment_id, track_id, artist, album, title) of the ten surrogate tracks; names repeat over segments."""
-    ids = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("track_id")).distinct()
-    return ids.select(F.expr("cast(track_id % 3 as int)").alias("segment_id"), "track_id", F.concat(F.lit("artist"), F.col("track_id") % 4).alias("artist"), F.lit("album").alias("album"), F.concat(F.lit("title"), F.col("track_id") % 4).alias("title"))
+    """(segment_id, track_id, artist, album, title) of the surrogate tracks; three in a row, one of each segment, have one name."""
+    ids = table(spark, sf_dir, "embeddings").select(F.expr(f"vec_id div {FRAMES}").alias("track_id")).distinct()
+    name = F.expr("track_id div 3")
+    return ids.select(F.expr("cast(track_id % 3 as int)").alias("segment_id"), "track_id", F.concat(F.lit("artist"), name).alias("artist"), F.lit("album").alias("album"), F.concat(F.lit("title"), name).alias("title"))

@@ -120,23 +120,24 @@ def decode(data: bytes, name: str, rate: int, most_seconds: int | None = None) -
 
 
 def decoded_peaks(files: DataFrame, preset: Preset, query: bool = False, transform: Callable = np.fft.rfft, key: str = "rel_path") -> DataFrame:
-    """(key, reason, t, f, m, ord): the peaks of every file, or one row without a peak: with the reason of a file that can't be decoded."""
+    """(key, reason, t, f, m, ord, head): the peaks of every file, or one row without a peak: with the reason of a file that can't
+    be decoded. head marks one row of each file."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, ident, data in zip(batch["name"], batch[key], batch["content"], strict=True):
                 samples, reason = decode(bytes(data), name, preset.sample_rate, preset.max_seconds)
                 t, f, m, place = (np.zeros(0),) * 4 if samples is None else dsp.peaks(dsp.spectrogram(samples, preset, transform), preset, query)
                 if len(t):
-                    yield pd.DataFrame({key: ident, "reason": None, "t": t.astype(np.int32), "f": f.astype(np.int32), "m": m, "ord": place.astype(np.int32)})
+                    yield pd.DataFrame({key: ident, "reason": None, "t": t.astype(np.int32), "f": f.astype(np.int32), "m": m, "ord": place.astype(np.int32), "head": np.arange(len(t)) == 0})
                 else:
-                    yield pd.DataFrame({key: [ident], "reason": [reason], "t": [None], "f": [None], "m": [None], "ord": [None]})
+                    yield pd.DataFrame({key: [ident], "reason": [reason], "t": [None], "f": [None], "m": [None], "ord": [None], "head": [True]})
 
-    return files.select(key, "name", "content").mapInPandas(run, f"{key} string, reason string, t int, f int, m double, ord int")
+    return files.select(key, "name", "content").mapInPandas(run, f"{key} string, reason string, t int, f int, m double, ord int, head boolean")
 
 
 def clips_to_peaks(files: DataFrame, preset: Preset, query: bool = False, transform: Callable = np.fft.rfft, key: str = "rel_path") -> DataFrame:
     """(key, t, f, m, ord) of every file's peaks."""
-    return decoded_peaks(files, preset, query, transform, key).where("t is not null").drop("reason")
+    return decoded_peaks(files, preset, query, transform, key).where("t is not null").drop("reason", "head")
 
 
 def probe(files: DataFrame, preset: Preset, key: str = "rel_path") -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..api import segment_of
+from ..api import segment_of, watched_peaks
 from ..operators import index
+from ..operators.monitor import Watch
 from ..presets import Preset
-from ..recovery import cut
 from ..sources import audio
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -23,9 +23,11 @@ def stream_files(spark: SparkSession, root: str, glob: str = "*.[wW][aA][vV]", p
     return audio.with_names(source.load(root), root)
 
 
-def index_stream(files: DataFrame, root: str, preset: Preset, checkpoint: str, every: str | None = "2 seconds") -> StreamingQuery:
+def index_stream(files: DataFrame, root: str, preset: Preset, checkpoint: str, every: str | None = "2 seconds", watch: Watch | None = None) -> StreamingQuery:
     """Each micro-batch becomes a segment with a line in the manifest; files already indexed are skipped. The segment's
-    run is named by the stream (its checkpoint's path) and the batch, so a batch that is run again adds nothing."""
+    run is named by the stream (its checkpoint's path) and the batch, so a batch that is run again adds nothing. watch gets the files done and failed and the hashes of all
+    batches so far."""
+    watch = watch or Watch()
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -40,9 +42,9 @@ def index_stream(files: DataFrame, root: str, preset: Preset, checkpoint: str, e
         valid, _ = audio.split_quarantine(batch, audio.quarantine_reason(F.col("name"), F.col("length")))
         valid = valid.persist()
         try:
-            n, tracks, prints = segment_of(valid, cut(audio.decoded_peaks(valid, preset)), preset)
+            n, tracks, prints = segment_of(valid, watched_peaks(valid, preset, watch), preset)
             if n:
-                index.write_segment(tracks, prints, root, preset, run)
+                index.write_segment(tracks, watch.over(prints, hashes=F.lit(True)), root, preset, run)
         finally:
             valid.unpersist()
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonolith.operators import index, landmarks, match
+from sonolith.operators.monitor import Watch
 from sonolith.presets import AMPLITUDE, LANDMARK
 from sonolith.sources import audio
 from sonolith.streaming import ingest
@@ -79,14 +80,15 @@ def test_track_rows_and_tags(spark, library):
 
 
 def test_stream_makes_segments_once(spark, library, tmp_path):
-    root, check = str(tmp_path / "index"), str(tmp_path / "check")
+    root, check, watch = str(tmp_path / "index"), str(tmp_path / "check"), Watch()
     for _ in range(2):  # the second run has nothing new
-        query = ingest.index_stream(ingest.stream_files(spark, str(library)), root, LANDMARK, check, every=None)
+        query = ingest.index_stream(ingest.stream_files(spark, str(library)), root, LANDMARK, check, every=None, watch=watch)
         query.awaitTermination(120)
         assert query.exception() is None
     tracks, prints = index.read_index(spark, root)
     assert tracks.count() == 5 and tracks.select("rel_path").distinct().count() == 5
     assert prints.select("track_id").distinct().count() == 5
+    assert watch.counts == {"done": 5, "failed": 0, "hashes": prints.count()}
     assert [(r.segment_id, r.num_tracks) for r in index.manifest(spark, root).collect()] == [(0, 5)]
 
 
@@ -135,8 +137,9 @@ def test_files_that_cannot_be_decoded_are_no_tracks(spark, tmp_path):
     (tmp_path / "in" / "broken.wav").write_bytes(b"RIFF" + b"x" * 20_000)
     (tmp_path / "in" / "small.wav").write_bytes(b"x")
     (tmp_path / "in" / "good.wav").write_bytes(wav(tones(3, 6)))
-    engine = Engine(spark, str(tmp_path / "index"))
-    assert engine.add_segment(str(tmp_path / "in")) == 1
+    engine, watch = Engine(spark, str(tmp_path / "index")), Watch()
+    assert engine.add_segment(str(tmp_path / "in"), watch=watch) == 1
+    assert watch.counts == {"done": 1, "failed": 1, "hashes": index.read_index(spark, engine.root)[1].count()}
     assert {r.rel_path: r.reason.split(":")[0] for r in engine.rejected(str(tmp_path / "in")).collect()} == {"broken.wav": "unreadable", "small.wav": "too small"}
 
 

@@ -99,9 +99,13 @@ def test_evaluation(spark):
 
 def test_monitoring(spark):
     at = lambda s: dt.datetime(2020, 1, 1, 0, 0, s)
-    rows = spark.createDataFrame([(at(0),), (at(1),), (at(6),), (at(12),)], "ts timestamp")
-    got = monitor.rates(monitor.ticks(rows, "ts", 5), 5).orderBy("tick").collect()
-    assert [(r.total, r.delta, r.rate) for r in got] == [(3, 1, 0.2), (4, 1, 0.2)]
+    rows = spark.createDataFrame([(at(0),), (at(1),), (at(6),), (at(22),)], "ts timestamp")
+    for kind in ("timestamp", "timestamp_ntz"):
+        got = monitor.rates(monitor.ticks(rows.select(F.col("ts").cast(kind)), "ts", 5), 5).orderBy("tick").collect()
+        assert [(r.tick.second, r.total, r.delta, r.rate) for r in got] == [(5, 3, 1, 0.2), (10, 3, 0, 0.0), (15, 3, 0, 0.0), (20, 4, 1, 0.2)]
+    assert monitor.rates(monitor.ticks(rows.limit(0), "ts", 5), 5).count() == 0
+    plan = monitor.rates(monitor.ticks(rows, "ts", 5), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and all("_part" in line for line in plan.split("\n") if "Window [" in line)
     s = monitor.status(spark.range(4), F.col("id") < 2, F.col("id") == 3).first()
     assert (s.total, s.done, s.errors, s.in_flight, s.percent) == (4, 2, 1, 1, 50.0)
 
