@@ -9,7 +9,7 @@ Everything is built-in expressions: per-document work stays inside the row, and
 are shuffled, pre-aggregated before the exchange, so a host with a third of all rows is spread by its lines.
 
 Defined cases: a null text has no words (base_failed); a null source is a host of its own; repeated rows get
-equal results; an empty table gives an empty result; other columns are not read.
+equal results; ids may be of any type; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def _keys(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id"),
-        F.struct(F.coalesce(F.col("doc_id"), F.lit(0)).alias("v"), F.col("doc_id").isNull().alias("n")).alias("doc"),
+        F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("v"), F.col("doc_id").isNull().alias("n")).alias("doc"),
         F.xxhash64(F.coalesce(F.col("source"), F.lit("\x00null"))).alias("host"),
         F.xxhash64(text).alias("text_hash"),
         text.alias("text"),
@@ -118,9 +118,9 @@ def line_rows(docs: DataFrame) -> DataFrame:
 def frequent_lines(docs: DataFrame, limits: Limits = PRODUCTION) -> DataFrame:
     """(host, line) of lines above their host's limit; documents with equal texts count once."""
     counted = line_rows(docs).select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= limits.least_docs)
-    hosts = _keys(docs).select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = cut(_keys(docs).select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs")))
     share = 100 * F.col("n_docs") >= limits.percent_of_host * F.col("host_docs")
-    return counted.join(hosts, "host").where(share | (F.col("n_docs") >= limits.most_docs)).select("host", "line")
+    return sized_join(counted, hosts, ["host"], BROADCAST_LINES).where(share | (F.col("n_docs") >= limits.most_docs)).select("host", "line")
 
 
 def judge_documents(docs: DataFrame, limits: Limits = PRODUCTION) -> DataFrame:

@@ -241,16 +241,6 @@ def encoder_at(path: str) -> CachedEncoder:
     return _encoders[path]
 
 
-def _unsafe(text: str) -> bool:
-    """A space that has white space on both sides."""
-    at = text.find(" ", 1)
-    while 0 <= at < len(text) - 1:
-        if text[at - 1].isspace() and text[at + 1].isspace():
-            return True
-        at = text.find(" ", at + 1)
-    return False
-
-
 CHUNK_SCHEMA = "part int, chunk int, base bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 

@@ -58,6 +58,12 @@ def test_repeated_windows_by_hand(spark):
     assert [r[0] for r in got] == [6, 0, 4, 0, 6]
 
 
+def test_ids_that_are_texts(spark):
+    rows = [("a", "one two\n" * 3, "s"), ("0", "x " * 60, "s"), (None, "y", None), ("", "z", "s")]
+    got = Q.judge_documents(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    assert sorted((str(r.doc_id), r.n_words) for r in got) == [("", 1), ("0", 60), ("None", 1), ("a", 6)]
+
+
 def test_copies_of_one_text_count_once(spark):
     body = "one line of boilerplate\n" + " ".join(f"u{i}" for i in range(80))
     docs = spark.createDataFrame([(i, body, "h") for i in range(40)], "doc_id bigint, text string, source string")
@@ -90,6 +96,18 @@ def test_shard_sizes_are_near_equal_and_ranges_split(spark):
     assert max(r[1] for r in loads) <= 2.5 * total / 32
 
 
+def test_a_repeated_row_overfills_a_range(spark):
+    """Rows of one id and text can't be ordered apart: their range stays full, the law holds all the same."""
+    rows = [(7, "x" * 50)] * 3000 + [(i, f"t{i}") for i in range(500)]
+    got = S.shard_records(spark.createDataFrame(rows, "doc_id bigint, text string"), ranges=16).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append((r.slot, r.size))
+    assert len(got) == 3500 and all(sorted(s for s, _ in v) == list(range(len(v))) for v in by.values())
+    sizes = [sum(b for _, b in by.get(k, [])) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * 51
+
+
 def test_no_rows(spark):
     assert S.shard_records(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
