@@ -869,3 +869,18 @@ def metadata_fallback(spark, d) -> DataFrame:
     tags = rows.where("track_id % 4 <> 3").select("track_id", F.when(k == 0, "tag").when(k == 1, "unknown").alias("title"), F.when(k == 1, "singer").otherwise("unknown").alias("artist"))
     known = rows.select("track_id", F.lit("catalogue").alias("title"), F.when(F.col("track_id") % 3 != 0, "writer").alias("artist"))
     return match.with_names(rows, tags, known)
+
+
+@query("""SELECT 'all' AS scan, event_type AS folder, sum(length(user_id::VARCHAR) + 1)::BIGINT AS n_bytes FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY event_type
+UNION ALL SELECT 'flat', event_type, sum(length(user_id::VARCHAR) + 1)::BIGINT FROM events WHERE user_id IS NOT NULL AND event_type = 'click' GROUP BY event_type""")
+def scan_folders(spark, d) -> DataFrame:
+    """Bytes of files by folder: of all folders below a root in any case of the extension, and of one folder alone."""
+    from ..sources import audio
+
+    root = f"{shared_dir(spark)}/it's files-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events").where("user_id is not null and event_type is not null")
+    rows.select("event_type", F.col("user_id").cast("string").alias("value")).write.partitionBy("event_type").text(root)
+    folder = F.regexp_extract("rel_path", "event_type=([^/]+)/", 1)
+    every = audio.scan(spark, root, ("TXT", "wav"), content=False).select(F.lit("all").alias("scan"), folder.alias("folder"), "length")
+    one = audio.scan(spark, f"{root}/event_type=click", ("txt",), recursive=False, any_case=False, content=False).select(F.lit("flat").alias("scan"), F.lit("click").alias("folder"), "length")
+    return every.union(one).groupBy("scan", "folder").agg(F.sum("length").alias("n_bytes"))
