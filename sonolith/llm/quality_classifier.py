@@ -1,15 +1,18 @@
 """Quality by co-training of two views.
 
-The content view sees the text (shares of letters, capitals, digits, signs and breaks, word lengths and
-repetition); the metadata view sees the document's other columns (source, lang and stated length, hashed).
-Each is a logistic regression. In every round each view is fitted, scores a bounded pool of unlabelled
-documents, and hands its most confident ones of both kinds to the other view as labelled. Then a part of the
-labelled rows that was never fitted on calibrates the sum of the views' logits, in which no view has a negative
-weight, and the sum scores every document. A third part of the labelled rows is held out: neither fitted nor calibrated on.
+The content view sees the whole text: its words and pairs of words, hashed to GRAMS slots with the log odds of the
+labels, and shares of letters, capitals, digits, signs and breaks, word lengths and repetition. The metadata view sees the
+document's other columns (source, lang and stated length, hashed). Each is a logistic regression. A text's mean log odds
+is one column of it; of a text that is fitted on they are those without itself, so that rare words can't give a label
+away. In every round each view is fitted, scores a bounded pool of unlabelled documents, and hands its most confident ones
+of both kinds to the other view as labelled. The sum of the views' logits, in which no view has a negative weight, is
+calibrated by cross-fitting: the labelled rows are dealt into folds, and each fold's logits are of views that were trained
+on the others. One more part of the labelled rows is held out: neither fitted nor calibrated on.
 
 Defined cases: null and empty texts have the features of an empty text; a null in the metadata is a value of
-its own; without labels of both kinds among the fitted rows, or among those that calibrate, every score is the share of label 1 (0.5 without any); repeated rows
-get equal scores; an empty table gives an empty result; doc_id and labels are no features.
+its own; a fold whose others lack a label doesn't calibrate, and where what is left lacks one the fitted rows' own logits
+do; without labels of both kinds every score is the share of label 1 (0.5 without any); repeated rows get equal scores; an
+empty table gives an empty result; doc_id and labels are no features.
 """
 
 from __future__ import annotations
@@ -25,15 +28,18 @@ from pyspark.sql import functions as F
 
 from .common import filter_texts, hash_order, id_remainder, table
 from .samples import FIT_BYTES, training_texts
-from .text_arrays import buffers, release, slices, word_hashes
+from .text_arrays import buffers, mix, release, slices, word_hashes
 
 #: Labelled rows of each class and unlabelled rows to fit on; rounds; pseudo-labels of each kind handed over in a round.
 PER_CLASS = 2000
 POOL = 4000
 ROUNDS = 5
 HANDED = 100
-#: Of the remainders of labelled rows' ids, 0 calibrates and 1 is held out.
+#: Of the remainders of labelled rows' ids, 1 is held out and the others are folds.
 PARTS = 5
+#: Slots that words and pairs of words are hashed to, and documents of either label that each slot has seen beforehand.
+GRAMS = 1 << 17
+SEEN = 0.5
 METADATA = ("source", "lang", "n_chars")
 SLOTS = 64
 
@@ -64,6 +70,74 @@ def content_features(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+@dataclass
+class Content:
+    """What the content view sees of texts: a row of figures, and the slots of their words and pairs, each once, from starts."""
+
+    figures: np.ndarray
+    starts: np.ndarray
+    slots: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str | None]) -> Content:
+        parts, sizes = [np.zeros(0, np.int32)], []
+        for _, encoded in buffers(texts):
+            hashes, offsets = word_hashes(encoded)
+            for i in range(len(encoded)):
+                words = hashes[offsets[i] : offsets[i + 1]]
+                grams = np.concatenate([mix(words, 1), mix(words[:-1] * np.uint64(3) + mix(words[1:], 2), 3)])
+                parts.append(np.unique((grams % np.uint64(GRAMS)).astype(np.int32)))
+                sizes.append(len(parts[-1]))
+        return Content(content_features(texts), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]), np.concatenate(parts))
+
+    def __len__(self) -> int:
+        return len(self.figures)
+
+    def take(self, rows: np.ndarray) -> Content:
+        sizes = np.diff(self.starts)[rows]
+        at = np.repeat(self.starts[:-1][rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return Content(self.figures[rows], np.concatenate([[0], np.cumsum(sizes)]), self.slots[at])
+
+    def plus(self, other: Content) -> Content:
+        return Content(np.concatenate([self.figures, other.figures]), np.concatenate([self.starts, self.starts[-1] + other.starts[1:]]), np.concatenate([self.slots, other.slots]))
+
+
+class ContentView:
+    """The content view: log odds of slots, then a logistic regression."""
+
+    def fit(self, x: Content, y: np.ndarray, w: np.ndarray) -> ContentView:
+        self.model = Logistic()
+        owner = np.repeat(np.arange(len(x)), np.diff(x.starts))
+        held = [np.bincount(x.slots, (w * (y == k))[owner], GRAMS) for k in (0, 1)]
+        total = [(w * (y == k)).sum() for k in (0, 1)]
+        self.odds = _odds(held[1], total[1], held[0], total[0]).astype(np.float32)
+        # each text's own share is taken off what its slots have seen
+        own = [(w * (y == k))[owner] for k in (0, 1)]
+        apart = _odds(held[1][x.slots] - own[1], total[1] - own[1], held[0][x.slots] - own[0], total[0] - own[0])
+        self.model.fit(self._columns(x, apart), y, w)
+        return self
+
+    def _columns(self, x: Content, odds: np.ndarray) -> np.ndarray:
+        sizes = np.diff(x.starts)
+        owner = np.repeat(np.arange(len(x)), sizes)
+        return np.column_stack([x.figures, np.bincount(owner, odds, len(x)) / np.maximum(sizes, 1)])
+
+    def logit(self, x: Content) -> np.ndarray:
+        return self.model.logit(self._columns(x, self.odds[x.slots]))
+
+
+def _odds(good: np.ndarray, n_good: np.ndarray, bad: np.ndarray, n_bad: np.ndarray) -> np.ndarray:
+    return np.log((good + SEEN) / (n_good + 2 * SEEN)) - np.log((bad + SEEN) / (n_bad + 2 * SEEN))
+
+
+def _take(x, rows: np.ndarray):
+    return x.take(rows) if isinstance(x, Content) else x[rows]
+
+
+def _plus(x, other):
+    return x.plus(other) if isinstance(x, Content) else np.concatenate([x, other])
+
+
 def metadata_features(rows: pd.DataFrame) -> np.ndarray:
     """Hashed source and lang, and the stated length, of every row."""
     out = np.zeros((len(rows), SLOTS + 16 + 2))
@@ -108,7 +182,7 @@ class Views:
     """The two fitted views and the calibrated sum; share is the score of everything if they are None."""
 
     share: float
-    content: Logistic | None = None
+    content: ContentView | None = None
     metadata: Logistic | None = None
     combined: Logistic | None = None
 
@@ -116,13 +190,13 @@ class Views:
         """(score, content view's logit, metadata view's logit) of every row."""
         if self.combined is None:
             return np.full(len(rows), self.share), np.zeros(len(rows)), np.zeros(len(rows))
-        a, b = self.content.logit(content_features(rows["text"].tolist())), self.metadata.logit(metadata_features(rows))
+        a, b = self.content.logit(Content.of(rows["text"].tolist())), self.metadata.logit(metadata_features(rows))
         return 1 / (1 + np.exp(-self.combined.logit(np.stack([a, b], axis=1)))), a, b
 
 
-def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, w: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, handed: int = HANDED) -> tuple[Logistic, Logistic]:
-    """(content, metadata) after exchanging confident pseudo-labels. x and pool: the features of both views."""
-    models = [Logistic(), Logistic()]
+def co_train(x: tuple[Content, np.ndarray], y: np.ndarray, w: np.ndarray, pool: tuple[Content, np.ndarray], rounds: int = ROUNDS, handed: int = HANDED) -> tuple[ContentView, Logistic]:
+    """(content, metadata) after exchanging confident pseudo-labels. x and pool: what both views see."""
+    models = [ContentView() if isinstance(x[0], Content) else Logistic(), Logistic()]
     given: list[dict[int, int]] = [{}, {}]  # pool row -> label, for each view
     for _ in range(rounds):
         for v in (0, 1):
@@ -130,7 +204,7 @@ def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, w: np.ndarray, poo
             labels = np.array([given[v][r] for r in rows.tolist()], float)
             # pseudo-labels weigh as much as the labelled rows do on average, and at most as much in all
             weight = min(w.mean(), w.sum() / max(len(rows), 1))
-            models[v].fit(np.concatenate([x[v], pool[v][rows]]), np.concatenate([y, labels]), np.concatenate([w, np.full(len(rows), weight)]))
+            models[v].fit(_plus(x[v], _take(pool[v], rows)), np.concatenate([y, labels]), np.concatenate([w, np.full(len(rows), weight)]))
         if not len(pool[0]):
             break
         for v in (0, 1):
@@ -145,6 +219,18 @@ def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, w: np.ndarray, poo
     return models[0], models[1]
 
 
+def cross_fitted(x: tuple[Content, np.ndarray], y: np.ndarray, w: np.ndarray, pool: tuple[Content, np.ndarray], folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their logits of both views trained on the other folds), of the folds whose others have both labels."""
+    rows, logits = [], []
+    for fold in np.unique(folds):
+        mine, others = np.flatnonzero(folds == fold), np.flatnonzero(folds != fold)
+        if 0 < y[others].sum() < len(others):
+            models = co_train(tuple(_take(v, others) for v in x), y[others], w[others], pool)
+            rows.append(mine)
+            logits.append(np.stack([m.logit(_take(v, mine)) for m, v in zip(models, x, strict=True)], axis=1))
+    return (np.concatenate(rows), np.concatenate(logits)) if rows else (np.zeros(0, np.int64), np.zeros((0, 2)))
+
+
 def combine(logits: np.ndarray, y: np.ndarray, w: np.ndarray) -> Logistic:
     """The calibrated sum of the views' logits: a view that would count against itself is left out of it."""
     both = Logistic().fit(logits, y, w)
@@ -169,8 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Views:
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
     y = np.array([int(r[label] == 1) for r in rows], float)
-    apart = part_of([r["doc_id"] for r in rows]) == 0
-    if not 0 < y[apart].sum() < apart.sum() or not 0 < y[~apart].sum() < (~apart).sum():
+    if not 0 < y.sum() < len(y):
         return Views(share)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
@@ -180,10 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Views:
     pool = unlabelled.toPandas().sort_values(["doc_id", "text"])  # about POOL rows
     frame = pd.DataFrame([r.asDict() for r in rows])
     weights = np.array([(total - counts.get(1, 0)) / max(1, (y == 0).sum()), counts.get(1, 0) / max(1, (y == 1).sum())])[y.astype(int)]
-    views = tuple(f(frame) for f in (lambda d: content_features(d["text"].tolist()), metadata_features))
-    held = tuple(f(pool) for f in (lambda d: content_features(d["text"].tolist()), metadata_features))
-    content, metadata = co_train((views[0][~apart], views[1][~apart]), y[~apart], weights[~apart], held)
-    logits = np.stack([content.logit(views[0][apart]), metadata.logit(views[1][apart])], axis=1)
+    seen, held = ((Content.of(d["text"].tolist()), metadata_features(d)) for d in (frame, pool))
+    content, metadata = co_train(seen, y, weights, held)
+    apart, logits = cross_fitted(seen, y, weights, held, part_of([r["doc_id"] for r in rows]))
+    if not 0 < y[apart].sum() < len(apart):
+        apart, logits = np.arange(len(y)), np.stack([content.logit(seen[0]), metadata.logit(seen[1])], axis=1)
     return Views(share, content, metadata, combine(logits, y[apart], weights[apart]))
 
 

@@ -261,7 +261,7 @@ def test_quality_scores_follow_the_views(spark):
     for r in rows[::25]:
         import pandas as pd
 
-        a = float(views.content.logit(C.content_features([r[1]]))[0])
+        a = float(views.content.logit(C.Content.of([r[1]]))[0])
         b = float(views.metadata.logit(C.metadata_features(pd.DataFrame([dict(zip(("text", "source", "lang", "n_chars"), r[1:5], strict=True))])))[0])
         z = ((np.array([a, b]) - views.combined.mean) / views.combined.scale) @ views.combined.weights[:2] + views.combined.weights[2]
         assert got[r[0]].content == pytest.approx(a) and got[r[0]].metadata == pytest.approx(b)
@@ -277,3 +277,41 @@ def test_views_teach_each_other():
     few = np.r_[0:3, 30:33]
     a, b = C.co_train((content[few], meta[few]), y[few], np.ones(6), pool)
     assert ((a.logit(pool[0]) > 0) == truth).mean() > 0.95 and ((b.logit(pool[1]) > 0) == truth).mean() > 0.98
+
+
+def test_the_content_view_reads_words(spark):
+    """Texts alike in all figures, good or bad by their words alone; the other columns say nothing."""
+    rng = random.Random(8)
+    good, bad = [f"ga{i}b" for i in range(30)], [f"ba{i}g" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(40)), "s", "en", 200) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400) if i % 3 != 0], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in C.score_documents(docs, C.fit(docs, labels)).collect()}
+    free = [(got[i].score >= 0.5) == bool(i % 2) for i in range(0, 400, 3)]
+    assert sum(free) / len(free) > 0.95
+
+
+def test_a_texts_own_words_do_not_give_its_label_away():
+    """Words of one text only say nothing of it: without its own share their odds are those of words never seen."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(60)]
+    y = np.arange(60) % 2.0
+    view = C.ContentView().fit(C.Content.of(texts), y, np.ones(60))
+    assert abs(view.model.weights[-2]) < 3 and (np.abs(view.logit(C.Content.of(["new words only", ""]))) < 3).all()
+
+
+def test_content_of_some_rows_is_that_of_their_texts():
+    texts = ["a b c", None, "", "a a b", "long " * 300]
+    x, some = C.Content.of(texts), np.array([3, 0, 1])
+    a, b = x.take(some), C.Content.of([texts[i] for i in some])
+    assert (a.slots == b.slots).all() and (a.starts == b.starts).all() and (a.figures == b.figures).all()
+    c, d = x.plus(a), C.Content.of([*texts, *(texts[i] for i in some)])
+    assert (c.slots == d.slots).all() and (c.starts == d.starts).all() and len(c) == 8
+
+
+def test_folds_without_a_label_do_not_calibrate(spark):
+    rows = quality_rows(60)
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    one = next(r[0] for r in rows if not r[6] and zlib.crc32(str(r[0]).encode()) % C.PARTS != 1)
+    labels = spark.createDataFrame([(r[0], 1) for r in rows if r[6]][:30] + [(one, 0)], "doc_id bigint, quality int")
+    scores = [r.score for r in C.score_documents(docs, C.fit(docs, labels)).collect()]
+    assert len(set(scores)) > 1 and all(0 <= s <= 1 for s in scores)
