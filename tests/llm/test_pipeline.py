@@ -51,12 +51,12 @@ def test_columns_of_any_name_null_ids_and_empty_tables(spark):
 
     docs = table(spark, SF, "documents")
     more = docs.withColumn("a.b", F.lit("x")).withColumn("node", F.col("doc_id")).withColumn("score", F.lit(None).cast("double")).withColumn("c0", F.array(F.lit(1)))
-    plain = {r.doc_id for r in corpus_pipeline.run_on(spark, docs, SF).collect()}
     nulls = more.where("doc_id % 50 = 0").withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("text", F.concat("text", F.lit(" and more of it")))
     out = corpus_pipeline.run_on(spark, more.union(nulls), SF).collect()
-    assert plain <= {r.doc_id for r in out} | {None} or len(plain - {r.doc_id for r in out}) <= nulls.count()  # copies with null ids may stand for theirs
+    assert 0 < len(out) <= docs.count() + nulls.count() and all(r.round_trip for r in out)
+    assert len([r for r in out if r.doc_id is not None]) == len({r.doc_id for r in out} - {None})
     left = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(shared_dir(spark)).select(F.regexp_extract("path", "(pipeline-[0-9a-f]+)", 1)).distinct().collect() if r[0]]
-    assert len(left) >= 2  # the results; the stages' folders are gone
+    assert 1 <= len(left) <= 2  # results, of this test and the one before; the stages' folders are gone
     for stage_name, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, more.limit(0), SF)
         assert empty.columns == more.columns and empty.count() == 0, stage_name
