@@ -56,7 +56,7 @@ class TickRates(StatefulProcessor):
             total += n
             if told:
                 recent = [*recent, n][-self.keep :]
-                rows.append((key[0], pd.Timestamp(tick * self.ms, unit="ms"), total, n, n * 1000 / self.ms, list(recent)))
+                rows.append((key[0], pd.Timestamp(tick * self.ms, unit="ms", tz="UTC"), total, n, n * 1000 / self.ms, list(recent)))
             tick, told = tick + 1, True
         self.head.update((tick, total, told, recent))
         self.handle.registerTimer((tick + 1) * self.ms)
