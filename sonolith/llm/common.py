@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..recovery import cut, shared_dir
 #: Tasks that rows of one key are dealt to where a join is too large to broadcast.
 SALTS = 64
 
-__all__ = ["constant_array", "cut", "filter_texts", "hash_order", "id_remainder", "remove", "session_partitions", "shared_dir", "shared_path", "sized_join", "table"]
+__all__ = ["constant_array", "cut", "filter_texts", "hash_order", "id_remainder", "remove", "session_partitions", "shared_dir", "shared_path", "sized_join", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,19 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """Within it, Arrow batches of plans that run hold so many bytes: whole texts otherwise fill the largest, which the
+    executor holds twice while it grows, for each of its tasks."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours in the shared one."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .quality_rules import words_of
+from .text_arrays import release
 
 LETTERS = "ABCDE"
 #: Label rows (two flags and an id each) up to which they are broadcast.
@@ -117,6 +118,7 @@ def _compared(batches: Iterator) -> Iterator:
         held_fp = fps[-1]
     held_fp = first_fp  # the range's last: open
     yield from released()
+    release()
 
 
 def marked(docs: DataFrame, limits: Limits = PRODUCTION, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:

@@ -30,8 +30,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .text_arrays import buffers, mix, slices, word_hashes
+from .common import cut, small_batches, table
+from .text_arrays import buffers, mix, release, slices, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -148,6 +148,7 @@ def sketches(named: DataFrame, bands: int = BANDS, order: int = ORDER) -> DataFr
                     words, offsets = word_hashes(encoded)
                     keys += [sketch(shingles(words[offsets[i] : offsets[i + 1]]), bands, order) for i in range(len(encoded))]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+        release()
 
     # copies have equal sketches: partial aggregation leaves one for each task
     return named.select("node", "text").mapInArrow(run, "node binary, keys array<bigint>").groupBy("node").agg(F.first("keys").alias("keys"))
@@ -196,6 +197,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Dat
                     b.append(max(x, y))
                     linked.append(aligned_similarity(own, found, least) > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        release()
 
     return rows.mapInArrow(run, "a binary, b binary, linked boolean")
 
@@ -238,6 +240,7 @@ def shingle_lists(texts: DataFrame) -> DataFrame:
             for some in slices(batch, 1, SLICE):
                 found = [x.view(np.int64) for x in labelled_shingles(some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+        release()
 
     return texts.select("node", "text").mapInArrow(run, "node binary, n bigint, tokens array<bigint>")
 
@@ -322,7 +325,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def _classified(named: DataFrame, least: float, bands: int, order: int) -> tuple[DataFrame, DataFrame]:
     """((node, first_id, root) of every distinct text, (a, b) of verified pairs). first_id is the text's least id."""
-    links, roots = candidate_links(cut(sketches(named, bands, order)), named, least)
+    with small_batches(named.sparkSession):  # all that reads texts runs here
+        links, roots = candidate_links(cut(sketches(named, bands, order)), named, least)
     texts = named.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(roots, "node", "left")
     return texts.withColumn("root", F.coalesce("root", "node")), links
 

@@ -7,6 +7,7 @@ runs per word. Buffers are limited in bytes, so memory is bounded by the limit o
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,10 +110,14 @@ def slices(batch, column: int, rows: int = 256, most: int = 1 << 22) -> Iterator
 
 
 def release() -> None:
-    """Give memory that Arrow holds free back to the system: a worker goes on with other tasks."""
+    """Give memory that Arrow and the C library hold free back to the system: a worker goes on with other tasks."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def hash_of(word: str) -> int:
