@@ -189,3 +189,10 @@ def test_presets_and_short_clips():
 def test_describe(spark):
     r = landmarks.describe(peak_rows(spark, LANDMARK), LANDMARK, 3).first()
     assert (r.n_peaks, r.n_hashes, r.n_distinct, len(r.first)) == (5, 8, 8, 3)
+
+
+def test_printed_confidence_is_rounded_as_c_prints_it(spark):
+    shares = [6 / 160, 1 / 16, 3 / 16, 0.0005, 0.0015, 0.0025, 0.9995, 0.99949999, 1e-5, 0.0, 1.0, 2.0625, *(n / 2000 for n in range(1, 2000, 7)), *(n / 1008 for n in range(0, 1008, 5))]
+    rows = spark.createDataFrame([(n, 1, n, 3, -5, c) for n, c in enumerate(shares)], "query_id long, rank int, track_id long, votes long, offset_frames long, confidence double")
+    got = {r.query_id: r.line for r in match.printed(rows).collect()}
+    assert got == {n: " 1. %d (votes 3, offset -5, confidence %.3f)" % (n, c) for n, c in enumerate(shares)}
