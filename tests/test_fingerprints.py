@@ -196,3 +196,15 @@ def test_printed_confidence_is_rounded_as_c_prints_it(spark):
     rows = spark.createDataFrame([(n, 1, n, 3, -5, c) for n, c in enumerate(shares)], "query_id long, rank int, track_id long, votes long, offset_frames long, confidence double")
     got = {r.query_id: r.line for r in match.printed(rows).collect()}
     assert got == {n: " 1. %d (votes 3, offset -5, confidence %.3f)" % (n, c) for n, c in enumerate(shares)}
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_all_matches_of_a_segment_count_when_asked_for(spark, compat):
+    """Sixty tracks of a segment, each name there twice: the names beyond the segment's first fifty matches are whole, too."""
+    postings = spark.createDataFrame([(0, t, 1, t + k) for t in range(60) for k in range(60 - t)], "segment_id int, track_id bigint, hash bigint, anchor_t bigint")
+    q = spark.createDataFrame([(0, 1, 0)], "query_id bigint, hash bigint, t1 bigint")
+    tracks = spark.createDataFrame([(0, t, "a", "b", str(t % 30)) for t in range(60)], "segment_id int, track_id bigint, artist string, album string, title string")
+    got = match.match_segments(q, postings, tracks, LANDMARK, limit=None, compat=compat, each=None).collect()
+    assert {int(r.title): r.total_votes for r in got} == {n: 90 - 2 * n for n in range(30)}
+    assert {(int(r.title), r.votes, r.offset_frames) for r in got} == {(n, 2, n) for n in range(30)}
+    assert match.match_segments(q, postings, tracks, LANDMARK, compat=compat).count() == 10
