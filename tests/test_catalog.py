@@ -97,6 +97,18 @@ def test_evaluation(spark):
     assert evaluate.sample(clips, 5).collect() == evaluate.sample(clips, 5).collect()
 
 
+def test_candidates_are_not_broadcast_to_be_ranked(spark):
+    expected = spark.range(1000).select(F.col("id").alias("query_id"), F.concat(F.lit("song"), F.col("id") % 12, F.lit("x")).alias("expected"))
+    candidates = spark.range(1000).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")).withColumn("candidate", F.concat(F.lit("song"), "rank", F.lit("x")))
+    found = evaluate.ranks(expected, candidates)
+    rows = evaluate.histogram_with_mrr(found).orderBy("rank").collect()
+    plan = evaluate.histogram_with_mrr(found)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert [(r["rank"], r.n) for r in rows] == [(r["rank"], r.n) for r in evaluate.histogram(found).orderBy("rank").collect()]
+    assert abs(rows[0].mrr - evaluate.summary(found).first().mrr) < 1e-9
+    assert evaluate.histogram_with_mrr(found.where("rank < 0")).count() == 10
+
+
 def test_monitoring(spark):
     at = lambda s: dt.datetime(2020, 1, 1, 0, 0, s)
     rows = spark.createDataFrame([(at(0),), (at(1),), (at(6),), (at(22),)], "ts timestamp")
