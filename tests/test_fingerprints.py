@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonolith.functions import dsp
-from sonolith.operators import index, landmarks, match
+from sonolith.operators import grid, index, landmarks, match
 from sonolith.operators.peaks import by_track, in_scale, local_maxima, peaks
 from sonolith.presets import AMPLITUDE, AMPLITUDE_STREAM, LANDMARK, PRESETS, QUAD
 
@@ -208,3 +208,51 @@ def test_all_matches_of_a_segment_count_when_asked_for(spark, compat):
     assert {int(r.title): r.total_votes for r in got} == {n: 90 - 2 * n for n in range(30)}
     assert {(int(r.title), r.votes, r.offset_frames) for r in got} == {(n, 2, n) for n in range(30)}
     assert match.match_segments(q, postings, tracks, LANDMARK, compat=compat).count() == 10
+
+
+def random_prints(spark, seed, n_clips=20, n_tracks=15):
+    rng = np.random.default_rng(seed)
+    q = [(f"q{c}", int(rng.integers(0, 12)), int(rng.integers(0, 9))) for c in range(n_clips) for _ in range(rng.integers(0, 25))]
+    p = [(int(t % 3), int(t // 3), int(rng.integers(0, 14)), int(rng.integers(-5, 20))) for t in range(n_tracks) for _ in range(rng.integers(0, 40))]
+    return spark.createDataFrame(q + q[:5], "query_id string, hash bigint, t1 bigint"), spark.createDataFrame(p, "segment_id int, track_id bigint, hash bigint, anchor_t bigint")
+
+
+@pytest.mark.parametrize("block", [150, 1 << 19])
+def test_a_grid_counts_the_votes_of_the_join(spark, block):
+    keys = ("segment_id", "track_id")
+    q, p = random_prints(spark, 3)
+    rows = lambda found: sorted(map(tuple, found.select("query_id", *keys, "offset_frames", "votes", "total_votes").collect()))
+    want = match.joined_votes(q, p, keys=keys)
+    assert rows(match.grid_votes(q, p, False, keys, block, 100)) == rows(want)
+    assert rows(match.grid_votes(q, p, True, keys, block, 100)) == rows(match.best_offsets(want, keys)) == rows(match.best_votes(q, p, keys=keys, clips=3))
+    assert not match.grid_votes(q.where("hash < 0"), p).count() and not match.grid_votes(q, p.where("hash < 0")).count()
+
+
+@pytest.mark.parametrize("hits", [1, 30, 1000])
+def test_votes_of_a_cell_come_in_slices_of_bounded_hits(hits, monkeypatch):
+    rng = np.random.default_rng(hits)
+    clip, clip_hash, t1, times = rng.integers(0, 9, 80), rng.integers(0, 4, 80), rng.integers(0, 6, 80), rng.integers(1, 3, 80)
+    track, track_hash, anchor = rng.integers(0, 7, 90), rng.integers(0, 5, 90), rng.integers(0, 6, 90) * (1 << 60 if hits == 30 else 1)
+    sizes, counted = [], grid._counted
+    monkeypatch.setattr(grid, "_counted", lambda pair, *rest: sizes.append((len(pair), len(np.unique(pair)))) or counted(pair, *rest))
+    got = {(c, t, o): (v, s) for part in grid.votes_of(clip, clip_hash, t1, times, track, track_hash, anchor, False, hits) for c, t, o, v, s in zip(*(x.tolist() for x in part), strict=True)}
+    want, total = {}, {}
+    for i in range(80):
+        for j in np.flatnonzero(track_hash == clip_hash[i]).tolist():
+            pair = (int(clip[i]), int(track[j]))
+            want[*pair, int(anchor[j] - t1[i])] = want.get((*pair, int(anchor[j] - t1[i])), 0) + int(times[i])
+            total[pair] = total.get(pair, 0) + int(times[i])
+    assert got == {k: (v, total[k[:2]]) for k, v in want.items()}
+    assert all(n <= hits or pairs == 1 for n, pairs in sizes)
+
+
+def test_many_clips_give_what_few_do(spark, monkeypatch):
+    q, p = random_prints(spark, 8)
+    p = p.selectExpr("segment_id * 100 + track_id as track_id", "hash", "anchor_t")
+    tracks = p.select("track_id").distinct().where("track_id % 4 <> 1").selectExpr("track_id", "cast(-track_id % 3 as string) as title")
+    for preset, known, limit in ((LANDMARK, None, 3), (LANDMARK, tracks, 3), (LANDMARK, tracks, 0), (AMPLITUDE, None, 3)):
+        rows = lambda: sorted(map(tuple, match.match(q, p, preset, known, limit).select("query_id", "rank", "track_id", "votes", "total_votes", "offset_frames", "confidence").collect()))  # noqa: B023, E731
+        found = rows()
+        monkeypatch.setattr(match.best_votes, "__defaults__", (match.BROADCAST_HASHES, ("track_id",), 4))
+        assert rows() == found
+        monkeypatch.undo()
