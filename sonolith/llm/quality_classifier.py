@@ -94,9 +94,16 @@ class Content:
         return len(self.figures)
 
     def take(self, rows: np.ndarray) -> Content:
-        sizes = np.diff(self.starts)[rows]
-        at = np.repeat(self.starts[:-1][rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return Content(self.figures[rows], np.concatenate([[0], np.cumsum(sizes)]), self.slots[at])
+        slots = [self.slots[self.starts[r] : self.starts[r + 1]] for r in rows.tolist()]
+        return Content(self.figures[rows], np.concatenate([[0], np.cumsum(np.diff(self.starts)[rows])]), np.concatenate([self.slots[:0], *slots]))
+
+    def blocks(self, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(texts, their slots, the text of each slot) of a bounded number of slots at a time: what is laid out beside them takes much more."""
+        at = 0
+        while at < len(self):
+            to = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + most, side="right")) - 1)
+            yield slice(at, to), self.slots[self.starts[at] : self.starts[to]], np.repeat(np.arange(to - at), np.diff(self.starts[at : to + 1]))
+            at = to
 
     def plus(self, other: Content) -> Content:
         return Content(np.concatenate([self.figures, other.figures]), np.concatenate([self.starts, self.starts[-1] + other.starts[1:]]), np.concatenate([self.slots, other.slots]))
@@ -107,23 +114,30 @@ class ContentView:
 
     def fit(self, x: Content, y: np.ndarray, w: np.ndarray) -> ContentView:
         self.model = Logistic()
-        owner = np.repeat(np.arange(len(x)), np.diff(x.starts))
-        held = [np.bincount(x.slots, (w * (y == k))[owner], GRAMS) for k in (0, 1)]
-        total = [(w * (y == k)).sum() for k in (0, 1)]
+        own = [w * (y == k) for k in (0, 1)]
+        held, total = [np.zeros(GRAMS), np.zeros(GRAMS)], [o.sum() for o in own]
+        for texts, slots, owner in x.blocks():
+            for k in (0, 1):
+                np.add.at(held[k], slots, own[k][texts][owner])
         self.odds = _odds(held[1], total[1], held[0], total[0]).astype(np.float32)
-        # each text's own share is taken off what its slots have seen
-        own = [(w * (y == k))[owner] for k in (0, 1)]
-        apart = _odds(held[1][x.slots] - own[1], total[1] - own[1], held[0][x.slots] - own[0], total[0] - own[0])
+
+        def apart(texts: slice, slots: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            """Odds of slots without what each text itself has given to what its slots have seen."""
+            mine = [o[texts][owner] for o in own]
+            return _odds(held[1][slots] - mine[1], total[1] - mine[1], held[0][slots] - mine[0], total[0] - mine[0])
+
         self.model.fit(self._columns(x, apart), y, w)
         return self
 
-    def _columns(self, x: Content, odds: np.ndarray) -> np.ndarray:
-        sizes = np.diff(x.starts)
-        owner = np.repeat(np.arange(len(x)), sizes)
-        return np.column_stack([x.figures, np.bincount(owner, odds, len(x)) / np.maximum(sizes, 1)])
+    def _columns(self, x: Content, odds) -> np.ndarray:
+        mean = np.zeros(len(x))
+        for texts, slots, owner in x.blocks():
+            n = texts.stop - texts.start
+            mean[texts] = np.bincount(owner, odds(texts, slots, owner), n)
+        return np.column_stack([x.figures, mean / np.maximum(np.diff(x.starts), 1)])
 
     def logit(self, x: Content) -> np.ndarray:
-        return self.model.logit(self._columns(x, self.odds[x.slots]))
+        return self.model.logit(self._columns(x, lambda texts, slots, owner: self.odds[slots]))
 
 
 def _odds(good: np.ndarray, n_good: np.ndarray, bad: np.ndarray, n_bad: np.ndarray) -> np.ndarray:
@@ -266,8 +280,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Views:
     frame = pd.DataFrame([r.asDict() for r in rows])
     weights = np.array([(total - counts.get(1, 0)) / max(1, (y == 0).sum()), counts.get(1, 0) / max(1, (y == 1).sum())])[y.astype(int)]
     seen, held = ((Content.of(d["text"].tolist()), metadata_features(d)) for d in (frame, pool))
+    folds = part_of([r["doc_id"] for r in rows])
+    del rows, frame, pool  # the driver holds no texts while it fits
+    release()
     content, metadata = co_train(seen, y, weights, held)
-    apart, logits = cross_fitted(seen, y, weights, held, part_of([r["doc_id"] for r in rows]))
+    apart, logits = cross_fitted(seen, y, weights, held, folds)
     if not 0 < y[apart].sum() < len(apart):
         apart, logits = np.arange(len(y)), np.stack([content.logit(seen[0]), metadata.logit(seen[1])], axis=1)
     return Views(share, content, metadata, combine(logits, y[apart], weights[apart]))

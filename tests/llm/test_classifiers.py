@@ -315,3 +315,26 @@ def test_folds_without_a_label_do_not_calibrate(spark):
     labels = spark.createDataFrame([(r[0], 1) for r in rows if r[6]][:30] + [(one, 0)], "doc_id bigint, quality int")
     scores = [r.score for r in C.score_documents(docs, C.fit(docs, labels)).collect()]
     assert len(set(scores)) > 1 and all(0 <= s <= 1 for s in scores)
+
+
+def test_a_content_view_lays_out_a_bounded_part_of_its_slots():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(0, 4000, 1500)
+    x = C.Content(rng.random((1500, 4)), np.concatenate([[0], np.cumsum(sizes)]), rng.integers(0, C.GRAMS, sizes.sum()).astype(np.int32))
+    y, w = rng.integers(0, 2, 1500).astype(float), rng.random(1500)
+    tracemalloc.start()
+    view = C.ContentView().fit(x, y, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # 3 million slots: eight bytes of each take 24 MB, and a score of such arrays were there at once
+    owner, odds = np.repeat(np.arange(1500), sizes), C._odds
+    held, total = [np.bincount(x.slots, (w * (y == k))[owner], C.GRAMS) for k in (0, 1)], [(w * (y == k)).sum() for k in (0, 1)]
+    assert np.array_equal(view.odds, odds(held[1], total[1], held[0], total[0]).astype(np.float32))
+    own = [(w * (y == k))[owner] for k in (0, 1)]
+    apart = np.bincount(owner, odds(held[1][x.slots] - own[1], total[1] - own[1], held[0][x.slots] - own[0], total[0] - own[0]), 1500) / np.maximum(sizes, 1)
+    want = C.Logistic().fit(np.column_stack([x.figures, apart]), y, w)
+    assert np.array_equal(view.model.weights, want.weights)
+    rows = rng.permutation(1500)[:700]
+    assert np.array_equal(x.take(rows).slots, np.concatenate([x.slots[x.starts[r] : x.starts[r + 1]] for r in rows])) and len(x.take(rows[:0]).slots) == 0
