@@ -47,6 +47,16 @@ def _one_of_url(pages: DataFrame) -> DataFrame:
     return one.select("url", "r.next", F.when(~F.col("r.bare"), F.col("r.items")).alias("items"))
 
 
+def page_jumps(cached: DataFrame, longest: int = LONGEST_CHAIN) -> list[DataFrame]:
+    """(url, to) of jumps of 1, 2, 4 ... pages: each is the one before applied twice."""
+    there = cached.where("items is not null").select(F.col("url").alias("next"))
+    jumps = [cut(cached.where("items is not null and next <> url").select("url", "next").join(there, "next", "left_semi").select("url", F.col("next").alias("to")))]
+    while len(jumps) < (longest - 1).bit_length() and not jumps[-1].isEmpty():
+        last = jumps[-1]
+        jumps.append(cut(last.join(last.select(F.col("url").alias("to"), F.col("to").alias("_to")), "to").select("url", F.col("_to").alias("to"))))
+    return jumps
+
+
 def page_walks(pages: DataFrame, starts: DataFrame | None = None, longest: int = LONGEST_CHAIN) -> DataFrame:
     """(start, url, at): the pages that are read from each start, by binary lifting.
 
@@ -57,46 +67,54 @@ def page_walks(pages: DataFrame, starts: DataFrame | None = None, longest: int =
     that repeats, all do. pages: (url, next, items); starts: (url), all pages without.
     """
     cached = cut(_one_of_url(pages))
-    there = cached.where("items is not null").select(F.col("url").alias("next"))
-    jump = cut(cached.where("items is not null and next <> url").select("url", "next").join(there, "next", "left_semi").select("url", F.col("next").alias("to")))
+    return _walks(cached, page_jumps(cached, longest), starts, longest)
+
+
+def _walks(cached: DataFrame, jumps: list[DataFrame], starts: DataFrame | None, longest: int) -> DataFrame:
     asked = cached.select("url") if starts is None else cached.select("url").join(starts.select("url").distinct(), "url", "left_semi")
     walks = cut(asked.select(F.col("url").alias("start"), "url", F.lit(0).alias("at")))
-    for k in range((longest - 1).bit_length()):
+    for k, jump in enumerate(jumps):
         step = walks.join(jump, "url").select("start", F.col("to").alias("url"), (F.col("at") + (1 << k)).alias("at"))
         further = step.where(F.col("at") < longest)
         walks = cut(walks.unionByName(further).groupBy("start", "url").agg(F.min("at").alias("at")))
-        jump = cut(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("_to")), "to").select("url", F.col("_to").alias("to")))
-        if jump.isEmpty():
-            break
     return walks
 
 
-def read_chains(pages: DataFrame, starts: DataFrame | None = None, longest: int = LONGEST_CHAIN) -> DataFrame:
-    """(url, items, n_pages) of each start that is cached: the items of all pages of its walk, in order."""
+def _read(pages: DataFrame, walks: DataFrame) -> DataFrame:
     own = _one_of_url(pages).select("url", "items")
-    placed = page_walks(pages, starts, longest).join(own, "url")
-    gathered = placed.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "items"))).alias("p"))  # ``longest`` pages at most
+    gathered = walks.join(own, "url").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "items"))).alias("p"))  # ``longest`` pages at most
     return gathered.select(F.col("start").alias("url"), F.flatten(F.transform("p", lambda x: x["items"])).alias("items"), F.size("p").alias("n_pages"))
 
 
-def chain_starts(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
-    """(url) of the pages that no other page leads to, and of each cycle that no walk from these enters the least page."""
+def read_chains(pages: DataFrame, starts: DataFrame | None = None, longest: int = LONGEST_CHAIN) -> DataFrame:
+    """(url, items, n_pages) of each start that is cached: the items of all pages of its walk, in order."""
+    return _read(pages, page_walks(pages, starts, longest))
+
+
+def chain_walks(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
+    """The walks (start, url, at) of chain_starts; the jumps are made once for all of them."""
+    cached = cut(_one_of_url(pages))
+    jumps = page_jumps(cached, longest)
     known = cut(pages.where("url is not null").select("url", "next").distinct())
     led_to = known.where("next is not null and next <> url").select(F.col("next").alias("url")).distinct()
-    first = cut(known.select("url").distinct().join(led_to, "url", "left_anti"))
-    rest = known.select("url").distinct().join(page_walks(pages, first, longest).select("url").distinct(), "url", "left_anti")
-    rest = cut(rest)
+    first = _walks(cached, jumps, known.select("url").distinct().join(led_to, "url", "left_anti"), longest)
+    rest = cut(known.select("url").distinct().join(first.select("url").distinct(), "url", "left_anti"))
     if rest.isEmpty():
         return first
-    walks = cut(page_walks(pages, rest, longest))
+    walks = _walks(cached, jumps, rest, longest)
     back = walks.join(known, "url").where(F.col("next") == F.col("start")).select("start").distinct()  # others are further from a start than walks go
-    least = walks.join(back, "start", "left_semi").groupBy("start").agg(F.min("url").alias("least")).where("start = least")
-    return first.union(least.select(F.col("start").alias("url")))
+    least = walks.join(back, "start", "left_semi").groupBy("start").agg(F.min("url").alias("least")).where("start = least").select("start")
+    return first.unionByName(walks.join(least, "start", "left_semi"))
+
+
+def chain_starts(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
+    """(url) of the pages that no other page leads to, and of each cycle that no walk from these enters the least page."""
+    return chain_walks(pages, longest).where("at = 0").select(F.col("start").alias("url"))
 
 
 def merge_page_chains(pages: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
     """(url, items, n_pages) of the pages that chains start from; see chain_starts."""
-    return read_chains(pages, chain_starts(pages, longest), longest)
+    return _read(pages, chain_walks(pages, longest))
 
 
 def follow_chain(spark: SparkSession, pages: DataFrame, seeds: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:

@@ -216,3 +216,12 @@ def test_the_crawls_filter_never_loses_an_id(spark, monkeypatch):
         monkeypatch.setattr(catalog, "FILTER_BITS", bits)
         bitmaps = catalog.id_filter(ids)
         assert catalog.maybe_in(ids, bitmaps).count() == 3000 and catalog.maybe_in(others, bitmaps).count() <= most
+
+
+def test_jumps_are_made_once_for_all_walks(spark, monkeypatch):
+    pages = spark.createDataFrame([*((f"a{n}", f"a{n + 1}", [str(n)]) for n in range(6)), ("r0", "r1", ["x"]), ("r1", "r2", ["y"]), ("r2", "r0", ["z"])], "url string, next string, items array<string>")
+    made, jumps = [], catalog.page_jumps
+    monkeypatch.setattr(catalog, "page_jumps", lambda *a: made.append(a) or jumps(*a))
+    got = {r.url: (r.n_pages, r["items"]) for r in catalog.merge_page_chains(pages, 4).collect()}
+    assert got == {"a0": (4, ["0", "1", "2", "3"]), "r0": (3, ["x", "y", "z"])}
+    assert len(made) == 1
