@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session_partitions, shared_path, table
+from .text_arrays import slices
 
 #: By selector: ids in a word, and bits of each.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -38,9 +39,11 @@ MAGIC = 0x31423853
 BLOCK = 512
 #: A chunk ends with the document that reaches so many ids.
 CHUNK_IDS = 1 << 18
-#: Cached parts of texts, and cached pre-tokens, in a worker (about 200 bytes each).
-CACHE_PARTS = 800_000
-CACHE_PIECES = 600_000
+#: Cached words in a worker (about 200 bytes each), and characters of the longest of them.
+CACHE_WORDS = 1_200_000
+LONGEST = 200
+#: Rows whose texts are encoded together at most.
+ROWS = 1024
 END_ID = 0
 
 
@@ -144,18 +147,17 @@ def decode_chunk_raw(data: bytes, blocks: int) -> np.ndarray:
     return decode_chunk(head.tobytes() + data[16:], 0, blocks)
 
 
-#: A space and a pre-token; white space after a space; runs that are pre-tokens of their own: letters, signs other than the apostrophe, one line break before something else.
-ONE_SPACE = re.compile(r" [A-Za-zÀ-ÖØ-öø-ɏ]+| [!-&(-/:-@\[-`{-~]+")
+#: A space before white space.
 SPACE_RUN = re.compile(r" \s")
-SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
 
 
 class CachedEncoder:
-    """Ids of texts as little-endian 32-bit integers, part by part.
+    """Ids of texts as little-endian 32-bit integers, word by word.
 
     The tokenizer merges bytes inside pre-tokens only, and a pre-token doesn't span a space unless white
-    space follows. A text is cut before its spaces, each distinct part into its pre-tokens where these are plain,
-    and each distinct pre-token (or other part) is encoded once by the library. Texts with a space between
+    space follows. Texts are cut at their spaces by Arrow, and each distinct word of a slice of texts is looked up once; the
+    ids of all its words are gathered in arrays. Words that are new, each with the space before it, are given to the library a
+    thousand in one text, whose ids are cut where a token begins with a space. Texts with a space between
     white space on both sides are encoded whole.
     """
 
@@ -168,57 +170,80 @@ class CachedEncoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by the library, a thousand at a time."""
         return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 1000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Cache the ids of pieces."""
-        together = [p for p in pieces if ONE_SPACE.fullmatch(p)]
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a space before it."""
+        out: dict[str, bytes] = {}
+        together = [w for w in words if w and not w[0].isspace()]  # no space of theirs has white space after it
         for at in range(0, len(together), 1000):
             some = together[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(some):  # not cut as expected
-                self.pieces.update(zip(some, self.whole(some), strict=True))
+            text = " " + " ".join(some)
+            if any(t in text for t in self.special):
                 continue
-            raw, ends = ids.tobytes(), (4 * starts).tolist()
-            self.pieces.update((p, raw[s:e]) for p, s, e in zip(some, ends, [*ends[1:], len(raw)], strict=True))
-        rest = [p for p in pieces if p not in self.pieces]
-        self.pieces.update(zip(rest, self.whole(rest), strict=True))
-
-    def join(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts by their pre-tokens; a first space belongs to the first one."""
-        cut = []
-        for t in texts:
-            found = SIMPLE.findall(t, t.startswith(" "))
-            if t.startswith(" ") and found and found[0] != "\n":
-                found[0] = " " + found[0]
-            cut.append(found if "".join(found) == t else [t])
-        new = list(set().union(*cut).difference(self.pieces))
-        self.learn(new)
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(some):  # cut as expected
+                raw, ends = ids.tobytes(), (4 * starts).tolist()
+                out.update((w, raw[s:e]) for w, s, e in zip(some, ends, [*ends[1:], len(raw)], strict=True))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self.whole([" " + w for w in rest]), strict=True))
+        return [out[w] for w in words]
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words with a space before them. The cache is two dictionaries, of which the former is dropped when the
+        other is full: words that are met again meanwhile stay."""
+        if len(self.words) > CACHE_WORDS // 2:
+            self.former, self.words = self.words, {}
+        found = list(map(self.words.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            found[i] = self.former.get(words[i])
+            if found[i] is None:
+                new.append(i)
+        for i, ids in zip(new, self.learn([words[i] for i in new]), strict=True):
+            found[i] = ids
+        self.words.update((words[i], found[i]) for i in missing if len(words[i]) <= LONGEST)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        cut = [t.split(" ") for t in texts]
-        heads = self.join([c[0] for c in cut])
-        for c in cut:
-            del c[0]
-        new = list(set().union(*cut).difference(self.parts))
-        self.parts.update(zip(new, self.join([" " + p for p in new]), strict=True))
-        get = self.parts.__getitem__
-        return [
-            self.whole([text])[0] if any(t in text for t in self.special) or SPACE_RUN.search(text) and _unsafe(text) else head + b"".join(map(get, c))
-            for text, head, c in zip(texts, heads, cut, strict=True)
-        ]
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        alone = [i for i, text in enumerate(texts) if any(t in text for t in self.special) or SPACE_RUN.search(text) and _unsafe(text)]
+        plain = list(texts)
+        for i in alone:
+            plain[i] = ""
+        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        bounds = cut.offsets.to_numpy()
+        words, heads = cut.flatten(), bounds[:-1]
+        later = np.ones(len(words), bool)
+        later[heads] = False  # a text's first word has no space before it
+        coded = words.filter(pa.array(later)).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        codes = np.empty(len(words), np.int64)
+        codes[later] = coded.indices.to_numpy()
+        codes[heads] = len(distinct) + np.arange(len(texts))
+        known = self.look_up(distinct) + self.whole(words.take(pa.array(heads)).to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool = np.frombuffer(b"".join(known), "<u4")
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + counts, counts)
+        at += np.arange(len(at))
+        raw, stops = pool[at].tobytes(), [0, *(4 * ends[bounds[1:] - 1]).tolist()]
+        out = [raw[s:e] for s, e in zip(stops, stops[1:], strict=False)]
+        for i, ids in zip(alone, self.whole([texts[i] for i in alone]), strict=True):
+            out[i] = ids
+        return out
 
 
 def _unsafe(text: str) -> bool:
@@ -264,11 +289,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
-            names, texts, parts = (batch.column(k) for k in range(3))
-            for at in range(0, batch.num_rows, 256):
-                some = [t or "" for t in texts[at : at + 256].to_pylist()]
-                part = parts[at].as_py()
-                for name, ids in zip(names[at : at + 256].to_pylist(), encoder.encode(some), strict=True):
+            for some in slices(batch, 1, ROWS):
+                names, texts, parts = (some.column(k) for k in range(3))
+                part = parts[0].as_py()
+                for name, ids in zip(names.to_pylist(), encoder.encode([t or "" for t in texts.to_pylist()]), strict=True):
                     held.append((name, ids + end))
                     size += len(ids) // 4 + 1
                     if size >= CHUNK_IDS:

@@ -51,3 +51,22 @@ def test_files_keep_order_nulls_and_repeats(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     T.write_token_files(spark.createDataFrame([], "doc_id bigint, text string"), str(tmp_path / "t"), P.path("byte_bpe_50k.json"))
     assert T.read_token_files(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_words_that_are_met_again_are_learned_once(monkeypatch):
+    for name in ("CACHE_WORDS", "CACHE_PARTS", "CACHE_PIECES"):
+        monkeypatch.setattr(T, name, 200, raising=False)
+    e, given = T.CachedEncoder(P.path("byte_bpe_50k.json")), []
+    learn = e.learn
+    monkeypatch.setattr(e, "learn", lambda words: given.extend(words) or learn(words))
+    for i in range(20):
+        text = "x hot " + " ".join(f"{'abcdefghijklmnopqrst'[i]}{'qwertyuiop'[j % 10] * (1 + j // 10)}" for j in range(60))
+        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(w.strip() == "hot" for w in given) == 1
+
+
+def test_texts_of_a_slice_are_put_together_from_their_words():
+    e = T.encoder_at(P.path("byte_bpe_50k.json"))
+    texts = ["", " ", "a", " a", "a ", "\n a\n b", "a  b", "a   b", "a\tb \x85c \x1cd", "'s 's 'll", "x" * 500 + " " + "y" * 500, "a <|endoftext|> b", "", "é 日 ß  a  b", *("w%d, é%d." % (i, i) + " w" * i for i in range(1100))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.encode([]) == [] and e.encode(["", ""]) == [b"", b""]
