@@ -256,3 +256,25 @@ def test_many_clips_give_what_few_do(spark, monkeypatch):
         monkeypatch.setattr(match.best_votes, "__defaults__", (match.BROADCAST_HASHES, ("track_id",), 4))
         assert rows() == found
         monkeypatch.undo()
+
+
+def test_more_cells_are_more_tasks(spark, monkeypatch):
+    from sonolith.operators import peaks as P
+
+    cells, preset = spark.range(40 * 50).selectExpr("id div 50 as track_id", "cast(id % 50 div 10 as int) as t", "cast(id % 10 as int) as f", "cast(hash(id) % 7 as double) as m"), replace(LANDMARK, bins=10, tested=(0, 9), radius_t=1, radius_f=1, threshold=-9.0)
+    found = lambda: sorted(map(tuple, landmarks.fingerprints(peaks(cells, preset), preset).collect()))
+    want = found()
+    monkeypatch.setattr(P, "CELLS", 100, raising=False)
+    assert found() == want
+    assert by_track(cells).rdd.getNumPartitions() == 20
+    assert max(by_track(cells).rdd.mapPartitions(lambda rows: [len(list(rows))]).collect()) <= 300  # of 2,000
+
+
+def test_a_cell_of_the_grid_has_a_bounded_number_of_pairs(spark):
+    q, p = random_prints(spark, 3, 60, 40)
+    keys = ("segment_id", "track_id")
+    rows = lambda found: sorted(map(tuple, found.select("query_id", *keys, "offset_frames", "votes", "total_votes").collect()))
+    few = match.grid_votes(q, p, True, keys, pairs=100)
+    assert rows(few) == rows(match.grid_votes(q, p, True, keys))
+    sizes = few.rdd.mapPartitions(lambda found: [len(list(found))]).collect()
+    assert len(sizes) >= 20 and max(sizes) <= 300  # pairs, of 2,400 in all
