@@ -278,3 +278,11 @@ def test_a_cell_of_the_grid_has_a_bounded_number_of_pairs(spark):
     assert rows(few) == rows(match.grid_votes(q, p, True, keys))
     sizes = few.rdd.mapPartitions(lambda found: [len(list(found))]).collect()
     assert len(sizes) >= 20 and max(sizes) <= 300  # pairs, of 2,400 in all
+
+
+def test_pairs_meet_their_names_where_they_are_counted(spark, capsys):
+    q, p = random_prints(spark, 8)
+    p = p.selectExpr("segment_id * 100 + track_id as track_id", "hash", "anchor_t")
+    tracks = p.select("track_id").distinct().selectExpr("track_id", "cast(-track_id % 3 as string) as title")
+    match.match(q, p, LANDMARK, tracks, 3).explain()
+    assert "BroadcastHashJoin [track_id" in capsys.readouterr().out
