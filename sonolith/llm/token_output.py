@@ -18,6 +18,7 @@ kept; repeated rows are repeated; an empty table writes no chunk; other columns
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -149,6 +150,10 @@ def decode_chunk_raw(data: bytes, blocks: int) -> np.ndarray:
 
 #: A space before white space.
 SPACE_RUN = re.compile(r" \s")
+#: Latin letters, and words of them with at most one sign after them: a pre-token each.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+SIGNS = ".,;:!?"
+PLAIN = f"^{LETTERS.pattern}[{SIGNS}]?$"
 
 
 class CachedEncoder:
@@ -156,13 +161,14 @@ class CachedEncoder:
 
     The tokenizer merges bytes inside pre-tokens only, and a pre-token doesn't span a space unless white
     space follows. Texts are cut at their spaces by Arrow, and each distinct word of a slice of texts is looked up once; the
-    ids of all its words are gathered in arrays. Words that are new, each with the space before it, are given to the library a
-    thousand in one text, whose ids are cut where a token begins with a space. Texts with a space between
-    white space on both sides are encoded whole.
+    ids of all its words are gathered in arrays. Letters with a sign after them are two pre-tokens, of which the letters are
+    looked up. Words that are new, each with the space before it, are given to the library a
+    thousand in one text, whose ids are cut where a token begins with a space; for words of letters, which are one pre-token
+    each, the library cuts at spaces alone. Texts with a space between white space on both sides are encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # what repeats is cached here
@@ -172,6 +178,14 @@ class CachedEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}
+        self.lettered, self.sign_ids = None, np.zeros(128, "<u4")
+        kind = json.loads(self.tokenizer.to_str())
+        cuts, signs = kind["pre_tokenizer"] or {}, self.whole(list(SIGNS))
+        if cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not kind["normalizer"] and all(len(ids) == 4 for ids in signs):
+            self.lettered = Tokenizer.from_file(path)
+            self.lettered.model._resize_cache(0)
+            self.lettered.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)])
+            self.sign_ids[[ord(c) for c in SIGNS]] = np.frombuffer(b"".join(signs), "<u4")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by the library, a thousand at a time."""
@@ -180,17 +194,20 @@ class CachedEncoder:
     def learn(self, words: list[str]) -> list[bytes]:
         """Ids of words, each with a space before it."""
         out: dict[str, bytes] = {}
-        together = [w for w in words if w and not w[0].isspace()]  # no space of theirs has white space after it
-        for at in range(0, len(together), 1000):
-            some = together[at : at + 1000]
-            text = " " + " ".join(some)
-            if any(t in text for t in self.special):
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(some):  # cut as expected
-                raw, ends = ids.tobytes(), (4 * starts).tolist()
-                out.update((w, raw[s:e]) for w, s, e in zip(some, ends, [*ends[1:], len(raw)], strict=True))
+        lettered = [w for w in words if LETTERS.fullmatch(w)] if self.lettered else []
+        among = set(lettered)
+        together = [w for w in words if w and w not in among and not w[0].isspace()]  # no space of theirs has white space after it
+        for tokenizer, first, given in ((self.lettered, "", lettered), (self.tokenizer, " ", together)):
+            for at in range(0, len(given), 1000):
+                some = given[at : at + 1000]
+                text = first + " ".join(some)
+                if any(t in text for t in self.special):
+                    continue
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                starts = np.flatnonzero(self.spaced[ids])
+                if len(starts) == len(some):  # cut as expected
+                    raw, ends = ids.tobytes(), (4 * starts).tolist()
+                    out.update(zip(some, map(raw.__getitem__, map(slice, ends, [*ends[1:], len(raw)])), strict=True))
         rest = [w for w in words if w not in out]
         out.update(zip(rest, self.whole([" " + w for w in rest]), strict=True))
         return [out[w] for w in words]
@@ -212,6 +229,22 @@ class CachedEncoder:
         self.words.update((words[i], found[i]) for i in missing if len(words[i]) <= LONGEST)
         return found
 
+    def spaced_words(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) of an Arrow array of distinct words with a space before them."""
+        import pyarrow.compute as pc
+
+        if not self.lettered:
+            return _pooled(self.look_up(words.to_pylist()))
+        stems = pc.if_else(pc.match_substring_regex(words, PLAIN), pc.utf8_rtrim(words, SIGNS), words)
+        signed = pc.binary_length(words).to_numpy() > pc.binary_length(stems).to_numpy()
+        coded = stems.dictionary_encode()
+        pool, sizes = _pooled(self.look_up(coded.dictionary.to_pylist()))
+        codes = coded.indices.to_numpy()
+        out, ends = _gathered(np.append(pool, np.uint32(0)), sizes, codes, signed)  # a place more for the sign
+        last = np.frombuffer(words.buffers()[2] or b"", np.uint8)[np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1 : words.offset + 1 + len(words)][signed] - 1]
+        out[ends[signed] - 1] = self.sign_ids[last]
+        return out, sizes[codes] + signed
+
     def encode(self, texts: list[str]) -> list[bytes]:
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -228,24 +261,32 @@ class CachedEncoder:
         later = np.ones(len(words), bool)
         later[heads] = False  # a text's first word has no space before it
         coded = words.filter(pa.array(later)).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
         codes = np.empty(len(words), np.int64)
         codes[later] = coded.indices.to_numpy()
-        codes[heads] = len(distinct) + np.arange(len(texts))
-        known = self.look_up(distinct) + self.whole(words.take(pa.array(heads)).to_pylist())
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        pool = np.frombuffer(b"".join(known), "<u4")
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + counts, counts)
-        at += np.arange(len(at))
-        raw, stops = pool[at].tobytes(), [0, *(4 * ends[bounds[1:] - 1]).tolist()]
+        codes[heads] = len(coded.dictionary) + np.arange(len(texts))
+        (pool, sizes), (firsts, first_sizes) = self.spaced_words(coded.dictionary), _pooled(self.whole(words.take(pa.array(heads)).to_pylist()))
+        ids, ends = _gathered(np.concatenate([pool, firsts]), np.concatenate([sizes, first_sizes]), codes)
+        raw, stops = ids.tobytes(), [0, *(4 * ends[bounds[1:] - 1]).tolist()]
         out = [raw[s:e] for s, e in zip(stops, stops[1:], strict=False)]
         for i, ids in zip(alone, self.whole([texts[i] for i in alone]), strict=True):
             out[i] = ids
         return out
 
 
+def _pooled(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and the number of each."""
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def _gathered(pool: np.ndarray, sizes: np.ndarray, codes: np.ndarray, more: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the codes in a row, with so many places more after each, and where each ends."""
+    counts = sizes[codes] + more
+    ends = np.cumsum(counts)
+    at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + counts, counts)
+    at += np.arange(len(at))
+    return pool[at], ends
+
+
 def _unsafe(text: str) -> bool:
     """A space that has white space on both sides."""
     at = text.find(" ", 1)

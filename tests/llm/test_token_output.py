@@ -70,3 +70,13 @@ def test_texts_of_a_slice_are_put_together_from_their_words():
     texts = ["", " ", "a", " a", "a ", "\n a\n b", "a  b", "a   b", "a\tb \x85c \x1cd", "'s 's 'll", "x" * 500 + " " + "y" * 500, "a <|endoftext|> b", "", "é 日 ß  a  b", *("w%d, é%d." % (i, i) + " w" * i for i in range(1100))]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert e.encode([]) == [] and e.encode(["", ""]) == [b"", b""]
+
+
+def test_letters_are_learned_apart_from_the_sign_after_them(monkeypatch):
+    e, given = T.CachedEncoder(P.path("byte_bpe_50k.json")), []
+    learn = e.learn
+    monkeypatch.setattr(e, "learn", lambda words: given.extend(words) or learn(words))
+    letters = [chr(c) for c in (*range(0xA0, 0x250), 0x250, 0x301, 0x4E00, 0x661)]
+    texts = ["x House house house. house, house! house? Été été. (house). house.. it's 's 'll. o'house.", *(f"a x{c}y {c}. {c} x{c}, {c}{c}; x{c}. x{c}.. 1{c}. x.{c}." for c in letters)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert given.count("house") == 1 and not {"house.", "house,", "house!", "house?", "été."} & set(given)
