@@ -286,3 +286,30 @@ def test_pairs_meet_their_names_where_they_are_counted(spark, capsys):
     tracks = p.select("track_id").distinct().selectExpr("track_id", "cast(-track_id % 3 as string) as title")
     match.match(q, p, LANDMARK, tracks, 3).explain()
     assert "BroadcastHashJoin [track_id" in capsys.readouterr().out
+
+
+def plan_of(frame, capsys):
+    capsys.readouterr()
+    frame.explain()
+    return capsys.readouterr().out
+
+
+def test_pairs_are_not_shuffled_to_labels_too_large_to_broadcast(spark, capsys, tmp_path):
+    """10,000 labels, of which two are of tracks; the engine itself may broadcast none."""
+    from sonolith.plans.queries import QUERIES, SQL
+
+    spark.range(140 * 50).selectExpr("id as vec_id", "transform(sequence(1, 64), x -> cast(hash(id, x) % 100 / 100 as float)) as embedding", "1 as label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.range(10_000).selectExpr("id * 100 as doc_id", "cast(id % 3 as int) as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = QUERIES["match_metadata_left"](spark, str(tmp_path))
+        plan = plan_of(found, capsys)
+        rows = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin [track_id" in plan
+    duckdb = pytest.importorskip("duckdb").connect()
+    for name in ("embeddings", "labels"):
+        duckdb.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert rows == sorted(duckdb.sql(SQL["match_metadata_left"]).fetchall())
