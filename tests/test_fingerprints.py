@@ -313,3 +313,12 @@ def test_pairs_are_not_shuffled_to_labels_too_large_to_broadcast(spark, capsys,
     for name in ("embeddings", "labels"):
         duckdb.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
     assert rows == sorted(duckdb.sql(SQL["match_metadata_left"]).fetchall())
+
+
+def test_the_pairs_of_a_batch_are_counted_once(spark, capsys, tmp_path):
+    from sonolith.plans.queries import QUERIES
+
+    spark.range(140 * 50).selectExpr("id as vec_id", "transform(sequence(1, 64), x -> cast(hash(id, x) % 100 / 100 as float)) as embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = QUERIES["batch_accuracy"](spark, str(tmp_path))
+    assert "MapInArrow" not in plan_of(found, capsys)  # of each of the two plans that read the matches
+    assert found.first().n == 140
